@@ -16,8 +16,8 @@ def _configured(fn):
 
 
 def _modules():
-    from tessera.plans import driver, oracle
-    return [(driver.QUERIES, oracle.SQL)]
+    from tessera.plans import driver, ingest, oracle
+    return [(driver.QUERIES, oracle.SQL), (ingest.QUERIES, ingest.SQL)]
 
 
 def all_queries() -> dict:
