@@ -16,8 +16,9 @@ def _configured(fn):
 
 
 def _modules():
-    from tessera.plans import driver, ingest, oracle
-    return [(driver.QUERIES, oracle.SQL), (ingest.QUERIES, ingest.SQL)]
+    from tessera.plans import context, driver, ingest, oracle
+    return [(driver.QUERIES, oracle.SQL), (ingest.QUERIES, ingest.SQL),
+            (context.QUERIES, context.SQL)]
 
 
 def all_queries() -> dict:

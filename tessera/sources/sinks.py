@@ -26,7 +26,7 @@ def write_markdown(df: DataFrame, text_col: str, path: str, key_col: str | None
 def read_markdown(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:
     """Read written Markdown back: one row per file (whole text), key columns
     recovered from the folder names; the writer's final newline removed."""
-    df = spark.read.option("wholetext", "true").text(path)
+    df = spark.read.text(path, wholetext=True)
     return df.withColumn(text_col, F.regexp_replace("value", "\n$", "")).drop("value")
 
 
