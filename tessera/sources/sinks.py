@@ -27,7 +27,7 @@ def read_markdown(spark: SparkSession, path: str, text_col: str = "text") -> Dat
     """Read written Markdown back: one row per file (whole text), key columns
     recovered from the folder names; the writer's final newline removed."""
     df = spark.read.text(path, wholetext=True)
-    return df.withColumn(text_col, F.regexp_replace("value", "\n$", "")).drop("value")
+    return df.withColumn(text_col, F.regexp_replace("value", "\n\\z", "")).drop("value")
 
 
 def generated_at() -> Column:
