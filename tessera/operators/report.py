@@ -20,9 +20,9 @@ TRIM_CLASS = "[ \t\r\f\x0b\u00a0\ufeff]"
 # ---------------------------------------------------------------------------
 
 LINE_SPLIT = r"\r?\n"
-BOLD = r"\*\*(.*?)\*\*"
+BOLD = r"\*\*([^\n]*?)\*\*"
 WORD = "[^ \t\r\n]+"
-SENTENCE_END = "[.!?)][ \t\r\n]*$"
+SENTENCE_END = r"[.!?)][ \t\r\n]*\z"
 
 
 def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -32,7 +32,7 @@ def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), LINE_SPLIT, -1))
                         .alias("line_no", "line"))
     line = F.col("line")
-    is_rule = line.rlike(f"^{TRIM_CLASS}*(---|\\*\\*\\*){TRIM_CLASS}*$")
+    is_rule = line.rlike(f"^{TRIM_CLASS}*(---|\\*\\*\\*){TRIM_CLASS}*\\z")
     kind = (F.when(line.startswith("## "), F.lit("heading"))
             .when(is_rule, F.lit("rule"))
             .when(line.startswith("- ") | line.startswith("* "), F.lit("item"))
@@ -106,7 +106,9 @@ def section_items(blocks: DataFrame, id_col: str) -> DataFrame:
 
 # ---- D-03 number grounding ------------------------------------------------
 
-NUMBER = r"\d+(?:[.,]\d+)*"
+# a number not glued to a word character on its left (identifiers such as
+# "NATION_11" or hex tokens are not numbers); group 2 is the number
+NUMBER = r"(^|[^\w])(\d+(?:[.,]\d+)*)"
 THOUSANDS_ONLY = r"^\d{1,3}(\.\d{3})+$"
 
 
@@ -134,7 +136,7 @@ def number_grounding(docs: DataFrame, id_col: str, text_col: str, keys: DataFram
     """D-03: every number in a text, normalised, flagged grounded when it
     equals an accepted form of a source number (left join on the value;
     ``keys`` is distinct, so the join never multiplies rows)."""
-    nums = docs.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(NUMBER), 0))
+    nums = docs.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(NUMBER), 2))
                        .alias("pos", "number_text"))
     nums = nums.withColumn("value", normalize_number(F.col("number_text")))
     k = keys.select(F.col("key"), F.lit(True).alias("grounded"))

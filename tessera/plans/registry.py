@@ -16,9 +16,9 @@ def _configured(fn):
 
 
 def _modules():
-    from tessera.plans import context, driver, ingest, oracle
+    from tessera.plans import context, driver, ingest, oracle, reports
     return [(driver.QUERIES, oracle.SQL), (ingest.QUERIES, ingest.SQL),
-            (context.QUERIES, context.SQL)]
+            (context.QUERIES, context.SQL), (reports.QUERIES, reports.SQL)]
 
 
 def all_queries() -> dict:
