@@ -4,7 +4,11 @@ Every function maps DataFrames to a DataFrame and stays lazy.  The per-order
 fact is built once: line items are aggregated per order *before* any
 dimension is joined, so order counts never fan out and the line-item side is
 shuffled exactly once (on the order key, which the join then reuses).
-Money is summed as exact decimals and turned into a double only at the end.
+Money is exact integer arithmetic: each line item is worth
+round(price * 100) * (100 - round(discount * 100)) units of 1/10000, summed as
+``bigint`` per order (at most a few items, no overflow).  Only group totals,
+which may exceed a ``bigint`` at full scale, are summed as decimals, and they
+run over orders, not line items.  A double appears only in the output.
 """
 
 from __future__ import annotations
@@ -15,23 +19,33 @@ from pyspark.sql import functions as F
 from tessera.roles import DEFAULT, Roles
 
 
-def item_value(roles: Roles = DEFAULT) -> Column:
-    """Net value of one line item, exact: price * (1 - discount)."""
-    m = roles.money_type
-    return F.col("l_extendedprice").cast(m) * (F.lit(1).cast(m) - F.col("l_discount").cast(m))
+def item_units(roles: Roles = DEFAULT) -> Column:
+    """Net value of one line item, price * (1 - discount), in exact integer
+    units of 1/10000 (cents, half away from zero, times discount hundredths)."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    keep = F.lit(100) - F.round(F.col("l_discount") * 100).cast("bigint")
+    return cents * keep
+
+
+def money_total(units: Column, roles: Roles = DEFAULT) -> Column:
+    """Sum of integer money units as a double amount.  The sum is a decimal
+    (a group total can exceed a bigint at full scale); the only rounding is
+    the final conversion to double."""
+    total = F.sum(units.cast("decimal(18,0)"))
+    return F.coalesce((total / F.lit(roles.money_scale)).cast("double"), F.lit(0.0))
 
 
 def order_facts(orders: DataFrame, lineitem: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """One row per order: value, delivery date, delivery days and status flags."""
     items = lineitem.groupBy("l_orderkey").agg(
-        F.sum(item_value(roles)).alias("order_value"),
+        F.sum(item_units(roles)).alias("order_units"),
         F.max(F.to_date("l_shipdate")).alias("delivered_on"),
         F.count(F.lit(1)).alias("n_items"),
     )
     facts = orders.join(items, orders["o_orderkey"] == items["l_orderkey"], "left").select(
         "o_orderkey", "o_custkey", "o_orderstatus",
         F.to_date("o_orderdate").alias("order_date"),
-        "order_value", "delivered_on", "n_items",
+        "order_units", "delivered_on", "n_items",
     )
     delivered = F.col("o_orderstatus") == F.lit(roles.delivered_status)
     timed = delivered & F.col("delivered_on").isNotNull()
@@ -65,8 +79,7 @@ def _kpi_aggs() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("orders"),
         F.count(F.when(delivered, F.lit(1))).alias("delivered_orders"),
-        F.coalesce(F.sum(F.when(delivered, F.col("order_value"))),
-                   F.lit(0).cast("decimal(38,4)")).cast("double").alias("revenue"),
+        money_total(F.when(delivered, F.col("order_units"))).alias("revenue"),
         F.round(F.avg("delivery_days"), 6).alias("avg_delivery_days"),
         F.round(F.avg("is_late"), 6).alias("late_rate"),
     ]
@@ -98,7 +111,7 @@ def sales_by_month(facts: DataFrame) -> DataFrame:
     per_month = facts.groupBy("month").agg(
         F.count(F.lit(1)).alias("orders"),
         F.count(F.when(F.col("is_delivered"), F.lit(1))).alias("delivered_orders"),
-        F.sum(F.when(F.col("is_delivered"), F.col("order_value"))).alias("revenue_exact"),
+        money_total(F.when(F.col("is_delivered"), F.col("order_units"))).alias("revenue"),
     )
     bounds = facts.agg(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))
     spine = bounds.select(F.explode(F.sequence(
@@ -108,9 +121,8 @@ def sales_by_month(facts: DataFrame) -> DataFrame:
     return joined.select(
         "month",
         "orders",
-        F.coalesce(F.col("revenue_exact"), F.lit(0).cast("decimal(38,4)")).cast("double").alias("revenue"),
-        F.coalesce(F.round(F.try_divide(F.col("revenue_exact").cast("double"),
-                                        F.col("delivered_orders")), 6),
+        F.coalesce(F.col("revenue"), F.lit(0.0)).alias("revenue"),
+        F.coalesce(F.round(F.try_divide(F.col("revenue"), F.col("delivered_orders")), 6),
                    F.lit(0.0)).alias("ticket"),
     )
 
@@ -119,21 +131,20 @@ def sales_by_category(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
                       category: str = "p_type", roles: Roles = DEFAULT) -> DataFrame:
     """B-14: revenue of delivered orders per category; the order count is the
     number of *distinct* orders holding the category (not a global count)."""
-    items = lineitem.select("l_orderkey", "l_partkey", item_value(roles).alias("value"))
+    items = lineitem.select("l_orderkey", "l_partkey", item_units(roles).alias("units"))
     status = orders.select("o_orderkey", "o_orderstatus")
     parts = part.select("p_partkey", F.col(category).alias("category"))
     rows = (items.join(status, items["l_orderkey"] == status["o_orderkey"])
             .join(parts, items["l_partkey"] == parts["p_partkey"], "left"))
     # pre-aggregate to (category, order) so the distinct count works on pairs
     per_order = rows.groupBy("category", "l_orderkey").agg(
-        F.sum("value").alias("value"),
+        F.sum("units").alias("units"),
         F.max((F.col("o_orderstatus") == F.lit(roles.delivered_status)).cast("int")).alias("delivered"),
     )
     agg = per_order.groupBy("category").agg(
         F.count(F.lit(1)).alias("orders"),
         F.sum("delivered").alias("delivered_orders"),
-        F.coalesce(F.sum(F.when(F.col("delivered") == 1, F.col("value"))),
-                   F.lit(0).cast("decimal(38,4)")).cast("double").alias("revenue"),
+        money_total(F.when(F.col("delivered") == 1, F.col("units")), roles).alias("revenue"),
     )
     return agg.withColumn("ticket", _ticket())
 
@@ -164,8 +175,7 @@ def kpi_cuts(facts_with_state: DataFrame) -> DataFrame:
     return grouped.agg(
         F.count(F.lit(1)).alias("orders"),
         F.count(F.when(F.col("is_delivered"), F.lit(1))).alias("delivered_orders"),
-        F.coalesce(F.sum(F.when(F.col("is_delivered"), F.col("order_value"))),
-                   F.lit(0).cast("decimal(38,4)")).cast("double").alias("revenue"),
+        money_total(F.when(F.col("is_delivered"), F.col("order_units"))).alias("revenue"),
         F.round(F.avg("is_late"), 6).alias("late_rate"),
         gid.alias("_gid"),
     ).select(

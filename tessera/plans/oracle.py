@@ -8,17 +8,24 @@ from __future__ import annotations
 
 from tessera.plans import driver as P
 
-ITEM_VALUE = ("CAST(l_extendedprice AS DECIMAL(12,2)) * "
-              "(CAST(1 AS DECIMAL(12,2)) - CAST(l_discount AS DECIMAL(12,2)))")
+ITEM_UNITS = ("CAST(round(l_extendedprice * 100) AS BIGINT) * "
+              "(100 - CAST(round(l_discount * 100) AS BIGINT))")
+
+
+def money(units_expr: str) -> str:
+    """Integer money units (1/10000) summed, as a double amount."""
+    return f"coalesce(CAST(sum({units_expr}) AS DOUBLE) / 10000.0, 0.0)"
+
+
 
 FACTS = f"""
 items AS (
-  SELECT l_orderkey, sum({ITEM_VALUE}) AS order_value,
+  SELECT l_orderkey, sum({ITEM_UNITS}) AS order_units,
          max(CAST(l_shipdate AS DATE)) AS delivered_on
   FROM lineitem GROUP BY l_orderkey),
 facts AS (
   SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus,
-         CAST(o.o_orderdate AS DATE) AS order_date, i.order_value, i.delivered_on,
+         CAST(o.o_orderdate AS DATE) AS order_date, i.order_units, i.delivered_on,
          o.o_orderstatus = 'F' AS is_delivered,
          o.o_orderstatus = 'P' AS is_canceled,
          CASE WHEN o.o_orderstatus = 'F' AND i.delivered_on IS NOT NULL
@@ -33,10 +40,10 @@ fs AS (
   LEFT JOIN customer c ON f.o_custkey = c.c_custkey
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
 
-KPI_COLS = """
+KPI_COLS = f"""
   count(*) AS orders,
   count(CASE WHEN is_delivered THEN 1 END) AS delivered_orders,
-  CAST(coalesce(sum(CASE WHEN is_delivered THEN order_value END), 0) AS DOUBLE) AS revenue,
+  {money("CASE WHEN is_delivered THEN order_units END")} AS revenue,
   round(avg(delivery_days), 6) AS avg_delivery_days,
   round(avg(is_late), 6) AS late_rate"""
 
@@ -51,7 +58,7 @@ BY_MONTH_TAIL = f"""
 per_month AS (
   SELECT month, count(*) AS orders,
          count(CASE WHEN is_delivered THEN 1 END) AS delivered_orders,
-         sum(CASE WHEN is_delivered THEN order_value END) AS revenue_exact
+         CAST(sum(CASE WHEN is_delivered THEN order_units END) AS DOUBLE) / 10000.0 AS revenue
   FROM facts GROUP BY month),
 spine AS (
   SELECT strftime(d, '%Y-%m') AS month FROM (
@@ -60,9 +67,8 @@ spine AS (
                                   INTERVAL 1 MONTH)) AS d FROM facts)),
 bm AS (
   SELECT coalesce(s.month, p.month) AS month, p.orders,
-         CAST(coalesce(p.revenue_exact, 0) AS DOUBLE) AS revenue,
-         coalesce(round(CAST(p.revenue_exact AS DOUBLE) / nullif(p.delivered_orders, 0), 6), 0.0)
-           AS ticket
+         coalesce(p.revenue, 0.0) AS revenue,
+         coalesce(round(p.revenue / nullif(p.delivered_orders, 0), 6), 0.0) AS ticket
   FROM spine s FULL OUTER JOIN per_month p ON s.month = p.month)"""
 BY_MONTH = f"{FACTS},{BY_MONTH_TAIL}"
 
@@ -70,16 +76,16 @@ BY_MONTH = f"{FACTS},{BY_MONTH_TAIL}"
 def _by_category(category: str) -> str:
     return f"""
 cat_rows AS (
-  SELECT l.l_orderkey, p.{category} AS category, {ITEM_VALUE} AS value, o.o_orderstatus
+  SELECT l.l_orderkey, p.{category} AS category, {ITEM_UNITS} AS units, o.o_orderstatus
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   LEFT JOIN part p ON l.l_partkey = p.p_partkey),
 cat_order AS (
-  SELECT category, l_orderkey, sum(value) AS value,
+  SELECT category, l_orderkey, sum(units) AS units,
          max(CAST(o_orderstatus = 'F' AS INTEGER)) AS delivered
   FROM cat_rows GROUP BY category, l_orderkey),
 cat0 AS (
   SELECT category, count(*) AS orders, CAST(sum(delivered) AS BIGINT) AS delivered_orders,
-         CAST(coalesce(sum(CASE WHEN delivered = 1 THEN value END), 0) AS DOUBLE) AS revenue
+         {money("CASE WHEN delivered = 1 THEN units END")} AS revenue
   FROM cat_order GROUP BY category),
 sc AS (SELECT *, {TICKET} FROM cat0)"""
 
@@ -113,7 +119,7 @@ SELECT CASE WHEN grouping(month) = 1 AND grouping(state) = 1 THEN 'total'
        coalesce(month, state) AS cut_key,
        count(*) AS orders,
        count(CASE WHEN is_delivered THEN 1 END) AS delivered_orders,
-       CAST(coalesce(sum(CASE WHEN is_delivered THEN order_value END), 0) AS DOUBLE) AS revenue,
+       {money("CASE WHEN is_delivered THEN order_units END")} AS revenue,
        round(avg(is_late), 6) AS late_rate
 FROM fs GROUP BY GROUPING SETS ((), (month), (state))"""
 

@@ -17,8 +17,9 @@ class Roles:
     delivered_status: str = "F"
     canceled_status: str = "P"
     promised_days: int = 30
-    # money is summed exactly: both factors are cast to this decimal first
-    money_type: str = "decimal(12,2)"
+    # money is summed exactly in integer units of 1/money_scale (cents of
+    # price times hundredths of (1 - discount) = 1/10000)
+    money_scale: int = 10000
 
 
 DEFAULT = Roles()
