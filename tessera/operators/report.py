@@ -25,47 +25,68 @@ WORD = "[^ \t\r\n]+"
 SENTENCE_END = r"[.!?)][ \t\r\n]*\z"
 
 
-def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A-33: one row per non-blank line: kind (heading, rule, item,
-    paragraph), content without its marker, bold spans, and for list items
-    the number of the list inside the document."""
-    lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), LINE_SPLIT, -1))
-                        .alias("line_no", "line"))
-    line = F.col("line")
+def line_kind(line: Column) -> Column:
+    """heading / rule / item / paragraph, null for a blank line.  Heading and
+    item tests look at the raw line, the rule test at the trimmed one."""
     is_rule = line.rlike(f"^{TRIM_CLASS}*(---|\\*\\*\\*){TRIM_CLASS}*\\z")
-    kind = (F.when(line.startswith("## "), F.lit("heading"))
+    return (F.when(line.startswith("## "), F.lit("heading"))
             .when(is_rule, F.lit("rule"))
             .when(line.startswith("- ") | line.startswith("* "), F.lit("item"))
-            .when(F.length(F.regexp_replace(line, f"{TRIM_CLASS}|\n", "")) > 0, F.lit("paragraph")))
-    typed = lines.select(id_col, F.col("line_no").cast("bigint").alias("line_no"), kind.alias("kind"), "line")
-    # a list starts at an item whose previous line is not an item (blank lines end lists)
-    w = Window.partitionBy(id_col).orderBy("line_no")
-    prev_kind = F.lag("kind").over(w)
-    starts = ((F.col("kind") == "item") & (prev_kind.isNull() | (prev_kind != "item"))).cast("int")
-    typed = typed.withColumn("_start", F.coalesce(starts, F.lit(0)))
-    typed = typed.withColumn("_lists", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    content = (F.when(F.col("kind").isin("heading"), F.substring("line", 4, 1 << 30))
+            .when(line.rlike("[^" + TRIM_CLASS[1:]), F.lit("paragraph")))
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, LINE_SPLIT, -1)
+
+
+def _kinds(text: Column) -> Column:
+    return F.transform(_lines(text), line_kind)
+
+
+def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A-33: one row per non-blank line: kind (heading, rule, item,
+    paragraph), content without its marker, bold spans, and for list items
+    whether the item starts a new list (the previous line is not an item).
+
+    A document is one row, so the line kinds and the list starts are array
+    functions inside that row: the plan is a single map stage (no shuffle,
+    no window), and one huge document costs only its own task."""
+    lines, kinds = _lines(F.col(text_col)), F.col("_kinds")
+
+    def one(line, i):
+        prev = F.when(i == 0, F.lit(None)).otherwise(F.element_at(kinds, i))
+        kind = F.element_at(kinds, i + 1)
+        start = F.when(kind == "item", prev.isNull() | (prev != "item"))
+        return F.struct(i.cast("bigint").alias("line_no"), line.alias("line"), kind.alias("kind"),
+                        start.alias("list_start"))
+
+    rows = (docs.select(id_col, F.col(text_col))
+            .withColumn("_kinds", _kinds(F.col(text_col)))
+            .select(id_col, F.explode(F.transform(lines, one)).alias("b"))
+            .select(id_col, "b.*")
+            .where(F.col("kind").isNotNull()))
+    content = (F.when(F.col("kind") == "heading", F.substring("line", 4, 1 << 30))
                .when(F.col("kind") == "item", F.substring("line", 3, 1 << 30))
                .when(F.col("kind") == "rule", F.lit(""))
                .otherwise(F.col("line")))
-    return typed.where(F.col("kind").isNotNull()).select(
-        id_col, "line_no", "kind", content.alias("content"),
-        F.regexp_extract_all(content, F.lit(BOLD), 1).alias("bold"),
-        F.when(F.col("kind") == "item", F.col("_lists").cast("bigint")).alias("list_no"),
-    )
+    return rows.select(id_col, "line_no", "kind", content.alias("content"),
+                       F.regexp_extract_all(content, F.lit(BOLD), 1).alias("bold"), "list_start")
+
 
+def headings(text: Column) -> Column:
+    """Headings of a document in order (the heading test comes first, so a
+    line starting with "## " is always a heading)."""
+    return F.transform(F.filter(_lines(text), lambda l: l.startswith("## ")),
+                       lambda l: F.substring(l, 4, 1 << 30))
 
-def section_check(docs: DataFrame, blocks: DataFrame, id_col: str,
+
+def section_check(docs: DataFrame, id_col: str, text_col: str,
                   required: tuple[str, ...] = CLI_SECTIONS) -> DataFrame:
     """D-01: headings found in order, missing, extra, and whether the
-    required ones that are present appear in the required order."""
-    found = (blocks.where(F.col("kind") == "heading")
-             .groupBy(id_col)
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "content"))),
-                              lambda x: x["content"]).alias("found")))
-    req = F.array(*[F.lit(s) for s in required])
-    out = docs.select(id_col).join(found, id_col, "left").withColumn(
-        "found", F.coalesce(F.col("found"), F.array().cast("array<string>")))
+    required ones that are present appear in the required order.  Per
+    document, in-row: a map-only plan."""
+    req = F.array(*[F.lit(x) for x in required])
+    out = docs.select(id_col, headings(F.col(text_col)).alias("found"))
     f = F.col("found")
     return out.select(
         id_col, "found",
@@ -77,21 +98,23 @@ def section_check(docs: DataFrame, blocks: DataFrame, id_col: str,
     )
 
 
-def completeness_check(docs: DataFrame, blocks: DataFrame, id_col: str, text_col: str,
+def completeness_check(docs: DataFrame, id_col: str, text_col: str,
                        word_range: tuple[int, int] = WEB_WORD_RANGE) -> DataFrame:
     """D-02: size and completeness per document: words, headings, items,
-    paragraphs, word range, and whether the text ends a sentence."""
-    counts = blocks.groupBy(id_col).agg(
-        F.count(F.when(F.col("kind") == "heading", 1)).alias("headings"),
-        F.count(F.when(F.col("kind") == "item", 1)).alias("items"),
-        F.count(F.when(F.col("kind") == "paragraph", 1)).alias("paragraphs"),
-    )
-    words = F.size(F.regexp_extract_all(F.col(text_col), F.lit(WORD), 0)).cast("bigint")
-    base = docs.select(id_col, words.alias("words"),
-                       F.col(text_col).rlike(SENTENCE_END).alias("ends_sentence"))
-    out = base.join(counts, id_col, "left").na.fill(0, ["headings", "items", "paragraphs"])
+    paragraphs, word range, and whether the text ends a sentence (in-row)."""
+    text = F.col(text_col)
+    words = F.size(F.regexp_extract_all(text, F.lit(WORD), 0)).cast("bigint")
+    kinds = F.col("_kinds")
+
+    def n(kind):
+        return F.size(F.filter(kinds, lambda k: k == kind)).cast("bigint")
+
     lo, hi = word_range
-    return out.withColumn("within_word_range", F.col("words").between(lo, hi))
+    return (docs.select(id_col, text, _kinds(text).alias("_kinds"))
+            .select(id_col, words.alias("words"), text.rlike(SENTENCE_END).alias("ends_sentence"),
+                    n("heading").alias("headings"), n("item").alias("items"),
+                    n("paragraph").alias("paragraphs"))
+            .withColumn("within_word_range", F.col("words").between(lo, hi)))
 
 
 def section_items(blocks: DataFrame, id_col: str) -> DataFrame:

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from tessera.operators import report as RP
 from tessera.plans import driver as P
 from tessera.plans import oracle as O
-from tessera.sources.tables import read_table
+from tessera.sources.tables import read_table, spread
 
 REPORT_STATES = 5
 REPORT_RISKS = 4
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def markdown_blocks(spark, sf_dir):
@@ -24,13 +24,11 @@ def markdown_blocks(spark, sf_dir):
 
 
 def section_check(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return RP.section_check(docs, RP.markdown_blocks(docs, "doc_id", "text"), "doc_id")
+    return RP.section_check(_docs(spark, sf_dir), "doc_id", "text")
 
 
 def completeness_check(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return RP.completeness_check(docs, RP.markdown_blocks(docs, "doc_id", "text"), "doc_id", "text")
+    return RP.completeness_check(_docs(spark, sf_dir), "doc_id", "text")
 
 
 def _part_keys(spark, sf_dir) -> DataFrame:
@@ -81,8 +79,7 @@ def _report_doc(spark, sf_dir) -> DataFrame:
 
 
 def report_sections(spark, sf_dir):
-    doc = _report_doc(spark, sf_dir)
-    return RP.section_check(doc, RP.markdown_blocks(doc, "doc_id", "text"), "doc_id")
+    return RP.section_check(_report_doc(spark, sf_dir), "doc_id", "text")
 
 
 def report_items(spark, sf_dir):
@@ -182,19 +179,17 @@ kinds AS (
 prev AS (
   SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev_kind FROM kinds),
 lists AS (
-  SELECT *, sum(CASE WHEN kind = 'item' AND (prev_kind IS NULL OR prev_kind <> 'item') THEN 1 ELSE 0 END)
-              OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS n_lists
+  SELECT *, CASE WHEN kind = 'item' THEN prev_kind IS NULL OR prev_kind <> 'item' END AS list_start
   FROM prev),
 content AS (
   SELECT doc_id, line_no, kind,
          CASE WHEN kind = 'heading' THEN substr(line, 4) WHEN kind = 'item' THEN substr(line, 3)
               WHEN kind = 'rule' THEN '' ELSE line END AS content,
-         n_lists
+         list_start
   FROM lists WHERE kind IS NOT NULL),
 blocks AS (
   SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, kind, content,
-         regexp_extract_all(content, '\*\*([^\n]*?)\*\*', 1) AS bold,
-         CASE WHEN kind = 'item' THEN CAST(n_lists AS BIGINT) END AS list_no
+         regexp_extract_all(content, '\*\*([^\n]*?)\*\*', 1) AS bold, list_start
   FROM content)"""
 
 DOCS = "src AS (SELECT doc_id, text FROM documents)"

@@ -29,3 +29,21 @@ def register_tables(spark: SparkSession, sf_dir: str,
         df.createOrReplaceTempView(name)
         frames[name] = df
     return frames
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Input-parallelism guard for map-only, CPU-heavy text work.
+
+    A scan of a few large files (or one row group) yields fewer tasks than
+    the cluster has cores; then the rows are spread round-robin over
+    ``defaultParallelism`` partitions.  On a large layout (many files, many
+    row groups) the scan is already wide and this is a no-op, so no shuffle
+    is added at scale.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    try:
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a remote session): leave as is
+        return df
+    return df.repartition(target) if current < target else df
