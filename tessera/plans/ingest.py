@@ -14,7 +14,9 @@ from tessera.functions.text import locale_number, safe_name
 from tessera.operators import clean as A
 from tessera.session import staging_path
 from tessera.sources import files as S
+from tessera.sources import workbook as W
 from tessera.sources.tables import read_table
+from tessera.streaming import uploads as U
 
 CSV_WRITE = {"header": "true", "quote": '"', "escape": '"', "escapeQuotes": "true",
              "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -70,6 +72,21 @@ def scan_csv_roundtrip(spark, sf_dir):
     return S.read_csv(spark, path, docs.schema)
 
 
+WORKBOOK_CHUNK = 50000
+
+
+def scan_workbook(spark, sf_dir):
+    """Customers staged as workbooks (one per nation and block of customer
+    keys, one sheet per market segment), then read back and typed."""
+    customer = read_table(spark, sf_dir, "customer")
+    root = staging_path(spark, "workbooks")
+    name = F.concat(F.lit("clientes_"), F.col("c_nationkey").cast("string"), F.lit("_"),
+                    F.floor(F.col("c_custkey") / WORKBOOK_CHUNK).cast("string"))
+    W.write_workbooks(customer.withColumn("_file", name), "_file", "c_mktsegment", root,
+                      customer.columns).write.format("noop").mode("overwrite").save()
+    return W.sheet_table(W.read_workbooks(spark, root), customer.schema).drop("path", "sheet")
+
+
 def _pages_as_uploads(spark, sf_dir) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     ext = (F.when(F.col("page_id") % 4 == 0, F.lit(".csv"))
@@ -95,6 +112,22 @@ def ingest_manifest(spark, sf_dir):
     return S.validate(named, size_col="bytes")
 
 
+STREAM_TABLES = ("nation", "region", "customer", "orders")
+
+
+def upload_stream(spark, sf_dir):
+    """Streaming upload flow: CSV uploads (and a rejected text upload) in a
+    drop folder, eight files per micro-batch, profiled per batch; the result
+    is the row count per uploaded table over all batches."""
+    root = staging_path(spark, "drop")
+    for t in STREAM_TABLES:
+        stage_csv(read_table(spark, sf_dir, t), f"{root}/{t}.csv")
+    read_table(spark, sf_dir, "benchmark").select("text").write.text(f"{root}/notes.txt")
+    work = staging_path(spark, "stream")
+    U.run_upload_stream(spark, root, f"{work}/sink", f"{work}/checkpoint", max_files=8)
+    return U.uploaded_tables(spark, f"{work}/sink")
+
+
 def manifest_dedupe(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select(
         "doc_id", "source", "n_chars", F.md5("text").alias("content_md5"), "lang")
@@ -180,8 +213,10 @@ QUERIES = {
     "catalog_resolve": catalog_resolve,
     "catalog_load": catalog_load,
     "scan_csv_roundtrip": scan_csv_roundtrip,
+    "scan_workbook": scan_workbook,
     "ingest_manifest": ingest_manifest,
     "manifest_dedupe": manifest_dedupe,
+    "upload_stream": upload_stream,
     "ingest_validate": ingest_validate,
     "drop_empty_rows": drop_empty_rows,
     "drop_empty_columns": drop_empty_columns,
@@ -219,6 +254,12 @@ UNION ALL SELECT 'orders', count(*), 6, CAST(sum(o_orderkey) AS BIGINT) FROM ord
 
 SQL["scan_csv_roundtrip"] = "SELECT * FROM documents"
 
+SQL["scan_workbook"] = f"""
+SELECT {_SLUG.format(x="'clientes_' || CAST(c_nationkey AS VARCHAR) || '_' || "
+                       f"CAST(CAST(floor(c_custkey / {WORKBOOK_CHUNK}) AS BIGINT) AS VARCHAR) || '_' || c_mktsegment")}
+         AS table_name, *
+FROM customer"""
+
 _PAGES = """
 pages_up AS (
   SELECT page_id,
@@ -244,6 +285,9 @@ SELECT page_id, file_name, length, reason,
        reason IS NULL AS accepted
 FROM v"""
 
+SQL["upload_stream"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in STREAM_TABLES)
+
 SQL["manifest_dedupe"] = """
 SELECT source, n_chars, md5(text) AS content_md5, min(doc_id) AS position, max(doc_id) AS kept,
        count(*) AS copies, arg_max(lang, doc_id) AS lang
