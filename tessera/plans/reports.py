@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import findings as C
 from tessera.operators import report as RP
 from tessera.plans import driver as P
 from tessera.plans import oracle as O
@@ -49,23 +50,25 @@ def _top(df: DataFrame, order, k: int) -> DataFrame:
 def report(spark, sf_dir):
     """C-10: the four required sections; every number is a formatted column."""
     kpi = P.kpi_general(spark, sf_dir)
+    # one state table feeds every section, so its plan (and shuffles) is shared
+    sp = P.state_performance(spark, sf_dir)
     summary = kpi.select(F.lit(0).alias("pos"), F.concat(
         F.lit("Receita de "), RP.money_text(F.col("revenue")), F.lit(" em "),
         F.col("orders").cast("string"), F.lit(" pedidos; ticket médio "),
         RP.money_text(F.col("ticket")), F.lit("; "), RP.percent_text(F.col("late_rate")),
         F.lit(" das entregas com atraso.")).alias("line"))
-    shares = _top(P.share_of_total(spark, sf_dir), [F.col("revenue").desc(), F.col("state")],
-                  REPORT_STATES)
+    shares = _top(C.share_of_total(sp, "revenue", "revenue_share"),
+                  [F.col("revenue").desc(), F.col("state")], REPORT_STATES)
     findings = shares.select("pos", F.concat(
         F.lit("- **"), F.col("state"), F.lit("**: "), RP.money_text(F.col("revenue")), F.lit(" ("),
         RP.percent_text(F.col("revenue_share")), F.lit(" da receita), atraso de "),
         RP.percent_text(F.col("late_rate")), F.lit(".")).alias("line"))
-    risks = _top(P.value_at_risk(spark, sf_dir), [F.col("revenue").desc(), F.col("state")],
-                 REPORT_RISKS)
+    risks = _top(C.value_at_risk(sp, "state", "revenue", "late_rate", P.RISK_THRESHOLD),
+                 [F.col("revenue").desc(), F.col("state")], REPORT_RISKS)
     risks = risks.select("pos", F.concat(
         F.lit("- **"), F.col("state"), F.lit("**: atraso de "), RP.percent_text(F.col("late_rate")),
         F.lit(" acima do limite; "), RP.money_text(F.col("revenue")), F.lit(" em risco.")).alias("line"))
-    worst = P.worst_k(spark, sf_dir).select(F.col("rank").alias("pos"), F.concat(
+    worst = C.worst_k(sp, "state", "late_rate", "delivered_orders", P.WORST_K, P.MIN_VOLUME).select(F.col("rank").alias("pos"), F.concat(
         F.lit("- Reduzir o atraso em **"), F.col("state"), F.lit("** ("),
         RP.percent_text(F.col("late_rate")), F.lit(") nos "), F.col("delivered_orders").cast("string"),
         F.lit(" pedidos entregues.")).alias("line"))

@@ -20,6 +20,7 @@ MAX_UPLOAD_MB = 12
 MSG_EMPTY = "O arquivo {file} está vazio."
 MSG_TOO_LARGE = "O arquivo {file} tem {mb}MB. O limite atual é {limit}MB por arquivo."
 MSG_UNSUPPORTED = "Formato não suportado em {file}. Use {accepted}."
+MSG_NO_FILES = "Envie pelo menos um arquivo CSV ou Excel."
 # ---------------------------------------------------------------------------
 
 CSV_OPTIONS = {
@@ -166,6 +167,14 @@ def _limit_text(limit_mb) -> str:
     return str(int(limit_mb)) if float(limit_mb).is_integer() else str(limit_mb)
 
 
+def require_files(manifest_df: DataFrame) -> DataFrame:
+    """A-07a: at least one file must be present (one short job, no data
+    moved to the driver)."""
+    if manifest_df.isEmpty():
+        raise ValueError(MSG_NO_FILES)
+    return manifest_df
+
+
 def first_rejection(validated: DataFrame, order_col: str) -> str | None:
     """Strict mode: the message of the first rejected file by position
     (a top-1 over the rejected rows; nothing else reaches the driver)."""

@@ -68,3 +68,36 @@ def test_to_records(spark):
 def test_drop_empty_columns_keeps_order(spark):
     df = spark.createDataFrame([(1, None, "x")], "a int, b string, c string")
     assert A.drop_empty_columns(df).columns == ["a", "c"]
+
+
+def test_validation_rules_and_order(spark):
+    from tessera.sources import files as S
+    df = spark.createDataFrame(
+        [(0, "a.csv", 0), (1, "b.txt", 10), (2, "C.XLSX", 20 * 1048576), (3, "d.xls", 5), (4, "e.csv", 7)],
+        "pos int, file_name string, length long")
+    v = {r.pos: (r.reason, r.accepted, r.message) for r in S.validate(df).collect()}
+    assert v[0][0] == "empty" and v[0][2] == "O arquivo a.csv está vazio."
+    assert v[1][2] == "Formato não suportado em b.txt. Use .csv, .xls, .xlsx."
+    assert v[2][2] == "O arquivo C.XLSX tem 20.0MB. O limite atual é 12MB por arquivo."
+    assert v[3][1] and v[4][1]
+    assert S.first_rejection(S.validate(df), "pos") == v[0][2]
+    with pytest.raises(ValueError):
+        S.require_files(df.where("pos < 0"))
+
+
+def test_dedupe_uploads_keeps_last_in_first_position(spark):
+    from tessera.sources import files as S
+    df = spark.createDataFrame([(1, "a", 5, "v1"), (2, "b", 5, "x"), (3, "a", 5, "v2")],
+                               "pos int, name string, size int, payload string")
+    out = {r.name: (r.position, r.payload, r.copies)
+           for r in S.dedupe_uploads(df, ["name", "size"], "pos", ["payload"]).collect()}
+    assert out == {"a": (1, "v2", 2), "b": (2, "x", 1)}
+
+
+def test_error_envelope_keeps_profile(spark):
+    from tessera.operators import profile as PR
+    from tessera.sources import sinks as K
+    prof = PR.table_profile([("t", "t.csv", spark.range(3))], 120)
+    env = K.error_envelope(F.lit("falhou"), prof).first()
+    assert env.message == "falhou" and env.table_count == 1 and env.tables[0].rows == 3
+    assert env.generated_at.endswith("+00:00")
