@@ -22,9 +22,14 @@ from tessera.roles import DEFAULT, Roles
 def item_units(roles: Roles = DEFAULT) -> Column:
     """Net value of one line item, price * (1 - discount), in exact integer
     units of 1/10000 (cents, half away from zero, times discount hundredths)."""
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    keep = F.lit(100) - F.round(F.col("l_discount") * 100).cast("bigint")
-    return cents * keep
+    return _hundredths(F.col("l_extendedprice")) * (F.lit(100) - _hundredths(F.col("l_discount")))
+
+
+def _hundredths(x: Column) -> Column:
+    """x * 100 rounded half away from zero, as bigint.  Pure double
+    arithmetic: Spark's round() on doubles goes through BigDecimal, which
+    is about twice as slow in this per-item hot path."""
+    return (F.signum(x) * F.floor(F.abs(x) * 100 + 0.5)).cast("bigint")
 
 
 def money_total(units: Column, roles: Roles = DEFAULT) -> Column:
