@@ -44,8 +44,13 @@ class TransientError(Exception):
 def candidate_list(primary: Column, fallbacks: Column) -> Column:
     """A-26: primary (stripped) then comma-separated fallbacks (stripped,
     blanks dropped), first occurrence kept."""
-    rest = F.filter(F.transform(F.split(fallbacks, ","), lambda x: F.trim(x)), lambda x: x != "")
-    return F.array_distinct(F.concat(F.array(F.trim(primary)), rest))
+    rest = F.filter(F.transform(F.split(fallbacks, ","), _strip), lambda x: x != "")
+    return F.array_distinct(F.concat(F.array(_strip(primary)), rest))
+
+
+def _strip(c: Column) -> Column:
+    """White space removed at both ends (tabs and line breaks too)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def _call_with_retry(fn, prompt, policy: RetryPolicy, sleep) -> tuple[str, int, float]:

@@ -45,7 +45,8 @@ def _kinds(text: Column) -> Column:
 
 def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A-33: one row per non-blank line: kind (heading, rule, item,
-    paragraph), content without its marker, bold spans, and for list items
+    paragraph), content without its marker, bold spans (items and
+    paragraphs only, as the reference renderer), and for list items
     whether the item starts a new list (the previous line is not an item).
 
     A document is one row, so the line kinds and the list starts are array
@@ -70,7 +71,9 @@ def markdown_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                .when(F.col("kind") == "rule", F.lit(""))
                .otherwise(F.col("line")))
     return rows.select(id_col, "line_no", "kind", content.alias("content"),
-                       F.regexp_extract_all(content, F.lit(BOLD), 1).alias("bold"), "list_start")
+                       F.when(F.col("kind").isin("item", "paragraph"),
+                              F.regexp_extract_all(content, F.lit(BOLD), 1))
+                       .otherwise(F.array().cast("array<string>")).alias("bold"), "list_start")
 
 
 def headings(text: Column) -> Column:

@@ -192,7 +192,9 @@ content AS (
   FROM lists WHERE kind IS NOT NULL),
 blocks AS (
   SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, kind, content,
-         regexp_extract_all(content, '\*\*([^\n]*?)\*\*', 1) AS bold, list_start
+         CASE WHEN kind IN ('item', 'paragraph')
+              THEN regexp_extract_all(content, '\*\*([^\n]*?)\*\*', 1)
+              ELSE CAST([] AS VARCHAR[]) END AS bold, list_start
   FROM content)"""
 
 DOCS = "src AS (SELECT doc_id, text FROM documents)"
