@@ -94,17 +94,24 @@ def value_at_risk(df: DataFrame, key: str, value: str, rate: str, threshold: flo
 
 
 def gaps_by_user(events: DataFrame, user: str, ts: str, tiebreak: str,
-                 gap_seconds: int, bucket_seconds: int = 86400) -> DataFrame:
+                 gap_seconds: int, bucket_events: int = 100_000) -> DataFrame:
     """C-07 on an event stream: per user, the gaps between consecutive events.
 
-    Skew-safe: consecutive pairs are found inside (user, time bucket) windows,
-    so one very active user is spread over many tasks; the pair that crosses a
-    bucket border is found on per-bucket summaries (one row per user and
-    bucket, bounded by the time span).  Result: one row per user.
+    Skew-safe for any user size.  Each user's time span is cut into buckets
+    whose width makes a bucket hold about ``bucket_events`` events on average
+    (one bucket for ordinary users; a user with a third of all events gets
+    many narrow ones).  Consecutive pairs are found inside (user, bucket)
+    windows; the pair that crosses a bucket border comes from one-row-per-
+    (user, bucket) summaries, whose count per user is bounded by
+    events / ``bucket_events``.  Result: one row per user.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     e = events.select(F.col(user).alias("user"), micros.alias("t"), F.col(tiebreak).alias("tb"))
-    e = e.withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_seconds * 1_000_000)))
+    # per-user width: partial+final aggregation, so a hot user combines map-side
+    spans = e.groupBy("user").agg(
+        F.greatest(F.lit(1), F.ceil((F.max("t") - F.min("t") + 1) * F.lit(bucket_events)
+                                    / F.count(F.lit(1)))).cast("bigint").alias("width"))
+    e = e.join(spans, "user").withColumn("bucket", F.floor(F.col("t") / F.col("width")))
     in_bucket = Window.partitionBy("user", "bucket").orderBy("t", "tb")
     e = e.withColumn("prev_t", F.lag("t").over(in_bucket))
     buckets = e.groupBy("user", "bucket").agg(F.max("t").alias("last_t"))

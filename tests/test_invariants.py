@@ -58,8 +58,9 @@ def test_partition_independence(spark, sf_small):
 
 
 def test_gaps_with_hot_user_match_brute_force(spark):
-    """A user holding most events, spread over many time buckets, against a
-    plain pandas computation of consecutive gaps."""
+    """A user holding most events, cut into many narrow buckets (about 37
+    events each), against a plain pandas computation of consecutive gaps;
+    ties on the timestamp are ordered by the event id."""
     rows = []
     eid = 0
     for day in range(20):
@@ -69,10 +70,13 @@ def test_gaps_with_hot_user_match_brute_force(spark):
         if day % 5 == 0:
             rows.append((eid, pd.Timestamp("2024-01-01") + pd.Timedelta(days=day, hours=5), 2))
             eid += 1
+            # same instant twice for the hot user: the tie-break decides the order
+            rows.append((eid, pd.Timestamp("2024-01-01") + pd.Timedelta(days=day, minutes=7), 1))
+            eid += 1
     pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id"])
     df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     got = {r.user_id: (r.events, r.max_gap_us, r.long_gaps)
-           for r in C.gaps_by_user(df, "user_id", "ts", "event_id", 3600, bucket_seconds=6 * 3600).collect()}
+           for r in C.gaps_by_user(df, "user_id", "ts", "event_id", 3600, bucket_events=37).collect()}
     pdf = pdf.sort_values(["user_id", "ts", "event_id"])
     pdf["gap"] = pdf.groupby("user_id")["ts"].diff().dt.total_seconds() * 1_000_000
     want = {u: (len(g), int(g["gap"].max()), int((g["gap"] > 3600 * 1_000_000).sum()))
