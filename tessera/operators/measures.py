@@ -137,16 +137,17 @@ def sales_by_category(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
     """B-14: revenue of delivered orders per category; the order count is the
     number of *distinct* orders holding the category (not a global count).
 
-    Line items are shuffled once, on the order key: that partitioning serves
-    both the (order, category) pre-aggregation and the join with the order
-    status, so the large side moves a single time (the part dimension is
-    broadcast below the size threshold, else joined on the part key first).
+    Line items are combined per (order, category) map-side before anything
+    moves (partial aggregation), so an order with a third of all line items
+    leaves each map task as at most one row per category; only those
+    combined rows are shuffled and then joined with the order status (the
+    part dimension is broadcast below the size threshold, else joined on the
+    part key first).
     """
     items = lineitem.select("l_orderkey", "l_partkey", item_units(roles).alias("units"))
     parts = part.select("p_partkey", F.col(category).alias("category"))
     with_category = items.join(parts, items["l_partkey"] == parts["p_partkey"], "left")
-    per_order = (with_category.repartition("l_orderkey")
-                 .groupBy("l_orderkey", "category").agg(F.sum("units").alias("units")))
+    per_order = with_category.groupBy("l_orderkey", "category").agg(F.sum("units").alias("units"))
     status = orders.select(
         "o_orderkey",
         (F.col("o_orderstatus") == F.lit(roles.delivered_status)).cast("int").alias("delivered"))

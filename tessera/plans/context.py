@@ -120,17 +120,16 @@ def number_text(spark, sf_dir):
 
 
 def candidate_list(spark, sf_dir):
-    region = read_table(spark, sf_dir, "region")
-    nation = read_table(spark, sf_dir, "nation")
-    fallbacks = (nation.groupBy("n_regionkey").agg(
-        F.expr("listagg(concat(' ', n_name, ' ,'), '') WITHIN GROUP (ORDER BY n_nationkey)")
-        .alias("names")))
-    joined = region.join(fallbacks, region["r_regionkey"] == fallbacks["n_regionkey"], "left")
-    return joined.select(
-        "r_name",
-        G.candidate_list(F.concat(F.lit(" "), F.col("r_name"), F.lit(" ")),
-                         F.concat(F.coalesce(F.col("names"), F.lit("")), F.col("r_name"), F.lit(", ,")))
-        .alias("candidates"))
+    """A-26 per customer: the primary candidate is the (padded) market
+    segment; the fallback text lists the customer name, a blank entry, the
+    segment again and the nation code, with spaces and tabs around them."""
+    customer = read_table(spark, sf_dir, "customer")
+    seg = F.col("c_mktsegment")
+    fallbacks = F.concat(F.lit(" "), F.col("c_name"), F.lit(" , ,"), seg, F.lit(",\tN"),
+                         F.col("c_nationkey").cast("string"), F.lit("\t, "), seg, F.lit(" ,"))
+    return customer.select(
+        "c_custkey",
+        G.candidate_list(F.concat(F.lit(" "), seg, F.lit("\t")), fallbacks).alias("candidates"))
 
 
 class NotFound(Exception):
@@ -374,15 +373,18 @@ SELECT doc_id, replace(format('{:,}', n_chars), ',', '.') AS n_chars_text,
             ELSE CAST(mb // 10 AS VARCHAR) || '.' || CAST(mb % 10 AS VARCHAR) || ' MB' END AS size_text
 FROM t"""
 
-SQL["candidate_list"] = """
-WITH f AS (SELECT n_regionkey, string_agg(' ' || n_name || ' ,', '' ORDER BY n_nationkey) AS names
-           FROM nation GROUP BY n_regionkey),
-c AS (SELECT r.r_name,
-             list_concat([trim(' ' || r.r_name || ' ')],
-                         list_filter(list_transform(string_split(coalesce(f.names, '') || r.r_name || ', ,', ','),
-                                                    lambda x: trim(x)), lambda x: x <> '')) AS l
-      FROM region r LEFT JOIN f ON r.r_regionkey = f.n_regionkey)
-SELECT r_name, list_filter(l, lambda x, i: list_position(l, x) = i) AS candidates FROM c"""
+SQL["candidate_list"] = r"""
+WITH c AS (
+  SELECT c_custkey,
+         list_concat([regexp_replace(' ' || c_mktsegment || chr(9), '^\s+|\s+$', '', 'g')],
+                     list_filter(list_transform(
+                         string_split(' ' || c_name || ' , ,' || c_mktsegment || ',' || chr(9) || 'N'
+                                      || CAST(c_nationkey AS VARCHAR) || chr(9) || ', '
+                                      || c_mktsegment || ' ,', ','),
+                         lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
+                       lambda x: x <> '')) AS l
+  FROM customer)
+SELECT c_custkey, list_filter(l, lambda x, i: list_position(l, x) = i) AS candidates FROM c"""
 
 SQL["generate_fallback"] = f"""WITH {PROMPTS}
 SELECT state, md5(prompt) AS text, 'digest-model' AS candidate,

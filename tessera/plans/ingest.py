@@ -102,8 +102,11 @@ def ingest_validate(spark, sf_dir):
 
 
 def ingest_manifest(spark, sf_dir):
-    """Staged upload folder: CSV tables, a text dump and an empty upload."""
+    """Staged upload folder: CSV tables (orders and customers grow with the
+    data), a text dump; one manifest row each."""
     root = staging_path(spark, "uploads")
+    stage_csv(read_table(spark, sf_dir, "orders"), f"{root}/pedidos.csv")
+    stage_csv(read_table(spark, sf_dir, "customer"), f"{root}/clientes.csv")
     stage_csv(read_table(spark, sf_dir, "nation"), f"{root}/nation.csv")
     stage_csv(read_table(spark, sf_dir, "region"), f"{root}/Região Norte.CSV")
     read_table(spark, sf_dir, "benchmark").select("text").write.text(f"{root}/notes.txt")
