@@ -93,38 +93,52 @@ def value_at_risk(df: DataFrame, key: str, value: str, rate: str, threshold: flo
     return risky.withColumn("value_at_risk", total)
 
 
-def gaps_by_user(events: DataFrame, user: str, ts: str, tiebreak: str,
-                 gap_seconds: int, bucket_events: int = 100_000) -> DataFrame:
-    """C-07 on an event stream: per user, the gaps between consecutive events.
-
-    Skew-safe for any user size.  Each user's time span is cut into buckets
-    whose width makes a bucket hold about ``bucket_events`` events on average
-    (one bucket for ordinary users; a user with a third of all events gets
-    many narrow ones).  Consecutive pairs are found inside (user, bucket)
-    windows; the pair that crosses a bucket border comes from one-row-per-
-    (user, bucket) summaries, whose count per user is bounded by
-    events / ``bucket_events``.  Result: one row per user.
+def gaps_by_user(events: DataFrame, user: str, ts: str, gap_seconds: int,
+                 partitions: int | None = None) -> DataFrame:
+    """C-07 on an event stream: per user, the gaps between consecutive events
+    (events, largest gap in microseconds, gaps longer than ``gap_seconds``).
+
+    Skew-safe for any user size and any spread in time:
+
+    1. events at the same instant are one point (their gaps are zero); the
+       count per (user, instant) combines map-side, so a burst of identical
+       timestamps collapses before it moves;
+    2. the points are range-partitioned on (user, time) with bounds taken
+       from a sample, so a user holding a third of all points spans many
+       partitions, each a contiguous stretch of that user's time line,
+       wherever the points cluster;
+    3. gaps inside a stretch come from ``lag`` over (user, partition);
+    4. each stretch is summarised to one row (first, last, counts); the gap
+       across a stretch border is the first time of a stretch minus the last
+       time of the previous stretch of the same user, ordered by time.  A
+       user has at most one stretch per partition, so this window is
+       bounded by the partition count, not by the data.
+
+    The plan is linear (no branch re-reads the range exchange), so every
+    row sees the same partition bounds, also when tasks are re-run.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    e = events.select(F.col(user).alias("user"), micros.alias("t"), F.col(tiebreak).alias("tb"))
-    # per-user width: partial+final aggregation, so a hot user combines map-side
-    spans = e.groupBy("user").agg(
-        F.greatest(F.lit(1), F.ceil((F.max("t") - F.min("t") + 1) * F.lit(bucket_events)
-                                    / F.count(F.lit(1)))).cast("bigint").alias("width"))
-    e = e.join(spans, "user").withColumn("bucket", F.floor(F.col("t") / F.col("width")))
-    in_bucket = Window.partitionBy("user", "bucket").orderBy("t", "tb")
-    e = e.withColumn("prev_t", F.lag("t").over(in_bucket))
-    buckets = e.groupBy("user", "bucket").agg(F.max("t").alias("last_t"))
-    buckets = buckets.withColumn(
-        "prev_bucket_last", F.lag("last_t").over(Window.partitionBy("user").orderBy("bucket")))
-    firsts = buckets.select("user", "bucket", "prev_bucket_last")
-    joined = e.join(firsts, ["user", "bucket"], "left")
-    prev = F.coalesce(F.col("prev_t"), F.col("prev_bucket_last"))
-    gaps = joined.select("user", (F.col("t") - prev).alias("gap_us"))
-    return gaps.groupBy("user").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.max("gap_us").alias("max_gap_us"),
-        F.count(F.when(F.col("gap_us") > F.lit(gap_seconds * 1_000_000), 1)).alias("long_gaps"),
+    limit = F.lit(gap_seconds * 1_000_000)
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    points = events.groupBy(F.col(user).alias("user"), t.alias("t")).agg(
+        F.count(F.lit(1)).alias("n"))
+    ranged = (points.repartitionByRange(*([partitions] if partitions else []), "user", "t")
+              .withColumn("part", F.spark_partition_id()))
+    within = ranged.withColumn(
+        "gap", F.col("t") - F.lag("t").over(Window.partitionBy("user", "part").orderBy("t")))
+    stretches = within.groupBy("user", "part").agg(
+        F.min("t").alias("first_t"), F.max("t").alias("last_t"),
+        F.sum("n").alias("events"), F.max("gap").alias("max_gap"),
+        F.count(F.when(F.col("gap") > limit, 1)).alias("long_gaps"),
+        # several events at one instant: a gap of zero
+        F.max(F.when(F.col("t").isNotNull() & (F.col("n") > 1), F.lit(0).cast("bigint")))
+        .alias("tie_gap"))
+    border = F.col("first_t") - F.lag("last_t").over(Window.partitionBy("user").orderBy("first_t"))
+    stretches = stretches.withColumn("border", border)
+    return stretches.groupBy("user").agg(
+        F.sum("events").cast("bigint").alias("events"),
+        F.greatest(F.max("max_gap"), F.max("border"), F.max("tie_gap")).alias("max_gap_us"),
+        (F.sum("long_gaps") + F.count(F.when(F.col("border") > limit, 1))).cast("bigint")
+        .alias("long_gaps"),
     ).withColumnRenamed("user", user)
 
 

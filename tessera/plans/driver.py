@@ -102,7 +102,7 @@ def value_at_risk(spark, sf_dir):
 
 
 def gaps_by_user(spark, sf_dir):
-    return C.gaps_by_user(_t(spark, sf_dir, "events"), "user_id", "ts", "event_id", GAP_SECONDS)
+    return C.gaps_by_user(_t(spark, sf_dir, "events"), "user_id", "ts", GAP_SECONDS)
 
 
 def monthly_interruptions(spark, sf_dir):

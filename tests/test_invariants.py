@@ -57,10 +57,22 @@ def test_partition_independence(spark, sf_small):
     assert one == eight
 
 
+def _brute_gaps(pdf, gap_seconds):
+    """Consecutive gaps per user in plain pandas (rows without a time count
+    as events but make no gap)."""
+    pdf = pdf.sort_values(["user_id", "ts", "event_id"])
+    pdf["gap"] = pdf.groupby("user_id")["ts"].diff().dt.total_seconds() * 1_000_000
+    out = {}
+    for u, g in pdf.groupby("user_id"):
+        m = g["gap"].max()
+        out[u] = (len(g), None if pd.isna(m) else int(m), int((g["gap"] > gap_seconds * 1_000_000).sum()))
+    return out
+
+
 def test_gaps_with_hot_user_match_brute_force(spark):
-    """A user holding most events, cut into many narrow buckets (about 37
-    events each), against a plain pandas computation of consecutive gaps;
-    ties on the timestamp are ordered by the event id."""
+    """A user holding most events, spread over many range partitions,
+    against a plain pandas computation of consecutive gaps; ties on the
+    timestamp are ordered by the event id."""
     rows = []
     eid = 0
     for day in range(20):
@@ -76,9 +88,42 @@ def test_gaps_with_hot_user_match_brute_force(spark):
     pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id"])
     df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     got = {r.user_id: (r.events, r.max_gap_us, r.long_gaps)
-           for r in C.gaps_by_user(df, "user_id", "ts", "event_id", 3600, bucket_events=37).collect()}
+           for r in C.gaps_by_user(df, "user_id", "ts", 3600, partitions=27).collect()}
     pdf = pdf.sort_values(["user_id", "ts", "event_id"])
     pdf["gap"] = pdf.groupby("user_id")["ts"].diff().dt.total_seconds() * 1_000_000
     want = {u: (len(g), int(g["gap"].max()), int((g["gap"] > 3600 * 1_000_000).sum()))
             for u, g in pdf.groupby("user_id")}
     assert got == want
+
+
+def test_gaps_with_clustered_hot_user_and_ties(spark):
+    """The hot user's events sit mostly in one ten-second burst, many at the
+    very same instant, plus rows without a time; a single event user and
+    a user with only ties.  The range partitions split the burst; the
+    result equals the brute force."""
+    base = pd.Timestamp("2024-03-01")
+    rows, eid = [], 0
+
+    def add(ts, user):
+        nonlocal eid
+        rows.append((eid, ts, user))
+        eid += 1
+
+    for i in range(1500):  # burst: 1,500 events in ten seconds, ties every third
+        add(base + pd.Timedelta(milliseconds=(i // 3) * 20), 1)
+    for d in range(1, 40):  # the same user's sparse tail over weeks
+        add(base + pd.Timedelta(days=d, minutes=d), 1)
+    add(None, 1)
+    add(None, 1)
+    add(base, 2)  # one event: no gap
+    for _ in range(4):  # only ties: gap zero
+        add(base + pd.Timedelta(hours=3), 3)
+    for h in (0, 5, 6, 30):
+        add(base + pd.Timedelta(hours=h), 4)
+    pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id"])
+    df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want = _brute_gaps(pdf, 3600)
+    for parts in (1, 7, 40):
+        got = {r.user_id: (r.events, r.max_gap_us, r.long_gaps)
+               for r in C.gaps_by_user(df, "user_id", "ts", 3600, partitions=parts).collect()}
+        assert got == want, parts
