@@ -18,9 +18,11 @@ def _exact(c: str) -> Column:
     return F.col(c).cast(MONEY)
 
 
-def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
-    """C-01: value / total over all rows."""
-    total = F.sum(_exact(value)).over(Window.partitionBy())
+def share_of_total(df: DataFrame, value: str, name: str = "share",
+                   within: list[str] | None = None) -> DataFrame:
+    """C-01: value / total over all rows (or over the rows with the same
+    ``within`` columns)."""
+    total = F.sum(_exact(value)).over(Window.partitionBy(*(within or [])))
     return df.withColumn(name, F.round(F.col(value) / total.cast("double"), 6))
 
 

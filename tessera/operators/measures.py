@@ -103,6 +103,17 @@ def kpi_general(facts: DataFrame) -> DataFrame:
     ).withColumn("ticket", _ticket())
 
 
+def kpi_cut_rows(facts: DataFrame, key: str) -> DataFrame:
+    """The general KPIs and the same KPIs per ``key`` as rows of one frame,
+    from one GROUPING SETS ((), (key)) aggregation (one read of the facts,
+    one shuffle).  ``is_total`` marks the general row, so a null key stays
+    a group of its own."""
+    return (facts.groupingSets([[], [key]], key)
+            .agg(*_kpi_aggs(), F.grouping_id(key).alias("_gid"))
+            .withColumn("ticket", _ticket())
+            .withColumn("is_total", F.col("_gid") == 1).drop("_gid"))
+
+
 def state_performance(facts_with_state: DataFrame) -> DataFrame:
     """B-13: delivery performance by state, unmatched geography kept as null."""
     return (facts_with_state.groupBy("state").agg(*_kpi_aggs())

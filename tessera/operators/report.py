@@ -189,18 +189,15 @@ def percent_text(ratio: Column) -> Column:
                     F.lpad((bp % 100).cast("string"), 2, "0"), F.lit("%"))
 
 
-def build_report(sections: list[tuple[str, DataFrame]]) -> DataFrame:
-    """C-10: a Markdown report from (heading, lines) pairs; each ``lines``
-    frame has columns ``pos`` and ``line`` and is already bounded (top-k).
-    Output: one row, column ``report``."""
-    parts = []
-    for i, (heading, lines) in enumerate(sections):
-        parts.append(lines.select(F.lit(i).alias("sec"), F.col("pos").cast("bigint").alias("pos"),
-                                  F.concat(F.col("line"), F.lit("\n")).alias("line")))
-        parts.append(lines.sparkSession.range(1).select(
-            F.lit(i).alias("sec"), F.lit(-1).cast("bigint").alias("pos"),
-            F.lit(("\n" if i else "") + f"## {heading}\n\n").alias("line")))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.agg(F.expr("listagg(line, '') WITHIN GROUP (ORDER BY sec, pos)").alias("report"))
+def build_report(lines: DataFrame, headings: tuple[str, ...]) -> DataFrame:
+    """C-10: a Markdown report from the section headings and one frame of
+    (sec, pos, line) rows, already bounded (top-k per section).  A section
+    without lines keeps its heading.  Output: one row, column ``report``."""
+    heads = lines.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("sec"), F.lit(-1).cast("bigint").alias("pos"),
+                 F.lit(("\n" if i else "") + f"## {h}\n\n").alias("line"))
+        for i, h in enumerate(headings)])))
+    body = lines.select(F.col("sec").cast("int").alias("sec"), F.col("pos").cast("bigint").alias("pos"),
+                        F.concat(F.col("line"), F.lit("\n")).alias("line"))
+    return heads.unionByName(body).agg(
+        F.expr("listagg(line, '') WITHIN GROUP (ORDER BY sec, pos)").alias("report"))

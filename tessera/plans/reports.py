@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import findings as C
+from tessera.operators import measures as B
 from tessera.operators import report as RP
 from tessera.plans import driver as P
 from tessera.plans import oracle as O
@@ -43,101 +44,139 @@ def number_grounding(spark, sf_dir):
     return RP.number_grounding(_docs(spark, sf_dir), "doc_id", "text", _part_keys(spark, sf_dir))
 
 
-def _top(df: DataFrame, order, k: int) -> DataFrame:
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(*order))).where(F.col("pos") <= k)
-
-
 def report(spark, sf_dir):
     """C-10: the four required sections; every number is a formatted column."""
-    kpi = P.kpi_general(spark, sf_dir)
-    # one state table feeds every section, so its plan (and shuffles) is shared
-    sp = P.state_performance(spark, sf_dir)
-    summary = kpi.select(F.lit(0).alias("pos"), F.concat(
-        F.lit("Receita de "), RP.money_text(F.col("revenue")), F.lit(" em "),
-        F.col("orders").cast("string"), F.lit(" pedidos; ticket médio "),
-        RP.money_text(F.col("ticket")), F.lit("; "), RP.percent_text(F.col("late_rate")),
-        F.lit(" das entregas com atraso.")).alias("line"))
-    shares = _top(C.share_of_total(sp, "revenue", "revenue_share"),
-                  [F.col("revenue").desc(), F.col("state")], REPORT_STATES)
-    findings = shares.select("pos", F.concat(
-        F.lit("- **"), F.col("state"), F.lit("**: "), RP.money_text(F.col("revenue")), F.lit(" ("),
-        RP.percent_text(F.col("revenue_share")), F.lit(" da receita), atraso de "),
-        RP.percent_text(F.col("late_rate")), F.lit(".")).alias("line"))
-    risks = _top(C.value_at_risk(sp, "state", "revenue", "late_rate", P.RISK_THRESHOLD),
-                 [F.col("revenue").desc(), F.col("state")], REPORT_RISKS)
-    risks = risks.select("pos", F.concat(
-        F.lit("- **"), F.col("state"), F.lit("**: atraso de "), RP.percent_text(F.col("late_rate")),
-        F.lit(" acima do limite; "), RP.money_text(F.col("revenue")), F.lit(" em risco.")).alias("line"))
-    worst = C.worst_k(sp, "state", "late_rate", "delivered_orders", P.WORST_K, P.MIN_VOLUME).select(F.col("rank").alias("pos"), F.concat(
-        F.lit("- Reduzir o atraso em **"), F.col("state"), F.lit("** ("),
-        RP.percent_text(F.col("late_rate")), F.lit(") nos "), F.col("delivered_orders").cast("string"),
-        F.lit(" pedidos entregues.")).alias("line"))
-    sections = list(zip(RP.CLI_SECTIONS, [summary, findings, risks, worst]))
-    return RP.build_report(sections)
-
-
-def _report_doc(spark, sf_dir) -> DataFrame:
-    return report(spark, sf_dir).select(F.lit(1).cast("bigint").alias("doc_id"),
-                                        F.col("report").alias("text"))
+    return report_from(P.facts_with_state(spark, sf_dir))
+
+
+def report_from(facts: DataFrame) -> DataFrame:
+    """C-10 over the per-order fact as one linear plan: one GROUPING SETS
+    aggregation gives the general row and the state rows; the section ranks
+    are windows over those few rows; each row emits the lines of the
+    sections it belongs to (``explode``) and the ordered ``listagg`` joins
+    them.  Nothing branches, so the facts are computed once, whatever
+    columns each section uses."""
+    rows = C.share_of_total(B.kpi_cut_rows(facts, "state"), "revenue", "revenue_share", ["is_total"])
+    risky = F.col("late_rate") > P.RISK_THRESHOLD
+    eligible = (F.col("delivered_orders") >= P.MIN_VOLUME) & F.col("late_rate").isNotNull()
+
+    def rank(cond, *order):
+        w = Window.partitionBy(*(["is_total"] + ([cond] if cond is not None else []))).orderBy(*order)
+        return F.row_number().over(w).cast("bigint")
+
+    rows = rows.select(
+        "*",
+        rank(None, F.col("revenue").desc(), F.col("state")).alias("by_revenue"),
+        rank(risky, F.col("revenue").desc(), F.col("state")).alias("by_risk"),
+        rank(eligible, F.col("late_rate").desc(), F.col("state")).alias("by_lateness"))
+    state = ~F.col("is_total")
+
+    def line(sec, pos, when, *parts):
+        return F.when(when, F.struct(F.lit(sec).alias("sec"), pos.alias("pos"),
+                                     F.concat(*parts).alias("line")))
+
+    money, pct = RP.money_text, RP.percent_text
+    lines = F.array(
+        line(0, F.lit(0).cast("bigint"), F.col("is_total"),
+             F.lit("Receita de "), money(F.col("revenue")), F.lit(" em "),
+             F.col("orders").cast("string"), F.lit(" pedidos; ticket médio "),
+             money(F.col("ticket")), F.lit("; "), pct(F.col("late_rate")),
+             F.lit(" das entregas com atraso.")),
+        line(1, F.col("by_revenue"), state & (F.col("by_revenue") <= REPORT_STATES),
+             F.lit("- **"), F.col("state"), F.lit("**: "), money(F.col("revenue")), F.lit(" ("),
+             pct(F.col("revenue_share")), F.lit(" da receita), atraso de "),
+             pct(F.col("late_rate")), F.lit(".")),
+        line(2, F.col("by_risk"), state & risky & (F.col("by_risk") <= REPORT_RISKS),
+             F.lit("- **"), F.col("state"), F.lit("**: atraso de "), pct(F.col("late_rate")),
+             F.lit(" acima do limite; "), money(F.col("revenue")), F.lit(" em risco.")),
+        line(3, F.col("by_lateness"), state & eligible & (F.col("by_lateness") <= P.WORST_K),
+             F.lit("- Reduzir o atraso em **"), F.col("state"), F.lit("** ("),
+             pct(F.col("late_rate")), F.lit(") nos "), F.col("delivered_orders").cast("string"),
+             F.lit(" pedidos entregues.")),
+    )
+    body = rows.select(F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("l")).select("l.*")
+    return RP.build_report(body, RP.CLI_SECTIONS)
+
+
+def _report_doc(facts: DataFrame) -> DataFrame:
+    return report_from(facts).select(F.lit(1).cast("bigint").alias("doc_id"),
+                                     F.col("report").alias("text"))
 
 
 def report_sections(spark, sf_dir):
-    return RP.section_check(_report_doc(spark, sf_dir), "doc_id", "text")
+    return RP.section_check(_report_doc(P.facts_with_state(spark, sf_dir)), "doc_id", "text")
 
 
 def report_items(spark, sf_dir):
-    doc = _report_doc(spark, sf_dir)
+    doc = _report_doc(P.facts_with_state(spark, sf_dir))
     return RP.section_items(RP.markdown_blocks(doc, "doc_id", "text"), "doc_id")
 
 
-def _measure_keys(spark, sf_dir) -> DataFrame:
+def _measure_keys(facts: DataFrame) -> DataFrame:
     """Accepted numbers for the report: measure values as they are, and
-    rates and shares also as percentages."""
-    kpi = P.kpi_general(spark, sf_dir)
-    sp = P.share_of_total(spark, sf_dir)
-    plain = (kpi.select(F.col("revenue").alias("v"))
-             .unionByName(kpi.select(F.col("ticket").alias("v")))
-             .unionByName(kpi.select(F.col("orders").cast("double").alias("v")))
-             .unionByName(sp.select(F.col("revenue").alias("v")))
-             .unionByName(sp.select(F.col("delivered_orders").cast("double").alias("v"))))
-    pct = (kpi.select((F.col("late_rate").cast("decimal(38,6)") * 100).alias("v"))
-           .unionByName(sp.select((F.col("late_rate").cast("decimal(38,6)") * 100).alias("v")))
-           .unionByName(sp.select((F.col("revenue_share").cast("decimal(38,6)") * 100).alias("v"))))
-    return RP.grounding_keys(plain.select(F.col("v").cast("decimal(38,6)").alias("v")).unionByName(
-        pct.select(F.col("v").cast("decimal(38,6)").alias("v"))), "v")
+    rates and shares also as percentages (one pass over the cut rows)."""
+    rows = C.share_of_total(B.kpi_cut_rows(facts, "state"), "revenue", "revenue_share", ["is_total"])
+    total = F.col("is_total")
+
+    def dec(c):
+        return c.cast("decimal(38,6)")
+
+    def pct(c):
+        return dec(F.col(c)) * 100
+
+    values = F.array(
+        dec(F.col("revenue")),
+        dec(F.when(total, F.col("ticket"))),
+        dec(F.when(total, F.col("orders").cast("double"))),
+        dec(F.when(~total, F.col("delivered_orders").cast("double"))),
+        dec(pct("late_rate")),
+        dec(F.when(~total, pct("revenue_share"))))
+    return RP.grounding_keys(rows.select(F.explode(values).alias("v")), "v")
 
 
 def report_grounding(spark, sf_dir):
-    """D-03 on the generated report: every number must come from a measure."""
-    return RP.number_grounding(_report_doc(spark, sf_dir), "doc_id", "text",
-                               _measure_keys(spark, sf_dir))
+    """D-03 on the generated report: every number must come from a measure.
+    The report and its accepted numbers are two reads of one stored fact."""
+    facts = P.stored_facts(spark, sf_dir)
+    return RP.number_grounding(_report_doc(facts), "doc_id", "text", _measure_keys(facts))
 
 
 def data_limits(spark, sf_dir):
     """D-04: cut totals that disagree with the general KPI, constant columns
-    and blank keys, as one long table (check, subject, value, flag)."""
-    def total(df, col, subject, check):
-        return df.agg(F.sum(F.col(col).cast("decimal(38,4)")).cast("double").alias("value")).select(
-            F.lit(check).alias("check"), F.lit(subject).alias("subject"), "value")
-
-    kpi = P.kpi_general(spark, sf_dir)
-    sp = P.state_performance(spark, sf_dir)
-    bm = P.sales_by_month(spark, sf_dir)
+    and blank keys, as one long table (check, subject, value, flag).
+
+    Each cut table is aggregated once, all its checks in one row, and that
+    row is unpivoted with ``stack``; the order cuts are aggregates of the
+    stored per-order fact, so the line items are read once for them and
+    once for the category cut."""
+    def total(col):
+        return F.sum(F.col(col).cast("decimal(38,4)")).cast("double")
+
+    def nulls(key):
+        return F.count(F.when(F.col(key).isNull(), 1)).cast("double")
+
+    def checks(df, measures):
+        """measures: (check, subject, aggregate) triples, one output row each."""
+        row = df.agg(*[m.alias(f"m{i}") for i, (_, _, m) in enumerate(measures)])
+        args = ", ".join(f"'{c}', '{subj}', m{i}" for i, (c, subj, _) in enumerate(measures))
+        return row.select(F.expr(f"stack({len(measures)}, {args})").alias("check", "subject", "value"))
+
+    facts = P.stored_facts(spark, sf_dir)  # every order cut aggregates the stored fact
     sc = P.sales_by_category(spark, sf_dir)
     parts = [
-        total(kpi, "revenue", "kpi", "cut_total"), total(sp, "revenue", "state", "cut_total"),
-        total(bm, "revenue", "month", "cut_total"), total(sc, "revenue", "category", "cut_total"),
-        total(kpi, "orders", "kpi", "order_total"), total(sp, "orders", "state", "order_total"),
-        total(bm, "orders", "month", "order_total"),
+        checks(B.kpi_general(facts), [("cut_total", "kpi", total("revenue")),
+                                      ("order_total", "kpi", total("orders"))]),
+        checks(B.state_performance(facts), [("cut_total", "state", total("revenue")),
+                                            ("order_total", "state", total("orders")),
+                                            ("null_keys", "state_performance", nulls("state"))]),
+        checks(B.sales_by_month(facts), [("cut_total", "month", total("revenue")),
+                                         ("order_total", "month", total("orders")),
+                                         ("null_keys", "sales_by_month", nulls("month"))]),
+        checks(sc, [("cut_total", "category", total("revenue"))]
+               + [("distinct_values", f"sales_by_category.{c}", F.count_distinct(c).cast("double"))
+                  for c in ("orders", "delivered_orders", "revenue", "ticket")]
+               + [("null_keys", "sales_by_category", nulls("category"))]),
     ]
-    for col in ("orders", "delivered_orders", "revenue", "ticket"):
-        parts.append(sc.agg(F.count_distinct(col).cast("double").alias("value")).select(
-            F.lit("distinct_values").alias("check"), F.lit(f"sales_by_category.{col}").alias("subject"),
-            "value"))
-    for name, df, key in (("state_performance", sp, "state"), ("sales_by_month", bm, "month"),
-                          ("sales_by_category", sc, "category")):
-        parts.append(df.agg(F.count(F.when(F.col(key).isNull(), 1)).cast("double").alias("value"))
-                     .select(F.lit("null_keys").alias("check"), F.lit(name).alias("subject"), "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
