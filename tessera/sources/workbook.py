@@ -33,6 +33,7 @@ NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
       "pr": "http://schemas.openxmlformats.org/package/2006/relationships"}
 
 LONG_SCHEMA = "path string, sheet string, row long, header array<string>, cells array<string>"
+ROWS_PER_CHUNK = 10_000
 
 
 # ---- parsing ---------------------------------------------------------------
@@ -89,9 +90,13 @@ def read_workbooks(spark: SparkSession, root: str) -> DataFrame:
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.xlsx").load(root).select("path", "content"))
 
+    columns = ["path", "sheet", "row", "header", "cells"]
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows leave in chunks of ROWS_PER_CHUNK, so Python memory holds one
+        # workbook's bytes and one chunk, not a whole batch of workbooks
+        out = []
         for pdf in batches:
-            out = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 header: dict[str, list[str]] = {}
                 for sheet, r, cells in parse_workbook(bytes(content)):
@@ -99,7 +104,11 @@ def read_workbooks(spark: SparkSession, root: str) -> DataFrame:
                         header[sheet] = [c if c is not None else "" for c in cells]
                         continue
                     out.append((path, sheet, r, header.get(sheet, []), cells))
-            yield pd.DataFrame(out, columns=["path", "sheet", "row", "header", "cells"])
+                    if len(out) >= ROWS_PER_CHUNK:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     return files.mapInPandas(parse, LONG_SCHEMA)
 
