@@ -35,19 +35,24 @@ def generated_at() -> Column:
     return F.date_format(F.current_timestamp(), ISO_UTC)
 
 
+PROFILE_FIELDS = ("table_name", "source_file", "rows", "columns", "truncated_for_prompt")
+
+
 def envelope(analysis: DataFrame, profile: DataFrame, text_col: str = "analysis") -> DataFrame:
     """A-32: {analysis, generated_at, table_count, tables[]} as one row.
 
-    ``profile`` is bounded by the number of input tables, so gathering it
-    into one array is safe; the analysis side is one row."""
-    tables = profile.agg(
-        F.count(F.lit(1)).alias("table_count"),
-        F.sort_array(F.collect_list(F.struct(
-            "table_name", "source_file", "rows", "columns", "truncated_for_prompt"))).alias("tables"),
-    ).withColumn("_k", F.lit(1))
-    return (analysis.select(F.col(text_col).alias("analysis")).withColumn("_k", F.lit(1))
-            .join(tables, "_k").drop("_k")
-            .select("analysis", generated_at().alias("generated_at"), "table_count", "tables"))
+    The analysis row and the profile rows are stacked and folded by one
+    global aggregation (no join).  ``profile`` is bounded by the number of
+    input tables, so gathering it into one array is safe; the analysis side
+    is one row."""
+    entry = F.struct(*PROFILE_FIELDS)
+    entry_type = profile.select(entry.alias("t")).schema["t"].dataType
+    stacked = analysis.select(F.col(text_col).cast("string").alias("analysis"),
+                              F.lit(None).cast(entry_type).alias("t")).unionByName(
+        profile.select(F.lit(None).cast("string").alias("analysis"), entry.alias("t")))
+    return stacked.agg(
+        F.max("analysis").alias("analysis"), generated_at().alias("generated_at"),
+        F.count("t").alias("table_count"), F.sort_array(F.collect_list("t")).alias("tables"))
 
 
 def error_envelope(message: Column, profile: DataFrame) -> DataFrame:
