@@ -49,8 +49,9 @@ def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a lost executor re-reads stored files instead of recomputing the join.
     """
     path = staging_path(spark, "order-facts")
-    facts_with_state(spark, sf_dir).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    facts = facts_with_state(spark, sf_dir)
+    facts.write.mode("overwrite").parquet(path)
+    return spark.read.schema(facts.schema).parquet(path)  # known schema: no inference job
 
 
 # ---- group B -------------------------------------------------------------
