@@ -14,6 +14,7 @@ from tessera.functions.text import locale_number, safe_name
 from tessera.operators import clean as A
 from tessera.session import staging_path
 from tessera.sources import files as S
+from tessera.sources import uploads as UP
 from tessera.sources import workbook as W
 from tessera.sources.tables import read_table
 from tessera.streaming import uploads as U
@@ -103,18 +104,39 @@ def ingest_validate(spark, sf_dir):
 
 def ingest_manifest(spark, sf_dir):
     """Staged upload folder: CSV tables (orders and customers grow with the
-    data), a text dump; one manifest row each."""
+    data), a text dump and an empty upload; one manifest row each."""
     root = staging_path(spark, "uploads")
     stage_csv(read_table(spark, sf_dir, "orders"), f"{root}/pedidos.csv")
     stage_csv(read_table(spark, sf_dir, "customer"), f"{root}/clientes.csv")
     stage_csv(read_table(spark, sf_dir, "nation"), f"{root}/nation.csv")
     stage_csv(read_table(spark, sf_dir, "region"), f"{root}/Região Norte.CSV")
     read_table(spark, sf_dir, "benchmark").select("text").write.text(f"{root}/notes.txt")
+    read_table(spark, sf_dir, "region").where("false").select("r_name").write.text(f"{root}/vazio.csv")
     entries = S.entry_names(spark, root).withColumnRenamed("entry", "file_name")
     named = entries.withColumn("table_name", safe_name(F.regexp_replace("file_name", r"\.[^.]+$", "")))
     return S.validate(named, size_col="bytes")
 
 
+def ingest_uploads(spark, sf_dir):
+    """A-05 end to end, quarantine mode: an upload folder with orders and
+    customers as CSV, the customers again as workbooks (one per nation and
+    key block, one sheet per market segment) and a rejected text file; the
+    result is the profile of every table read."""
+    root = staging_path(spark, "upload-folder")
+    stage_csv(read_table(spark, sf_dir, "orders"), f"{root}/pedidos.csv")
+    customer = read_table(spark, sf_dir, "customer")
+    stage_csv(customer, f"{root}/clientes.csv")
+    name = F.concat(F.lit("clientes_"), F.col("c_nationkey").cast("string"), F.lit("_"),
+                    F.floor(F.col("c_custkey") / WORKBOOK_CHUNK).cast("string"))
+    W.write_workbooks(customer.withColumn("_file", name), "_file", "c_mktsegment", root,
+                      customer.columns).write.format("noop").mode("overwrite").save()
+    read_table(spark, sf_dir, "benchmark").select("text").write.text(f"{root}/notes.txt")
+    _, profile = UP.load_uploads(spark, root, limit_mb=None, strict=False)
+    return profile.select("table_name", "source_file", "rows",
+                          F.size("columns").cast("bigint").alias("n_columns"),
+                          "truncated_for_prompt", "position", "superseded")
+
+
 STREAM_TABLES = ("nation", "region", "customer", "orders")
 
 
@@ -218,6 +240,7 @@ QUERIES = {
     "scan_csv_roundtrip": scan_csv_roundtrip,
     "scan_workbook": scan_workbook,
     "ingest_manifest": ingest_manifest,
+    "ingest_uploads": ingest_uploads,
     "manifest_dedupe": manifest_dedupe,
     "upload_stream": upload_stream,
     "ingest_validate": ingest_validate,
@@ -263,6 +286,26 @@ SELECT {_SLUG.format(x="'clientes_' || CAST(c_nationkey AS VARCHAR) || '_' || "
          AS table_name, *
 FROM customer"""
 
+SQL["ingest_uploads"] = f"""
+WITH books AS (
+  SELECT 'clientes_' || CAST(c_nationkey AS VARCHAR) || '_'
+           || CAST(CAST(floor(c_custkey / {WORKBOOK_CHUNK}) AS BIGINT) AS VARCHAR) AS stem,
+         c_mktsegment AS sheet, count(*) AS rows
+  FROM customer GROUP BY ALL),
+tables AS (
+  SELECT 'pedidos' AS table_name, 'pedidos.csv' AS source_file, (SELECT count(*) FROM orders) AS rows,
+         CAST(6 AS BIGINT) AS n_columns
+  UNION ALL
+  SELECT 'clientes', 'clientes.csv', (SELECT count(*) FROM customer), 5
+  UNION ALL
+  SELECT {_SLUG.format(x="stem || '_' || sheet")}, stem || '.xlsx', rows, 5 FROM books),
+files AS (
+  SELECT source_file, CAST(row_number() OVER (ORDER BY source_file) - 1 AS INTEGER) AS position
+  FROM (SELECT DISTINCT source_file FROM tables))
+SELECT table_name, source_file, rows, n_columns, rows > 120 AS truncated_for_prompt, position,
+       false AS superseded
+FROM tables JOIN files USING (source_file)"""
+
 _PAGES = """
 pages_up AS (
   SELECT page_id,

@@ -9,6 +9,9 @@ root and reads whatever the folder holds.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,11 +40,26 @@ class CatalogError(FileNotFoundError):
 
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Metadata of every file under ``root`` (content never read)."""
+    """Metadata of every file under ``root`` (content never read).
+
+    A zero-length file yields no scan split, so the ``binaryFile`` scan never
+    emits it; the file index (which the driver holds anyway) still lists
+    it.  Files listed but not scanned are added with length 0, so empty
+    uploads reach validation instead of vanishing."""
     reader = spark.read.format("binaryFile")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(root).select("path", "modificationTime", "length")
+    files = reader.load(root)
+    scanned = files.select("path", "modificationTime", "length")
+    # the index reports URIs (file:///a%20b); the scan decoded paths (file:/a b)
+    listed = [(unquote(re.sub(r"^file://(?=/)", "file:", p)),) for p in files.inputFiles()]
+    if not listed:
+        return scanned
+    empty = (spark.createDataFrame(listed, "path string")
+             .join(scanned.select("path"), "path", "left_anti")
+             .select("path", F.lit(None).cast("timestamp").alias("modificationTime"),
+                     F.lit(0).cast("bigint").alias("length")))
+    return scanned.unionByName(empty)
 
 
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
@@ -49,7 +67,6 @@ _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
 
 def entry_names(spark: SparkSession, root: str) -> DataFrame:
     """First-level names under ``root`` (a file or a folder of parts)."""
-    import re
     root_path = re.sub(_SCHEME, "", root.rstrip("/"))
     path = F.regexp_replace(F.col("path"), _SCHEME, "")
     entry = F.regexp_extract(path, r"^\Q" + root_path + r"\E/([^/]+)", 1)

@@ -32,7 +32,8 @@ NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
       "pr": "http://schemas.openxmlformats.org/package/2006/relationships"}
 
-LONG_SCHEMA = "path string, sheet string, row long, header array<string>, cells array<string>"
+LONG_SCHEMA = ("path string, sheet string, sheet_no int, row long, header array<string>, "
+               "cells array<string>")
 ROWS_PER_CHUNK = 10_000
 
 
@@ -84,13 +85,15 @@ def parse_workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]
             yield sheet.get("name"), int(row.get("r")), [cells.get(i) for i in range(width)]
 
 
-def read_workbooks(spark: SparkSession, root: str) -> DataFrame:
-    """Long rows (path, sheet, row, header, cells) of every .xlsx under root;
-    row 1 of each sheet is its header."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.xlsx").load(root).select("path", "content"))
-
-    columns = ["path", "sheet", "row", "header", "cells"]
+def read_workbooks(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """Long rows (path, sheet, sheet_no, row, header, cells) of every .xlsx
+    under ``root`` (or of the given workbook paths); row 1 of each sheet is
+    its header, ``sheet_no`` the sheet's position in its workbook."""
+    reader = spark.read.format("binaryFile")
+    if isinstance(root, str):
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx")
+    files = reader.load(root).select("path", "content")
+    columns = ["path", "sheet", "sheet_no", "row", "header", "cells"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # rows leave in chunks of ROWS_PER_CHUNK, so Python memory holds one
@@ -99,11 +102,13 @@ def read_workbooks(spark: SparkSession, root: str) -> DataFrame:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 header: dict[str, list[str]] = {}
+                order: dict[str, int] = {}
                 for sheet, r, cells in parse_workbook(bytes(content)):
+                    order.setdefault(sheet, len(order))
                     if r == 1:
                         header[sheet] = [c if c is not None else "" for c in cells]
                         continue
-                    out.append((path, sheet, r, header.get(sheet, []), cells))
+                    out.append((path, sheet, order[sheet], r, header.get(sheet, []), cells))
                     if len(out) >= ROWS_PER_CHUNK:
                         yield pd.DataFrame(out, columns=columns)
                         out = []
