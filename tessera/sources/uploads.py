@@ -22,85 +22,48 @@ Only metadata reaches the driver: file names, sheet headers and counts.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import NULL_TOKENS, extension, safe_name, stem
-from tessera.operators.clean import DuplicateColumnError, clean
+from tessera.operators.clean import DuplicateColumnError, clean, resolve_name_collisions
 from tessera.operators.profile import table_profile
 from tessera.operators.render import CLI_ROWS
 from tessera.session import staging_path
-from tessera.sources.files import (MAX_UPLOAD_MB, MSG_NO_FILES, entry_names, first_rejection,
-                                   read_csv, validate)
-from tessera.sources.workbook import LONG_SCHEMA, read_workbooks
+from tessera.sources.files import (_SCHEME, MAX_UPLOAD_MB, MSG_NO_FILES, entry_names,
+                                   first_rejection, read_csv, validate)
+from tessera.sources.workbook import LONG_SCHEMA, parse_workbooks
 
 # ---- fixed values: pandas names for unnamed and repeated header cells -----
-UNNAMED = "Unnamed: {i}"
-REPEATED = "{name}.{k}"
+UNNAMED_PREFIX = "Unnamed: "   # followed by the column position
+REPEATED_SEPARATOR = "."       # name, separator, number of earlier uses
 # ---------------------------------------------------------------------------
 MSG_LEGACY = "O arquivo {file} usa o formato .xls antigo; salve-o como .xlsx."
 
 
-PROFILE_SCHEMA = ("table_name string, source_file string, rows long, columns array<string>, "
-                  "truncated_for_prompt boolean, position int, superseded boolean")
-
-
 class UploadError(ValueError):
     pass
 
 
-@dataclass
-class Table:
-    name: str
-    source_file: str
-    build: Callable[[], DataFrame]   # the table's DataFrame, made on first use
-    position: int
-    rows: int | None = None          # known for workbook sheets (metadata)
-    columns: list[str] | None = None
-    _frame: DataFrame | None = None
-
-    @property
-    def frame(self) -> DataFrame:
-        if self._frame is None:
-            self._frame = self.build()
-        return self._frame
-
+def header_columns(header: Column, width: Column) -> Column:
+    """Column names as pandas makes them from a header row, as one array
+    expression: a blank cell (or a position beyond the header) is
+    ``Unnamed: i``, a repeated name gets ``.1``, ``.2``, ...; names are
+    stripped of white space."""
+    idx = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
+    raw = F.transform(idx, lambda i: F.coalesce(
+        F.nullif(F.try_element_at(header, i + 1), F.lit("")),
+        F.concat(F.lit(UNNAMED_PREFIX), i.cast("string"))))
 
-class Dataset(Mapping):
-    """Table name -> DataFrame (last table of a name wins).  A sheet table's
-    DataFrame is defined on first access: a folder with thousands of sheets
-    costs no plan building for tables nobody reads."""
-
-    def __init__(self, tables: list[Table]):
-        self._tables = {t.name: t for t in tables}
+    def earlier(x, i):
+        return F.size(F.filter(F.slice(raw, 1, i), lambda y: y == x))
 
-    def __getitem__(self, name: str) -> DataFrame:
-        return self._tables[name].frame
-
-    def __iter__(self):
-        return iter(self._tables)
-
-    def __len__(self) -> int:
-        return len(self._tables)
-
-
-def header_names(cells: list[str], width: int) -> list[str]:
-    """Column names as pandas makes them from a header row: a blank cell is
-    ``Unnamed: i``, a repeated name gets ``.1``, ``.2``; positions beyond
-    the header are unnamed too."""
-    out, seen = [], {}
-    for i in range(width):
-        name = cells[i] if i < len(cells) and cells[i] not in (None, "") else UNNAMED.format(i=i)
-        if name in seen:
-            seen[name] += 1
-            name = REPEATED.format(name=name, k=seen[name])
-        else:
-            seen[name] = 0
-        out.append(name)
-    return out
+    named = F.transform(raw, lambda x, i: F.when(
+        earlier(x, i) > 0, F.concat(x, F.lit(REPEATED_SEPARATOR), earlier(x, i).cast("string")))
+        .otherwise(x))
+    return F.transform(named, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
 
 
 def _value(x):
@@ -108,64 +71,113 @@ def _value(x):
     return x.isNotNull() & ~x.isin(*NULL_TOKENS)
 
 
-def _file_name(path: str) -> str:
-    return re.sub(r"^.*/", "", path)
-
-
 def _stem(file_name: str) -> str:
     return re.sub(r"(?<=.)\.[^.]+$", "", file_name)
 
 
-def workbook_tables(spark: SparkSession, paths: list[str],
-                    positions: dict[str, int] | None = None) -> list[Table]:
-    """Every sheet of the given workbooks as a cleaned string table, in
-    workbook (``positions`` by file name) and sheet order."""
+def sheet_catalog(spark: SparkSession, root: str, positions: DataFrame,
+                  limit_mb: float | None = MAX_UPLOAD_MB) -> tuple[DataFrame, DataFrame]:
+    """Parse the workbooks uploaded to ``root`` once and describe every sheet.
+
+    The workbooks are the first-level ``.xlsx`` files that pass the size
+    rules (a filter the ``binaryFile`` source applies before reading any
+    content); ``positions`` gives each file name its upload position.  The
+    long rows are written once under the shared folder, partitioned by
+    sheet, so a sheet table later scans only its own folder.  The catalog
+    (one row per sheet: names, kept column positions, row count) comes from
+    two aggregations over those rows and is stored too; it stays
+    distributed however many sheets there are.  Returns (rows, catalog)."""
+    size_ok = F.col("length") > 0
+    if limit_mb is not None:
+        size_ok = size_ok & (F.col("length") <= F.lit(int(limit_mb * 1048576)))
+    first_level = F.regexp_replace(F.col("path"), _SCHEME, "").rlike(
+        r"^\Q" + re.sub(_SCHEME, "", root) + r"\E/[^/]+$")
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(root)
+             .where(size_ok & first_level))
     staged = staging_path(spark, "workbook-rows")
     sheet_id = F.sha1(F.concat_ws("\t", F.col("path"), F.col("sheet")))
-    read_workbooks(spark, paths).withColumn("sheet_id", sheet_id) \
+    parse_workbooks(files).withColumn("sheet_id", sheet_id) \
         .write.partitionBy("sheet_id").parquet(staged)
     rows = spark.read.schema(LONG_SCHEMA + ", sheet_id string").parquet(staged)
     # tokens become null first, so rows and columns made of tokens count as empty
     cells = F.transform(F.col("cells"), lambda x: F.when(_value(x), x))
     rows = rows.select("sheet_id", "path", "sheet", "sheet_no", "header", cells.alias("cells"))
-    filled_row = F.exists(F.col("cells"), lambda x: x.isNotNull())
 
+    filled_row = F.exists(F.col("cells"), lambda x: x.isNotNull())
     sheets = rows.groupBy("sheet_id", "path", "sheet", "sheet_no").agg(
         F.first("header").alias("header"),
         F.count(F.when(filled_row, 1)).alias("rows"),
-        F.max(F.size("cells")).alias("width")).collect()
-    kept: dict[str, set[int]] = {}
-    for r in (rows.select("sheet_id", F.posexplode("cells").alias("pos", "v"))
-              .groupBy("sheet_id", "pos").agg(F.count("v").alias("n"))
-              .where(F.col("n") > 0).collect()):
-        kept.setdefault(r.sheet_id, set()).add(r.pos)
-
-    def order(r):
-        return (positions or {}).get(_file_name(r.path), 0), r.sheet_no
-
-    out = []
-    filled = rows.where(filled_row)
-    for s in sorted(sheets, key=order):
-        names = [n.strip() for n in header_names(list(s.header or []), s.width or 0)]
-        keep = [i for i in range(len(names)) if i in kept.get(s.sheet_id, set())]
-        chosen = [names[i] for i in keep]
-        if len(set(chosen)) != len(chosen):
-            raise DuplicateColumnError(f"columns equal after strip in {s.path} / {s.sheet}: {chosen}")
-        def build(sid=s.sheet_id, cols=[(i + 1, names[i]) for i in keep]):
-            return filled.where(F.col("sheet_id") == sid).select(
-                *[F.element_at(F.col("cells"), i).alias(n) for i, n in cols])
-
-        file_name = _file_name(s.path)
-        out.append(Table(f"{_stem(file_name)}_{s.sheet}", file_name, build, order(s)[0],
-                         rows=s.rows, columns=chosen))
-    return out
+        F.max(F.size("cells")).alias("width"))
+    # positions holding a value somewhere in the sheet (a set per map task,
+    # bounded by the sheet width, combined map-side)
+    filled = (rows.select("sheet_id", F.posexplode("cells").alias("pos", "v"))
+              .where(F.col("v").isNotNull())
+              .groupBy("sheet_id").agg(F.array_sort(F.collect_set("pos")).alias("positions")))
+    names = header_columns(F.col("header"), F.col("width"))
+    keep = F.coalesce(F.col("positions"), F.array().cast("array<int>"))
+    file_name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
+    catalog = (sheets.join(filled, "sheet_id", "left")
+               .join(positions.select(F.col("file_name").alias("source_file"), "position"),
+                     file_name == F.col("source_file"))
+               .select("sheet_id", "source_file", "sheet", "sheet_no", "position",
+                       safe_name(F.concat(stem(file_name), F.lit("_"), F.col("sheet"))).alias("table_name"),
+                       "rows", keep.alias("positions"),
+                       F.transform(keep, lambda p: F.element_at(names, p + 1)).alias("columns")))
+    path = staging_path(spark, "sheet-catalog")
+    catalog.write.parquet(path)
+    catalog = spark.read.schema(catalog.schema).parquet(path)
+    bad = (catalog.where(F.size(F.array_distinct("columns")) != F.size("columns"))
+           .select("source_file", "sheet", "columns").limit(1).collect())
+    if bad:
+        raise DuplicateColumnError(f"columns equal after strip in {bad[0].source_file} / "
+                                   f"{bad[0].sheet}: {bad[0].columns}")
+    return rows, catalog
+
+
+class Dataset(Mapping):
+    """Table name -> cleaned DataFrame, the last table of a name winning.
+
+    CSV tables are held as DataFrames (one per uploaded file); a sheet
+    table is looked up in the stored sheet catalog and defined on first
+    access, so thousands of sheets cost no plan building for tables nobody
+    reads.  Iterating lists the winning names (metadata)."""
+
+    def __init__(self, csv: dict[tuple[str, str], DataFrame], rows: DataFrame | None,
+                 profile: DataFrame, catalog: DataFrame | None):
+        self._csv, self._rows, self._profile, self._catalog = csv, rows, profile, catalog
+
+    def _winner(self, name: str):
+        hit = (self._profile.where((F.col("table_name") == name) & ~F.col("superseded"))
+               .select("source_file", "sheet").limit(1).collect())
+        if not hit:
+            raise KeyError(name)
+        return hit[0]
+
+    def __getitem__(self, name: str) -> DataFrame:
+        w = self._winner(name)
+        if w.sheet is None:
+            return self._csv[(name, w.source_file)]
+        s = (self._catalog.where((F.col("source_file") == w.source_file) & (F.col("sheet") == w.sheet))
+             .select("sheet_id", "positions", "columns").first())
+        filled = F.exists(F.col("cells"), lambda x: x.isNotNull())
+        return (self._rows.where((F.col("sheet_id") == s.sheet_id) & filled)
+                .select(*[F.element_at(F.col("cells"), p + 1).alias(c)
+                          for p, c in zip(s.positions, s.columns)]))
+
+    def __iter__(self):
+        names = self._profile.where(~F.col("superseded")).select("table_name").collect()
+        return iter(sorted(r.table_name for r in names))
+
+    def __len__(self) -> int:
+        return self._profile.where(~F.col("superseded")).count()
 
 
 def load_uploads(spark: SparkSession, root: str, limit_mb: float | None = MAX_UPLOAD_MB,
                  strict: bool = True, max_rows: int = CLI_ROWS) -> tuple[Dataset, DataFrame]:
-    """A-05: (dataset, profile) for the files under ``root``.  ``dataset``
-    maps table names to cleaned DataFrames (last wins); ``profile`` has one
-    row per table read, in upload (name) order, with ``superseded``."""
+    """A-05: (dataset, profile) for the files under ``root``.  ``profile``
+    has one row per table read (upload position in name order, sheet
+    order), with ``superseded`` for tables replaced by a later one."""
     root = root.rstrip("/")
     entries = entry_names(spark, root).withColumnRenamed("entry", "file_name")
     checked = validate(entries, size_col="bytes", limit_mb=limit_mb)
@@ -173,44 +185,35 @@ def load_uploads(spark: SparkSession, root: str, limit_mb: float | None = MAX_UP
         message = first_rejection(checked, "file_name")
         if message:
             raise UploadError(message)
-    files = (checked.where("accepted")
-             .select("file_name", extension(F.col("file_name")).alias("ext"),
-                     safe_name(stem(F.col("file_name"))).alias("table_name"))
-             .orderBy("file_name").collect())
-    if not files:
+    accepted = checked.where("accepted").select(
+        "file_name", extension(F.col("file_name")).alias("ext"),
+        safe_name(stem(F.col("file_name"))).alias("table_name"),
+        (F.row_number().over(Window.orderBy("file_name")) - 1).cast("int").alias("position"))
+    counts = {r.ext: r.n for r in accepted.groupBy("ext").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         raise UploadError(MSG_NO_FILES)
-
-    tables: list[Table] = []
-    books: dict[str, int] = {}
-    for i, f in enumerate(files):
-        if f.ext == ".csv":
-            frame = clean(read_csv(spark, f"{root}/{f.file_name}"))
-            tables.append(Table(f.table_name, f.file_name, lambda frame=frame: frame, i))
-        elif f.ext == ".xls":
-            raise UploadError(MSG_LEGACY.format(file=f.file_name))
-        else:
-            books[f.file_name] = i
-    if books:
-        sheets = workbook_tables(spark, [f"{root}/{b}" for b in books], books)
-        # sheet table names through the same safe-name expression (metadata rows)
-        safe = spark.createDataFrame([(t.name,) for t in sheets], "n string") \
-            .select(safe_name(F.col("n")).alias("s")).collect()
-        for t, r in zip(sheets, safe):
-            t.name = r.s
-        tables += sheets
-    tables.sort(key=lambda t: t.position)  # stable: sheets keep their order
-
-    last = {t.name: k for k, t in enumerate(tables)}
-    # CSV tables: one count over each table's own scan
-    parts = [table_profile([(t.name, t.source_file, t.frame)], max_rows).select(
-                 "*", F.lit(t.position).alias("position"), F.lit(last[t.name] != k).alias("superseded"))
-             for k, t in enumerate(tables) if t.rows is None]
-    # sheets: counted by the sheet aggregation already, so their rows are metadata
-    sheet_rows = [(t.name, t.source_file, t.rows, t.columns, t.rows > max_rows, t.position,
-                   last[t.name] != k) for k, t in enumerate(tables) if t.rows is not None]
-    if sheet_rows:
-        parts.append(spark.createDataFrame(sheet_rows, PROFILE_SCHEMA))
+    if counts.get(".xls"):
+        first = accepted.where(F.col("ext") == ".xls").orderBy("file_name").first()
+        raise UploadError(MSG_LEGACY.format(file=first.file_name))
+
+    # CSV uploads: each has its own columns, so one read (and clean) per file
+    csv = {}
+    parts = []
+    for f in accepted.where(F.col("ext") == ".csv").collect():
+        frame = clean(read_csv(spark, f"{root}/{f.file_name}"))
+        csv[(f.table_name, f.file_name)] = frame
+        parts.append(table_profile([(f.table_name, f.file_name, frame)], max_rows).select(
+            "*", F.lit(None).cast("string").alias("sheet"), F.lit(0).alias("sheet_no"),
+            F.lit(f.position).alias("position")))
+    rows = catalog = None
+    if counts.get(".xlsx"):
+        rows, catalog = sheet_catalog(spark, root, accepted.where(F.col("ext") == ".xlsx"), limit_mb)
+        parts.append(catalog.select(
+            "table_name", "source_file", "rows", "columns",
+            (F.col("rows") > max_rows).alias("truncated_for_prompt"), "sheet", "sheet_no", "position"))
     profile = parts[0]
     for p in parts[1:]:
         profile = profile.unionByName(p)
-    return Dataset(tables), profile  # later tables replace earlier ones
+    order = (F.col("position").cast("bigint") * (1 << 20) + F.col("sheet_no")).alias("_order")
+    profile = resolve_name_collisions(profile.select("*", order), "table_name", "_order").drop("_order")
+    return Dataset(csv, rows, profile, catalog), profile

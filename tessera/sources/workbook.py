@@ -92,7 +92,11 @@ def read_workbooks(spark: SparkSession, root: str | list[str]) -> DataFrame:
     reader = spark.read.format("binaryFile")
     if isinstance(root, str):
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx")
-    files = reader.load(root).select("path", "content")
+    return parse_workbooks(reader.load(root))
+
+
+def parse_workbooks(files: DataFrame) -> DataFrame:
+    """Long rows of the workbooks in a ``binaryFile`` frame (path, content)."""
     columns = ["path", "sheet", "sheet_no", "row", "header", "cells"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +119,7 @@ def read_workbooks(spark: SparkSession, root: str | list[str]) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=columns)
 
-    return files.mapInPandas(parse, LONG_SCHEMA)
+    return files.select("path", "content").mapInPandas(parse, LONG_SCHEMA)
 
 
 def cell(name: str) -> Column:

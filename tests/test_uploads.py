@@ -1,6 +1,7 @@
 """A-05 end to end: a folder of uploads -> cleaned tables and their profile."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.sources import uploads as UP
 from tessera.sources.workbook import workbook_bytes
@@ -10,9 +11,12 @@ def _put(folder, name, data):
     (folder / name).write_bytes(data if isinstance(data, bytes) else data.encode("utf-8"))
 
 
-def test_header_names_follow_pandas():
-    assert UP.header_names(["a", "", "a", "b", "a"], 6) == ["a", "Unnamed: 1", "a.1", "b", "a.2",
-                                                             "Unnamed: 5"]
+def test_header_names_follow_pandas(spark):
+    df = spark.createDataFrame([(["a", "", "a", " b ", "a"], 6), (None, 2), ([], 0)],
+                               "h array<string>, w int")
+    got = [r.n for r in df.select(UP.header_columns(F.col("h"), F.col("w")).alias("n")).collect()]
+    assert got == [["a", "Unnamed: 1", "a.1", "b", "a.2", "Unnamed: 5"],
+                   ["Unnamed: 0", "Unnamed: 1"], []]
 
 
 def test_csv_and_workbook_uploads(spark, tmp_path):
