@@ -73,7 +73,11 @@ def main(argv):
                 "threshold. Single = `SinglePartition` exchanges (global aggregates and windows "
                 "without a partition, which appear only over aggregates bounded by the number of "
                 "states, months or categories); group limit = `WindowGroupLimit` (top-N per map "
-                "task before the shuffle); python = Arrow-batched pandas nodes.\n\n")
+                "task before the shuffle); python = Arrow-batched pandas nodes. `data_limits`, "
+                "`impact_ranking` and `report_grounding` aggregate a per-order fact written to the "
+                "shared folder by a separate job (one read of line items and orders, not counted "
+                "here); staged queries (`ingest_*`, `scan_*`, `catalog_*`, `upload_stream`, "
+                "`write_*`) write their inputs first in the same way.\n\n")
         f.write("| Query | shuffles | reused | broadcasts | shuffles, no broadcast | SMJ, no broadcast "
                 "| single | group limit | python |\n")
         f.write("| --- | ---: | ---: | ---: | ---: | ---: | ---: | ---: | ---: |\n")
