@@ -7,16 +7,18 @@ their profile (the upload step of the reference, as Spark work).
 * CSV uploads are read one by one (each has its own columns) and cleaned
   (A-08..A-12).
 * Workbooks are parsed together in one distributed pass (one task per
-  workbook).  Their rows are written once under the shared folder,
-  partitioned by sheet, so every sheet table scans only its own folder;
-  headers, row counts and empty columns of all sheets come from two
-  aggregations over those rows.
+  workbook).  Their rows are written once under the shared folder, sorted
+  by sheet within each file, so a sheet table reads only the row groups
+  that can hold it; headers, row counts and empty columns of all sheets
+  come from two aggregations over those rows (a stored sheet catalog that
+  is never collected).
 * Table names are the safe names of ``<file>`` or ``<file>_<sheet>``
   (A-13); a later table with the same name replaces an earlier one (last
   wins, A-14); the profile keeps both, the replaced one with
   ``superseded = true``.
 
-Only metadata reaches the driver: file names, sheet headers and counts.
+Only metadata reaches the driver: the names of the CSV uploads and, on
+access, the catalog row of the one sheet asked for.
 """
 
 from __future__ import annotations
@@ -82,8 +84,9 @@ def sheet_catalog(spark: SparkSession, root: str, positions: DataFrame,
     The workbooks are the first-level ``.xlsx`` files that pass the size
     rules (a filter the ``binaryFile`` source applies before reading any
     content); ``positions`` gives each file name its upload position.  The
-    long rows are written once under the shared folder, partitioned by
-    sheet, so a sheet table later scans only its own folder.  The catalog
+    long rows are written once under the shared folder, sorted by sheet
+    within each file, so a sheet table later reads only the row groups
+    whose statistics can hold it.  The catalog
     (one row per sheet: names, kept column positions, row count) comes from
     two aggregations over those rows and is stored too; it stays
     distributed however many sheets there are.  Returns (rows, catalog)."""
@@ -97,8 +100,11 @@ def sheet_catalog(spark: SparkSession, root: str, positions: DataFrame,
              .where(size_ok & first_level))
     staged = staging_path(spark, "workbook-rows")
     sheet_id = F.sha1(F.concat_ws("\t", F.col("path"), F.col("sheet")))
-    parse_workbooks(files).withColumn("sheet_id", sheet_id) \
-        .write.partitionBy("sheet_id").parquet(staged)
+    # one folder, each file sorted by sheet: a sheet lookup is a pushed filter
+    # that skips row groups by their min/max (no folder per sheet, which
+    # would mean millions of folders when workbooks grow with the data)
+    (parse_workbooks(files).withColumn("sheet_id", sheet_id)
+     .sortWithinPartitions("sheet_id", "row").write.parquet(staged))
     rows = spark.read.schema(LONG_SCHEMA + ", sheet_id string").parquet(staged)
     # tokens become null first, so rows and columns made of tokens count as empty
     cells = F.transform(F.col("cells"), lambda x: F.when(_value(x), x))
@@ -162,8 +168,8 @@ class Dataset(Mapping):
              .select("sheet_id", "positions", "columns").first())
         filled = F.exists(F.col("cells"), lambda x: x.isNotNull())
         return (self._rows.where((F.col("sheet_id") == s.sheet_id) & filled)
-                .select(*[F.element_at(F.col("cells"), p + 1).alias(c)
-                          for p, c in zip(s.positions, s.columns)]))
+                .select(*[F.try_element_at(F.col("cells"), F.lit(p + 1)).alias(c)  # rows end at
+                          for p, c in zip(s.positions, s.columns)]))               # their last cell
 
     def __iter__(self):
         names = self._profile.where(~F.col("superseded")).select("table_name").collect()

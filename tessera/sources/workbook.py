@@ -125,7 +125,8 @@ def parse_workbooks(files: DataFrame) -> DataFrame:
 def cell(name: str) -> Column:
     """The text of the named column in a long workbook row (null if absent)."""
     idx = F.array_position(F.col("header"), F.lit(name))
-    return F.when(idx > 0, F.element_at(F.col("cells"), idx.cast("int")))
+    # a row's cells stop at its last present cell: later positions are null
+    return F.when(idx > 0, F.try_element_at(F.col("cells"), idx.cast("int")))
 
 
 def sheet_table(long_rows: DataFrame, schema) -> DataFrame:

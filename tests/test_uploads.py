@@ -42,6 +42,15 @@ def test_csv_and_workbook_uploads(spark, tmp_path):
     assert [r.uf for r in data["vendas_Plan1"].orderBy("uf").collect()] == ["RJ", "SP"]
 
 
+def test_sheet_rows_missing_trailing_cells(spark, tmp_path):
+    _put(tmp_path, "v.xlsx", workbook_bytes({"A": (["x", "y", "z"], [(1, "a", 5), (2, None, None),
+                                                                    (None, None, 7)])}))
+    data, profile = UP.load_uploads(spark, str(tmp_path))
+    assert [tuple(r) for r in data["v_A"].orderBy("x").collect()] == [
+        (None, None, "7"), ("1", "a", "5"), ("2", None, None)]
+    assert profile.first().rows == 3
+
+
 def test_strict_mode_stops_at_first_rejection(spark, tmp_path):
     _put(tmp_path, "a.csv", "x\n1\n")
     _put(tmp_path, "b.csv", b"")

@@ -38,3 +38,10 @@ def test_read_and_type_sheets(spark, tmp_path):
     out = W.sheet_table(W.read_workbooks(spark, str(tmp_path)), df.select("k", "v").schema)
     assert sorted((r.table_name, r.k, r.v) for r in out.collect()) == [
         ("g1_g1", 1, "a"), ("g1_g1", 3, "c"), ("g2_g2", 2, "b")]
+
+
+def test_missing_trailing_cells_read_as_null(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "g"), (2, None, "g")], "k long, v string, g string")
+    W.write_workbooks(df, "g", "g", str(tmp_path), ["k", "v"]).collect()
+    out = W.sheet_table(W.read_workbooks(spark, str(tmp_path)), df.select("k", "v").schema)
+    assert sorted((r.k, r.v) for r in out.collect()) == [(1, "a"), (2, None)]
