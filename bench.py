@@ -1,7 +1,7 @@
 """Benchmark the headline queries and print one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
-(default 8), BENCH_RUNS (default 3).  Each query runs once to warm up, then
+(default 8), BENCH_RUNS (default 5).  Each query runs once to warm up, then
 BENCH_RUNS times; the median wall time is reported.  Execution is forced with
 the ``noop`` sink, so the whole plan runs but nothing is collected.
 """
@@ -40,7 +40,7 @@ def _run(df) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = local_session(cpus, shuffle_partitions=max(2 * cpus, 8), app="tessera-bench")
     times = {}
     for name, fn in HEADLINE.items():

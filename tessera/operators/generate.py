@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,9 +98,9 @@ def generate(df: DataFrame, prompt_col: str, key_cols: list[str], candidates: li
              factory: Callable[[], dict], policy: RetryPolicy = RetryPolicy(),
              sleep: Callable[[float], None] = time.sleep) -> DataFrame:
     """A-27 over a DataFrame: keys + result struct columns."""
-    keys = df.select(*key_cols, prompt_col)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema.fields
-                           if f.name != prompt_col)
+    keys = df.select(*dict.fromkeys(key_cols + [prompt_col]))  # the prompt may be a key too
+    types = {f.name: f.dataType.simpleString() for f in keys.schema.fields}
+    key_schema = ", ".join(f"`{k}` {types[k]}" for k in key_cols)
     schema = f"{key_schema}, {RESULT_SCHEMA}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,3 +118,28 @@ def generate(df: DataFrame, prompt_col: str, key_cols: list[str], candidates: li
 def pending_prompts(prompts: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Idempotent re-runs: prompts whose key has no stored result yet."""
     return prompts.join(done.select(key), key, "left_anti")
+
+
+def generate_into(df: DataFrame, prompt_col: str, key_cols: list[str], candidates: list[str],
+                  factory: Callable[[], dict], store: str, policy: RetryPolicy = RetryPolicy(),
+                  sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """A-27 as a resumable batch: results are appended to the parquet folder
+    ``store`` keyed by ``prompt_key`` (SHA-256 of the prompt); a re-run (after
+    a failed job, or with new prompts) generates only the keys not stored
+    yet.  An append is committed per job, so a failed run leaves nothing
+    half-written and its prompts stay pending.  Returns the stored results."""
+    spark = df.sparkSession
+    keyed = df.withColumn("prompt_key", F.sha2(F.col(prompt_col), 256))
+    schema = None
+    try:
+        done = spark.read.parquet(store)
+        schema = done.schema
+        todo = pending_prompts(keyed, done, "prompt_key")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        todo = keyed  # nothing stored yet
+    out = generate(todo, prompt_col, key_cols + ["prompt_key"], candidates, factory, policy, sleep)
+    out.write.mode("append").parquet(store)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(store)

@@ -151,6 +151,17 @@ def generate_fallback(spark, sf_dir):
     return out.select("state", "text", "candidate", "tried", "attempts", "error_kind")
 
 
+def generate_store(spark, sf_dir):
+    """A-27 resumable: the per-state prompts generated into a store under the
+    shared folder, then the same batch run again; the second run finds every
+    key stored and generates nothing, so each prompt is stored once."""
+    store = staging_path(spark, "generated")
+    ask = prompts(spark, sf_dir)
+    for _ in range(2):
+        out = G.generate_into(ask, "prompt", ["state"], list(PRIMARY_FALLBACKS), _clients, store)
+    return out.select("state", "prompt_key", "text", "candidate", "attempts")
+
+
 def _flaky_clients() -> dict:
     """Fails with a transient error (len(state line) % 4) times per prompt."""
     seen: dict[str, int] = {}
@@ -240,6 +251,7 @@ QUERIES = {
     "candidate_list": candidate_list,
     "generate_fallback": generate_fallback,
     "generate_retry": generate_retry,
+    "generate_store": generate_store,
     "unavailable_errors": unavailable_errors,
     "error_kinds": error_kinds,
     "write_text": write_text,
@@ -391,6 +403,11 @@ SELECT state, md5(prompt) AS text, 'digest-model' AS candidate,
        ['retired-model', 'digest-model'] AS tried, 2 AS attempts, CAST(NULL AS VARCHAR) AS error_kind
 FROM pf"""
 
+SQL["generate_store"] = f"""WITH {PROMPTS}
+SELECT state, sha256(prompt) AS prompt_key, md5(prompt) AS text, 'digest-model' AS candidate,
+       2 AS attempts
+FROM pf"""
+
 SQL["generate_retry"] = f"""WITH {PROMPTS}
 SELECT state, md5(prompt) AS text, length(state) % 4 + 1 AS attempts,
        CAST(CASE length(state) % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 7 END AS DOUBLE)

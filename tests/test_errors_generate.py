@@ -88,3 +88,17 @@ def test_pending_prompts(spark):
     prompts = spark.createDataFrame([(1,), (2,)], "k int")
     done = spark.createDataFrame([(2,)], "k int")
     assert [r.k for r in G.pending_prompts(prompts, done, "k").collect()] == [1]
+
+
+def test_generate_into_resumes_without_regenerating(spark, tmp_path):
+    store = str(tmp_path / "store")
+
+    def clients(tag):
+        return lambda: {"m": lambda p: f"{tag}:{p}"}
+
+    first = spark.createDataFrame([("a",), ("b",)], "p string")
+    G.generate_into(first, "p", ["p"], ["m"], clients("run1"), store).collect()
+    both = spark.createDataFrame([("a",), ("b",), ("c",)], "p string")
+    out = G.generate_into(both, "p", ["p"], ["m"], clients("run2"), store)
+    assert sorted((r.p, r.text) for r in out.collect()) == [
+        ("a", "run1:a"), ("b", "run1:b"), ("c", "run2:c")]
