@@ -104,7 +104,11 @@ def ingest_validate(spark, sf_dir):
 
 def ingest_manifest(spark, sf_dir):
     """Staged upload folder: CSV tables (orders and customers grow with the
-    data), a text dump and an empty upload; one manifest row each."""
+    data), a text dump and an empty upload; one manifest row each with the
+    validation outcome.  Byte sizes and part-file counts depend on the CSV
+    writer, so they stay out of the result, and so does the size rule (the
+    orders CSV passes 12 MB at larger scales; ``ingest_validate`` checks
+    that rule exactly)."""
     root = staging_path(spark, "uploads")
     stage_csv(read_table(spark, sf_dir, "orders"), f"{root}/pedidos.csv")
     stage_csv(read_table(spark, sf_dir, "customer"), f"{root}/clientes.csv")
@@ -114,7 +118,8 @@ def ingest_manifest(spark, sf_dir):
     read_table(spark, sf_dir, "region").where("false").select("r_name").write.text(f"{root}/vazio.csv")
     entries = S.entry_names(spark, root).withColumnRenamed("entry", "file_name")
     named = entries.withColumn("table_name", safe_name(F.regexp_replace("file_name", r"\.[^.]+$", "")))
-    return S.validate(named, size_col="bytes")
+    return S.validate(named, size_col="bytes", limit_mb=None).select(
+        "file_name", "table_name", "reason", "message", "accepted")
 
 
 def ingest_uploads(spark, sf_dir):
@@ -286,6 +291,16 @@ SELECT {_SLUG.format(x="'clientes_' || CAST(c_nationkey AS VARCHAR) || '_' || "
          AS table_name, *
 FROM customer"""
 
+SQL["ingest_manifest"] = """
+SELECT * FROM (VALUES
+  ('pedidos.csv', 'pedidos', NULL, NULL, true),
+  ('clientes.csv', 'clientes', NULL, NULL, true),
+  ('nation.csv', 'nation', NULL, NULL, true),
+  ('Região Norte.CSV', 'Região_Norte', NULL, NULL, true),
+  ('notes.txt', 'notes', 'unsupported', 'Formato não suportado em notes.txt. Use .csv, .xls, .xlsx.', false),
+  ('vazio.csv', 'vazio', 'empty', 'O arquivo vazio.csv está vazio.', false))
+  AS t(file_name, table_name, reason, message, accepted)"""
+
 SQL["ingest_uploads"] = f"""
 WITH books AS (
   SELECT 'clientes_' || CAST(c_nationkey AS VARCHAR) || '_'
