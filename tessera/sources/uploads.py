@@ -73,10 +73,6 @@ def _value(x):
     return x.isNotNull() & ~x.isin(*NULL_TOKENS)
 
 
-def _stem(file_name: str) -> str:
-    return re.sub(r"(?<=.)\.[^.]+$", "", file_name)
-
-
 def sheet_catalog(spark: SparkSession, root: str, positions: DataFrame,
                   limit_mb: float | None = MAX_UPLOAD_MB) -> tuple[DataFrame, DataFrame]:
     """Parse the workbooks uploaded to ``root`` once and describe every sheet.
@@ -150,11 +146,13 @@ class Dataset(Mapping):
     reads.  Iterating lists the winning names (metadata)."""
 
     def __init__(self, csv: dict[tuple[str, str], DataFrame], rows: DataFrame | None,
-                 profile: DataFrame, catalog: DataFrame | None):
-        self._csv, self._rows, self._profile, self._catalog = csv, rows, profile, catalog
+                 winners: DataFrame, catalog: DataFrame | None):
+        # winners: (table_name, source_file, sheet) of the last table of each
+        # name, from names and positions only (no table is counted for it)
+        self._csv, self._rows, self._winners, self._catalog = csv, rows, winners, catalog
 
     def _winner(self, name: str):
-        hit = (self._profile.where((F.col("table_name") == name) & ~F.col("superseded"))
+        hit = (self._winners.where(F.col("table_name") == name)
                .select("source_file", "sheet").limit(1).collect())
         if not hit:
             raise KeyError(name)
@@ -172,11 +170,11 @@ class Dataset(Mapping):
                           for p, c in zip(s.positions, s.columns)]))               # their last cell
 
     def __iter__(self):
-        names = self._profile.where(~F.col("superseded")).select("table_name").collect()
+        names = self._winners.select("table_name").collect()
         return iter(sorted(r.table_name for r in names))
 
     def __len__(self) -> int:
-        return self._profile.where(~F.col("superseded")).count()
+        return self._winners.count()
 
 
 def load_uploads(spark: SparkSession, root: str, limit_mb: float | None = MAX_UPLOAD_MB,
@@ -205,21 +203,35 @@ def load_uploads(spark: SparkSession, root: str, limit_mb: float | None = MAX_UP
     # CSV uploads: each has its own columns, so one read (and clean) per file
     csv = {}
     parts = []
-    for f in accepted.where(F.col("ext") == ".csv").collect():
+    csv_files = accepted.where(F.col("ext") == ".csv").collect()
+    for f in csv_files:
         frame = clean(read_csv(spark, f"{root}/{f.file_name}"))
         csv[(f.table_name, f.file_name)] = frame
         parts.append(table_profile([(f.table_name, f.file_name, frame)], max_rows).select(
             "*", F.lit(None).cast("string").alias("sheet"), F.lit(0).alias("sheet_no"),
             F.lit(f.position).alias("position")))
+    names = [spark.createDataFrame(
+        [(f.table_name, f.file_name, None, 0, f.position) for f in csv_files],
+        "table_name string, source_file string, sheet string, sheet_no int, position int")]
     rows = catalog = None
     if counts.get(".xlsx"):
         rows, catalog = sheet_catalog(spark, root, accepted.where(F.col("ext") == ".xlsx"), limit_mb)
         parts.append(catalog.select(
             "table_name", "source_file", "rows", "columns",
             (F.col("rows") > max_rows).alias("truncated_for_prompt"), "sheet", "sheet_no", "position"))
-    profile = parts[0]
-    for p in parts[1:]:
-        profile = profile.unionByName(p)
-    order = (F.col("position").cast("bigint") * (1 << 20) + F.col("sheet_no")).alias("_order")
-    profile = resolve_name_collisions(profile.select("*", order), "table_name", "_order").drop("_order")
-    return Dataset(csv, rows, profile, catalog), profile
+        names.append(catalog.select("table_name", "source_file", "sheet", "sheet_no", "position"))
+
+    def last_wins(df: DataFrame) -> DataFrame:
+        order = (F.col("position").cast("bigint") * (1 << 20) + F.col("sheet_no")).alias("_order")
+        return resolve_name_collisions(df.select("*", order), "table_name", "_order").drop("_order")
+
+    profile = last_wins(_union(parts))
+    winners = last_wins(_union(names)).where(~F.col("superseded"))
+    return Dataset(csv, rows, winners, catalog), profile
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
