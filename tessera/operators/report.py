@@ -15,6 +15,11 @@ CLI_SECTIONS = ("Resumo Executivo", "Achados Principais", "Riscos Identificados"
 WEB_SECTIONS = ("Resumo Executivo", "Indicadores-Chave", "Achados Principais",
                 "Riscos Identificados", "Próximos Passos")
 WEB_WORD_RANGE = (500, 700)
+# List items each section must hold (lowest, highest), as the prompts ask.
+CLI_ITEM_RANGES = (("Achados Principais", 4, 6), ("Riscos Identificados", 2, 4),
+                   ("Recomendações", 3, 5))
+WEB_ITEM_RANGES = (("Indicadores-Chave", 3, 5), ("Achados Principais", 3, 4),
+                   ("Riscos Identificados", 2, 3), ("Próximos Passos", 3, 3))
 # White space removed around a line before the rule test (JS trim subset).
 TRIM_CLASS = "[ \t\r\f\x0b\u00a0\ufeff]"
 # ---------------------------------------------------------------------------
@@ -130,6 +135,31 @@ def section_items(blocks: DataFrame, id_col: str) -> DataFrame:
             .agg(F.count(F.when(F.col("kind") == "item", 1)).alias("items")))
 
 
+def item_ranges(blocks: DataFrame, id_col: str,
+                ranges: tuple[tuple[str, int, int], ...] = CLI_ITEM_RANGES) -> DataFrame:
+    """D-02: list items of every required section against its range, one
+    row per (document, required section); a missing section has 0 items.
+
+    The per-section counts of a document are folded into one map (bounded
+    by the document's headings); the required sections are a literal array
+    checked against that map in the document's row and then exploded, so
+    no document is paired with a table of sections (no cross join)."""
+    counts = (section_items(blocks, id_col)
+              .groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("section", "items")))
+                                   .alias("_counts")))
+    docs = blocks.select(id_col).distinct().join(counts, id_col, "left")
+    required = F.array(*[F.struct(F.lit(n).alias("section"), F.lit(lo).alias("lo"),
+                                  F.lit(hi).alias("hi")) for n, lo, hi in ranges])
+
+    def check(r):
+        items = F.coalesce(F.try_element_at(F.col("_counts"), r["section"]), F.lit(0).cast("bigint"))
+        return F.struct(r["section"].alias("section"), items.alias("items"),
+                        r["lo"].alias("min_items"), r["hi"].alias("max_items"),
+                        items.between(r["lo"], r["hi"]).alias("within_range"))
+
+    return docs.select(id_col, F.explode(F.transform(required, check)).alias("c")).select(id_col, "c.*")
+
+
 # ---- D-03 number grounding ------------------------------------------------
 
 # a number not glued to a word character on its left (identifiers such as

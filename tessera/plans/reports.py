@@ -112,6 +112,18 @@ def report_items(spark, sf_dir):
     return RP.section_items(RP.markdown_blocks(doc, "doc_id", "text"), "doc_id")
 
 
+def item_ranges(spark, sf_dir):
+    """D-02 on every document: items per required section against its range."""
+    docs = _docs(spark, sf_dir)
+    return RP.item_ranges(RP.markdown_blocks(docs, "doc_id", "text"), "doc_id")
+
+
+def report_item_ranges(spark, sf_dir):
+    """D-02 on the generated report."""
+    doc = _report_doc(P.facts_with_state(spark, sf_dir))
+    return RP.item_ranges(RP.markdown_blocks(doc, "doc_id", "text"), "doc_id")
+
+
 def _measure_keys(facts: DataFrame) -> DataFrame:
     """Accepted numbers for the report: measure values as they are, and
     rates and shares also as percentages (one pass over the cut rows)."""
@@ -196,6 +208,8 @@ QUERIES = {
     "report": report,
     "report_sections": report_sections,
     "report_items": report_items,
+    "item_ranges": item_ranges,
+    "report_item_ranges": report_item_ranges,
     "report_grounding": report_grounding,
     "data_limits": data_limits,
 }
@@ -361,6 +375,24 @@ tagged AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN content END IGNO
 SELECT doc_id, section, count(CASE WHEN kind = 'item' THEN 1 END) AS items
 FROM tagged WHERE section IS NOT NULL GROUP BY doc_id, section"""
 
+ITEM_RANGE_VALUES = ", ".join(f"('{n}', {lo}, {hi})" for n, lo, hi in RP.CLI_ITEM_RANGES)
+
+ITEM_RANGES = f"""
+tagged AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN content END IGNORE NULLS)
+                       OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section
+           FROM blocks),
+counts AS (SELECT doc_id, section, count(CASE WHEN kind = 'item' THEN 1 END) AS items
+           FROM tagged WHERE section IS NOT NULL GROUP BY doc_id, section),
+req AS (SELECT * FROM (VALUES {ITEM_RANGE_VALUES}) AS t(section, min_items, max_items)),
+ids AS (SELECT DISTINCT doc_id FROM blocks)
+SELECT i.doc_id, r.section, CAST(coalesce(c.items, 0) AS BIGINT) AS items,
+       r.min_items, r.max_items, coalesce(c.items, 0) BETWEEN r.min_items AND r.max_items AS within_range
+FROM ids i CROSS JOIN req r LEFT JOIN counts c ON c.doc_id = i.doc_id AND c.section = r.section"""
+
+SQL["item_ranges"] = f"WITH {DOCS}, {BLOCKS}, {ITEM_RANGES}"
+
+SQL["report_item_ranges"] = f"WITH {REPORT_SRC}, {BLOCKS}, {ITEM_RANGES}"
+
 SQL["report_grounding"] = f"""WITH {REPORT_SRC},
 vals AS (
   SELECT CAST(revenue AS DECIMAL(38,6)) AS v FROM kpi
