@@ -236,6 +236,24 @@ def write_envelope(spark, sf_dir):
         F.col("t.truncated_for_prompt").alias("truncated_for_prompt"))
 
 
+def write_error_envelope(spark, sf_dir):
+    """A-32, error form: a strict upload check stops at the first rejected
+    upload (by position); its message goes out with the profile of the
+    loaded tables, written as JSON and read back."""
+    from tessera.plans import ingest as I
+    from tessera.sources import files as S
+
+    checked = S.validate(I._pages_as_uploads(spark, sf_dir), limit_mb=I.UPLOAD_LIMIT_MB)
+    message = S.first_rejection(checked, "page_id")  # a top-1, the only row on the driver
+    path = staging_path(spark, "error-envelope")
+    K.write_json(K.error_envelope(F.lit(message), profile(spark, sf_dir)), path)
+    back = spark.read.json(path)
+    return back.select("message", "table_count", F.explode("tables").alias("t")).select(
+        "message", "table_count", F.col("t.table_name").alias("table_name"),
+        F.col("t.rows").alias("rows"), F.size("t.columns").cast("bigint").alias("n_columns"),
+        F.col("t.truncated_for_prompt").alias("truncated_for_prompt"))
+
+
 QUERIES = {
     "table_profile": table_profile,
     "dataset_totals": dataset_totals,
@@ -256,6 +274,7 @@ QUERIES = {
     "error_kinds": error_kinds,
     "write_text": write_text,
     "write_envelope": write_envelope,
+    "write_error_envelope": write_error_envelope,
 }
 
 # ---- oracle SQL -------------------------------------------------------------
@@ -272,6 +291,11 @@ def _profile_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def _validated_sql() -> str:
+    from tessera.plans.ingest import VALIDATED_SQL
+    return VALIDATED_SQL
+
+
 def _line(cols: list[str]) -> str:
     cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'None')" for c in cols)
     return f"concat_ws(' | ', {cells}) || {NL}"
@@ -447,3 +471,9 @@ SELECT (SELECT string_agg(r_name, ', ' ORDER BY r_regionkey) FROM region) AS ana
        (SELECT count(*) FROM p) AS table_count, table_name, rows,
        CAST(len(columns) AS BIGINT) AS n_columns, truncated_for_prompt
 FROM p"""
+
+SQL["write_error_envelope"] = f"""WITH val AS ({_validated_sql()}), p AS ({_profile_sql()})
+SELECT (SELECT message FROM val WHERE NOT accepted ORDER BY page_id LIMIT 1) AS message,
+       (SELECT count(*) FROM p) AS table_count, table_name, rows,
+       CAST(len(columns) AS BIGINT) AS n_columns, truncated_for_prompt
+FROM p"""

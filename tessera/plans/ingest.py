@@ -335,7 +335,7 @@ v AS (SELECT *, CASE WHEN length <= 0 THEN 'empty'
                      WHEN extension NOT IN ('.csv', '.xls', '.xlsx') THEN 'unsupported' END AS reason
       FROM ext)"""
 
-SQL["ingest_validate"] = f"""WITH {_PAGES.format(limit=UPLOAD_LIMIT_MB)}
+VALIDATED_SQL = f"""WITH {_PAGES.format(limit=UPLOAD_LIMIT_MB)}
 SELECT page_id, file_name, length, reason,
        CASE reason
          WHEN 'empty' THEN 'O arquivo ' || file_name || ' está vazio.'
@@ -346,6 +346,8 @@ SELECT page_id, file_name, length, reason,
        reason IS NULL AS accepted
 FROM v"""
 
+SQL["ingest_validate"] = VALIDATED_SQL
+
 SQL["upload_stream"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in STREAM_TABLES)
 
