@@ -135,29 +135,36 @@ def section_items(blocks: DataFrame, id_col: str) -> DataFrame:
             .agg(F.count(F.when(F.col("kind") == "item", 1)).alias("items")))
 
 
-def item_ranges(blocks: DataFrame, id_col: str,
+def item_ranges(docs: DataFrame, id_col: str, text_col: str,
                 ranges: tuple[tuple[str, int, int], ...] = CLI_ITEM_RANGES) -> DataFrame:
     """D-02: list items of every required section against its range, one
-    row per (document, required section); a missing section has 0 items.
-
-    The per-section counts of a document are folded into one map (bounded
-    by the document's headings); the required sections are a literal array
-    checked against that map in the document's row and then exploded, so
-    no document is paired with a table of sections (no cross join)."""
-    counts = (section_items(blocks, id_col)
-              .groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("section", "items")))
-                                   .alias("_counts")))
-    docs = blocks.select(id_col).distinct().join(counts, id_col, "left")
-    required = F.array(*[F.struct(F.lit(n).alias("section"), F.lit(lo).alias("lo"),
-                                  F.lit(hi).alias("hi")) for n, lo, hi in ranges])
-
-    def check(r):
-        items = F.coalesce(F.try_element_at(F.col("_counts"), r["section"]), F.lit(0).cast("bigint"))
-        return F.struct(r["section"].alias("section"), items.alias("items"),
-                        r["lo"].alias("min_items"), r["hi"].alias("max_items"),
-                        items.between(r["lo"], r["hi"]).alias("within_range"))
-
-    return docs.select(id_col, F.explode(F.transform(required, check)).alias("c")).select(id_col, "c.*")
+    row per (document, required section); a missing section has 0 items,
+    a repeated heading adds to its section.
+
+    In-row, like the other text checks: a line's section is the last
+    heading above it, found with array functions on the document's lines,
+    so the plan is a single map stage (no shuffle of lines, no window) and
+    the required sections are a literal array exploded per document."""
+    lines, kinds = F.col("_lines"), F.col("_kinds")
+    idx = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)) \
+        .otherwise(F.array().cast("array<int>"))  # a null text has no lines
+    heads = F.filter(idx, lambda i: F.element_at(kinds, i + 1) == "heading")
+
+    def section_of(i):
+        last = F.array_max(F.filter(heads, lambda h: h < i))
+        return F.substring(F.element_at(lines, last + 1), 4, 1 << 30)
+
+    items = F.filter(idx, lambda i: F.element_at(kinds, i + 1) == "item")
+
+    def check(name, lo, hi):
+        n = F.size(F.filter(items, lambda i: section_of(i) == F.lit(name))).cast("bigint")
+        return F.struct(F.lit(name).alias("section"), n.alias("items"), F.lit(lo).alias("min_items"),
+                        F.lit(hi).alias("max_items"), n.between(lo, hi).alias("within_range"))
+
+    return (docs.select(id_col, _lines(F.col(text_col)).alias("_lines"))
+            .withColumn("_kinds", F.transform(lines, line_kind))
+            .select(id_col, F.explode(F.array(*[check(*r) for r in ranges])).alias("c"))
+            .select(id_col, "c.*"))
 
 
 # ---- D-03 number grounding ------------------------------------------------

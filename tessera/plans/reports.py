@@ -114,14 +114,12 @@ def report_items(spark, sf_dir):
 
 def item_ranges(spark, sf_dir):
     """D-02 on every document: items per required section against its range."""
-    docs = _docs(spark, sf_dir)
-    return RP.item_ranges(RP.markdown_blocks(docs, "doc_id", "text"), "doc_id")
+    return RP.item_ranges(_docs(spark, sf_dir), "doc_id", "text")
 
 
 def report_item_ranges(spark, sf_dir):
     """D-02 on the generated report."""
-    doc = _report_doc(P.facts_with_state(spark, sf_dir))
-    return RP.item_ranges(RP.markdown_blocks(doc, "doc_id", "text"), "doc_id")
+    return RP.item_ranges(_report_doc(P.facts_with_state(spark, sf_dir)), "doc_id", "text")
 
 
 def _measure_keys(facts: DataFrame) -> DataFrame:
@@ -384,7 +382,7 @@ tagged AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN content END IGNO
 counts AS (SELECT doc_id, section, count(CASE WHEN kind = 'item' THEN 1 END) AS items
            FROM tagged WHERE section IS NOT NULL GROUP BY doc_id, section),
 req AS (SELECT * FROM (VALUES {ITEM_RANGE_VALUES}) AS t(section, min_items, max_items)),
-ids AS (SELECT DISTINCT doc_id FROM blocks)
+ids AS (SELECT doc_id FROM src)
 SELECT i.doc_id, r.section, CAST(coalesce(c.items, 0) AS BIGINT) AS items,
        r.min_items, r.max_items, coalesce(c.items, 0) BETWEEN r.min_items AND r.max_items AS within_range
 FROM ids i CROSS JOIN req r LEFT JOIN counts c ON c.doc_id = i.doc_id AND c.section = r.section"""

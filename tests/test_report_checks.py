@@ -13,7 +13,7 @@ def test_item_ranges_count_per_required_section(spark):
     ])
     docs = spark.createDataFrame([(7, text)], "doc_id long, text string")
     got = {r.section: (r.items, r.within_range)
-           for r in RP.item_ranges(RP.markdown_blocks(docs, "doc_id", "text"), "doc_id").collect()}
+           for r in RP.item_ranges(docs, "doc_id", "text").collect()}
     # a repeated heading adds to the same section; a missing one has 0 items
     assert got == {"Achados Principais": (7, False), "Riscos Identificados": (1, False),
                    "Recomendações": (0, False)}
@@ -22,7 +22,7 @@ def test_item_ranges_count_per_required_section(spark):
 def test_item_ranges_web_structure(spark):
     text = "## Próximos Passos\n- a\n- b\n- c\n"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    rows = RP.item_ranges(RP.markdown_blocks(docs, "doc_id", "text"), "doc_id", RP.WEB_ITEM_RANGES)
+    rows = RP.item_ranges(docs, "doc_id", "text", RP.WEB_ITEM_RANGES)
     got = {r.section: r.within_range for r in rows.collect()}
     assert got == {"Indicadores-Chave": False, "Achados Principais": False,
                    "Riscos Identificados": False, "Próximos Passos": True}
