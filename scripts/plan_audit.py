@@ -76,7 +76,7 @@ def main(argv):
                 "task before the shuffle); python = Arrow-batched pandas nodes. `data_limits`, "
                 "`impact_ranking` and `report_grounding` aggregate a per-order fact written to the "
                 "shared folder by a separate job (one read of line items and orders, not counted "
-                "here); staged queries (`ingest_*`, `scan_*`, `catalog_*`, `upload_stream`, "
+                "here); staged queries (`ingest_*`, `scan_*`, `catalog_*`, `upload_stream`, `generate_store`, "
                 "`write_*`) write their inputs first in the same way.\n\n")
         f.write("| Query | shuffles | reused | broadcasts | shuffles, no broadcast | SMJ, no broadcast "
                 "| single | group limit | python |\n")
