@@ -88,8 +88,9 @@ def share_of_total(spark, sf_dir):
 
 
 def top_k_concentration(spark, sf_dir):
-    return C.top_k_concentration(sales_by_category(spark, sf_dir, "p_brand"),
-                                 "category", "revenue", TOP_K)
+    revenue = B.category_revenue(_t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders"),
+                                 _t(spark, sf_dir, "part"), "p_brand")
+    return C.top_k_concentration(revenue, "category", "revenue", TOP_K)
 
 
 def benchmark_ratio(spark, sf_dir):
