@@ -60,3 +60,17 @@ def test_gaps_use_range_partitions_not_one_window_per_user(no_broadcast, sf_smal
     assert "rangepartitioning(user" in plan
     # the per-user window only runs over one summary row per (user, partition)
     assert re.search(r"Window \[lag\(last_t", plan)
+
+
+def test_item_ranges_stay_in_the_document_row(no_broadcast, sf_small):
+    plan = _final_plan(RPL.item_ranges(no_broadcast, sf_small))
+    assert "Window" not in plan and "SortMergeJoin" not in plan
+    # at most the round-robin spread of a narrow text scan
+    assert len(re.findall(r"Exchange ", plan)) <= 1
+
+
+def test_top_k_sums_per_category_after_the_status_join(no_broadcast, sf_small):
+    plan = _final_plan(P.top_k_concentration(no_broadcast, sf_small))
+    assert "keys=[l_orderkey" not in plan  # no (order, category) grain
+    assert re.search(r"HashAggregate\(keys=\[category#\d+\], functions=\[partial_sum", plan)
+    assert _scans(plan)["lineitem"] == 1
