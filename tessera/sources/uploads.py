@@ -111,13 +111,22 @@ def sheet_catalog(spark: SparkSession, root: str, positions: DataFrame,
         F.first("header").alias("header"),
         F.count(F.when(filled_row, 1)).alias("rows"),
         F.max(F.size("cells")).alias("width"))
-    # positions holding a value somewhere in the sheet (a set per map task,
-    # bounded by the sheet width, combined map-side)
-    filled = (rows.select("sheet_id", F.posexplode("cells").alias("pos", "v"))
-              .where(F.col("v").isNotNull())
-              .groupBy("sheet_id").agg(F.array_sort(F.collect_set("pos")).alias("positions")))
+    # positions holding a value somewhere in the sheet, with the narrowest
+    # type all their values cast to (counts per (sheet, position), combined
+    # map-side; then one array per sheet, bounded by the sheet width)
+    v = F.col("v")
+    per_column = (rows.select("sheet_id", F.posexplode("cells").alias("pos", "v"))
+                  .where(v.isNotNull())
+                  .groupBy("sheet_id", "pos").agg(
+                      F.count(v).alias("n"), F.count(v.try_cast("bigint")).alias("n_long"),
+                      F.count(v.try_cast("double")).alias("n_double")))
+    kind = (F.when(F.col("n_long") == F.col("n"), F.lit("bigint"))
+            .when(F.col("n_double") == F.col("n"), F.lit("double")).otherwise(F.lit("string")))
+    filled = per_column.groupBy("sheet_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", kind.alias("type")))).alias("kept"))
     names = header_columns(F.col("header"), F.col("width"))
-    keep = F.coalesce(F.col("positions"), F.array().cast("array<int>"))
+    kept = F.coalesce(F.col("kept"), F.array().cast("array<struct<pos:int,type:string>>"))
+    keep = F.transform(kept, lambda c: c["pos"])
     file_name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
     catalog = (sheets.join(filled, "sheet_id", "left")
                .join(positions.select(F.col("file_name").alias("source_file"), "position"),
@@ -125,7 +134,8 @@ def sheet_catalog(spark: SparkSession, root: str, positions: DataFrame,
                .select("sheet_id", "source_file", "sheet", "sheet_no", "position",
                        safe_name(F.concat(stem(file_name), F.lit("_"), F.col("sheet"))).alias("table_name"),
                        "rows", keep.alias("positions"),
-                       F.transform(keep, lambda p: F.element_at(names, p + 1)).alias("columns")))
+                       F.transform(keep, lambda p: F.element_at(names, p + 1)).alias("columns"),
+                       F.transform(kept, lambda c: c["type"]).alias("types")))
     path = staging_path(spark, "sheet-catalog")
     catalog.write.parquet(path)
     catalog = spark.read.schema(catalog.schema).parquet(path)
@@ -146,10 +156,11 @@ class Dataset(Mapping):
     reads.  Iterating lists the winning names (metadata)."""
 
     def __init__(self, csv: dict[tuple[str, str], DataFrame], rows: DataFrame | None,
-                 winners: DataFrame, catalog: DataFrame | None):
+                 winners: DataFrame, catalog: DataFrame | None, infer_types: bool = False):
         # winners: (table_name, source_file, sheet) of the last table of each
         # name, from names and positions only (no table is counted for it)
         self._csv, self._rows, self._winners, self._catalog = csv, rows, winners, catalog
+        self._infer_types = infer_types
 
     def _winner(self, name: str):
         hit = (self._winners.where(F.col("table_name") == name)
@@ -163,11 +174,15 @@ class Dataset(Mapping):
         if w.sheet is None:
             return self._csv[(name, w.source_file)]
         s = (self._catalog.where((F.col("source_file") == w.source_file) & (F.col("sheet") == w.sheet))
-             .select("sheet_id", "positions", "columns").first())
+             .select("sheet_id", "positions", "columns", "types").first())
         filled = F.exists(F.col("cells"), lambda x: x.isNotNull())
+
+        def cell(p, t):  # rows end at their last cell: later positions are null
+            text = F.try_element_at(F.col("cells"), F.lit(p + 1))
+            return text.try_cast(t) if self._infer_types and t != "string" else text
+
         return (self._rows.where((F.col("sheet_id") == s.sheet_id) & filled)
-                .select(*[F.try_element_at(F.col("cells"), F.lit(p + 1)).alias(c)  # rows end at
-                          for p, c in zip(s.positions, s.columns)]))               # their last cell
+                .select(*[cell(p, t).alias(c) for p, c, t in zip(s.positions, s.columns, s.types)]))
 
     def __iter__(self):
         names = self._winners.select("table_name").collect()
@@ -178,10 +193,13 @@ class Dataset(Mapping):
 
 
 def load_uploads(spark: SparkSession, root: str, limit_mb: float | None = MAX_UPLOAD_MB,
-                 strict: bool = True, max_rows: int = CLI_ROWS) -> tuple[Dataset, DataFrame]:
+                 strict: bool = True, max_rows: int = CLI_ROWS,
+                 infer_types: bool = False) -> tuple[Dataset, DataFrame]:
     """A-05: (dataset, profile) for the files under ``root``.  ``profile``
     has one row per table read (upload position in name order, sheet
-    order), with ``superseded`` for tables replaced by a later one."""
+    order), with ``superseded`` for tables replaced by a later one.  Sheet
+    cells are text; with ``infer_types`` a column whose values all cast to
+    bigint (else double) gets that type, as a spreadsheet reader would."""
     root = root.rstrip("/")
     entries = entry_names(spark, root).withColumnRenamed("entry", "file_name")
     checked = validate(entries, size_col="bytes", limit_mb=limit_mb)
@@ -227,7 +245,7 @@ def load_uploads(spark: SparkSession, root: str, limit_mb: float | None = MAX_UP
 
     profile = last_wins(_union(parts))
     winners = last_wins(_union(names)).where(~F.col("superseded"))
-    return Dataset(csv, rows, winners, catalog), profile
+    return Dataset(csv, rows, winners, catalog, infer_types), profile
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -63,3 +63,12 @@ def test_no_accepted_file(spark, tmp_path):
     _put(tmp_path, "c.pdf", "x")
     with pytest.raises(UP.UploadError, match="Envie pelo menos um arquivo"):
         UP.load_uploads(spark, str(tmp_path), strict=False)
+
+
+def test_sheet_types_inferred_on_request(spark, tmp_path):
+    _put(tmp_path, "v.xlsx", workbook_bytes({"A": (["n", "x", "s"], [(1, 1.5, "a"), (2, 2, None),
+                                                                    (None, None, "b")])}))
+    data, _ = UP.load_uploads(spark, str(tmp_path), infer_types=True)
+    df = data["v_A"]
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["bigint", "double", "string"]
+    assert sorted(tuple(r) for r in df.collect() if r.n is not None) == [(1, 1.5, "a"), (2, 2.0, None)]
