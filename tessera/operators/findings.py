@@ -41,16 +41,21 @@ def top_k_concentration(df: DataFrame, key: str, value: str, k: int) -> DataFram
 
 
 def benchmark_ratio(df: DataFrame, key: str, metric: str, size: str,
-                    benchmark_key: str | None = None) -> DataFrame:
-    """C-03: metric / metric of a benchmark group (a named key, or else the
-    largest group by ``size``)."""
+                    benchmark_key: str | None = None, average: bool = False) -> DataFrame:
+    """C-03: metric / metric of a benchmark group: a named key, the largest
+    group by ``size`` (default), or with ``average`` the mean over all
+    groups (``benchmark`` is then null)."""
     everything = Window.partitionBy()
-    if benchmark_key is None:
-        bench_key = F.max_by(F.col(key), F.struct(F.col(size), F.col(key))).over(everything)
+    if average:
+        out = df.withColumn("benchmark", F.lit(None).cast("string"))
+        bench_metric = F.avg(F.col(metric)).over(everything)
     else:
-        bench_key = F.lit(benchmark_key)
-    out = df.withColumn("benchmark", bench_key)
-    bench_metric = F.max(F.when(F.col(key) == F.col("benchmark"), F.col(metric))).over(everything)
+        if benchmark_key is None:
+            bench_key = F.max_by(F.col(key), F.struct(F.col(size), F.col(key))).over(everything)
+        else:
+            bench_key = F.lit(benchmark_key)
+        out = df.withColumn("benchmark", bench_key)
+        bench_metric = F.max(F.when(F.col(key) == F.col("benchmark"), F.col(metric))).over(everything)
     return out.select(
         key, metric, "benchmark",
         bench_metric.alias("benchmark_value"),

@@ -80,6 +80,14 @@ def test_benchmark_defaults_to_largest(spark):
     assert row.benchmark == "SP"
 
 
+def test_benchmark_against_average(spark):
+    rows = _states(spark).select("state", "late_rate").collect()
+    mean = sum(r.late_rate for r in rows) / len(rows)
+    out = {r.state: (r.benchmark, r.ratio) for r in
+           C.benchmark_ratio(_states(spark), "state", "late_rate", "revenue", average=True).collect()}
+    assert out["RJ"] == (None, round(next(r.late_rate for r in rows if r.state == "RJ") / mean, 6))
+
+
 def test_worst_late_rate_is_al(spark):
     top = C.worst_k(_states(spark), "state", "late_rate", "orders", 1, 0).first()
     assert (top.state, round(top.late_rate, 4)) == ("AL", 0.2146)
