@@ -44,3 +44,23 @@ def column_preview(profile: DataFrame, shown: int = 8) -> DataFrame:
         F.when(n > shown, F.concat(F.lit("+"), (n - shown).cast("string"))).alias("more"),
         n.cast("bigint").alias("n_columns"),
     )
+
+
+def column_stats(df: DataFrame, exact: bool = False) -> DataFrame:
+    """A-16 extended: per column the row count, non-null and null cells and
+    distinct values, from one aggregation pass over the table (one row per
+    column out).  Distinct values are a HyperLogLog estimate by default,
+    which combines map-side in fixed memory at any scale; ``exact`` counts
+    them exactly (one more shuffle per column)."""
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(df.columns):
+        col = F.col(f"`{c}`")
+        distinct = F.count_distinct(col) if exact else F.approx_count_distinct(col)
+        aggs += [F.count(col).alias(f"_n{i}"), distinct.alias(f"_d{i}")]
+    row = df.agg(*aggs)
+    per_column = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_n{i}").alias("non_null"),
+                                    F.col(f"_d{i}").cast("bigint").alias("distinct_values"))
+                           for i, c in enumerate(df.columns)])
+    return row.select("_rows", F.inline(per_column)).select(
+        "column_name", F.col("_rows").alias("rows"), "non_null",
+        (F.col("_rows") - F.col("non_null")).alias("nulls"), "distinct_values")

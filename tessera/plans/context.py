@@ -48,6 +48,11 @@ def table_profile(spark, sf_dir):
     return profile(spark, sf_dir)
 
 
+def column_stats(spark, sf_dir):
+    """A-16 extended on the customer table, with exact distinct counts."""
+    return PR.column_stats(read_table(spark, sf_dir, "customer"), exact=True)
+
+
 def dataset_totals(spark, sf_dir):
     return PR.dataset_totals(profile(spark, sf_dir))
 
@@ -257,6 +262,7 @@ def write_error_envelope(spark, sf_dir):
 QUERIES = {
     "table_profile": table_profile,
     "dataset_totals": dataset_totals,
+    "column_stats": column_stats,
     "column_preview": column_preview,
     "first_n_per_group": first_n_per_group,
     "sample_note": sample_note,
@@ -371,6 +377,11 @@ SQL: dict[str, str] = {}
 
 SQL["table_profile"] = _profile_sql()
 
+SQL["column_stats"] = "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS rows, count({c}) AS non_null, "
+    f"count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM customer"
+    for c in PROFILED["customer"])
+
 SQL["dataset_totals"] = f"""WITH p AS ({_profile_sql()})
 SELECT count(*) AS table_count, CAST(sum(rows) AS BIGINT) AS total_rows FROM p"""
 
