@@ -64,9 +64,10 @@ def benchmark_ratio(df: DataFrame, key: str, metric: str, size: str,
 
 
 def worst_k(df: DataFrame, key: str, metric: str, volume: str,
-            k: int, min_volume: int) -> DataFrame:
-    """C-04: the k groups with the highest metric among those with enough volume."""
-    order = Window.orderBy(F.col(metric).desc(), F.col(key))
+            k: int, min_volume: int, best: bool = False) -> DataFrame:
+    """C-04: the k groups with the highest metric (``best``: the lowest)
+    among those with enough volume."""
+    order = Window.orderBy(F.col(metric).asc() if best else F.col(metric).desc(), F.col(key))
     eligible = df.where(F.col(volume) >= min_volume).where(F.col(metric).isNotNull())
     return (eligible.select(key, metric, volume,
                             F.row_number().over(order).cast("bigint").alias("rank"))

@@ -88,6 +88,13 @@ def test_benchmark_against_average(spark):
     assert out["RJ"] == (None, round(next(r.late_rate for r in rows if r.state == "RJ") / mean, 6))
 
 
+def test_best_late_rate_is_the_lowest(spark):
+    rows = _states(spark).select("state", "late_rate").collect()
+    lowest = min(rows, key=lambda r: (r.late_rate, r.state))
+    top = C.worst_k(_states(spark), "state", "late_rate", "orders", 1, 0, best=True).first()
+    assert (top.state, top.late_rate) == (lowest.state, lowest.late_rate)
+
+
 def test_worst_late_rate_is_al(spark):
     top = C.worst_k(_states(spark), "state", "late_rate", "orders", 1, 0).first()
     assert (top.state, round(top.late_rate, 4)) == ("AL", 0.2146)
