@@ -46,3 +46,14 @@ def test_load_registers_views_in_declared_order(spark, tmp_path):
     assert list(frames) == ["second", "first"]
     assert spark.sql("SELECT count(*) AS n FROM second").first().n == 2
     assert spark.sql("SELECT sum(y) AS s FROM first").first().s == 3
+
+
+def test_listing_keeps_empty_files_with_any_name(spark, tmp_path):
+    _write(tmp_path, "dados 100%.csv", "x\n1\n")
+    _write(tmp_path, "vazio 50%.csv", "")
+    got = sorted((r.path.rsplit("/", 1)[1], r.length) for r in S.list_files(spark, str(tmp_path)).collect())
+    assert got == [("dados 100%.csv", 4), ("vazio 50%.csv", 0)]
+    checked = {r.file_name: r.reason for r in
+               S.validate(S.entry_names(spark, str(tmp_path)).withColumnRenamed("entry", "file_name"),
+                          size_col="bytes").collect()}
+    assert checked == {"dados 100%.csv": None, "vazio 50%.csv": "empty"}
