@@ -127,3 +127,19 @@ def test_gaps_with_clustered_hot_user_and_ties(spark):
         got = {r.user_id: (r.events, r.max_gap_us, r.long_gaps)
                for r in C.gaps_by_user(df, "user_id", "ts", 3600, partitions=parts).collect()}
         assert got == want, parts
+
+
+def test_partition_independence_of_rewritten_plans(spark, sf_small):
+    """The one-pass report, the per-category top-k, range-partitioned gaps
+    and stored-fact checks give the same rows with 1 and 8 shuffle
+    partitions."""
+    fns = (reports.report, driver.top_k_concentration, driver.gaps_by_user, reports.data_limits)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        one = [_collect_sorted(f(spark, sf_small)) for f in fns]
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        eight = [_collect_sorted(f(spark, sf_small)) for f in fns]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert one == eight
