@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import sharding, url_filter
+from tessera.llm import quality, sharding, simhash, url_filter
 from tessera.llm.common import table
 
 SHARDS = 24
@@ -43,9 +43,22 @@ def op5_url_filter(spark, sf_dir):
                          F.col("action").alias("verdict"), "pattern")
 
 
+def op6_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, "text", ["doc_id"]).select(
+        "doc_id", *quality.KEPT, "base_failed", "kept", "p_good")
+
+
+def op10_simhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES = {
     "op2_shard": op2_shard,
     "op5_url_filter": op5_url_filter,
+    "op6_quality_rules": op6_quality_rules,
+    "op10_simhash": op10_simhash,
 }
 
 
