@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,14 @@ def if_small(df: DataFrame, size_bytes: int) -> DataFrame:
     return F.broadcast(df) if size_bytes <= BROADCAST_LIMIT_BYTES else df
 
 
+def to_batch(rows: list[tuple], columns: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    """An Arrow batch of Python rows; unlike pandas it keeps nulls beside whole numbers."""
+    values = list(zip(*rows)) if rows else [()] * len(columns)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(v, kind) for v, (_, kind) in zip(values, columns)],
+        names=[name for name, _ in columns])
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, sharding, simhash, url_filter
+from tessera.llm import (decontaminate, line_dedup, packing, quality, sharding, simhash,
+                         url_filter)
 from tessera.llm.common import table
 
 SHARDS = 24
@@ -25,6 +26,10 @@ URL_RULES = BASE_RULES + [url_filter.Rule(f"^{w}^", "block") for w in KEYWORDS]
     url_filter.Rule("^track^click^", "block")]
 
 
+def op1_pack(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_shard(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -35,6 +40,12 @@ def op2_shard(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.find_overlaps(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark, sf_dir):
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
     base = F.col("priority") == 1
@@ -49,15 +60,24 @@ def op6_quality_rules(spark, sf_dir):
         "doc_id", *quality.KEPT, "base_failed", "kept", "p_good")
 
 
+def op7_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.find_repeats(docs).select("doc_id", "unit", "start", "end", "keep_id",
+                                                "keep_unit", "copies")
+
+
 def op10_simhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES = {
+    "op1_pack": op1_pack,
     "op2_shard": op2_shard,
+    "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
@@ -90,6 +110,28 @@ SELECT page_id, host, path,
 FROM parsed LEFT JOIN best ON host || path || query = target"""
 
 
+#: Python's str.lower and DuckDB's lower differ for no letter of the tables; units are \n-split.
+LINE_SQL = f"""
+WITH split AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '')),
+units AS (
+  SELECT doc_id, i - 1 AS unit, l[i] AS line,
+         coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 1)), 0) AS start,
+         trim(regexp_replace(lower(l[i]), '\\s+', ' ', 'g')) AS norm
+  FROM split),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(unit) OVER w AS keep_unit,
+         row_number() OVER w AS place, count(*) OVER (PARTITION BY norm) AS copies
+  FROM units WHERE norm <> '' AND len(string_split(norm, ' ')) >= {line_dedup.MIN_WORDS}
+  WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit))
+SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start,
+       CAST(start + length(line) AS INTEGER) AS "end", keep_id,
+       CAST(keep_unit AS INTEGER) AS keep_unit, copies
+FROM ranked WHERE place > 1"""
+
+
 SQL = {
+    "op7_line_dedup": LINE_SQL,
     "op5_url_filter": _url_sql(),
 }
