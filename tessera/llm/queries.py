@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import (decontaminate, line_dedup, packing, quality, sharding, simhash,
+from tessera.llm import (decontaminate, line_dedup, packing, pii, quality, sharding, simhash,
                          url_filter)
 from tessera.llm.common import table
 
@@ -40,6 +40,15 @@ def op2_shard(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_pii(spark, sf_dir):
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"])
+    counts = [F.size(pii.of_kind(F.col("base_spans"), k)).cast("long").alias(f"n_{k}")
+              for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts,
+                        F.sha2(pii.span_text(F.col("base_spans")), 256).alias("base_sha256"),
+                        pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.find_overlaps(
         table(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -74,6 +83,7 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_shard": op2_shard,
+    "op3_pii": op3_pii,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_quality_rules": op6_quality_rules,
