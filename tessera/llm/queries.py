@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import (decontaminate, line_dedup, packing, pii, quality, sharding, simhash,
-                         url_filter)
+from tessera.llm import (decontaminate, license_scan, line_dedup, packing, pii, quality, sharding,
+                         simhash, toxicity, url_filter)
 from tessera.llm.common import table
 
 SHARDS = 24
@@ -75,6 +75,29 @@ def op7_line_dedup(spark, sf_dir):
                                                 "keep_unit", "copies")
 
 
+def op8_license_scan(spark, sf_dir):
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.flatten(F.map_values("places"))
+    return found.select("doc_id", "n_words", F.size(starts).cast("long").alias("n_base"),
+                        F.array_min(starts).cast("long").alias("first_word"),
+                        F.array_max(starts).cast("long").alias("last_word"),
+                        F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
+
+
+#: Rows in this class of crc32(doc_id) never train; a score from here on is called toxic.
+HELD_OUT, TOXIC = 2, 0.3
+
+
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.add_score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op10_simhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
@@ -88,6 +111,8 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
+    "op8_license_scan": op8_license_scan,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 
