@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import stage, to_batch, whole_row
 
@@ -86,7 +87,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          "copies"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
     def one(t, cuts):
         if t is None or cuts is None or not len(cuts):
