@@ -34,19 +34,33 @@ def null_token(c: Column, tokens: tuple[str, ...] = NULL_TOKENS) -> Column:
     return F.when(c.isin(*tokens), F.lit(None)).otherwise(c)
 
 
+PLAIN_NUMBER = r"^\s*-?\d+(\.\d+)?\s*%?\s*$"
+GROUPED_NUMBER = r"^\s*-?\d{1,3}(\.\d{3})+\s*$"
+
+
 def locale_number(c: Column) -> Column:
     """A-11: "$1.234,5" -> 1234.5, "6,77%" -> 0.0677, as double.
 
-    Everything but digits, comma and minus is dropped (so "." thousands
-    separators go), the decimal comma becomes a point, and a trailing "%"
-    divides by 100.  Unparseable text gives null.
+    In locale text everything but digits, comma and minus is dropped (so "."
+    thousands separators go), the decimal comma becomes a point, and a
+    trailing "%" divides by 100.  A plain number such as "12.5" is no locale
+    text and keeps its point, unless its points group thousands ("1.234").
+    Unparseable text gives null (``locale_stats`` counts it).
     """
+    plain = c.rlike(PLAIN_NUMBER) & ~c.rlike(GROUPED_NUMBER)
     digits = F.translate(F.regexp_replace(c, r"[^0-9,\-]", ""), ",", ".")
-    value = digits.try_cast("decimal(18,4)")
+    value = F.when(plain, F.regexp_replace(c, r"[\s%]", "")).otherwise(digits).try_cast("decimal(18,4)")
     as_double = value.cast("double")
     return F.when(F.trim(c).endswith("%"), F.round(as_double / F.lit(100.0), 6)).otherwise(as_double)
 
 
+def locale_stats(c: Column) -> list[Column]:
+    """Counts for a column before it is parsed (A-11): its values, those that
+    are plain numbers already, and those that no number can be read from."""
+    return [F.count(c).alias("values"), F.count(F.when(c.rlike(PLAIN_NUMBER), 1)).alias("plain"),
+            F.count(F.when(c.isNotNull() & locale_number(c).isNull(), 1)).alias("unparseable")]
+
+
 def thousands_text(n: Column) -> Column:
     """A-25: integer with "." as thousands separator (pt-BR)."""
     return F.translate(F.format_number(n.cast("bigint"), 0), ",", ".")
@@ -68,15 +82,6 @@ def bytes_text(n: Column) -> Column:
             .otherwise(F.concat(_tenths_text(mb_tenths), F.lit(" MB"))))
 
 
-def fixed2_text(x: Column, decimal_mark: str = ",") -> Column:
-    """A number with two decimals, half away from zero, built from integers."""
-    cents = F.round(x * 100).cast("bigint")
-    sign = F.when(cents < 0, F.lit("-")).otherwise(F.lit(""))
-    a = F.abs(cents)
-    return F.concat(sign, F.floor(a / 100).cast("bigint").cast("string"), F.lit(decimal_mark),
-                    F.lpad((a % 100).cast("string"), 2, "0"))
-
-
 def extension(path: Column) -> Column:
     """Lower-case extension with the dot, "" when there is none."""
     return F.lower(F.regexp_extract(base_name(path), r"(?<=.)(\.[^.]+)$", 1))

@@ -91,6 +91,8 @@ def table_names(df: DataFrame, source_col: str, out_col: str = "table_name") ->
 
 
 def to_records(df: DataFrame) -> DataFrame:
-    """A-15: each row as one JSON object (column order kept)."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("record"))
+    """A-15: each row as one JSON object; every key is kept, in column order,
+    a missing value as null."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]),
+                               {"ignoreNullFields": "false"}).alias("record"))
 

@@ -78,10 +78,13 @@ def cross_table_pattern(left: DataFrame, right: DataFrame, key: str,
                         left_metric: str, left_rate: str, right_metric: str) -> DataFrame:
     """C-05: join two cuts on a shared key and test a condition on each side:
     above-average ``left_metric`` and ``left_rate`` on the left, below-average
-    ``right_metric`` on the right."""
+    ``right_metric`` on the right.  A group missing on the right has 0 there
+    (the strongest case of a low value); keys match null-safe."""
     everything = Window.partitionBy()
+    other = right.select(F.col(key).alias("_key"), F.col(right_metric))
     joined = left.select(key, left_metric, left_rate).join(
-        right.select(key, right_metric), key, "inner")
+        other, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").withColumn(
+        right_metric, F.coalesce(right_metric, F.lit(0).cast(right.schema[right_metric].dataType)))
     flagged = joined.select(
         "*",
         (F.col(left_metric) >= F.avg(left_metric).over(everything)).alias("high_" + left_metric),

@@ -4,16 +4,17 @@ Every function maps DataFrames to a DataFrame and stays lazy.  The per-order
 fact is built once: line items are aggregated per order *before* any
 dimension is joined, so order counts never fan out and the line-item side is
 shuffled exactly once (on the order key, which the join then reuses).
-Money is exact integer arithmetic: each line item is worth
-round(price * 100) * (100 - round(discount * 100)) units of 1/10000, summed as
-``bigint`` per order (at most a few items, no overflow).  Only group totals,
-which may exceed a ``bigint`` at full scale, are summed as decimals, and they
-run over orders, not line items.  A double appears only in the output.
+Money is exact integer arithmetic: price and discount are decimals of the
+places that ``Roles`` declares, each line item is worth price * (1 - discount)
+in integer units of those places, and units are summed as ``bigint`` per order
+(at most a few items, no overflow).  Only group totals, which may exceed a
+``bigint`` at full scale, are summed as decimals, and they run over orders, not
+line items.  A double appears only in the output.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.roles import DEFAULT, Roles
@@ -21,22 +22,25 @@ from tessera.roles import DEFAULT, Roles
 
 def item_units(roles: Roles = DEFAULT) -> Column:
     """Net value of one line item, price * (1 - discount), in exact integer
-    units of 1/10000 (cents, half away from zero, times discount hundredths)."""
-    return _hundredths(F.col("l_extendedprice")) * (F.lit(100) - _hundredths(F.col("l_discount")))
+    units of 1 / ``roles.money_scale``."""
+    one = 10 ** roles.discount_decimals
+    return (_units(F.col("l_extendedprice"), roles.price_decimals)
+            * (F.lit(one) - _units(F.col("l_discount"), roles.discount_decimals)))
 
 
-def _hundredths(x: Column) -> Column:
-    """x * 100 rounded half away from zero, as bigint.  Pure double
-    arithmetic: Spark's round() on doubles goes through BigDecimal, which
-    is about twice as slow in this per-item hot path."""
-    return (F.signum(x) * F.floor(F.abs(x) * 100 + 0.5)).cast("bigint")
+def _units(x: Column, places: int) -> Column:
+    """x in units of its last declared decimal place, as bigint (a double such
+    as 0.07 is the decimal nearest to it).  Pure double arithmetic: Spark's
+    round() on doubles goes through BigDecimal, which is about twice as slow
+    in this per-item hot path."""
+    return (F.signum(x) * F.floor(F.abs(x) * 10 ** places + 0.5)).cast("bigint")
 
 
 def money_total(units: Column, roles: Roles = DEFAULT) -> Column:
     """Sum of integer money units as a double amount.  The sum is a decimal
     (a group total can exceed a bigint at full scale); the only rounding is
     the final conversion to double."""
-    total = F.sum(units.cast("decimal(18,0)"))
+    total = F.sum(units.cast("decimal(20,0)"))
     return F.coalesce((total / F.lit(roles.money_scale)).cast("double"), F.lit(0.0))
 
 
@@ -79,12 +83,12 @@ def with_state(facts: DataFrame, customer: DataFrame, nation: DataFrame) -> Data
     return facts.join(states, facts["o_custkey"] == states["c_custkey"], "left").drop("c_custkey")
 
 
-def _kpi_aggs() -> list[Column]:
+def _kpi_aggs(roles: Roles = DEFAULT) -> list[Column]:
     delivered = F.col("is_delivered")
     return [
         F.count(F.lit(1)).alias("orders"),
         F.count(F.when(delivered, F.lit(1))).alias("delivered_orders"),
-        money_total(F.when(delivered, F.col("order_units"))).alias("revenue"),
+        money_total(F.when(delivered, F.col("order_units")), roles).alias("revenue"),
         F.round(F.avg("delivery_days"), 6).alias("avg_delivery_days"),
         F.round(F.avg("is_late"), 6).alias("late_rate"),
     ]
@@ -94,10 +98,10 @@ def _ticket() -> Column:
     return F.round(F.try_divide(F.col("revenue"), F.col("delivered_orders")), 6)
 
 
-def kpi_general(facts: DataFrame) -> DataFrame:
+def kpi_general(facts: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """B-01..B-08, B-11: one row over all orders (global partial+final agg)."""
     return facts.agg(
-        *_kpi_aggs(),
+        *_kpi_aggs(roles),
         F.count_distinct("o_custkey").alias("customers"),
         F.round(F.avg(F.col("is_canceled").cast("int")), 6).alias("cancel_rate"),
     ).withColumn("ticket", _ticket())
@@ -114,31 +118,39 @@ def kpi_cut_rows(facts: DataFrame, key: str) -> DataFrame:
             .withColumn("is_total", F.col("_gid") == 1).drop("_gid"))
 
 
-def state_performance(facts_with_state: DataFrame) -> DataFrame:
+def state_performance(facts_with_state: DataFrame, roles: Roles = DEFAULT) -> DataFrame:
     """B-13: delivery performance by state, unmatched geography kept as null."""
-    return (facts_with_state.groupBy("state").agg(*_kpi_aggs())
+    return (facts_with_state.groupBy("state").agg(*_kpi_aggs(roles))
             .withColumn("ticket", _ticket()))
 
 
 def sales_by_month(facts: DataFrame) -> DataFrame:
     """B-12: month spine from the first to the last month, left-joined to the
     per-month aggregate; months without orders show revenue 0 and a null
-    count; orders without a date keep their own null-month row."""
+    count; orders without a date keep their own null-month row.
+
+    The spine needs the first and last month only: each month row carries
+    both (a window over the months), and the last one adds the months that
+    are missing up to the next, so the facts are read once."""
     per_month = facts.groupBy("month").agg(
         F.count(F.lit(1)).alias("orders"),
         F.count(F.when(F.col("is_delivered"), F.lit(1))).alias("delivered_orders"),
         money_total(F.when(F.col("is_delivered"), F.col("order_units"))).alias("revenue"),
+        F.min("order_date").alias("a_day"),
     )
-    bounds = facts.agg(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))
-    spine = bounds.select(F.explode(F.sequence(
-        F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("interval 1 month"),
-    )).alias("d")).select(F.date_format("d", "yyyy-MM").alias("month"))
-    joined = spine.join(per_month, "month", "full")
-    return joined.select(
-        "month",
-        "orders",
-        F.coalesce(F.col("revenue"), F.lit(0.0)).alias("revenue"),
-        F.coalesce(F.round(F.try_divide(F.col("revenue"), F.col("delivered_orders")), 6),
+    here = F.trunc("a_day", "month")
+    after = F.lead(here).over(Window.partitionBy(F.col("month").isNull()).orderBy("month"))
+    step = F.expr("interval 1 month")
+    # a month and the empty ones that follow it; a null month stands alone
+    filled = per_month.withColumn("after", after).select(
+        "*", F.explode(F.when(F.col("month").isNull(), F.array(F.lit(None).cast("date"))).otherwise(
+            F.sequence(here, F.coalesce(F.add_months("after", -1), here), step))).alias("d"))
+    own = F.col("month").isNull() | (F.date_format("d", "yyyy-MM") == F.col("month"))
+    return filled.select(
+        F.coalesce(F.date_format("d", "yyyy-MM"), "month").alias("month"),
+        F.when(own, F.col("orders")).alias("orders"),
+        F.coalesce(F.when(own, F.col("revenue")), F.lit(0.0)).alias("revenue"),
+        F.coalesce(F.when(own, F.round(F.try_divide(F.col("revenue"), F.col("delivered_orders")), 6)),
                    F.lit(0.0)).alias("ticket"),
     )
 
@@ -148,12 +160,12 @@ def sales_by_category(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
     """B-14: revenue of delivered orders per category; the order count is the
     number of *distinct* orders holding the category (not a global count).
 
-    Line items are combined per (order, category) map-side before anything
-    moves (partial aggregation), so an order with a third of all line items
-    leaves each map task as at most one row per category; only those
-    combined rows are shuffled and then joined with the order status (the
-    part dimension is broadcast below the size threshold, else joined on the
-    part key first).
+    With a broadcast part dimension (below the size threshold) line items are
+    combined per (order, category) map-side before anything moves.  Beyond it,
+    the raw items move once on the part key, where adaptive execution splits a
+    skewed part, and are combined per (order, category) before the next
+    exchange.  Either way an order with a third of all items leaves a task as
+    at most one row per category.
     """
     items = lineitem.select("l_orderkey", "l_partkey", item_units(roles).alias("units"))
     parts = part.select("p_partkey", F.col(category).alias("category"))
@@ -174,53 +186,80 @@ def sales_by_category(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
 def category_revenue(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
                      category: str = "p_type", roles: Roles = DEFAULT) -> DataFrame:
     """Revenue of delivered orders per category when no order count is
-    needed (C-02): line items join the order status directly - an order
-    holding a third of all items is split by AQE's skew join, the status
-    side having one row per order - and the per-category sum combines
-    map-side to one row per category.  The same categories and revenue as
-    ``sales_by_category``, without its (order, category) grain."""
+    needed (C-02).  Only delivered orders carry revenue: the status is
+    filtered before the join (pushed to the scan, and Spark may derive a
+    runtime filter on the line items from it), and the items are summed per
+    part, then per category, both combined map-side.  Categories of the part
+    table without any such item have revenue 0; items of unknown parts are
+    the null category."""
     items = lineitem.select("l_orderkey", "l_partkey", item_units(roles).alias("units"))
-    status = orders.select(
-        "o_orderkey", (F.col("o_orderstatus") == F.lit(roles.delivered_status)).alias("delivered"))
+    delivered = orders.where(F.col("o_orderstatus") == roles.delivered_status).select("o_orderkey")
     parts = part.select("p_partkey", F.col(category).alias("category"))
-    paid = (items.join(status, items["l_orderkey"] == status["o_orderkey"])
-            .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left"))
-    return paid.groupBy("category").agg(
-        money_total(F.when(F.col("delivered"), F.col("units")), roles).alias("revenue"))
+    units = F.sum(F.col("units").cast("decimal(20,0)"))
+    paid = (items.join(delivered, items["l_orderkey"] == delivered["o_orderkey"])
+            .groupBy("l_partkey").agg(units.alias("units"))
+            .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left").select("category", "units"))
+    listed = parts.select("category", F.lit(0).cast("decimal(30,0)").alias("units"))
+    return paid.unionByName(listed).groupBy("category").agg(
+        (F.sum("units") / F.lit(roles.money_scale)).cast("double").alias("revenue"))
 
 
 def satisfaction(documents: DataFrame, labels: DataFrame,
                  score: str = "quality", negative: str = "toxic") -> DataFrame:
     """B-05, B-09, B-10, B-15: one row.  Entities are documents, reviews are
-    labels; coverage = reviewed entities / all entities."""
+    labels; coverage = reviewed entities / all entities; the score and the
+    shares are over reviews.
+
+    Reviews are summed per entity before the join, so an entity with several
+    reviews stays one entity."""
+    s, neg = F.col(score).cast("double"), F.col(negative).cast("double")
+    revs = labels.groupBy(F.col("doc_id").alias("r_doc_id")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(s).alias("score_sum"), F.count(s).alias("score_n"),
+        F.sum(neg).alias("negative_sum"), F.count(neg).alias("negative_n"),
+        F.sum((s == 1).cast("double")).alias("positive_sum"))
     docs = documents.select("doc_id")
-    revs = labels.select(F.col("doc_id").alias("r_doc_id"), score, negative)
     joined = docs.join(revs, docs["doc_id"] == revs["r_doc_id"], "left")
+    entities, reviewed = F.count(F.lit(1)), F.count("r_doc_id")
+
+    def share(total, n):
+        return F.round(F.try_divide(F.sum(total), F.sum(n)), 6)
+
     return joined.agg(
-        F.count(F.lit(1)).alias("entities"),
-        F.count("r_doc_id").alias("reviews"),
-        F.round(F.avg(F.col(score).cast("double")), 6).alias("avg_score"),
-        F.round(F.count("r_doc_id") / F.count(F.lit(1)), 6).alias("review_coverage"),
-        F.round(F.avg(F.col(negative).cast("double")), 6).alias("negative_share"),
-        F.round(F.avg((F.col(score) == 1).cast("double")), 6).alias("positive_share"),
+        entities.alias("entities"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("reviews"),
+        share("score_sum", "score_n").alias("avg_score"),
+        F.round(F.try_divide(reviewed, entities), 6).alias("review_coverage"),
+        share("negative_sum", "negative_n").alias("negative_share"),
+        share("positive_sum", "score_n").alias("positive_share"),
     )
 
 
-def kpi_cuts(facts_with_state: DataFrame) -> DataFrame:
-    """B-16: the KPIs for the total, per month and per state in one pass
-    (GROUPING SETS: one shuffle instead of three)."""
+def kpi_cuts(facts_with_state: DataFrame, categories: DataFrame | None = None,
+             roles: Roles = DEFAULT) -> DataFrame:
+    """B-16: all KPIs for the total, per month and per state in one pass
+    (GROUPING SETS: one shuffle instead of three), and per category from
+    ``categories`` (rows of ``category_orders``, one per order and category)."""
     gid = F.grouping_id("month", "state")
-    cut = F.when(gid == 3, F.lit("total")).when(gid == 1, F.lit("month")).otherwise(F.lit("state"))
     grouped = facts_with_state.groupingSets([[], ["month"], ["state"]], "month", "state")
-    return grouped.agg(
-        F.count(F.lit(1)).alias("orders"),
-        F.count(F.when(F.col("is_delivered"), F.lit(1))).alias("delivered_orders"),
-        money_total(F.when(F.col("is_delivered"), F.col("order_units"))).alias("revenue"),
-        F.round(F.avg("is_late"), 6).alias("late_rate"),
-        gid.alias("_gid"),
-    ).select(
+    names = ["orders", "delivered_orders", "revenue", "avg_delivery_days", "late_rate"]
+    cuts = grouped.agg(*_kpi_aggs(roles), gid.alias("_gid")).select(
         F.when(F.col("_gid") == 3, F.lit("total")).when(F.col("_gid") == 1, F.lit("month"))
         .otherwise(F.lit("state")).alias("cut"),
-        F.coalesce("month", "state").alias("cut_key"),
-        "orders", "delivered_orders", "revenue", "late_rate",
-    )
+        F.coalesce("month", "state").alias("cut_key"), *names)
+    if categories is not None:
+        cuts = cuts.unionByName(categories.groupBy("category").agg(*_kpi_aggs(roles)).select(
+            F.lit("category").alias("cut"), F.col("category").alias("cut_key"), *names))
+    return cuts.withColumn("ticket", _ticket())
+
+
+def category_orders(facts: DataFrame, lineitem: DataFrame, part: DataFrame,
+                    category: str = "p_type", roles: Roles = DEFAULT) -> DataFrame:
+    """One row per order and category held by it: the order's flags and days,
+    and the value of its items of that category."""
+    items = lineitem.select("l_orderkey", "l_partkey", item_units(roles).alias("units"))
+    parts = part.select("p_partkey", F.col(category).alias("category"))
+    per_order = (items.join(parts, items["l_partkey"] == parts["p_partkey"], "left")
+                 .groupBy("l_orderkey", "category").agg(F.sum("units").alias("order_units")))
+    flags = facts.select("o_orderkey", "is_delivered", "delivery_days", "is_late")
+    return per_order.join(flags, per_order["l_orderkey"] == flags["o_orderkey"]).drop("l_orderkey")

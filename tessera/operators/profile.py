@@ -35,10 +35,13 @@ def dataset_totals(profile: DataFrame) -> DataFrame:
                        F.sum("rows").cast("bigint").alias("total_rows"))
 
 
-def column_preview(profile: DataFrame, shown: int = 8) -> DataFrame:
-    """A-18: the first ``shown`` column names and a "+k" note for the rest."""
+def column_preview(tables: list[tuple[str, DataFrame]], shown: int = 8) -> DataFrame:
+    """A-18: per (name, frame) the first ``shown`` column names and a "+k"
+    note for the rest.  Columns are schema metadata: no table is scanned."""
+    listed = tables[0][1].sparkSession.createDataFrame(
+        [(name, df.columns) for name, df in tables], "table_name string, columns array<string>")
     n = F.size("columns")
-    return profile.select(
+    return listed.select(
         "table_name",
         F.slice("columns", 1, shown).alias("preview"),
         F.when(n > shown, F.concat(F.lit("+"), (n - shown).cast("string"))).alias("more"),

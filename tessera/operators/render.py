@@ -71,16 +71,20 @@ def context_blocks(df: DataFrame, group_cols: list[str], name: Column, order_col
     """A-21 per group: one text block per group of ``df``.
 
     Totals come from a partial+final count per group; the lines come from
-    the first-N rows per group; both one-row-per-group sides are joined on
-    the group key.
+    the first-N rows per group.  Both have one row per group, so they are
+    stacked and folded by one aggregation, which keeps a null group like any
+    other.  ``df`` is read for each side: pass a stored frame if it is costly
+    to make.  A null name is rendered as ``null_text``.
     """
     cols = render_cols if render_cols is not None else df.columns
     totals = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_total"))
     lines = (first_n_per_group(df, group_cols, order_cols, n, "_pos")
              .select(*group_cols, "_pos", row_line(cols, null_text).alias("_line"))
              .groupBy(*group_cols).agg(_ordered_text("_line", "_pos").alias("_rows")))
-    joined = totals.join(lines, group_cols, "left")
-    text = F.concat(header_text(name, cols),
+    stacked = totals.withColumn("_rows", F.lit(None).cast("string")).unionByName(
+        lines.withColumn("_total", F.lit(None).cast("bigint")))
+    joined = stacked.groupBy(*group_cols).agg(F.max("_total").alias("_total"), F.max("_rows").alias("_rows"))
+    text = F.concat(header_text(F.coalesce(name, F.lit(null_text)), cols),
                     F.coalesce(sample_note(F.col("_total"), n), F.lit("")),
                     F.coalesce(F.col("_rows"), F.lit("")))
     return joined.select(*group_cols, text.alias("context"), F.col("_total").alias("rows"))

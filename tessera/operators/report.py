@@ -141,37 +141,43 @@ def item_ranges(docs: DataFrame, id_col: str, text_col: str,
     row per (document, required section); a missing section has 0 items,
     a repeated heading adds to its section.
 
-    In-row, like the other text checks: a line's section is the last
-    heading above it, found with array functions on the document's lines,
-    so the plan is a single map stage (no shuffle of lines, no window) and
-    the required sections are a literal array exploded per document."""
-    lines, kinds = F.col("_lines"), F.col("_kinds")
-    idx = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)) \
-        .otherwise(F.array().cast("array<int>"))  # a null text has no lines
-    heads = F.filter(idx, lambda i: F.element_at(kinds, i + 1) == "heading")
-
-    def section_of(i):
-        last = F.array_max(F.filter(heads, lambda h: h < i))
-        return F.substring(F.element_at(lines, last + 1), 4, 1 << 30)
-
-    items = F.filter(idx, lambda i: F.element_at(kinds, i + 1) == "item")
-
-    def check(name, lo, hi):
-        n = F.size(F.filter(items, lambda i: section_of(i) == F.lit(name))).cast("bigint")
+    In-row, like the other text checks, and one pass over a document's lines:
+    the running section is the last heading above, and an item adds to the
+    count of its section if that is a required one.  A single map stage; the
+    required sections are a literal array exploded per document."""
+    names = F.array(*[F.lit(name) for name, _, _ in ranges])
+    none = F.array(*[F.lit(0).cast("bigint")] * len(ranges))
+
+    def step(acc, line):
+        kind = line_kind(line)
+        section = F.when(kind == "heading", F.array_position(names, F.substring(line, 4, 1 << 30)).cast("int"))
+        return F.struct(
+            F.coalesce(section, acc["section"]).alias("section"),
+            F.when(kind == "item", F.transform(acc["n"], lambda n, i: F.when(
+                i + 1 == acc["section"], n + 1).otherwise(n))).otherwise(acc["n"]).alias("n"))
+
+    counts = F.coalesce(F.aggregate(_lines(F.col(text_col)), F.struct(
+        F.lit(0).alias("section"), none.alias("n")), step)["n"], none)  # a null text has no lines
+
+    def check(i, name, lo, hi):
+        n = F.get("_n", F.lit(i))
         return F.struct(F.lit(name).alias("section"), n.alias("items"), F.lit(lo).alias("min_items"),
                         F.lit(hi).alias("max_items"), n.between(lo, hi).alias("within_range"))
 
-    return (docs.select(id_col, _lines(F.col(text_col)).alias("_lines"))
-            .withColumn("_kinds", F.transform(lines, line_kind))
-            .select(id_col, F.explode(F.array(*[check(*r) for r in ranges])).alias("c"))
+    return (docs.select(id_col, counts.alias("_n"))
+            .select(id_col, F.explode(F.array(*[check(i, *r) for i, r in enumerate(ranges)])).alias("c"))
             .select(id_col, "c.*"))
 
 
 # ---- D-03 number grounding ------------------------------------------------
 
 # a number not glued to a word character on its left (identifiers such as
-# "NATION_11" or hex tokens are not numbers); group 2 is the number
-NUMBER = r"(^|[^\w])(\d+(?:[.,]\d+)*)"
+# "NATION_11" or hex tokens are not numbers); group 2 is the number, group 3
+# the word that scales it ("1,75 mi")
+SCALES = {"mil": 1_000, "mi": 1_000_000, "milhão": 1_000_000, "milhões": 1_000_000,
+          "bi": 1_000_000_000, "bilhão": 1_000_000_000, "bilhões": 1_000_000_000}
+NUMBER = (r"(^|[^\w])(\d+(?:[.,]\d+)*)(?:[ \x{a0}](" + "|".join(sorted(SCALES, key=len, reverse=True))
+          + r")(?:[^\p{L}\p{N}_]|$))?")
 THOUSANDS_ONLY = r"^\d{1,3}(\.\d{3})+$"
 
 
@@ -186,26 +192,36 @@ def normalize_number(text: Column) -> Column:
 
 
 def grounding_keys(values: DataFrame, value_col: str) -> DataFrame:
-    """The accepted forms of every source number: as is, rounded to 2, 1 and
-    0 decimals, and truncated to an integer (reports round and truncate)."""
+    """The accepted forms of every source number, (scale, key): as is, or in
+    thousands, millions or billions, rounded or truncated to 2, 1 and 0
+    decimals (reports do both)."""
     v = F.col(value_col).cast("decimal(38,6)")
-    forms = F.array(v, F.round(v, 2).cast("decimal(38,6)"), F.round(v, 1).cast("decimal(38,6)"),
-                    F.round(v, 0).cast("decimal(38,6)"), F.floor(v).cast("decimal(38,6)"))
-    return (values.select(F.explode(forms).alias("key")).where(F.col("key").isNotNull())
-            .distinct())
+    forms = [F.struct(F.lit(1).cast("bigint").alias("scale"), v.alias("key"))]
+    for scale in sorted({1, *SCALES.values()}):
+        x = (v / F.lit(scale)).cast("decimal(38,9)")
+        for places in (0, 1, 2):
+            cut = F.floor(x * 10 ** places).cast("decimal(38,6)") / F.lit(10 ** places)
+            forms += [F.struct(F.lit(scale).cast("bigint").alias("scale"), y.cast("decimal(38,6)").alias("key"))
+                      for y in (F.round(x, places), cut)]
+    return (values.select(F.explode(F.array_distinct(F.array(*forms))).alias("k")).select("k.*")
+            .where(F.col("key").isNotNull()).distinct())
 
 
 def number_grounding(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:
     """D-03: every number in a text, normalised, flagged grounded when it
-    equals an accepted form of a source number (left join on the value;
-    ``keys`` is distinct, so the join never multiplies rows)."""
-    nums = docs.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(NUMBER), 2))
-                       .alias("pos", "number_text"))
-    nums = nums.withColumn("value", normalize_number(F.col("number_text")))
-    k = keys.select(F.col("key"), F.lit(True).alias("grounded"))
-    return (nums.join(k, nums["value"] == k["key"], "left")
+    equals an accepted form of a source number in its scale (left join on the
+    value; ``keys`` is distinct, so the join never multiplies rows)."""
+    text = F.col(text_col)
+    numbers, words = (F.regexp_extract_all(text, F.lit(NUMBER), F.lit(g)) for g in (2, 3))
+    nums = docs.select(id_col, F.posexplode(F.arrays_zip(numbers.alias("number_text"), words.alias("word")))
+                       .alias("pos", "m")).select(id_col, "pos", "m.number_text", "m.word")
+    scale = F.coalesce(F.try_element_at(F.create_map(*[x for w, n in SCALES.items() for x in (
+        F.lit(w), F.lit(n).cast("bigint"))]), F.col("word")), F.lit(1).cast("bigint"))
+    nums = nums.withColumn("value", normalize_number(F.col("number_text"))).withColumn("_scale", scale)
+    k = keys.select("scale", "key", F.lit(True).alias("grounded"))
+    return (nums.join(k, (nums["value"] == k["key"]) & (nums["_scale"] == k["scale"]), "left")
             .select(id_col, F.col("pos").cast("bigint").alias("pos"), "number_text",
-                    F.col("value").cast("double").alias("value"),
+                    F.col("value").cast("double").alias("value"), F.col("_scale").alias("scale"),
                     F.coalesce(F.col("grounded"), F.lit(False)).alias("grounded")))
 
 

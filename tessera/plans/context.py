@@ -13,6 +13,8 @@ from tessera.functions.text import bytes_text, thousands_text
 from tessera.operators import generate as G
 from tessera.operators import profile as PR
 from tessera.operators import render as R
+from tessera.plans.driver import with_unknown_customers
+from tessera.plans.oracle import UNKNOWN_CUSTOMERS
 from tessera.session import staging_path
 from tessera.sources import sinks as K
 from tessera.sources.tables import read_table
@@ -58,18 +60,29 @@ def dataset_totals(spark, sf_dir):
 
 
 def column_preview(spark, sf_dir):
-    return PR.column_preview(profile(spark, sf_dir))
+    return PR.column_preview([(t, read_table(spark, sf_dir, t)) for t in PROFILED])
 
 
-def orders_by_state(spark, sf_dir) -> DataFrame:
-    orders = read_table(spark, sf_dir, "orders")
+def orders_by_state(spark, sf_dir, orders: DataFrame | None = None) -> DataFrame:
+    """Orders with their customer's state; the state of an unknown customer
+    is null.  Every order stays."""
+    orders = read_table(spark, sf_dir, "orders") if orders is None else orders
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("state"))
-    return (orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return (orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "left")
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
             .select("state", *ORDER_COLS))
 
 
+def stored_orders_by_state(spark, sf_dir, orders: DataFrame | None = None) -> DataFrame:
+    """The same, joined once and written to the shared folder, for queries
+    that read it twice (totals and lines)."""
+    joined = orders_by_state(spark, sf_dir, orders)
+    path = staging_path(spark, "orders-by-state")
+    joined.write.parquet(path)
+    return spark.read.schema(joined.schema).parquet(path)
+
+
 def first_n_per_group(spark, sf_dir):
     return R.first_n_per_group(orders_by_state(spark, sf_dir), ["state"], ["o_orderkey"],
                                R.WEB_ROWS).select("state", "o_orderkey", "pos")
@@ -81,7 +94,14 @@ def sample_note(spark, sf_dir):
 
 
 def context_per_group(spark, sf_dir):
-    return R.context_blocks(orders_by_state(spark, sf_dir), ["state"], F.col("state"),
+    return R.context_blocks(stored_orders_by_state(spark, sf_dir), ["state"], F.col("state"),
+                            ["o_orderkey"], R.WEB_ROWS, ORDER_COLS)
+
+
+def context_null_group(spark, sf_dir):
+    """A-21 where the orders of unknown customers form the null group."""
+    orders = with_unknown_customers(read_table(spark, sf_dir, "orders"))
+    return R.context_blocks(stored_orders_by_state(spark, sf_dir, orders), ["state"], F.col("state"),
                             ["o_orderkey"], R.WEB_ROWS, ORDER_COLS)
 
 
@@ -156,15 +176,43 @@ def generate_fallback(spark, sf_dir):
     return out.select("state", "text", "candidate", "tried", "attempts", "error_kind")
 
 
+def _failing_clients() -> dict:
+    def broken(prompt):
+        raise ValueError("bad request")
+
+    return {"digest-model": broken}
+
+
 def generate_store(spark, sf_dir):
-    """A-27 resumable: the per-state prompts generated into a store under the
-    shared folder, then the same batch run again; the second run finds every
-    key stored and generates nothing, so each prompt is stored once."""
+    """A-27 resumable, every prompt twice in the batch: a run whose client
+    fails, one that works, and one whose client fails again.  The failures of
+    the first stay pending, the results of the second are final, and each
+    prompt is generated once a run."""
     store = staging_path(spark, "generated")
-    ask = prompts(spark, sf_dir)
-    for _ in range(2):
-        out = G.generate_into(ask, "prompt", ["state"], list(PRIMARY_FALLBACKS), _clients, store)
-    return out.select("state", "prompt_key", "text", "candidate", "attempts")
+    path = staging_path(spark, "asked")
+    ask = prompts(spark, sf_dir).select("state", "prompt", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    ask.write.parquet(path)
+    ask = spark.read.schema(ask.schema).parquet(path)
+    for clients in (_failing_clients, _clients, _failing_clients):
+        out = G.generate_into(ask, "prompt", ["state", "copy"], list(PRIMARY_FALLBACKS), clients, store)
+    stored = spark.read.parquet(store).groupBy("prompt_key").agg(F.count(F.lit(1)).alias("stored"))
+    return out.join(stored, "prompt_key").select(
+        "state", "copy", "prompt_key", "text", "candidate", "attempts", "error_kind", "stored")
+
+
+def generate_failures(spark, sf_dir):
+    """A-27, A-30: a client that always fails for a passing reason; attempts
+    and waits of the failing path are reported (deadline by elapsed time)."""
+    def factory():
+        def busy(prompt):
+            raise G.TransientError("503 try again")
+        return {"digest-model": busy}
+
+    out = G.generate(prompts(spark, sf_dir), "prompt", ["state"], list(PRIMARY_FALLBACKS), factory,
+                     G.RetryPolicy(initial=0.001, multiplier=1.0, maximum=0.001, deadline=0.0015),
+                     partitions=4)
+    return out.select("state", "text", "candidate", "error_kind", "error",
+                      (F.col("attempts") >= 2).alias("retried"))
 
 
 def _flaky_clients() -> dict:
@@ -226,7 +274,16 @@ def error_kinds(spark, sf_dir):
 def write_text(spark, sf_dir):
     path = staging_path(spark, "markdown")
     K.write_markdown(context_per_group(spark, sf_dir), "context", path, key_col="state")
-    return K.read_markdown(spark, path, "context").select("state", "context")
+    return K.read_markdown(spark, path, "context", "state").select("state", "context")
+
+
+def write_text_keys(spark, sf_dir):
+    """A-31 with keys that look like numbers: two-digit nation codes stay text."""
+    path = staging_path(spark, "markdown-keys")
+    nation = read_table(spark, sf_dir, "nation").select(
+        F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("code"), F.col("n_name").alias("text"))
+    K.write_markdown(nation, "text", path, key_col="code")
+    return K.read_markdown(spark, path, "text", "code").select("code", "text")
 
 
 def write_envelope(spark, sf_dir):
@@ -241,15 +298,22 @@ def write_envelope(spark, sf_dir):
         F.col("t.truncated_for_prompt").alias("truncated_for_prompt"))
 
 
+def error_responses(spark, sf_dir):
+    """A-29: status and text for the caller, by the stage that failed."""
+    e = _errors(spark, sf_dir).withColumn("stage", F.element_at(
+        F.array(F.lit("upload"), F.lit("generation"), F.lit("other")), (F.col("event_id") % 3 + 1).cast("int")))
+    r = ERR.response(F.col("stage"), F.col("error_type"), F.col("message"))
+    return e.select("stage", r.alias("r")).groupBy("stage", "r.status", "r.detail").agg(
+        F.count(F.lit(1)).alias("errors"))
+
+
 def write_error_envelope(spark, sf_dir):
-    """A-32, error form: a strict upload check stops at the first rejected
-    upload (by position); its message goes out with the profile of the
-    loaded tables, written as JSON and read back."""
-    from tessera.plans import ingest as I
-    from tessera.sources import files as S
-
-    checked = S.validate(I._pages_as_uploads(spark, sf_dir), limit_mb=I.UPLOAD_LIMIT_MB)
-    message = S.first_rejection(checked, "page_id")  # a top-1, the only row on the driver
+    """A-32, error form: a generation fails; the caller gets the public text
+    of its error with the profile of the tables that were loaded, written as
+    JSON and read back.  (A rejected upload is a plain 400, see
+    ``error_responses``.)"""
+    failed = _errors(spark, sf_dir).where("error_type = 'ReadTimeout'").orderBy("event_id").limit(1)
+    message = failed.select(ERR.public_text(F.col("error_type"), F.col("message")).alias("m")).first().m
     path = staging_path(spark, "error-envelope")
     K.write_json(K.error_envelope(F.lit(message), profile(spark, sf_dir)), path)
     back = spark.read.json(path)
@@ -268,6 +332,7 @@ QUERIES = {
     "sample_note": sample_note,
     "context_table": context_table,
     "context_per_group": context_per_group,
+    "context_null_group": context_null_group,
     "context_dataset": context_dataset,
     "prompt_fill": prompt_fill,
     "prompt_full": prompt_full,
@@ -276,9 +341,12 @@ QUERIES = {
     "generate_fallback": generate_fallback,
     "generate_retry": generate_retry,
     "generate_store": generate_store,
+    "generate_failures": generate_failures,
     "unavailable_errors": unavailable_errors,
     "error_kinds": error_kinds,
+    "error_responses": error_responses,
     "write_text": write_text,
+    "write_text_keys": write_text_keys,
     "write_envelope": write_envelope,
     "write_error_envelope": write_error_envelope,
 }
@@ -297,11 +365,6 @@ def _profile_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
-def _validated_sql() -> str:
-    from tessera.plans.ingest import VALIDATED_SQL
-    return VALIDATED_SQL
-
-
 def _line(cols: list[str]) -> str:
     cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'None')" for c in cols)
     return f"concat_ws(' | ', {cells}) || {NL}"
@@ -320,15 +383,15 @@ def _note(total: str, n: int) -> str:
 
 OBS = """
 obs AS (SELECT n.n_name AS state, o.* FROM orders o
-        JOIN customer c ON o.o_custkey = c.c_custkey
-        JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+        LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+        LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
 
 CTX_GROUP = f"""{OBS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY o_orderkey) AS pos,
                   count(*) OVER (PARTITION BY state) AS total FROM obs),
 lines AS (SELECT state, total, string_agg({_line(ORDER_COLS)}, '' ORDER BY pos) AS rows_text
           FROM ranked WHERE pos <= {R.WEB_ROWS} GROUP BY state, total),
-ctx AS (SELECT state, {_head('state', ORDER_COLS)} || {_note('total', R.WEB_ROWS)} || rows_text
+ctx AS (SELECT state, {_head("coalesce(state, 'None')", ORDER_COLS)} || {_note('total', R.WEB_ROWS)} || rows_text
                AS context, total AS rows FROM lines)"""
 
 
@@ -403,6 +466,10 @@ FROM t"""
 
 SQL["context_per_group"] = f"WITH {CTX_GROUP} SELECT * FROM ctx"
 
+SQL["context_null_group"] = SQL["context_per_group"].replace("FROM orders o", f"FROM {UNKNOWN_CUSTOMERS} o")
+
+SQL["write_text_keys"] = "SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS code, n_name AS text FROM nation"
+
 SQL["context_table"] = f"WITH {BLOCKS} SELECT table_name, context, rows FROM blocks"
 
 SQL["context_dataset"] = f"WITH {BLOCKS} SELECT string_agg(context, '' ORDER BY table_order) AS context FROM blocks"
@@ -439,8 +506,13 @@ SELECT state, md5(prompt) AS text, 'digest-model' AS candidate,
 FROM pf"""
 
 SQL["generate_store"] = f"""WITH {PROMPTS}
-SELECT state, sha256(prompt) AS prompt_key, md5(prompt) AS text, 'digest-model' AS candidate,
-       2 AS attempts
+SELECT state, copy, sha256(prompt) AS prompt_key, md5(prompt) AS text, 'digest-model' AS candidate,
+       2 AS attempts, CAST(NULL AS VARCHAR) AS error_kind, 2 AS stored
+FROM pf, (SELECT unnest([1, 2]) AS copy)"""
+
+SQL["generate_failures"] = f"""WITH {PROMPTS}
+SELECT state, CAST(NULL AS VARCHAR) AS text, 'digest-model' AS candidate, 'transient' AS error_kind,
+       'TransientError: 503 try again' AS error, true AS retried
 FROM pf"""
 
 SQL["generate_retry"] = f"""WITH {PROMPTS}
@@ -455,24 +527,26 @@ SELECT event_id, error_type, message,
        OR lm LIKE '%is not found%' OR lm LIKE '%not supported for generatecontent%' AS unavailable
 FROM ck"""
 
-SQL["error_kinds"] = f"""WITH {ERRORS},
-k AS (SELECT client_kind,
-             CASE WHEN client_kind = 'certificate' OR detail LIKE '%certificate_verify_failed%'
-                       OR detail LIKE '%certificado ssl%' THEN 'certificate'
-                  WHEN client_kind = 'timeout' OR detail LIKE '%tempo limite excedido%'
-                       OR detail LIKE '%read timed out%' OR detail LIKE '%timeout%' THEN 'timeout'
-                  WHEN detail LIKE '%10013%' OR detail LIKE '%permission denied%' THEN 'blocked'
-                  ELSE 'other' END AS public_kind,
-             CASE WHEN client_kind = 'timeout' OR detail LIKE '%tempo limite excedido%'
-                       OR detail LIKE '%read timed out%' OR detail LIKE '%timeout%' THEN 504 ELSE 502 END
-               AS status,
-             CASE WHEN lm LIKE '%certificado%' OR lm LIKE '%certificate_verify_failed%' THEN 'certificate'
-                  WHEN lm LIKE '%tempo limite%' OR lm LIKE '%read timed out%' OR lm LIKE '%timeout%'
-                    THEN 'timeout'
-                  WHEN lm LIKE '%10013%' OR lm LIKE '%permission denied%' THEN 'blocked'
-                  ELSE 'other' END AS browser_kind
-      FROM ck)
-SELECT client_kind, public_kind, status, browser_kind, count(*) AS errors FROM k
+KINDS = """
+k0 AS (SELECT *,
+              CASE WHEN client_kind = 'certificate' OR detail LIKE '%certificate_verify_failed%'
+                        OR detail LIKE '%certificado ssl%' THEN 'certificate'
+                   WHEN client_kind = 'timeout' OR detail LIKE '%tempo limite excedido%'
+                        OR detail LIKE '%read timed out%' OR detail LIKE '%timeout%' THEN 'timeout'
+                   WHEN detail LIKE '%10013%' OR detail LIKE '%permission denied%' THEN 'blocked'
+                   ELSE 'other' END AS public_kind,
+              CASE WHEN client_kind = 'timeout' OR detail LIKE '%tempo limite excedido%'
+                        OR detail LIKE '%read timed out%' OR detail LIKE '%timeout%' THEN 504 ELSE 502 END
+                AS status,
+              CASE WHEN lm LIKE '%certificado%' OR lm LIKE '%certificate_verify_failed%' THEN 'certificate'
+                   WHEN lm LIKE '%tempo limite%' OR lm LIKE '%read timed out%' OR lm LIKE '%timeout%'
+                     THEN 'timeout'
+                   WHEN lm LIKE '%10013%' OR lm LIKE '%permission denied%' THEN 'blocked'
+                   ELSE 'other' END AS browser_kind
+       FROM ck)"""
+
+SQL["error_kinds"] = f"""WITH {ERRORS}, {KINDS}
+SELECT client_kind, public_kind, status, browser_kind, count(*) AS errors FROM k0
 GROUP BY ALL"""
 
 SQL["write_text"] = f"WITH {CTX_GROUP} SELECT state, context FROM ctx"
@@ -483,8 +557,23 @@ SELECT (SELECT string_agg(r_name, ', ' ORDER BY r_regionkey) FROM region) AS ana
        CAST(len(columns) AS BIGINT) AS n_columns, truncated_for_prompt
 FROM p"""
 
-SQL["write_error_envelope"] = f"""WITH val AS ({_validated_sql()}), p AS ({_profile_sql()})
-SELECT (SELECT message FROM val WHERE NOT accepted ORDER BY page_id LIMIT 1) AS message,
+def _public_sql(kind: str, message: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in ERR.PUBLIC_TEXT.items())
+    return f"CASE {kind} {whens} ELSE {message} END"
+
+
+SQL["error_responses"] = f"""WITH {ERRORS}, {KINDS},
+s AS (SELECT *, ['upload', 'generation', 'other'][event_id % 3 + 1] AS stage FROM k0)
+SELECT stage,
+       CASE stage WHEN 'upload' THEN 400 WHEN 'generation' THEN status ELSE 500 END AS status,
+       CASE stage WHEN 'upload' THEN message WHEN 'generation' THEN {_public_sql('public_kind', 'message')}
+            ELSE 'Erro inesperado ao processar os arquivos: ' || message END AS detail,
+       count(*) AS errors
+FROM s GROUP BY ALL"""
+
+SQL["write_error_envelope"] = f"""WITH {ERRORS}, {KINDS}, p AS ({_profile_sql()})
+SELECT (SELECT {_public_sql('public_kind', 'message')} FROM k0 WHERE error_type = 'ReadTimeout'
+        ORDER BY event_id LIMIT 1) AS message,
        (SELECT count(*) FROM p) AS table_count, table_name, rows,
        CAST(len(columns) AS BIGINT) AS n_columns, truncated_for_prompt
 FROM p"""

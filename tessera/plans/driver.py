@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import findings as C
 from tessera.operators import measures as B
+from tessera.roles import Roles
 from tessera.session import staging_path
 from tessera.sources.tables import read_table
 
@@ -78,7 +79,34 @@ def satisfaction(spark, sf_dir):
 
 
 def kpi_cuts(spark, sf_dir):
-    return B.kpi_cuts(facts_with_state(spark, sf_dir))
+    """The total, month and state cuts aggregate the stored fact, the category
+    cut joins its flags to the items combined per order and category."""
+    f = stored_facts(spark, sf_dir)
+    by_category = B.category_orders(f, _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "part"))
+    return B.kpi_cuts(f, by_category)
+
+
+FINE = Roles(price_decimals=2, discount_decimals=3)
+
+
+def revenue_fine_discounts(spark, sf_dir):
+    """B-02 on discounts of three decimals (12.5 % and the like): the revenue
+    by state keeps them, whatever their places, as ``Roles`` declares them."""
+    items = _t(spark, sf_dir, "lineitem").withColumn(
+        "l_discount", F.col("l_discount") + (F.col("l_orderkey") % 10) / 1000)
+    f = B.with_state(B.order_facts(_t(spark, sf_dir, "orders"), items, FINE),
+                     _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation"))
+    return B.state_performance(f, FINE).select("state", "orders", "revenue", "ticket")
+
+
+def satisfaction_many_reviews(spark, sf_dir):
+    """B-09 with several reviews per entity: every third labelled document is
+    reviewed three times, once with the opposite score."""
+    labels = _t(spark, sf_dir, "labels")
+    again = labels.where(F.col("doc_id") % 3 == 0)
+    opposite = again.withColumn("quality", 1 - F.col("quality"))
+    return B.satisfaction(_t(spark, sf_dir, "documents"),
+                          labels.unionByName(again).unionByName(opposite))
 
 
 # ---- group C -------------------------------------------------------------
@@ -115,6 +143,24 @@ def cross_table_pattern(spark, sf_dir):
                                  "state", "revenue", "late_rate", "suppliers")
 
 
+def pattern_missing_side(spark, sf_dir):
+    """C-05 with states that have no supplier at all (every nation whose key
+    is divisible by five) and orders of unknown customers (the null state)."""
+    kept = suppliers_by_state(spark, sf_dir).join(
+        _t(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0").select(F.col("n_name").alias("state")),
+        "state", "left_semi")
+    orders = with_unknown_customers(_t(spark, sf_dir, "orders"))
+    f = B.with_state(B.order_facts(orders, _t(spark, sf_dir, "lineitem")),
+                     _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation"))
+    return C.cross_table_pattern(B.state_performance(f), kept, "state", "revenue", "late_rate", "suppliers")
+
+
+def with_unknown_customers(orders: DataFrame) -> DataFrame:
+    """Every seventh order points at a customer that does not exist."""
+    return orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 == 0, -1)
+                             .otherwise(F.col("o_custkey")).cast("bigint"))
+
+
 def value_at_risk(spark, sf_dir):
     return C.value_at_risk(state_performance(spark, sf_dir), "state", "revenue", "late_rate",
                            RISK_THRESHOLD)
@@ -153,12 +199,15 @@ QUERIES = {
     "state_performance": state_performance,
     "sales_by_category": sales_by_category,
     "satisfaction": satisfaction,
+    "satisfaction_many_reviews": satisfaction_many_reviews,
+    "revenue_fine_discounts": revenue_fine_discounts,
     "kpi_cuts": kpi_cuts,
     "share_of_total": share_of_total,
     "top_k_concentration": top_k_concentration,
     "benchmark_ratio": benchmark_ratio,
     "worst_k": worst_k,
     "cross_table_pattern": cross_table_pattern,
+    "pattern_missing_side": pattern_missing_side,
     "value_at_risk": value_at_risk,
     "gaps_by_user": gaps_by_user,
     "monthly_interruptions": monthly_interruptions,

@@ -7,10 +7,12 @@ operator on what was written; their oracle reads the original table.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import locale_number, safe_name
+from tessera.functions.text import locale_stats as locale_counts
 from tessera.operators import clean as A
 from tessera.session import staging_path
 from tessera.sources import files as S
@@ -46,7 +48,14 @@ def _stage_catalog(spark, sf_dir) -> str:
 
 
 def catalog_resolve(spark, sf_dir):
-    return S.resolve_catalog(spark, _stage_catalog(spark, sf_dir), CATALOG)
+    """The resolved file of each table with the records it holds."""
+    root = _stage_catalog(spark, sf_dir)
+    resolved = S.resolve_catalog(spark, root, CATALOG)
+    names = [r.resolved_file for r in resolved.collect()]
+    records = (spark.read.options(**S.CSV_OPTIONS).schema("c0 string").csv([f"{root}/{n}" for n in names])
+               .groupBy(S.entry_of(S.decoded(F.col("_metadata.file_path")), root).alias("resolved_file"))
+               .agg(F.count(F.lit(1)).alias("records")))
+    return resolved.join(records, "resolved_file", "left")
 
 
 def catalog_load(spark, sf_dir):
@@ -73,6 +82,56 @@ def scan_csv_roundtrip(spark, sf_dir):
     return S.read_csv(spark, path, docs.schema)
 
 
+def _stage_lines(df: DataFrame, line: str, header: str, label: str) -> str:
+    """Text lines with a header line at the start of every part file."""
+    path = staging_path(df.sparkSession, label)
+
+    def with_header(batches):
+        yield pd.DataFrame({"value": [header]})
+        for batch in batches:
+            yield batch
+
+    df.select(F.col(line).alias("value")).mapInPandas(with_header, "value string").write.text(path)
+    return path
+
+
+def scan_csv_ragged(spark, sf_dir):
+    """A-03 on orders as text lines of two cells, where every tenth has one
+    cell more (quoted separators don't count) and every seventh one less:
+    the longer ones are rejected, the shorter ones end in a null."""
+    orders = read_table(spark, sf_dir, "orders")
+    key, k = F.col("o_orderkey").cast("string"), F.col("o_orderkey")
+    line = (F.when(k % 10 == 0, F.concat(key, F.lit(",a,b"))).when(k % 7 == 0, key)
+            .otherwise(F.concat(key, F.lit(',"'), F.col("o_orderstatus"), F.lit(',""x"""'))))
+    path = _stage_lines(orders.withColumn("line", line), "line", "id,status", "ragged")
+    rows, rejected = S.scan_csv(spark, path)
+    return rows.select("id", "status", F.lit(2).alias("cells"), F.lit(None).cast("string").alias("reason")).unionByName(
+        rejected.select(F.col("record").alias("id"), F.lit(None).cast("string").alias("status"), "cells", "reason"))
+
+
+def scan_csv_types(spark, sf_dir):
+    """A-03 inference: whole numbers beside missing-value tokens, decimals, a
+    month that stays text, booleans and a repeated header name."""
+    orders = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    line = F.concat_ws(",", k.cast("string"), F.when(k % 6 == 0, F.lit("NA")).otherwise((k * 2).cast("string")),
+                       F.concat(k.cast("string"), F.lit(".5")), F.date_format("o_orderdate", "yyyy-MM"),
+                       F.when(k % 2 == 0, F.lit("True")).otherwise(F.lit("False")))
+    path = _stage_lines(orders.withColumn("line", line), "line", "id,n,n,month,even", "types")
+    df = S.read_csv(spark, path)
+    kinds = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.select("id", "n", F.col("`n.1`").alias("n_1"), "month", "even", F.lit(kinds).alias("kinds"))
+
+
+def require_one_file(spark, sf_dir):
+    """A-07a: nations as upload requests, suppliers with a large balance as
+    their files; requests without a file get the message."""
+    nation = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("request"))
+    files = read_table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(
+        F.col("s_nationkey").alias("request"), F.col("s_name").alias("file_name"))
+    return S.requests_with_files(nation, files, "request")
+
+
 WORKBOOK_CHUNK = 50000
 
 
@@ -88,6 +147,23 @@ def scan_workbook(spark, sf_dir):
     return W.sheet_table(W.read_workbooks(spark, root), customer.schema).drop("path", "sheet")
 
 
+ORDERS_CHUNK = 5000
+
+
+def scan_workbook_dates(spark, sf_dir):
+    """Orders with their date, staged as workbooks of some thousand rows; odd
+    ones use the 1904 date system and carry no cell references.  Dates come
+    back as timestamps."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    block = F.floor(F.col("o_orderkey") / ORDERS_CHUNK)
+    name = F.concat(F.when(block % 2 == 1, F.lit("odd")).otherwise(F.lit("even")), block.cast("string"))
+    root = staging_path(spark, "workbook-dates")
+    columns = ["o_orderkey", "o_orderdate", "o_orderstatus"]
+    W.write_workbooks(orders.withColumn("_file", name).withColumn("_sheet", F.lit("p")), "_file", "_sheet", root,
+                      columns, late="odd").write.format("noop").mode("overwrite").save()
+    return W.sheet_table(W.read_workbooks(spark, root, limit_mb=64), orders.schema).select(*columns)
+
+
 def _pages_as_uploads(spark, sf_dir) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
     ext = (F.when(F.col("page_id") % 4 == 0, F.lit(".csv"))
@@ -105,10 +181,9 @@ def ingest_validate(spark, sf_dir):
 def ingest_manifest(spark, sf_dir):
     """Staged upload folder: CSV tables (orders and customers grow with the
     data), a text dump and an empty upload; one manifest row each with the
-    validation outcome.  Byte sizes and part-file counts depend on the CSV
-    writer, so they stay out of the result, and so does the size rule (the
-    orders CSV passes 12 MB at larger scales; ``ingest_validate`` checks
-    that rule exactly)."""
+    validation outcome and the records of the accepted ones.  Byte sizes and
+    part-file counts depend on the CSV writer, so they stay out of the result
+    (``ingest_validate`` checks the size rule exactly)."""
     root = staging_path(spark, "uploads")
     stage_csv(read_table(spark, sf_dir, "orders"), f"{root}/pedidos.csv")
     stage_csv(read_table(spark, sf_dir, "customer"), f"{root}/clientes.csv")
@@ -118,15 +193,21 @@ def ingest_manifest(spark, sf_dir):
     read_table(spark, sf_dir, "region").where("false").select("r_name").write.text(f"{root}/vazio.csv")
     entries = S.entry_names(spark, root).withColumnRenamed("entry", "file_name")
     named = entries.withColumn("table_name", safe_name(F.regexp_replace("file_name", r"\.[^.]+$", "")))
-    return S.validate(named, size_col="bytes", limit_mb=None).select(
-        "file_name", "table_name", "reason", "message", "accepted")
+    checked = S.validate(named, size_col="bytes", largest_col="largest")
+    names = [r.file_name for r in checked.where("accepted").select("file_name").collect()]
+    records = (spark.read.options(**S.CSV_OPTIONS).schema("c0 string").csv([f"{root}/{n}" for n in names])
+               .groupBy(S.entry_of(S.decoded(F.col("_metadata.file_path")), root).alias("file_name"))
+               .agg(F.count(F.lit(1)).alias("records")))
+    return checked.join(records, "file_name", "left").select(
+        "file_name", "table_name", "reason", "message", "accepted", "records")
 
 
 def ingest_uploads(spark, sf_dir):
     """A-05 end to end, quarantine mode: an upload folder with orders and
     customers as CSV, the customers again as workbooks (one per nation and
-    key block, one sheet per market segment) and a rejected text file; the
-    result is the profile of every table read."""
+    key block, one sheet per market segment), a text file and an empty one;
+    the result is the profile of every table read, and every rejected file
+    with its reason."""
     root = staging_path(spark, "upload-folder")
     stage_csv(read_table(spark, sf_dir, "orders"), f"{root}/pedidos.csv")
     customer = read_table(spark, sf_dir, "customer")
@@ -136,22 +217,26 @@ def ingest_uploads(spark, sf_dir):
     W.write_workbooks(customer.withColumn("_file", name), "_file", "c_mktsegment", root,
                       customer.columns).write.format("noop").mode("overwrite").save()
     read_table(spark, sf_dir, "benchmark").select("text").write.text(f"{root}/notes.txt")
-    _, profile = UP.load_uploads(spark, root, limit_mb=None, strict=False)
+    read_table(spark, sf_dir, "region").where("false").select("r_name").write.text(f"{root}/vazio.csv")
+    _, profile, rejected = UP.load_uploads(spark, root, strict=False)
     return profile.select("table_name", "source_file", "rows",
                           F.size("columns").cast("bigint").alias("n_columns"),
-                          "truncated_for_prompt", "position", "superseded")
+                          "truncated_for_prompt", "position", "superseded").unionByName(
+        rejected.select(F.col("file_name").alias("source_file"), "reason"), allowMissingColumns=True)
 
 
 STREAM_TABLES = ("nation", "region", "customer", "orders")
+HEADER_ONLY = "part"
 
 
 def upload_stream(spark, sf_dir):
-    """Streaming upload flow: CSV uploads (and a rejected text upload) in a
-    drop folder, eight files per micro-batch, profiled per batch; the result
+    """Streaming upload flow: CSV uploads (one with a header only, and a
+    rejected text upload) in a drop folder, eight files per micro-batch, profiled per batch; the result
     is the row count per uploaded table over all batches."""
     root = staging_path(spark, "drop")
     for t in STREAM_TABLES:
         stage_csv(read_table(spark, sf_dir, t), f"{root}/{t}.csv")
+    stage_csv(read_table(spark, sf_dir, HEADER_ONLY).where("false").coalesce(1), f"{root}/{HEADER_ONLY}.csv")
     read_table(spark, sf_dir, "benchmark").select("text").write.text(f"{root}/notes.txt")
     work = staging_path(spark, "stream")
     U.run_upload_stream(spark, root, f"{work}/sink", f"{work}/checkpoint", max_files=8)
@@ -214,6 +299,18 @@ def locale_numbers(spark, sf_dir):
                          "pct_text", locale_number(F.col("pct_text")).alias("ratio"))
 
 
+def locale_stats(spark, sf_dir):
+    """A-11 before parsing: a column that mixes locale text, plain numbers and
+    text without any number, counted and parsed per part size."""
+    part = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    text = (F.when(k % 4 == 0, F.concat(F.lit("$"), F.translate(F.col("p_retailprice").cast("decimal(12,2)").cast("string"), ".", ",")))
+            .when(k % 4 == 1, F.concat(F.col("p_size").cast("string"), F.lit(".5")))
+            .when(k % 4 == 2, F.lit("n/d")))
+    return part.select("p_size", text.alias("t")).groupBy("p_size").agg(
+        *locale_counts(F.col("t")), F.round(F.sum(locale_number(F.col("t"))), 4).alias("total"))
+
+
 def strip_columns(spark, sf_dir):
     part = read_table(spark, sf_dir, "part")
     padded = part.select(F.col("p_partkey").alias(" p_partkey "), F.col("p_name").alias("\tp_name"),
@@ -236,13 +333,20 @@ def name_collision(spark, sf_dir):
 
 
 def to_records(spark, sf_dir):
-    return A.to_records(read_table(spark, sf_dir, "customer"))
+    """Every fifth customer has no name: its key stays, with a null."""
+    customer = read_table(spark, sf_dir, "customer")
+    return A.to_records(customer.withColumn("c_name", F.when(F.col("c_custkey") % 5 > 0, F.col("c_name"))))
 
 
 QUERIES = {
     "catalog_resolve": catalog_resolve,
     "catalog_load": catalog_load,
     "scan_csv_roundtrip": scan_csv_roundtrip,
+    "scan_csv_ragged": scan_csv_ragged,
+    "scan_csv_types": scan_csv_types,
+    "scan_workbook_dates": scan_workbook_dates,
+    "require_one_file": require_one_file,
+    "locale_stats": locale_stats,
     "scan_workbook": scan_workbook,
     "ingest_manifest": ingest_manifest,
     "ingest_uploads": ingest_uploads,
@@ -272,10 +376,40 @@ def _mb_text(size: str) -> str:
 SQL: dict[str, str] = {}
 
 SQL["catalog_resolve"] = """
-SELECT * FROM (VALUES ('nation', 'nation.csv', CAST(1 AS BIGINT)),
-                      ('customer', 'clientes.csv', CAST(1 AS BIGINT)),
-                      ('orders', 'orders.csv', CAST(0 AS BIGINT)))
-  AS t(table_name, resolved_file, candidate_rank)"""
+SELECT 'nation' AS table_name, 'nation.csv' AS resolved_file, CAST(1 AS BIGINT) AS candidate_rank,
+       count(*) AS records FROM nation
+UNION ALL SELECT 'customer', 'clientes.csv', 1, count(*) FROM customer
+UNION ALL SELECT 'orders', 'orders.csv', 0, count(*) FROM orders"""
+
+SQL["scan_csv_ragged"] = """
+SELECT CASE WHEN o_orderkey % 10 = 0 THEN CAST(o_orderkey AS VARCHAR) || ',a,b' ELSE CAST(o_orderkey AS VARCHAR) END AS id,
+       CASE WHEN o_orderkey % 10 = 0 OR o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus || ',"x"' END AS status,
+       CASE WHEN o_orderkey % 10 = 0 THEN 3 ELSE 2 END AS cells,
+       CASE WHEN o_orderkey % 10 = 0 THEN 'ragged' END AS reason
+FROM orders"""
+
+SQL["scan_csv_types"] = """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey * 2 END AS n,
+       CAST(CAST(o_orderkey AS VARCHAR) || '.5' AS DOUBLE) AS n_1,
+       strftime(CAST(o_orderdate AS DATE), '%Y-%m') AS month, o_orderkey % 2 = 0 AS even,
+       'id:bigint,n:bigint,n.1:double,month:string,even:boolean' AS kinds
+FROM orders"""
+
+SQL["scan_workbook_dates"] = "SELECT o_orderkey, o_orderdate, o_orderstatus FROM orders"
+
+SQL["require_one_file"] = """
+SELECT n_nationkey AS request, count(s_name) AS files,
+       CASE WHEN count(s_name) = 0 THEN 'Envie pelo menos um arquivo CSV ou Excel.' END AS message
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000
+GROUP BY n_nationkey"""
+
+SQL["locale_stats"] = """
+SELECT p_size, count(CASE WHEN p_partkey % 4 < 3 THEN 1 END) AS values,
+       count(CASE WHEN p_partkey % 4 = 1 THEN 1 END) AS plain,
+       count(CASE WHEN p_partkey % 4 = 2 THEN 1 END) AS unparseable,
+       round(CAST(sum(CASE p_partkey % 4 WHEN 0 THEN CAST(p_retailprice AS DECIMAL(12,2))
+                           WHEN 1 THEN p_size + CAST(0.5 AS DECIMAL(12,2)) END) AS DOUBLE), 4) AS total
+FROM part GROUP BY p_size"""
 
 SQL["catalog_load"] = """
 SELECT 'nation' AS table_name, count(*) AS rows, CAST(3 AS BIGINT) AS n_columns,
@@ -292,14 +426,14 @@ SELECT {_SLUG.format(x="'clientes_' || CAST(c_nationkey AS VARCHAR) || '_' || "
 FROM customer"""
 
 SQL["ingest_manifest"] = """
-SELECT * FROM (VALUES
-  ('pedidos.csv', 'pedidos', NULL, NULL, true),
-  ('clientes.csv', 'clientes', NULL, NULL, true),
-  ('nation.csv', 'nation', NULL, NULL, true),
-  ('Região Norte.CSV', 'Região_Norte', NULL, NULL, true),
-  ('notes.txt', 'notes', 'unsupported', 'Formato não suportado em notes.txt. Use .csv, .xls, .xlsx.', false),
-  ('vazio.csv', 'vazio', 'empty', 'O arquivo vazio.csv está vazio.', false))
-  AS t(file_name, table_name, reason, message, accepted)"""
+SELECT 'pedidos.csv' AS file_name, 'pedidos' AS table_name, NULL AS reason, NULL AS message, true AS accepted,
+       (SELECT count(*) FROM orders) AS records
+UNION ALL SELECT 'clientes.csv', 'clientes', NULL, NULL, true, (SELECT count(*) FROM customer)
+UNION ALL SELECT 'nation.csv', 'nation', NULL, NULL, true, (SELECT count(*) FROM nation)
+UNION ALL SELECT 'Região Norte.CSV', 'Região_Norte', NULL, NULL, true, (SELECT count(*) FROM region)
+UNION ALL SELECT 'notes.txt', 'notes', 'unsupported', 'Formato não suportado em notes.txt. Use .csv, .xls, .xlsx.',
+       false, NULL
+UNION ALL SELECT 'vazio.csv', 'vazio', 'empty', 'O arquivo vazio.csv está vazio.', false, NULL"""
 
 SQL["ingest_uploads"] = f"""
 WITH books AS (
@@ -318,8 +452,10 @@ files AS (
   SELECT source_file, CAST(row_number() OVER (ORDER BY source_file) - 1 AS INTEGER) AS position
   FROM (SELECT DISTINCT source_file FROM tables))
 SELECT table_name, source_file, rows, n_columns, rows > 120 AS truncated_for_prompt, position,
-       false AS superseded
-FROM tables JOIN files USING (source_file)"""
+       false AS superseded, NULL AS reason
+FROM tables JOIN files USING (source_file)
+UNION ALL SELECT NULL, 'notes.txt', NULL, NULL, NULL, NULL, NULL, 'unsupported'
+UNION ALL SELECT NULL, 'vazio.csv', NULL, NULL, NULL, NULL, NULL, 'empty'"""
 
 _PAGES = """
 pages_up AS (
@@ -349,7 +485,8 @@ FROM v"""
 SQL["ingest_validate"] = VALIDATED_SQL
 
 SQL["upload_stream"] = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in STREAM_TABLES)
+    f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in STREAM_TABLES) + (
+    f" UNION ALL SELECT '{HEADER_ONLY}', 0")
 
 SQL["manifest_dedupe"] = """
 SELECT source, n_chars, md5(text) AS content_md5, min(doc_id) AS position, max(doc_id) AS kept,
@@ -412,6 +549,6 @@ SELECT table_name, doc_id, upload_name,
 FROM s"""
 
 SQL["to_records"] = """
-SELECT to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey,
+SELECT to_json({'c_custkey': c_custkey, 'c_name': CASE WHEN c_custkey % 5 > 0 THEN c_name END, 'c_nationkey': c_nationkey,
                 'c_acctbal': c_acctbal, 'c_mktsegment': c_mktsegment}) AS record
 FROM customer"""

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from tessera.plans import driver as P
 
-ITEM_UNITS = ("CAST(round(l_extendedprice * 100) AS BIGINT) * "
-              "(100 - CAST(round(l_discount * 100) AS BIGINT))")
+#: price * (1 - discount) as exact decimals, without rounding
+ITEM_UNITS = ("CAST(CAST(l_extendedprice AS DECIMAL(18,4)) AS DECIMAL(25,4)) * "
+              "(1 - CAST(l_discount AS DECIMAL(9,4)))")
 
 
 def money(units_expr: str) -> str:
-    """Integer money units (1/10000) summed, as a double amount."""
-    return f"coalesce(CAST(sum({units_expr}) AS DOUBLE) / 10000.0, 0.0)"
-
+    """Exact decimal sum as a double amount."""
+    return f"coalesce(CAST(sum({units_expr}) AS DOUBLE), 0.0)"
 
 
 FACTS = f"""
@@ -58,7 +58,7 @@ BY_MONTH_TAIL = f"""
 per_month AS (
   SELECT month, count(*) AS orders,
          count(CASE WHEN is_delivered THEN 1 END) AS delivered_orders,
-         CAST(sum(CASE WHEN is_delivered THEN order_units END) AS DOUBLE) / 10000.0 AS revenue
+         CAST(sum(CASE WHEN is_delivered THEN order_units END) AS DOUBLE) AS revenue
   FROM facts GROUP BY month),
 spine AS (
   SELECT strftime(d, '%Y-%m') AS month FROM (
@@ -105,23 +105,47 @@ SQL["sales_by_month"] = f"WITH {BY_MONTH} SELECT * FROM bm"
 
 SQL["sales_by_category"] = f"WITH {_by_category('p_type')} SELECT * FROM sc"
 
-SQL["satisfaction"] = """
-SELECT count(*) AS entities, count(l.doc_id) AS reviews,
-       round(avg(CAST(l.quality AS DOUBLE)), 6) AS avg_score,
-       round(count(l.doc_id) / count(*), 6) AS review_coverage,
-       round(avg(CAST(l.toxic AS DOUBLE)), 6) AS negative_share,
-       round(avg(CAST(l.quality = 1 AS DOUBLE)), 6) AS positive_share
-FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
-
-SQL["kpi_cuts"] = f"""WITH {FACTS}
-SELECT CASE WHEN grouping(month) = 1 AND grouping(state) = 1 THEN 'total'
-            WHEN grouping(month) = 0 THEN 'month' ELSE 'state' END AS cut,
-       coalesce(month, state) AS cut_key,
-       count(*) AS orders,
-       count(CASE WHEN is_delivered THEN 1 END) AS delivered_orders,
-       {money("CASE WHEN is_delivered THEN order_units END")} AS revenue,
-       round(avg(is_late), 6) AS late_rate
-FROM fs GROUP BY GROUPING SETS ((), (month), (state))"""
+def _satisfaction(reviews: str) -> str:
+    return f"""
+WITH r AS ({reviews}),
+d AS (SELECT count(*) AS entities, count(CASE WHEN doc_id IN (SELECT doc_id FROM r) THEN 1 END) AS reviewed
+      FROM documents),
+l AS (SELECT count(*) AS reviews, round(avg(CAST(quality AS DOUBLE)), 6) AS avg_score,
+             round(avg(CAST(toxic AS DOUBLE)), 6) AS negative_share,
+             round(avg(CAST(quality = 1 AS DOUBLE)), 6) AS positive_share
+      FROM r WHERE doc_id IN (SELECT doc_id FROM documents))
+SELECT entities, reviews, avg_score, round(reviewed / entities, 6) AS review_coverage,
+       negative_share, positive_share
+FROM d, l"""
+
+
+SQL["satisfaction"] = _satisfaction("SELECT doc_id, quality, toxic FROM labels")
+
+SQL["satisfaction_many_reviews"] = _satisfaction("""
+  SELECT doc_id, quality, toxic FROM labels
+  UNION ALL SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 1 - quality, toxic FROM labels WHERE doc_id % 3 = 0""")
+
+FINE_FACTS = FACTS.replace("FROM lineitem", "FROM (SELECT * REPLACE (CAST(l_discount AS DECIMAL(9,4)) "
+                           "+ CAST(l_orderkey % 10 AS DECIMAL(9,4)) / 1000 AS l_discount) FROM lineitem)")
+
+SQL["revenue_fine_discounts"] = f"""WITH {FINE_FACTS},{STATE_PERF_TAIL}
+SELECT state, orders, revenue, ticket FROM sp"""
+
+SQL["kpi_cuts"] = f"""WITH {FACTS},
+cat_pairs AS (
+  SELECT p.p_type AS category, l.l_orderkey, sum({ITEM_UNITS}) AS order_units
+  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey GROUP BY ALL),
+cat_facts AS (
+  SELECT c.category, c.order_units, f.is_delivered, f.delivery_days, f.is_late
+  FROM cat_pairs c JOIN facts f ON c.l_orderkey = f.o_orderkey),
+cuts AS (
+  SELECT CASE WHEN grouping(month) = 1 AND grouping(state) = 1 THEN 'total'
+              WHEN grouping(month) = 0 THEN 'month' ELSE 'state' END AS cut,
+         coalesce(month, state) AS cut_key, {KPI_COLS}
+  FROM fs GROUP BY GROUPING SETS ((), (month), (state))
+  UNION ALL SELECT 'category', category, {KPI_COLS} FROM cat_facts GROUP BY category)
+SELECT *, {TICKET} FROM cuts"""
 
 SQL["share_of_total"] = f"""WITH {STATE_PERF}
 SELECT *, round(revenue / {EXACT_TOTAL}, 6) AS revenue_share FROM sp"""
@@ -150,16 +174,26 @@ r AS (SELECT state, late_rate, delivered_orders,
       FROM sp WHERE delivered_orders >= {P.MIN_VOLUME} AND late_rate IS NOT NULL)
 SELECT * FROM r WHERE rank <= {P.WORST_K}"""
 
-SQL["cross_table_pattern"] = f"""WITH {STATE_PERF},
+def _pattern(suppliers: str) -> str:
+    return f"""
 sup AS (SELECT n.n_name AS state, count(*) AS suppliers
-        FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name),
-j AS (SELECT sp.state, sp.revenue, sp.late_rate, sup.suppliers
-      FROM sp JOIN sup ON sp.state = sup.state),
+        FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey {suppliers} GROUP BY n.n_name),
+j AS (SELECT sp.state, sp.revenue, sp.late_rate, coalesce(sup.suppliers, 0) AS suppliers
+      FROM sp LEFT JOIN sup ON sp.state IS NOT DISTINCT FROM sup.state),
 f AS (SELECT *, revenue >= avg(revenue) OVER () AS high_revenue,
               late_rate >= avg(late_rate) OVER () AS high_late_rate,
               suppliers < avg(suppliers) OVER () AS low_suppliers FROM j)
 SELECT *, high_revenue AND high_late_rate AND low_suppliers AS pattern FROM f"""
 
+
+SQL["cross_table_pattern"] = f"WITH {STATE_PERF}, {_pattern('')}"
+
+UNKNOWN_CUSTOMERS = ("(SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE o_custkey END AS o_custkey) "
+                     "FROM orders)")
+UNKNOWN_STATE_PERF = STATE_PERF.replace("FROM orders o", f"FROM {UNKNOWN_CUSTOMERS} o")
+
+SQL["pattern_missing_side"] = f"WITH {UNKNOWN_STATE_PERF}, {_pattern('WHERE n.n_nationkey % 5 <> 0')}"
+
 SQL["value_at_risk"] = f"""WITH {STATE_PERF},
 r AS (SELECT state, revenue, late_rate FROM sp WHERE late_rate > {P.RISK_THRESHOLD})
 SELECT *, {EXACT_TOTAL} AS value_at_risk FROM r"""

@@ -11,14 +11,14 @@ from tessera.operators import measures as B
 from tessera.operators import report as RP
 from tessera.plans import driver as P
 from tessera.plans import oracle as O
-from tessera.sources.tables import read_table, spread
+from tessera.sources.tables import read_table
 
 REPORT_STATES = 5
 REPORT_RISKS = 4
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def markdown_blocks(spark, sf_dir):
@@ -44,18 +44,40 @@ def number_grounding(spark, sf_dir):
     return RP.number_grounding(_docs(spark, sf_dir), "doc_id", "text", _part_keys(spark, sf_dir))
 
 
+def grounding_scaled(spark, sf_dir):
+    """D-03 on texts that scale and cut their numbers: per state "R$ x,xx mi"
+    (truncated) and the late rate with one decimal (truncated), and a made-up
+    amount that must not be grounded."""
+    facts = P.stored_facts(spark, sf_dir)
+    sp = B.state_performance(facts).where("state IS NOT NULL")
+    cents = F.floor(F.col("revenue") / 10000).cast("bigint")
+    tenth = F.floor(F.col("late_rate").cast("decimal(38,6)") * 1000).cast("bigint")
+
+    def text(n, base):
+        return F.concat(F.floor(n / base).cast("bigint").cast("string"), F.lit(","),
+                        F.lpad((n % base).cast("string"), len(str(base)) - 1, "0"))
+
+    docs = sp.select("state", F.concat(F.lit("R$ "), text(cents, 100), F.lit(" mi, atraso de "), text(tenth, 10),
+                                       F.lit("%; meta de 987654321,5 mil.")).alias("text"))
+    return RP.number_grounding(docs, "state", "text", _measure_keys(facts))
+
+
 def report(spark, sf_dir):
     """C-10: the four required sections; every number is a formatted column."""
     return report_from(P.facts_with_state(spark, sf_dir))
 
 
-def report_from(facts: DataFrame) -> DataFrame:
+UNKNOWN_STATE = "(sem estado)"
+
+
+def report_from(facts: DataFrame, unknown: str = UNKNOWN_STATE) -> DataFrame:
     """C-10 over the per-order fact as one linear plan: one GROUPING SETS
     aggregation gives the general row and the state rows; the section ranks
     are windows over those few rows; each row emits the lines of the
     sections it belongs to (``explode``) and the ordered ``listagg`` joins
     them.  Nothing branches, so the facts are computed once, whatever
-    columns each section uses."""
+    columns each section uses.  Orders without a state are a group like any
+    other, under the label ``unknown``."""
     rows = C.share_of_total(B.kpi_cut_rows(facts, "state"), "revenue", "revenue_share", ["is_total"])
     risky = F.col("late_rate") > P.RISK_THRESHOLD
     eligible = (F.col("delivered_orders") >= P.MIN_VOLUME) & F.col("late_rate").isNotNull()
@@ -69,7 +91,7 @@ def report_from(facts: DataFrame) -> DataFrame:
         rank(None, F.col("revenue").desc(), F.col("state")).alias("by_revenue"),
         rank(risky, F.col("revenue").desc(), F.col("state")).alias("by_risk"),
         rank(eligible, F.col("late_rate").desc(), F.col("state")).alias("by_lateness"))
-    state = ~F.col("is_total")
+    state, label = ~F.col("is_total"), F.coalesce("state", F.lit(unknown))
 
     def line(sec, pos, when, *parts):
         return F.when(when, F.struct(F.lit(sec).alias("sec"), pos.alias("pos"),
@@ -83,14 +105,14 @@ def report_from(facts: DataFrame) -> DataFrame:
              money(F.col("ticket")), F.lit("; "), pct(F.col("late_rate")),
              F.lit(" das entregas com atraso.")),
         line(1, F.col("by_revenue"), state & (F.col("by_revenue") <= REPORT_STATES),
-             F.lit("- **"), F.col("state"), F.lit("**: "), money(F.col("revenue")), F.lit(" ("),
+             F.lit("- **"), label, F.lit("**: "), money(F.col("revenue")), F.lit(" ("),
              pct(F.col("revenue_share")), F.lit(" da receita), atraso de "),
              pct(F.col("late_rate")), F.lit(".")),
         line(2, F.col("by_risk"), state & risky & (F.col("by_risk") <= REPORT_RISKS),
-             F.lit("- **"), F.col("state"), F.lit("**: atraso de "), pct(F.col("late_rate")),
+             F.lit("- **"), label, F.lit("**: atraso de "), pct(F.col("late_rate")),
              F.lit(" acima do limite; "), money(F.col("revenue")), F.lit(" em risco.")),
         line(3, F.col("by_lateness"), state & eligible & (F.col("by_lateness") <= P.WORST_K),
-             F.lit("- Reduzir o atraso em **"), F.col("state"), F.lit("** ("),
+             F.lit("- Reduzir o atraso em **"), label, F.lit("** ("),
              pct(F.col("late_rate")), F.lit(") nos "), F.col("delivered_orders").cast("string"),
              F.lit(" pedidos entregues.")),
     )
@@ -98,6 +120,77 @@ def report_from(facts: DataFrame) -> DataFrame:
     return RP.build_report(body, RP.CLI_SECTIONS)
 
 
+def report_unknown_state(spark, sf_dir):
+    """C-10 with orders of unknown customers: their group is in the report."""
+    orders = P.with_unknown_customers(read_table(spark, sf_dir, "orders"))
+    facts = B.with_state(B.order_facts(orders, read_table(spark, sf_dir, "lineitem")),
+                         read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "nation"))
+    return report_from(facts)
+
+
+INDICATORS = 4
+WEB_FINDINGS, WEB_RISKS, NEXT_STEPS = 4, 3, 3
+
+
+def report_web(spark, sf_dir):
+    """C-10 in the web form: five sections of bounded lists, each number a column."""
+    return report_web_from(P.facts_with_state(spark, sf_dir))
+
+
+def report_web_from(facts: DataFrame, unknown: str = UNKNOWN_STATE) -> DataFrame:
+    """The web form over the per-order fact, as one linear plan like
+    ``report_from``: summary and indicators from the general row, findings by
+    revenue, risks by late rate, and the next steps for the worst groups."""
+    rows = C.share_of_total(B.kpi_cut_rows(facts, "state"), "revenue", "revenue_share", ["is_total"])
+    rated = F.col("late_rate").isNotNull()
+    state, label = ~F.col("is_total"), F.coalesce("state", F.lit(unknown))
+
+    def rank(cond, *order):
+        w = Window.partitionBy(*(["is_total"] + ([cond] if cond is not None else []))).orderBy(*order)
+        return F.row_number().over(w).cast("bigint")
+
+    rows = rows.select("*", rank(None, F.col("revenue").desc(), F.col("state")).alias("by_revenue"),
+                       rank(rated, F.col("late_rate").desc(), F.col("state")).alias("by_lateness"),
+                       F.count("*").over(Window.partitionBy("is_total")).alias("groups"))
+    money, pct, total = RP.money_text, RP.percent_text, F.col("is_total")
+
+    def line(sec, pos, when, *parts):
+        pos = F.lit(pos).cast("bigint") if isinstance(pos, int) else pos
+        return F.when(when, F.struct(F.lit(sec).alias("sec"), pos.alias("pos"), F.concat(*parts).alias("line")))
+
+    lines = F.array(
+        line(0, 0, total, F.lit("A receita foi de "), money(F.col("revenue")), F.lit(" em "),
+             F.col("orders").cast("string"), F.lit(" pedidos. O ticket médio foi de "), money(F.col("ticket")),
+             F.lit(". O atraso atingiu "), pct(F.col("late_rate")), F.lit(" das entregas.")),
+        line(1, 0, total, F.lit("- **Receita**: "), money(F.col("revenue")), F.lit(" entregues.")),
+        line(1, 1, total, F.lit("- **Pedidos**: "), F.col("orders").cast("string"), F.lit(" no período.")),
+        line(1, 2, total, F.lit("- **Ticket médio**: "), money(F.col("ticket")), F.lit(" por pedido entregue.")),
+        line(1, 3, total, F.lit("- **Atraso**: "), pct(F.col("late_rate")), F.lit(" das entregas.")),
+        line(2, F.col("by_revenue"), state & (F.col("by_revenue") <= WEB_FINDINGS),
+             F.lit("- **"), label, F.lit("**: "), money(F.col("revenue")), F.lit(", "),
+             pct(F.col("revenue_share")), F.lit(" da receita, com atraso de "), pct(F.col("late_rate")), F.lit(".")),
+        line(3, F.col("by_lateness"), state & rated & (F.col("by_lateness") <= WEB_RISKS),
+             F.lit("- **"), label, F.lit("**: atraso de "), pct(F.col("late_rate")), F.lit("; "),
+             money(F.col("revenue")), F.lit(" em risco.")),
+        line(4, F.col("by_lateness"), state & rated & (F.col("by_lateness") <= NEXT_STEPS),
+             F.lit("- Reduzir o atraso em **"), label, F.lit("**: dono logística, métrica atraso abaixo de "),
+             pct(F.col("late_rate")), F.lit(", horizonte de um trimestre.")),
+    )
+    body = rows.select(F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("l")).select("l.*")
+    return RP.build_report(body, RP.WEB_SECTIONS)
+
+
+def report_web_checks(spark, sf_dir):
+    """D-01 and D-02 on the web form: its sections, its words, and the items
+    of every section against their range, one row per section."""
+    doc = report_web(spark, sf_dir).select(F.lit(1).cast("bigint").alias("doc_id"), F.col("report").alias("text"))
+    items = RP.item_ranges(doc, "doc_id", "text", RP.WEB_ITEM_RANGES)
+    found = RP.section_check(doc, "doc_id", "text", RP.WEB_SECTIONS).select("doc_id", "exact")
+    words = RP.completeness_check(doc, "doc_id", "text").select("doc_id", "words", "within_word_range",
+                                                                "ends_sentence")
+    return items.join(found, "doc_id").join(words, "doc_id")
+
+
 def _report_doc(facts: DataFrame) -> DataFrame:
     return report_from(facts).select(F.lit(1).cast("bigint").alias("doc_id"),
                                      F.col("report").alias("text"))
@@ -203,7 +296,11 @@ QUERIES = {
     "section_check": section_check,
     "completeness_check": completeness_check,
     "number_grounding": number_grounding,
+    "grounding_scaled": grounding_scaled,
     "report": report,
+    "report_unknown_state": report_unknown_state,
+    "report_web": report_web,
+    "report_web_checks": report_web_checks,
     "report_sections": report_sections,
     "report_items": report_items,
     "item_ranges": item_ranges,
@@ -265,24 +362,40 @@ SELECT doc_id, found,
        found = {REQ} AS exact
 FROM withf"""
 
-GROUNDING = r"""
-nums0 AS (SELECT doc_id, regexp_extract_all(text, '(^|[^\w])(\d+(?:[.,]\d+)*)', 2) AS l FROM src),
-nums AS (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS number_text FROM nums0),
+_SCALE_SQL = "CASE word " + " ".join(f"WHEN '{w}' THEN {n}" for w, n in RP.SCALES.items()) + " ELSE 1 END"
+_WORDS = "|".join(sorted(RP.SCALES, key=len, reverse=True))
+_NUMBER_SQL = (r"(^|[^\w])(\d+(?:[.,]\d+)*)(?:[ \x{a0}](" + _WORDS + r")(?:[^\p{L}\p{N}_]|$))?")
+
+
+def _forms(scale: int) -> str:
+    x = f"CAST(v / {scale} AS DECIMAL(38,9))" if scale == 1 else (
+        f"CAST(round(CAST(v AS DECIMAL(38,6)) / {scale}, 9) AS DECIMAL(38,9))")
+    return ", ".join(
+        f"{{'scale': CAST({scale} AS BIGINT), 'key': CAST({y} AS DECIMAL(38,6))}}" for p in (0, 1, 2)
+        for y in (f"round({x}, {p})", f"CAST(floor({x} * {10 ** p}) AS DECIMAL(38,6)) / {10 ** p}"))
+
+
+GROUNDING = rf"""
+nums0 AS (SELECT doc_id, regexp_extract_all(text, '{_NUMBER_SQL}', 2) AS l,
+                 regexp_extract_all(text, '{_NUMBER_SQL}', 3) AS w FROM src),
+nums AS (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS number_text,
+                unnest(w) AS word FROM nums0),
 normed AS (
-  SELECT *, TRY_CAST(CASE WHEN contains(number_text, ',')
+  SELECT *, {_SCALE_SQL} AS scale,
+         TRY_CAST(CASE WHEN contains(number_text, ',')
                             THEN replace(replace(number_text, '.', ''), ',', '.')
-                          WHEN regexp_matches(number_text, '^\d{1,3}(\.\d{3})+$')
+                          WHEN regexp_matches(number_text, '^\d{{1,3}}(\.\d{{3}})+$')
                             THEN replace(number_text, '.', '')
                           ELSE number_text END AS DECIMAL(38,6)) AS value
   FROM nums),
 keys AS (
-  SELECT DISTINCT k AS key FROM (
-    SELECT unnest([v, CAST(round(v, 2) AS DECIMAL(38,6)), CAST(round(v, 1) AS DECIMAL(38,6)),
-                   CAST(round(v, 0) AS DECIMAL(38,6)), CAST(floor(v) AS DECIMAL(38,6))]) AS k
-    FROM vals) WHERE k IS NOT NULL)
+  SELECT DISTINCT k.scale AS scale, k.key AS key FROM (
+    SELECT unnest([{{'scale': CAST(1 AS BIGINT), 'key': CAST(v AS DECIMAL(38,6))}},
+                   {", ".join(_forms(s) for s in sorted({1, *RP.SCALES.values()}))}]) AS k
+    FROM vals) WHERE k.key IS NOT NULL)
 SELECT n.doc_id, CAST(n.pos AS BIGINT) AS pos, n.number_text, CAST(n.value AS DOUBLE) AS value,
-       k.key IS NOT NULL AS grounded
-FROM normed n LEFT JOIN keys k ON n.value = k.key"""
+       CAST(n.scale AS BIGINT) AS scale, k.key IS NOT NULL AS grounded
+FROM normed n LEFT JOIN keys k ON n.value = k.key AND n.scale = k.scale"""
 
 PART_VALS = """vals AS (
   SELECT CAST(p_retailprice AS DECIMAL(38,6)) AS v FROM part
@@ -318,17 +431,17 @@ rlines AS (
          || {_money('ticket')} || '; ' || {_pct('late_rate')} || ' das entregas com atraso.' AS line
   FROM kpi
   UNION ALL
-  SELECT 1, pos, '- **' || state || '**: ' || {_money('revenue')} || ' (' || {_pct('revenue_share')}
+  SELECT 1, pos, '- **' || coalesce(state, '{UNKNOWN_STATE}') || '**: ' || {_money('revenue')} || ' (' || {_pct('revenue_share')}
          || ' da receita), atraso de ' || {_pct('late_rate')} || '.'
   FROM (SELECT *, row_number() OVER (ORDER BY revenue DESC, state) AS pos FROM shr)
   WHERE pos <= {REPORT_STATES}
   UNION ALL
-  SELECT 2, pos, '- **' || state || '**: atraso de ' || {_pct('late_rate')} || ' acima do limite; '
+  SELECT 2, pos, '- **' || coalesce(state, '{UNKNOWN_STATE}') || '**: atraso de ' || {_pct('late_rate')} || ' acima do limite; '
          || {_money('revenue')} || ' em risco.'
   FROM (SELECT *, row_number() OVER (ORDER BY revenue DESC, state) AS pos FROM risk)
   WHERE pos <= {REPORT_RISKS}
   UNION ALL
-  SELECT 3, pos, '- Reduzir o atraso em **' || state || '** (' || {_pct('late_rate')} || ') nos '
+  SELECT 3, pos, '- Reduzir o atraso em **' || coalesce(state, '{UNKNOWN_STATE}') || '** (' || {_pct('late_rate')} || ') nos '
          || CAST(delivered_orders AS VARCHAR) || ' pedidos entregues.'
   FROM worst),
 heads AS (
@@ -362,6 +475,40 @@ SQL["number_grounding"] = f"WITH {DOCS}, {PART_VALS}, {GROUNDING}"
 
 SQL["report"] = f"WITH {REPORT} SELECT report FROM rep"
 
+SQL["report_unknown_state"] = SQL["report"].replace("FROM orders o", f"FROM {O.UNKNOWN_CUSTOMERS} o")
+
+WEB_HEADS = ", ".join(f"({i}, -1, {'chr(10) || ' if i else ''}'## {h}' || {NL} || {NL})"
+                      for i, h in enumerate(RP.WEB_SECTIONS))
+_LABEL = f"coalesce(state, '{UNKNOWN_STATE}')"
+
+WEB_REPORT = f"""{O.STATE_PERF}, {KPI},
+shr AS (SELECT *, round(revenue / {O.EXACT_TOTAL}, 6) AS revenue_share,
+               row_number() OVER (ORDER BY revenue DESC, state NULLS FIRST) AS by_revenue FROM sp),
+late AS (SELECT *, row_number() OVER (ORDER BY late_rate DESC, state NULLS FIRST) AS by_lateness
+         FROM sp WHERE late_rate IS NOT NULL),
+wlines AS (
+  SELECT 0 AS sec, 0 AS pos, 'A receita foi de ' || {_money('revenue')} || ' em ' || CAST(orders AS VARCHAR)
+         || ' pedidos. O ticket médio foi de ' || {_money('ticket')} || '. O atraso atingiu '
+         || {_pct('late_rate')} || ' das entregas.' AS line FROM kpi
+  UNION ALL SELECT 1, 0, '- **Receita**: ' || {_money('revenue')} || ' entregues.' FROM kpi
+  UNION ALL SELECT 1, 1, '- **Pedidos**: ' || CAST(orders AS VARCHAR) || ' no período.' FROM kpi
+  UNION ALL SELECT 1, 2, '- **Ticket médio**: ' || {_money('ticket')} || ' por pedido entregue.' FROM kpi
+  UNION ALL SELECT 1, 3, '- **Atraso**: ' || {_pct('late_rate')} || ' das entregas.' FROM kpi
+  UNION ALL SELECT 2, by_revenue, '- **' || {_LABEL} || '**: ' || {_money('revenue')} || ', '
+         || {_pct('revenue_share')} || ' da receita, com atraso de ' || {_pct('late_rate')} || '.'
+  FROM shr WHERE by_revenue <= {WEB_FINDINGS}
+  UNION ALL SELECT 3, by_lateness, '- **' || {_LABEL} || '**: atraso de ' || {_pct('late_rate')} || '; '
+         || {_money('revenue')} || ' em risco.' FROM late WHERE by_lateness <= {WEB_RISKS}
+  UNION ALL SELECT 4, by_lateness, '- Reduzir o atraso em **' || {_LABEL}
+         || '**: dono logística, métrica atraso abaixo de ' || {_pct('late_rate')}
+         || ', horizonte de um trimestre.' FROM late WHERE by_lateness <= {NEXT_STEPS}),
+rep AS (
+  SELECT string_agg(line, '' ORDER BY sec, pos) AS report FROM (
+    SELECT sec, pos, line || {NL} AS line FROM wlines
+    UNION ALL SELECT * FROM (VALUES {WEB_HEADS}) AS t(sec, pos, line)))"""
+
+SQL["report_web"] = f"WITH {WEB_REPORT} SELECT report FROM rep"
+
 REPORT_SRC = f"{REPORT}, src AS (SELECT CAST(1 AS BIGINT) AS doc_id, report AS text FROM rep)"
 
 SQL["report_sections"] = f"WITH {REPORT_SRC}, {BLOCKS}, {SECTIONS}"
@@ -391,8 +538,21 @@ SQL["item_ranges"] = f"WITH {DOCS}, {BLOCKS}, {ITEM_RANGES}"
 
 SQL["report_item_ranges"] = f"WITH {REPORT_SRC}, {BLOCKS}, {ITEM_RANGES}"
 
-SQL["report_grounding"] = f"""WITH {REPORT_SRC},
-vals AS (
+WEB_RANGES = ", ".join(f"('{n}', {lo}, {hi})" for n, lo, hi in RP.WEB_ITEM_RANGES)
+WEB_REQ = "[" + ", ".join(f"'{x}'" for x in RP.WEB_SECTIONS) + "]"
+
+SQL["report_web_checks"] = rf"""WITH {WEB_REPORT},
+src AS (SELECT CAST(1 AS BIGINT) AS doc_id, report AS text FROM rep), {BLOCKS},
+{ITEM_RANGES.replace(ITEM_RANGE_VALUES, WEB_RANGES).replace(
+    "ids AS (SELECT doc_id FROM src)\nSELECT", "ids AS (SELECT doc_id FROM src),\nsec_items AS (SELECT")})
+SELECT i.*, (SELECT list(content ORDER BY line_no) FROM blocks WHERE kind = 'heading') = {WEB_REQ} AS exact,
+       CAST(len(regexp_extract_all(s.text, '[^ \t\r\n]+')) AS BIGINT) AS words,
+       len(regexp_extract_all(s.text, '[^ \t\r\n]+')) BETWEEN {RP.WEB_WORD_RANGE[0]} AND {RP.WEB_WORD_RANGE[1]}
+         AS within_word_range,
+       regexp_matches(s.text, '[.!?)][ \t\r\n]*\z') AS ends_sentence
+FROM sec_items i JOIN src s ON i.doc_id = s.doc_id"""
+
+MEASURE_VALS = """vals AS (
   SELECT CAST(revenue AS DECIMAL(38,6)) AS v FROM kpi
   UNION ALL SELECT CAST(ticket AS DECIMAL(38,6)) FROM kpi
   UNION ALL SELECT CAST(CAST(orders AS DOUBLE) AS DECIMAL(38,6)) FROM kpi
@@ -400,8 +560,21 @@ vals AS (
   UNION ALL SELECT CAST(CAST(delivered_orders AS DOUBLE) AS DECIMAL(38,6)) FROM shr
   UNION ALL SELECT CAST(CAST(late_rate AS DECIMAL(38,6)) * 100 AS DECIMAL(38,6)) FROM kpi
   UNION ALL SELECT CAST(CAST(late_rate AS DECIMAL(38,6)) * 100 AS DECIMAL(38,6)) FROM shr
-  UNION ALL SELECT CAST(CAST(revenue_share AS DECIMAL(38,6)) * 100 AS DECIMAL(38,6)) FROM shr),
-{GROUNDING}"""
+  UNION ALL SELECT CAST(CAST(revenue_share AS DECIMAL(38,6)) * 100 AS DECIMAL(38,6)) FROM shr)"""
+
+_TWO = "CAST(floor(revenue / 10000) AS BIGINT)"
+_ONE = "CAST(floor(CAST(late_rate AS DECIMAL(38,6)) * 1000) AS BIGINT)"
+
+SQL["grounding_scaled"] = f"""WITH {REPORT},
+src AS (
+  SELECT state AS doc_id, 'R$ ' || CAST({_TWO} // 100 AS VARCHAR) || ',' || lpad(CAST({_TWO} % 100 AS VARCHAR), 2, '0')
+         || ' mi, atraso de ' || CAST({_ONE} // 10 AS VARCHAR) || ',' || CAST({_ONE} % 10 AS VARCHAR)
+         || '%; meta de 987654321,5 mil.' AS text
+  FROM sp WHERE state IS NOT NULL),
+{MEASURE_VALS},
+{GROUNDING.replace("SELECT n.doc_id,", "SELECT n.doc_id AS state,")}"""
+
+SQL["report_grounding"] = f"WITH {REPORT_SRC}, {MEASURE_VALS}, {GROUNDING}"
 
 SQL["data_limits"] = f"""WITH {O.STATE_PERF},{O.BY_MONTH_TAIL}, {KPI}, {O._by_category('p_type')},
 u AS (

@@ -17,9 +17,16 @@ class Roles:
     delivered_status: str = "F"
     canceled_status: str = "P"
     promised_days: int = 30
-    # money is summed exactly in integer units of 1/money_scale (cents of
-    # price times hundredths of (1 - discount) = 1/10000)
-    money_scale: int = 10000
+    # Money is summed exactly, in integer units: prices and discounts are
+    # taken as decimals of so many places.  The driver tables have two; the
+    # defaults leave room, and data with more places need larger numbers.
+    price_decimals: int = 4
+    discount_decimals: int = 4
+
+    @property
+    def money_scale(self) -> int:
+        """Units per 1 of money."""
+        return 10 ** (self.price_decimals + self.discount_decimals)
 
 
 DEFAULT = Roles()

@@ -2,9 +2,9 @@
 
 On a cluster the session is created by the platform; ``configure`` only adds
 the SQL settings the engine relies on (UTC, AQE, skew handling, a bounded
-broadcast threshold).  ``shared_dir`` returns the folder named by
-``spark.checkpoint.dir``; a private temporary folder is created only when that
-setting is unset, which is the case in local tests.
+broadcast threshold), and only where the session has none of its own.
+``shared_dir`` returns the folder named by ``spark.checkpoint.dir`` or set on
+the context; a private temporary folder is created only for a local master.
 """
 
 from __future__ import annotations
@@ -31,8 +31,11 @@ SQL_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Settings that the session lacks; those its operator has set stay."""
+    own = spark.conf.getAll
     for key, value in SQL_SETTINGS.items():
-        spark.conf.set(key, value)
+        if key not in own:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -58,15 +61,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and staged files.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    fresh temporary folder is created and registered.
+    Read from ``spark.checkpoint.dir``, else the folder set on the context;
+    only where both are unset and the master is local (tests) a fresh
+    temporary folder is created and registered.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not current:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(current)
     return current.rstrip("/")
 
 

@@ -23,10 +23,13 @@ def write_markdown(df: DataFrame, text_col: str, path: str, key_col: str | None
     writer.text(path)
 
 
-def read_markdown(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:
-    """Read written Markdown back: one row per file (whole text), key columns
-    recovered from the folder names; the writer's final newline removed."""
-    df = spark.read.text(path, wholetext=True)
+def read_markdown(spark: SparkSession, path: str, text_col: str = "text",
+                  key_col: str | None = None, key_type: str = "string") -> DataFrame:
+    """Read written Markdown back: one row per file (whole text), the key
+    recovered from the folder names with its declared type (a key such as
+    "01" stays text); the writer's final newline removed."""
+    schema = "value string" + (f", `{key_col}` {key_type}" if key_col else "")
+    df = spark.read.schema(schema).text(path, wholetext=True)
     return df.withColumn(text_col, F.regexp_replace("value", "\n\\z", "")).drop("value")
 
 
@@ -67,4 +70,5 @@ def error_envelope(message: Column, profile: DataFrame) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """One JSON object per row, missing values as null."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -4,13 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-DRIVER_TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-    "events", "documents", "embeddings", "pages", "benchmark", "labels",
-    "conversations",
-)
-
-
 # Declared schemas of the driver tables (the same at every scale factor).
 # A declared schema spares the schema-inference job that every
 # ``spark.read.parquet`` call otherwise runs to read a footer.
@@ -49,32 +42,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     return reader.parquet(table_path(sf_dir, name))
-
-
-def register_tables(spark: SparkSession, sf_dir: str,
-                    names: tuple[str, ...] = DRIVER_TABLES) -> dict[str, DataFrame]:
-    """Register every table as a temp view (for ``spark.sql``) and return them."""
-    frames = {}
-    for name in names:
-        df = read_table(spark, sf_dir, name)
-        df.createOrReplaceTempView(name)
-        frames[name] = df
-    return frames
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Input-parallelism guard for map-only, CPU-heavy text work.
-
-    A scan of a few large files (or one row group) yields fewer tasks than
-    the cluster has cores; then the rows are spread round-robin over
-    ``defaultParallelism`` partitions.  On a large layout (many files, many
-    row groups) the scan is already wide and this is a no-op, so no shuffle
-    is added at scale.
-    """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    try:
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a remote session): leave as is
-        return df
-    return df.repartition(target) if current < target else df

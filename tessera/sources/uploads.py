@@ -2,23 +2,27 @@
 their profile (the upload step of the reference, as Spark work).
 
 * The manifest is the folder listing (content never read), validated with
-  the reference's rules (A-07); strict mode raises the first rejection in
-  name order, quarantine mode leaves rejected files out.
-* CSV uploads are read one by one (each has its own columns) and cleaned
-  (A-08..A-12).
-* Workbooks are parsed together in one distributed pass (one task per
-  workbook).  Their rows are written once under the shared folder, sorted
-  by sheet within each file, so a sheet table reads only the row groups
-  that can hold it; headers, row counts and empty columns of all sheets
-  come from two aggregations over those rows (a stored sheet catalog that
-  is never collected).
+  the reference's rules (A-07) and no size limit unless one is given; strict
+  mode raises the first rejection in name order, otherwise rejected files are
+  returned with their reason.
+* CSV uploads and workbook sheets become the same long rows (source, header,
+  cells), written once under the shared folder, sorted by table within each
+  file, so a table reads only the row groups that can hold it.  All CSV
+  uploads are read by one scan (two if some have quoted line breaks, which
+  makes those unsplittable), all workbooks by one parse (one task per
+  workbook): the number of jobs does not grow with the number of files.
+* Names, kept columns, types and row counts of all tables come from two
+  aggregations over those rows: a stored catalog that is never collected.
+* Records with more cells than their header, and CSV files with bytes that are
+  not UTF-8, are rejected: strict mode raises, else they are counted and left
+  out.
 * Table names are the safe names of ``<file>`` or ``<file>_<sheet>``
   (A-13); a later table with the same name replaces an earlier one (last
   wins, A-14); the profile keeps both, the replaced one with
   ``superseded = true``.
 
 Only metadata reaches the driver: the names of the CSV uploads and, on
-access, the catalog row of the one sheet asked for.
+access, the catalog row of the one table asked for.
 """
 
 from __future__ import annotations
@@ -30,19 +34,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import NULL_TOKENS, extension, safe_name, stem
-from tessera.operators.clean import DuplicateColumnError, clean, resolve_name_collisions
-from tessera.operators.profile import table_profile
+from tessera.operators.clean import DuplicateColumnError, resolve_name_collisions
 from tessera.operators.render import CLI_ROWS
 from tessera.session import staging_path
-from tessera.sources.files import (_SCHEME, MAX_UPLOAD_MB, MSG_NO_FILES, entry_names,
-                                   first_rejection, read_csv, validate)
-from tessera.sources.workbook import LONG_SCHEMA, parse_workbooks
-
-# ---- fixed values: pandas names for unnamed and repeated header cells -----
-UNNAMED_PREFIX = "Unnamed: "   # followed by the column position
-REPEATED_SEPARATOR = "."       # name, separator, number of earlier uses
-# ---------------------------------------------------------------------------
+from tessera.sources.files import (_SCHEME, CSV_OPTIONS, MSG_NO_FILES, REPEATED_SEPARATOR, UNNAMED_PREFIX,
+                                    decoded, entry_names, entry_of, first_rejection,
+                                   narrowest, odd_quotes, type_counts, validate)
+from tessera.sources.workbook import parse_workbooks
+
 MSG_LEGACY = "O arquivo {file} usa o formato .xls antigo; salve-o como .xlsx."
+MSG_RAGGED = "O arquivo {file} tem linhas com mais campos do que o cabeçalho."
+MSG_ENCODING = "O arquivo {file} não está em UTF-8."
+
+ROWS_SCHEMA = ("table_id string, source_file string, sheet string, sheet_no int, row bigint, "
+               "header array<string>, cells array<string>, ragged boolean")
 
 
 class UploadError(ValueError):
@@ -73,19 +78,13 @@ def _value(x):
     return x.isNotNull() & ~x.isin(*NULL_TOKENS)
 
 
-def sheet_catalog(spark: SparkSession, root: str, positions: DataFrame,
-                  limit_mb: float | None = MAX_UPLOAD_MB) -> tuple[DataFrame, DataFrame]:
-    """Parse the workbooks uploaded to ``root`` once and describe every sheet.
+def _table_id() -> Column:
+    return F.sha1(F.concat_ws("\t", F.col("source_file"), F.coalesce("sheet", F.lit(""))))
+
 
-    The workbooks are the first-level ``.xlsx`` files that pass the size
-    rules (a filter the ``binaryFile`` source applies before reading any
-    content); ``positions`` gives each file name its upload position.  The
-    long rows are written once under the shared folder, sorted by sheet
-    within each file, so a sheet table later reads only the row groups
-    whose statistics can hold it.  The catalog
-    (one row per sheet: names, kept column positions, row count) comes from
-    two aggregations over those rows and is stored too; it stays
-    distributed however many sheets there are.  Returns (rows, catalog)."""
+def workbook_rows(spark: SparkSession, root: str, limit_mb: float | None) -> DataFrame:
+    """Long rows of the first-level ``.xlsx`` files that pass the size rules (a
+    filter the ``binaryFile`` source applies before reading any content)."""
     size_ok = F.col("length") > 0
     if limit_mb is not None:
         size_ok = size_ok & (F.col("length") <= F.lit(int(limit_mb * 1048576)))
@@ -94,49 +93,123 @@ def sheet_catalog(spark: SparkSession, root: str, positions: DataFrame,
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(root)
              .where(size_ok & first_level))
-    staged = staging_path(spark, "workbook-rows")
-    sheet_id = F.sha1(F.concat_ws("\t", F.col("path"), F.col("sheet")))
-    # one folder, each file sorted by sheet: a sheet lookup is a pushed filter
-    # that skips row groups by their min/max (no folder per sheet, which
-    # would mean millions of folders when workbooks grow with the data)
-    (parse_workbooks(files).withColumn("sheet_id", sheet_id)
-     .sortWithinPartitions("sheet_id", "row").write.parquet(staged))
-    rows = spark.read.schema(LONG_SCHEMA + ", sheet_id string").parquet(staged)
+    return parse_workbooks(files).select(
+        entry_of(F.col("path"), root).alias("source_file"), "sheet", "sheet_no",
+        F.col("row").cast("bigint").alias("row"), "header", "cells", F.lit(False).alias("ragged"))
+
+
+def split_line(line: Column, sep: str = ",") -> Column:
+    """Cells of a header line, quotes removed and doubled quotes single."""
+    cell = r'((?:"(?:[^"]++|"")*+"|[^"' + sep + r"]++)*+)" + sep
+    return F.transform(F.regexp_extract_all(F.concat(line, F.lit(sep)), F.lit(cell), F.lit(1)), lambda x: F.replace(
+        F.regexp_replace(x, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"')))
+
+
+def csv_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """One stored row per CSV file (a part of a folder counts as one): its
+    upload, header cells, whether a quoted cell goes over a line end, and
+    whether its bytes are UTF-8.  One pass over the lines."""
+    lines = spark.read.text([f"{root}/{n}" for n in names]).select(
+        "value", F.col("_metadata.file_path").alias("uri"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    at = F.when(F.col("block") == 0, F.col("n"))
+    files = lines.groupBy("uri").agg(
+        F.min_by("value", at).alias("line"), F.max(odd_quotes(F.col("value"))).alias("breaks"),
+        F.max(~F.is_valid_utf8("value")).alias("broken")).select(
+        "uri", entry_of(decoded(F.col("uri")), root).alias("source_file"),
+        split_line(F.regexp_replace("line", "^\ufeff", "")).alias("header"), "breaks", "broken")
+    path = staging_path(spark, "csv-files")
+    files.write.parquet(path)
+    return spark.read.schema(files.schema).parquet(path)
+
+
+def csv_rows(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """Long rows of the CSV files described by ``files`` (see ``csv_files``)."""
+    uploads = files.groupBy("source_file").agg(F.max("breaks").alias("breaks"),
+                                               F.max(F.size("header")).alias("width")).collect()
+    headers = files.select("uri", "source_file", "header")
+    out = None
+    for breaks in (False, True):
+        mine = [u for u in uploads if u.breaks == breaks]
+        if not mine:
+            continue
+        width = max(u.width for u in mine) + 1  # one more shows records longer than the header
+        cells = F.array(*[F.col(f"c{i}") for i in range(width)])
+        raw = (spark.read.options(**CSV_OPTIONS).option("multiLine", breaks).option("enforceSchema", "true")
+               .schema(", ".join(f"c{i} string" for i in range(width)))
+               .csv([f"{root}/{u.source_file}" for u in mine])
+               .select(cells.alias("all"), F.col("_metadata.file_path").alias("uri"),
+                       F.monotonically_increasing_id().alias("row")))
+        n = F.size("header")
+        part = raw.join(headers, "uri").select(
+            "source_file", F.lit(None).cast("string").alias("sheet"), F.lit(0).alias("sheet_no"), "row",
+            "header", F.slice("all", 1, n).alias("cells"),
+            F.exists(F.slice("all", n + 1, F.greatest(F.lit(1), F.lit(width) - n)),
+                     lambda x: x.isNotNull()).alias("ragged"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def table_catalog(spark: SparkSession, long_rows: DataFrame, headers: DataFrame | None,
+                  positions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Store the long rows once and describe every table in them.
+
+    The catalog (one row per table: names, kept column positions, types, row
+    count, rejected records) comes from two aggregations over the stored rows
+    and is stored too; it stays distributed however many tables there are.
+    ``headers`` (source_file, header) adds CSV uploads without any row, and
+    ``positions`` gives each file its upload position.  Returns (rows, catalog)."""
+    staged = staging_path(spark, "upload-rows")
+    # one folder, each file sorted by table: a table lookup is a pushed filter
+    # that skips row groups by their min/max (no folder per table, which would
+    # mean millions of folders when uploads grow with the data)
+    (long_rows.withColumn("table_id", _table_id()).sortWithinPartitions("table_id", "row")
+     .write.parquet(staged))
+    rows = spark.read.schema(ROWS_SCHEMA).parquet(staged)
     # tokens become null first, so rows and columns made of tokens count as empty
     cells = F.transform(F.col("cells"), lambda x: F.when(_value(x), x))
-    rows = rows.select("sheet_id", "path", "sheet", "sheet_no", "header", cells.alias("cells"))
-
-    filled_row = F.exists(F.col("cells"), lambda x: x.isNotNull())
-    sheets = rows.groupBy("sheet_id", "path", "sheet", "sheet_no").agg(
+    rows = rows.withColumn("cells", cells)
+    kept_rows = rows.where("NOT ragged")
+
+    filled_row = F.exists(F.col("cells"), lambda x: x.isNotNull()) & ~F.col("ragged")
+    described = rows.select("table_id", "source_file", "sheet", "sheet_no", "header", "cells", "ragged")
+    if headers is not None:
+        described = described.unionByName(headers.select(
+            "source_file", "header", F.lit(None).cast("string").alias("sheet"), F.lit(0).alias("sheet_no"),
+            F.array().cast("array<string>").alias("cells"), F.lit(False).alias("ragged"))
+            .withColumn("table_id", _table_id()))
+    tables = described.groupBy("table_id", "source_file", "sheet", "sheet_no").agg(
         F.first("header").alias("header"),
         F.count(F.when(filled_row, 1)).alias("rows"),
-        F.max(F.size("cells")).alias("width"))
-    # positions holding a value somewhere in the sheet, with the narrowest
-    # type all their values cast to (counts per (sheet, position), combined
-    # map-side; then one array per sheet, bounded by the sheet width)
+        F.count(F.when(F.col("ragged"), 1)).alias("ragged_rows"),
+        F.greatest(F.max(F.size("cells")), F.max(F.when(F.col("sheet").isNull(), F.size("header")).otherwise(0)))
+        .alias("width"))
+    # positions holding a value somewhere in the table, with the narrowest
+    # type of all their values (counts per (table, position), combined
+    # map-side; then one array per table, bounded by its width)
     v = F.col("v")
-    per_column = (rows.select("sheet_id", F.posexplode("cells").alias("pos", "v"))
-                  .where(v.isNotNull())
-                  .groupBy("sheet_id", "pos").agg(
-                      F.count(v).alias("n"), F.count(v.try_cast("bigint")).alias("n_long"),
-                      F.count(v.try_cast("double")).alias("n_double")))
-    kind = (F.when(F.col("n_long") == F.col("n"), F.lit("bigint"))
-            .when(F.col("n_double") == F.col("n"), F.lit("double")).otherwise(F.lit("string")))
-    filled = per_column.groupBy("sheet_id").agg(
+    per_column = (kept_rows.select("table_id", F.posexplode("cells").alias("pos", "v")).where(v.isNotNull())
+                  .groupBy("table_id", "pos").agg(*type_counts(v)))
+    kind = narrowest(*[F.col(c) for c in ("n", "n_long", "n_double", "n_boolean")])
+    filled = per_column.groupBy("table_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", kind.alias("type")))).alias("kept"))
     names = header_columns(F.col("header"), F.col("width"))
-    kept = F.coalesce(F.col("kept"), F.array().cast("array<struct<pos:int,type:string>>"))
+    # a CSV without rows keeps its columns; else columns without a value go
+    every = F.transform(F.sequence(F.lit(0), F.col("width") - 1),
+                        lambda i: F.struct(i.alias("pos"), F.lit("string").alias("type")))
+    header_only = F.col("sheet").isNull() & (F.col("rows") == 0) & (F.col("width") > 0)
+    kept = F.coalesce(F.col("kept"), F.when(header_only, every),
+                      F.array().cast("array<struct<pos:int,type:string>>"))
     keep = F.transform(kept, lambda c: c["pos"])
-    file_name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
-    catalog = (sheets.join(filled, "sheet_id", "left")
-               .join(positions.select(F.col("file_name").alias("source_file"), "position"),
-                     file_name == F.col("source_file"))
-               .select("sheet_id", "source_file", "sheet", "sheet_no", "position",
-                       safe_name(F.concat(stem(file_name), F.lit("_"), F.col("sheet"))).alias("table_name"),
-                       "rows", keep.alias("positions"),
+    file_stem = stem(F.col("source_file"))
+    name = F.when(F.col("sheet").isNull(), file_stem).otherwise(F.concat(file_stem, F.lit("_"), F.col("sheet")))
+    catalog = (tables.join(filled, "table_id", "left")
+               .join(positions.select(F.col("file_name").alias("source_file"), "position"), "source_file")
+               .select("table_id", "source_file", "sheet", "sheet_no", "position",
+                       safe_name(name).alias("table_name"), "rows", "ragged_rows", keep.alias("positions"),
                        F.transform(keep, lambda p: F.element_at(names, p + 1)).alias("columns"),
                        F.transform(kept, lambda c: c["type"]).alias("types")))
-    path = staging_path(spark, "sheet-catalog")
+    path = staging_path(spark, "table-catalog")
     catalog.write.parquet(path)
     catalog = spark.read.schema(catalog.schema).parquet(path)
     bad = (catalog.where(F.size(F.array_distinct("columns")) != F.size("columns"))
@@ -144,45 +217,33 @@ def sheet_catalog(spark: SparkSession, root: str, positions: DataFrame,
     if bad:
         raise DuplicateColumnError(f"columns equal after strip in {bad[0].source_file} / "
                                    f"{bad[0].sheet}: {bad[0].columns}")
-    return rows, catalog
+    return kept_rows, catalog
 
 
 class Dataset(Mapping):
     """Table name -> cleaned DataFrame, the last table of a name winning.
 
-    CSV tables are held as DataFrames (one per uploaded file); a sheet
-    table is looked up in the stored sheet catalog and defined on first
-    access, so thousands of sheets cost no plan building for tables nobody
-    reads.  Iterating lists the winning names (metadata)."""
-
-    def __init__(self, csv: dict[tuple[str, str], DataFrame], rows: DataFrame | None,
-                 winners: DataFrame, catalog: DataFrame | None, infer_types: bool = False):
-        # winners: (table_name, source_file, sheet) of the last table of each
-        # name, from names and positions only (no table is counted for it)
-        self._csv, self._rows, self._winners, self._catalog = csv, rows, winners, catalog
-        self._infer_types = infer_types
-
-    def _winner(self, name: str):
-        hit = (self._winners.where(F.col("table_name") == name)
-               .select("source_file", "sheet").limit(1).collect())
-        if not hit:
-            raise KeyError(name)
-        return hit[0]
+    A table is looked up in the stored catalog and defined on first access,
+    so thousands of tables cost no plan building for those nobody reads.
+    Iterating lists the winning names (metadata)."""
+
+    def __init__(self, rows: DataFrame, winners: DataFrame, infer_types: bool = False):
+        self._rows, self._winners, self._infer_types = rows, winners, infer_types
 
     def __getitem__(self, name: str) -> DataFrame:
-        w = self._winner(name)
-        if w.sheet is None:
-            return self._csv[(name, w.source_file)]
-        s = (self._catalog.where((F.col("source_file") == w.source_file) & (F.col("sheet") == w.sheet))
-             .select("sheet_id", "positions", "columns", "types").first())
+        t = self._winners.where(F.col("table_name") == name).limit(1).collect()
+        if not t:
+            raise KeyError(name)
+        (t,) = t
         filled = F.exists(F.col("cells"), lambda x: x.isNotNull())
+        typed = self._infer_types or t.sheet is None
 
-        def cell(p, t):  # rows end at their last cell: later positions are null
+        def cell(p, kind):  # rows end at their last cell: later positions are null
             text = F.try_element_at(F.col("cells"), F.lit(p + 1))
-            return text.try_cast(t) if self._infer_types and t != "string" else text
+            return F.trim(text).try_cast(kind) if typed and kind != "string" else text
 
-        return (self._rows.where((F.col("sheet_id") == s.sheet_id) & filled)
-                .select(*[cell(p, t).alias(c) for p, c, t in zip(s.positions, s.columns, s.types)]))
+        return (self._rows.where((F.col("table_id") == t.table_id) & filled)
+                .select(*[cell(p, k).alias(c) for p, c, k in zip(t.positions, t.columns, t.types)]))
 
     def __iter__(self):
         names = self._winners.select("table_name").collect()
@@ -192,64 +253,71 @@ class Dataset(Mapping):
         return self._winners.count()
 
 
-def load_uploads(spark: SparkSession, root: str, limit_mb: float | None = MAX_UPLOAD_MB,
+def load_uploads(spark: SparkSession, root: str, limit_mb: float | None = None,
                  strict: bool = True, max_rows: int = CLI_ROWS,
-                 infer_types: bool = False) -> tuple[Dataset, DataFrame]:
-    """A-05: (dataset, profile) for the files under ``root``.  ``profile``
-    has one row per table read (upload position in name order, sheet
-    order), with ``superseded`` for tables replaced by a later one.  Sheet
-    cells are text; with ``infer_types`` a column whose values all cast to
-    bigint (else double) gets that type, as a spreadsheet reader would."""
+                 infer_types: bool = False) -> tuple[Dataset, DataFrame, DataFrame]:
+    """A-05: (dataset, profile, rejected) for the files under ``root``.
+
+    ``profile`` has one row per table read (upload position in name order,
+    sheet order), with ``superseded`` for tables replaced by a later one and
+    ``ragged_rows`` for rejected records.  ``rejected`` has the files left out
+    (file_name, reason, message); in strict mode the first one raises.  CSV
+    columns get the narrowest type of their values; sheet cells are text, or
+    typed the same way with ``infer_types``."""
     root = root.rstrip("/")
     entries = entry_names(spark, root).withColumnRenamed("entry", "file_name")
-    checked = validate(entries, size_col="bytes", limit_mb=limit_mb)
+    checked = validate(entries, size_col="bytes", limit_mb=limit_mb, largest_col="largest")
+    checked = checked.withColumn("ext", extension(F.col("file_name")))
+    legacy = F.col("accepted") & (F.col("ext") == ".xls")
+    checked = (checked.withColumn("message", F.when(legacy, _message(MSG_LEGACY)).otherwise(F.col("message")))
+               .withColumn("reason", F.when(legacy, F.lit("legacy")).otherwise(F.col("reason")))
+               .withColumn("accepted", F.col("accepted") & ~legacy))
+    csv = [r.file_name for r in checked.where("accepted AND ext = '.csv'").select("file_name").collect()]
+    files = csv_files(spark, root, csv) if csv else None
+    if files is not None:
+        broken = files.groupBy("source_file").agg(F.max("broken").alias("broken")).where("broken")
+        hit = broken.select(F.col("source_file").alias("file_name"), F.lit(True).alias("broken"))
+        wrong = F.col("accepted") & F.coalesce("broken", F.lit(False))
+        checked = (checked.join(hit, "file_name", "left")
+                   .withColumn("message", F.when(wrong, _message(MSG_ENCODING)).otherwise(F.col("message")))
+                   .withColumn("reason", F.when(wrong, F.lit("encoding")).otherwise(F.col("reason")))
+                   .withColumn("accepted", F.col("accepted") & ~wrong).drop("broken"))
+        files = files.join(broken.select("source_file"), "source_file", "left_anti")
+    path = staging_path(spark, "manifest")
+    checked.write.parquet(path)
+    checked = spark.read.schema(checked.schema).parquet(path)
     if strict:
         message = first_rejection(checked, "file_name")
         if message:
             raise UploadError(message)
     accepted = checked.where("accepted").select(
-        "file_name", extension(F.col("file_name")).alias("ext"),
-        safe_name(stem(F.col("file_name"))).alias("table_name"),
+        "file_name", "ext",
         (F.row_number().over(Window.orderBy("file_name")) - 1).cast("int").alias("position"))
-    counts = {r.ext: r.n for r in accepted.groupBy("ext").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    kinds = {r.ext for r in accepted.select("ext").distinct().collect()}
+    if not kinds:
         raise UploadError(MSG_NO_FILES)
-    if counts.get(".xls"):
-        first = accepted.where(F.col("ext") == ".xls").orderBy("file_name").first()
-        raise UploadError(MSG_LEGACY.format(file=first.file_name))
 
-    # CSV uploads: each has its own columns, so one read (and clean) per file
-    csv = {}
     parts = []
-    csv_files = accepted.where(F.col("ext") == ".csv").collect()
-    for f in csv_files:
-        frame = clean(read_csv(spark, f"{root}/{f.file_name}"))
-        csv[(f.table_name, f.file_name)] = frame
-        parts.append(table_profile([(f.table_name, f.file_name, frame)], max_rows).select(
-            "*", F.lit(None).cast("string").alias("sheet"), F.lit(0).alias("sheet_no"),
-            F.lit(f.position).alias("position")))
-    names = [spark.createDataFrame(
-        [(f.table_name, f.file_name, None, 0, f.position) for f in csv_files],
-        "table_name string, source_file string, sheet string, sheet_no int, position int")]
-    rows = catalog = None
-    if counts.get(".xlsx"):
-        rows, catalog = sheet_catalog(spark, root, accepted.where(F.col("ext") == ".xlsx"), limit_mb)
-        parts.append(catalog.select(
-            "table_name", "source_file", "rows", "columns",
-            (F.col("rows") > max_rows).alias("truncated_for_prompt"), "sheet", "sheet_no", "position"))
-        names.append(catalog.select("table_name", "source_file", "sheet", "sheet_no", "position"))
-
-    def last_wins(df: DataFrame) -> DataFrame:
-        order = (F.col("position").cast("bigint") * (1 << 20) + F.col("sheet_no")).alias("_order")
-        return resolve_name_collisions(df.select("*", order), "table_name", "_order").drop("_order")
-
-    profile = last_wins(_union(parts))
-    winners = last_wins(_union(names)).where(~F.col("superseded"))
-    return Dataset(csv, rows, winners, catalog, infer_types), profile
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    if ".csv" in kinds:
+        parts.append(csv_rows(spark, root, files))
+    if ".xlsx" in kinds:
+        parts.append(workbook_rows(spark, root, limit_mb))
+    long_rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows, catalog = table_catalog(spark, long_rows, files, accepted)
+    if strict:
+        bad = catalog.where("ragged_rows > 0").orderBy("source_file").select("source_file").head()
+        if bad:
+            raise UploadError(MSG_RAGGED.format(file=bad.source_file))
+
+    order = (F.col("position").cast("bigint") * (1 << 20) + F.col("sheet_no")).alias("_order")
+    ranked = resolve_name_collisions(catalog.select("*", order), "table_name", "_order").drop("_order")
+    profile = ranked.select(
+        "table_name", "source_file", "rows", "columns", (F.col("rows") > max_rows).alias("truncated_for_prompt"),
+        "sheet", "sheet_no", "position", "ragged_rows", "superseded")
+    rejected = checked.where("NOT accepted").select("file_name", "reason", "message")
+    return Dataset(rows, ranked.where("NOT superseded"), infer_types), profile, rejected
+
+
+def _message(template: str) -> Column:
+    before, after = template.split("{file}")
+    return F.concat(F.lit(before), F.col("file_name"), F.lit(after))

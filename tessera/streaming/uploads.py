@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import safe_name
-from tessera.sources.files import CSV_OPTIONS, validate
+from tessera.sources.files import CSV_OPTIONS, decoded, has_quoted_breaks, validate
 
 BINARY_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -54,23 +54,27 @@ def profile_batch(sink: str):
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        accepted = batch.where(F.col("accepted") & (F.col("extension") == ".csv"))
+        accepted = batch.where(F.col("accepted") & (F.col("extension") == ".csv")).persist()
         # the file list of one micro-batch is metadata bounded by maxFilesPerTrigger
         paths = [r.path for r in accepted.select("path").collect()]
         out = f"{sink.rstrip('/')}/batch={batch_id}"
         if not paths:
             spark.createDataFrame([], "table_name string, path string, rows long") \
                 .write.mode("overwrite").parquet(out)
+            accepted.unpersist()
             return
-        rows = (spark.read.options(**CSV_OPTIONS).csv(paths)
-                .select(F.input_file_name().alias("path"))
+        reader = spark.read.options(**CSV_OPTIONS).option("multiLine", has_quoted_breaks(spark, paths))
+        rows = (reader.csv(paths).select(F.input_file_name().alias("path"))
                 .groupBy("path").agg(F.count(F.lit(1)).alias("rows")))
         # listing paths and input_file_name differ in scheme form and URI
         # encoding: compare decoded paths without the scheme
         names = accepted.select(F.regexp_replace("path", _SCHEME, "").alias("p"), "table_name")
-        rows = rows.withColumn("p", F.regexp_replace(F.expr("url_decode(path)"), _SCHEME, ""))
-        (names.join(rows, "p").select("table_name", F.col("p").alias("path"), "rows")
+        rows = rows.withColumn("p", F.regexp_replace(decoded(F.col("path")), _SCHEME, ""))
+        # an upload with a header only has no row, and still is one
+        (names.join(rows, "p", "left")
+         .select("table_name", F.col("p").alias("path"), F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"))
          .write.mode("overwrite").parquet(out))
+        accepted.unpersist()
 
     return run
 

@@ -55,5 +55,5 @@ def test_listing_keeps_empty_files_with_any_name(spark, tmp_path):
     assert got == [("dados 100%.csv", 4), ("vazio 50%.csv", 0)]
     checked = {r.file_name: r.reason for r in
                S.validate(S.entry_names(spark, str(tmp_path)).withColumnRenamed("entry", "file_name"),
-                          size_col="bytes").collect()}
+                          size_col="bytes", largest_col="largest").collect()}
     assert checked == {"dados 100%.csv": None, "vazio 50%.csv": "empty"}

@@ -75,7 +75,7 @@ def test_validation_rules_and_order(spark):
     df = spark.createDataFrame(
         [(0, "a.csv", 0), (1, "b.txt", 10), (2, "C.XLSX", 20 * 1048576), (3, "d.xls", 5), (4, "e.csv", 7)],
         "pos int, file_name string, length long")
-    v = {r.pos: (r.reason, r.accepted, r.message) for r in S.validate(df).collect()}
+    v = {r.pos: (r.reason, r.accepted, r.message) for r in S.validate(df, limit_mb=S.WEB_UPLOAD_MB).collect()}
     assert v[0][0] == "empty" and v[0][2] == "O arquivo a.csv está vazio."
     assert v[1][2] == "Formato não suportado em b.txt. Use .csv, .xls, .xlsx."
     assert v[2][2] == "O arquivo C.XLSX tem 20.0MB. O limite atual é 12MB por arquivo."

@@ -66,12 +66,31 @@ def test_retry_backoff_and_deadline():
     r = G.generate_one("x", ["m"], {"m": flaky}, G.RetryPolicy(), sleep=waits.append)
     assert r["text"] == "ok" and waits == [1.0, 2.0, 4.0, 5.0, 5.0] and r["waited_seconds"] == 17.0
 
-    def always(p):
+    waits.clear()
+    now = [0.0]
+
+    def slow(p):  # a call takes four seconds, and they count
+        now[0] += 4
         raise G.TransientError("503")
 
-    waits.clear()
-    r = G.generate_one("x", ["m"], {"m": always}, G.RetryPolicy(deadline=10), sleep=waits.append)
-    assert r["error_kind"] == "transient" and sum(waits) <= 10
+    def rest(s):
+        waits.append(s)
+        now[0] += s
+
+    r = G.generate_one("x", ["m"], {"m": slow}, G.RetryPolicy(deadline=10), sleep=rest, clock=lambda: now[0])
+    assert r["error_kind"] == "transient" and now[0] <= 10 + 4
+    assert (r["attempts"], r["waited_seconds"]) == (2, 1.0) and waits == [1.0]
+
+
+def test_output_token_limit_reaches_the_client():
+    seen = {}
+
+    def client(p, max_output_tokens):
+        seen["n"] = max_output_tokens
+        return p
+
+    G.generate_one("x", ["m"], {"m": client}, G.RetryPolicy(max_output_tokens=7))
+    assert seen == {"n": 7}
 
 
 def test_generate_over_dataframe(spark):
@@ -84,6 +103,37 @@ def test_generate_over_dataframe(spark):
     assert [(r.k, r.text, r.candidate) for r in out] == [(1, "A", "up"), (2, "B", "up")]
 
 
+def test_prompts_are_spread_over_tasks(spark):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "k int, prompt string").coalesce(1)
+    out = G.generate(df, "prompt", ["k"], ["m"], lambda: {"m": str.upper}, partitions=5)
+    assert out.rdd.getNumPartitions() == 5 and out.count() == 40
+
+
+def test_failures_stay_pending_and_prompts_are_stored_once(spark, tmp_path):
+    store = str(tmp_path / "store")
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "k int, p string")
+
+    def run(fn):
+        out = G.generate_into(df, "p", ["k"], ["m"], lambda: {"m": fn}, store).collect()
+        return sorted((r.k, r.text, r.error_kind) for r in out)
+
+    def broken(p):
+        raise ValueError("bad request")
+
+    assert run(broken) == [(1, None, "failed"), (2, None, "failed"), (3, None, "failed")]
+    assert run(str.upper) == [(1, "A", None), (2, "A", None), (3, "B", None)]
+    assert run(broken) == [(1, "A", None), (2, "A", None), (3, "B", None)]
+    assert spark.read.parquet(store).count() == 4
+
+
+def test_responses(spark):
+    rows = [("upload", "ValueError", "vazio", 400, "vazio"), ("generation", "X", "Read timed out", 504, None),
+            ("generation", "X", "boom", 502, "boom"), ("other", "X", "boom", 500, ERR.UNEXPECTED_TEXT + "boom")]
+    df = spark.createDataFrame(rows, "s string, t string, m string, status int, detail string")
+    for r in df.withColumn("r", ERR.response(F.col("s"), F.col("t"), F.col("m"))).collect():
+        assert r.r.status == r.status and r.r.detail == (r.detail or ERR.PUBLIC_TEXT["timeout"])
+
+
 def test_pending_prompts(spark):
     prompts = spark.createDataFrame([(1,), (2,)], "k int")
     done = spark.createDataFrame([(2,)], "k int")

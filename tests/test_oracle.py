@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as E  # noqa: E402
 from check_oracle import _rows  # noqa: E402
-from tessera.sources.tables import DRIVER_TABLES, table_path  # noqa: E402
+from tessera.sources.tables import SCHEMAS, table_path  # noqa: E402
 
 QUERIES = E.queries()
 SQL = E.oracle_sql()
@@ -21,7 +21,7 @@ SQL = E.oracle_sql()
 def con(sf_oracle):
     c = duckdb.connect()
     c.execute("SET TimeZone='UTC'")
-    for t in DRIVER_TABLES:
+    for t in SCHEMAS:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(sf_oracle, t)}')")
     return c
 

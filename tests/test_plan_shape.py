@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from tessera.plans import context as CX
 from tessera.plans import driver as P
 from tessera.plans import reports as RPL
 from tessera.session import SQL_SETTINGS, configure
@@ -18,10 +19,10 @@ THRESHOLDS = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBr
 def no_broadcast(spark):
     for key in THRESHOLDS:
         spark.conf.set(key, "-1")
-    yield spark
-    configure(spark)
+    yield configure(spark)  # which leaves the thresholds of its session as they are
     for key in THRESHOLDS:
-        assert spark.conf.get(key) == SQL_SETTINGS[key]
+        assert spark.conf.get(key) == "-1"
+        spark.conf.set(key, SQL_SETTINGS[key])
 
 
 def _final_plan(df) -> str:
@@ -65,12 +66,32 @@ def test_gaps_use_range_partitions_not_one_window_per_user(no_broadcast, sf_smal
 def test_item_ranges_stay_in_the_document_row(no_broadcast, sf_small):
     plan = _final_plan(RPL.item_ranges(no_broadcast, sf_small))
     assert "Window" not in plan and "SortMergeJoin" not in plan
-    # at most the round-robin spread of a narrow text scan
-    assert len(re.findall(r"Exchange ", plan)) <= 1
+    assert "Exchange " not in plan
 
 
-def test_top_k_sums_per_category_after_the_status_join(no_broadcast, sf_small):
+def test_raw_items_move_once_on_the_part_key(no_broadcast, sf_small):
+    """Without a broadcast part table the items move before they combine, once."""
+    plan = _final_plan(P.sales_by_category(no_broadcast, sf_small))
+    assert len(re.findall(r"Exchange hashpartitioning\(l_partkey#\d+L", plan)) == 1
+
+
+def test_months_read_the_orders_once(no_broadcast, sf_small):
+    assert _scans(_final_plan(P.sales_by_month(no_broadcast, sf_small)))["orders"] == 1
+
+
+def test_preview_scans_nothing(no_broadcast, sf_small):
+    assert not _scans(_final_plan(CX.column_preview(no_broadcast, sf_small)))
+
+
+def test_context_joins_once(no_broadcast, sf_small):
+    plan = _final_plan(CX.context_per_group(no_broadcast, sf_small))
+    assert "SortMergeJoin" not in plan  # over the stored join; totals and lines are stacked
+
+
+def test_top_k_filters_the_status_and_sums_per_part(no_broadcast, sf_small):
     plan = _final_plan(P.top_k_concentration(no_broadcast, sf_small))
     assert "keys=[l_orderkey" not in plan  # no (order, category) grain
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(o_orderstatus,F\)", plan)
+    assert re.search(r"HashAggregate\(keys=\[l_partkey#\d+L\], functions=\[partial_sum", plan)
     assert re.search(r"HashAggregate\(keys=\[category#\d+\], functions=\[partial_sum", plan)
     assert _scans(plan)["lineitem"] == 1

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from tessera.functions.text import (bytes_text, extension, locale_number, null_token, safe_name,
-                                    stem, thousands_text)
+from tessera.functions.text import (bytes_text, extension, locale_number, locale_stats, null_token,
+                                    safe_name, stem, thousands_text)
 
 
 def _one(spark, expr, value, schema="v string"):
@@ -52,3 +52,11 @@ def test_extension_and_stem(spark):
     assert _one(spark, extension, "dir/X.CSV") == ".csv"
     assert _one(spark, extension, "noext") == ""
     assert _one(spark, stem, "a/b/relatório.v2.xlsx") == "relatório.v2"
+
+
+def test_plain_numbers_keep_their_point(spark):
+    df = spark.createDataFrame([("12.5",), ("$12,5",), ("1.234",), ("1.234,5",), ("n/d",), ("12.5%",), (None,)], "t string")
+    assert [r.v for r in df.select(locale_number(F.col("t")).alias("v")).collect()] == [
+        12.5, 12.5, 1234.0, 1234.5, None, 0.125, None]
+    row = df.agg(*locale_stats(F.col("t"))).first()
+    assert (row["values"], row.plain, row.unparseable) == (6, 3, 1)

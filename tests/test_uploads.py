@@ -26,7 +26,7 @@ def test_csv_and_workbook_uploads(spark, tmp_path):
         "Resumo": (["k", "k", "nada"], [("a", "b", None), (None, None, None), ("c", "N/A", None)]),
     }))
     _put(tmp_path, "leia-me.txt", "texto")
-    data, profile = UP.load_uploads(spark, str(tmp_path), strict=False)
+    data, profile, rejected = UP.load_uploads(spark, str(tmp_path), strict=False)
     rows = {(r.table_name, r.source_file): r for r in profile.collect()}
     assert set(rows) == {("vendas_Plan1", "vendas_Plan1.csv"), ("vendas_Plan1", "vendas.xlsx"),
                          ("vendas_Resumo", "vendas.xlsx")}
@@ -45,7 +45,7 @@ def test_csv_and_workbook_uploads(spark, tmp_path):
 def test_sheet_rows_missing_trailing_cells(spark, tmp_path):
     _put(tmp_path, "v.xlsx", workbook_bytes({"A": (["x", "y", "z"], [(1, "a", 5), (2, None, None),
                                                                     (None, None, 7)])}))
-    data, profile = UP.load_uploads(spark, str(tmp_path))
+    data, profile, rejected = UP.load_uploads(spark, str(tmp_path))
     assert [tuple(r) for r in data["v_A"].orderBy("x").collect()] == [
         (None, None, "7"), ("1", "a", "5"), ("2", None, None)]
     assert profile.first().rows == 3
@@ -68,7 +68,73 @@ def test_no_accepted_file(spark, tmp_path):
 def test_sheet_types_inferred_on_request(spark, tmp_path):
     _put(tmp_path, "v.xlsx", workbook_bytes({"A": (["n", "x", "s"], [(1, 1.5, "a"), (2, 2, None),
                                                                     (None, None, "b")])}))
-    data, _ = UP.load_uploads(spark, str(tmp_path), infer_types=True)
+    data, _, _ = UP.load_uploads(spark, str(tmp_path), infer_types=True)
     df = data["v_A"]
     assert [f.dataType.simpleString() for f in df.schema.fields] == ["bigint", "double", "string"]
     assert sorted(tuple(r) for r in df.collect() if r.n is not None) == [(1, 1.5, "a"), (2, 2.0, None)]
+
+
+def test_rejected_files_come_back_with_their_reason(spark, tmp_path):
+    _put(tmp_path, "a.csv", "x,y\n1,2\n")
+    _put(tmp_path, "latin.csv", "nome\nS\u00e3o\n".encode("latin-1"))
+    _put(tmp_path, "old.xls", "x")
+    _put(tmp_path, "leia.txt", "x")
+    _put(tmp_path, "vazio.csv", b"")
+    data, profile, rejected = UP.load_uploads(spark, str(tmp_path), strict=False)
+    assert {r.file_name: r.reason for r in rejected.collect()} == {
+        "latin.csv": "encoding", "old.xls": "legacy", "leia.txt": "unsupported", "vazio.csv": "empty"}
+    assert list(data) == ["a"] and profile.count() == 1
+    with pytest.raises(UP.UploadError, match="latin.csv"):
+        UP.load_uploads(spark, str(tmp_path))
+
+
+def test_no_size_limit_unless_given_and_parts_are_judged_singly(spark, tmp_path):
+    spark.range(300000).repartition(4).write.option("header", "true").csv(str(tmp_path / "big.csv"))
+    _put(tmp_path, "one.csv", "x\n1\n")
+    _, profile, rejected = UP.load_uploads(spark, str(tmp_path))
+    assert {r.table_name: r.rows for r in profile.collect()} == {"big": 300000, "one": 1}
+    assert rejected.count() == 0
+    total = sum(f.stat().st_size for f in (tmp_path / "big.csv").glob("part*")) / 1048576
+    _, profile, rejected = UP.load_uploads(spark, str(tmp_path), limit_mb=total / 2, strict=False)
+    assert profile.count() == 2 and rejected.count() == 0
+    _, profile, rejected = UP.load_uploads(spark, str(tmp_path), limit_mb=total / 8, strict=False)
+    assert [r.reason for r in rejected.collect()] == ["too_large"] and profile.count() == 1
+
+
+def test_ragged_records_and_header_only_files(spark, tmp_path):
+    _put(tmp_path, "r.csv", 'a,b\n1,2\n3,4,5\n6\n"x,y",7\n')
+    _put(tmp_path, "h.csv", "p,q\n")
+    data, profile, _ = UP.load_uploads(spark, str(tmp_path), strict=False)
+    by = {r.table_name: r for r in profile.collect()}
+    assert (by["r"].rows, by["r"].ragged_rows) == (3, 1)
+    assert (by["h"].rows, by["h"].columns) == (0, ["p", "q"])
+    assert sorted((str(r.a), r.b) for r in data["r"].collect()) == [("1", 2), ("6", None), ("x,y", 7)]
+    assert data["h"].columns == ["p", "q"] and data["h"].count() == 0
+    with pytest.raises(UP.UploadError, match="r.csv"):
+        UP.load_uploads(spark, str(tmp_path))
+
+
+def test_quoted_breaks_types_and_names_with_escapes(spark, tmp_path):
+    _put(tmp_path, "dados 100%+a.csv", '\ufeffid,id,mes,ok\n1,NA,2016-09,True\n2,"3",2016-10,False\n')
+    _put(tmp_path, "texto.csv", 'id,t\n1,"a\nb ""c"""\n2,d\n')
+    data, profile, _ = UP.load_uploads(spark, str(tmp_path))
+    df = data["dados_100_a"]
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema.fields] == [
+        ("id", "bigint"), ("id.1", "bigint"), ("mes", "string"), ("ok", "boolean")]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, None, "2016-09", True), (2, 3, "2016-10", False)]
+    assert sorted(r.t for r in data["texto"].collect()) == ['a\nb "c"', "d"]
+
+
+def test_jobs_do_not_grow_with_the_files(spark, tmp_path):
+    def jobs(n):
+        folder = tmp_path / f"n{n}"
+        folder.mkdir()
+        for i in range(n):
+            _put(folder, f"f{i}.csv", f"a{i},b\n1,2\n")
+        tag = f"uploads-{n}"
+        spark.sparkContext.setJobGroup(tag, tag)
+        UP.load_uploads(spark, str(folder))[1].collect()
+        spark.sparkContext.setJobGroup("", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+    jobs(1)
+    assert jobs(9) <= jobs(2) + 1

@@ -1,6 +1,8 @@
 import io
 import zipfile
 
+import pytest
+
 from tessera.sources import workbook as W
 
 
@@ -45,3 +47,27 @@ def test_missing_trailing_cells_read_as_null(spark, tmp_path):
     W.write_workbooks(df, "g", "g", str(tmp_path), ["k", "v"]).collect()
     out = W.sheet_table(W.read_workbooks(spark, str(tmp_path)), df.select("k", "v").schema)
     assert sorted((r.k, r.v) for r in out.collect()) == [(1, "a"), (2, None)]
+
+
+def test_dates_in_both_systems_and_cells_without_references():
+    import datetime as dt
+    day = dt.datetime(2020, 2, 29, 13, 30)
+    sheets = {"p": (["k", "d"], [(1, day), (2, None), (None, dt.datetime(1999, 12, 31))])}
+    want = [("p", 1, ["k", "d"]), ("p", 2, ["1", "2020-02-29 13:30:00"]), ("p", 3, ["2"]),
+            ("p", 4, [None, "1999-12-31 00:00:00"])]
+    for late in (False, True):
+        for references in (False, True):
+            got = list(W.parse_workbook(W.workbook_bytes(sheets, late, references)))
+            assert [(s, r, [c for c in cells[:len(w[2])]]) for (s, r, cells), w in zip(got, want)] == want
+
+
+def test_date_formats():
+    assert all(W.is_date_format(f) for f in ("yyyy-mm-dd", "d/m/yy", '[h]:mm:ss', '"Em" dd "de" mmmm'))
+    assert not any(W.is_date_format(f) for f in ("0.00", "General", '"days" 0', "[Red]0", "#,##0 [$R$-416]"))
+
+
+def test_size_limit(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(W.workbook_bytes({"p": (["k"], [(i,) for i in range(100)])}))
+    assert W.read_workbooks(spark, str(tmp_path), limit_mb=1).count() == 100
+    with pytest.raises(ValueError, match="a.xlsx"):
+        W.read_workbooks(spark, str(tmp_path), limit_mb=0.0001)
