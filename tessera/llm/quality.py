@@ -37,7 +37,7 @@ ROUNDS = 30
 SMOOTHING = 1.0
 #: A rule votes bad on at most this share of good documents, on at least
 #: ``OWN_DEFECT`` of its own defect, and never with certainty.
-FALSE_ALARM, OWN_DEFECT, LEAST_RATE = 0.02, 0.8, 1e-4
+FALSE_ALARM, OWN_DEFECT, LEAST_RATE = 0.01, 0.8, 1e-4
 
 
 def metrics(text: Column) -> dict[str, Column]:
@@ -159,7 +159,7 @@ def fit_label_model(counts: dict[tuple[int, ...], int], n_rules: int) -> LabelMo
                      (OWN_DEFECT, 1 - LEAST_RATE) if c == j + 1 else (LEAST_RATE, 1 - LEAST_RATE))
         return min(high, max(low, rate))
 
-    start = [[FALSE_ALARM if c == 0 else 0.95 if c == j + 1 else 0.1 for j in range(n_rules)]
+    start = [[FALSE_ALARM if c == 0 else 0.95 if c == j + 1 else 0.05 for j in range(n_rules)]
              for c in range(n_rules + 1)]
     weights = [PRIOR_GOOD] + [(1 - PRIOR_GOOD) / n_rules] * n_rules
     model, total = LabelModel(weights, start), sum(counts.values())
