@@ -78,8 +78,9 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      F.col(text_col).alias("text"))
     found = stage(_digests(docs, kind, min_words), "units")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "unit")
-    first = (found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))
-                  .filter("copies > 1"))
+    # staged, so that the join has a plain shuffle on both sides, whose skew can be split
+    first = stage(found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))
+                       .filter("copies > 1"), "repeated")
     return (found.join(first, ["h1", "h2"])
                  .filter((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit")))
                  .select(F.col("id").alias(id_col), "row", "unit", "start", "end",
