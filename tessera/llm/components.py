@@ -20,8 +20,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round points the larger neighbours of every node to its smallest one,
     then the smaller neighbours; the links end as one star per component.
     Rounds grow with the logarithm of the longest chain.  A hub is no hot task:
-    its minimum is pre-aggregated, and the join back to its links can be split
-    by adaptive execution.  Rounds are cut by tables in the shared folder.
+    its minimum is pre-aggregated and staged, so the join back to its links has
+    a plain shuffle on both sides, whose skew adaptive execution splits.
+    Rounds are cut by tables in the shared folder.
     """
     edges = stage(links.filter("a <> b")
                        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -29,10 +30,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     seen = _signature(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
+        low = stage(both.groupBy("a").agg(F.min("b").alias("m")), "stars-low")
         large = (both.join(low, "a").filter("b > a")
                      .select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "stars-low")
         small = (large.join(low, "a")
                       .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                               F.col("m").alias("b"))
