@@ -1,22 +1,25 @@
 """Substring dedup by hashing lines or paragraphs.
 
-A unit is a line (text between ``\\n``) or a paragraph (between blank lines).
-It is normalised (lower-cased, runs of white space as one space) and hashed to
-128 bits.  Digests are grouped over the whole corpus; the occurrence that ranks
-first (smallest id, nulls last, then row, then place) stays, every other one is
-removed.  Removed units come back with their offsets in the original text.
-
-Units of fewer than ``min_words`` words are never removed: single words and
-short headings repeat by chance, and cutting them would damage clean texts.
-The default is above the length of such headings and far below a passage.
+A unit is a line, a paragraph (between blank lines), or by default a sentence:
+a line cut at sentence ends, because a repeated passage is often spliced into a
+line.  Units are normalised (lower-cased, runs of white space as one space) and
+hashed to 128 bits.  Digests are grouped over the whole corpus; the occurrence
+that ranks first (smallest id, nulls last, then row, then place) stays.
+
+Neighbouring units of a text that are not first make one passage, and passages
+of at least ``min_words`` words are removed; their offsets in the original
+text come back.  The bound keeps headings and stock phrases, whose repetition
+says little, and cutting which would damage clean texts.  Units of fewer than
+``unit_words`` words repeat by chance: they are never hashed, and a passage goes
+on over at most ``gap_words`` words of them.
 
 A very common line is one key with many rows: its first occurrence is found by
-an aggregation with partial results per task, and the join that flags the
-others can be split by adaptive execution.
+an aggregation with partial results per task and staged, so the join that flags
+the others is plain and adaptive execution can split it.
 
 Defined cases: null and empty texts have no units; repeated rows are separate
-rows, the later ones lose every long enough unit; an empty table gives no rows;
-extra columns are ignored (``remove_repeats`` returns them unchanged).
+rows, the later ones lose every long enough passage; an empty table gives no
+rows; extra columns are ignored (``remove_repeats`` returns them unchanged).
 """
 
 from __future__ import annotations
@@ -27,65 +30,82 @@ from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import stage, to_batch, whole_row
 
-MIN_WORDS = 12
+MIN_WORDS, UNIT_WORDS, GAP_WORDS = 25, 4, 6
 DIGESTS = [("id", pa.int64()), ("row", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()),
-           ("end", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
-_BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
-
-
-def units(text: str | None, kind: str) -> list[tuple[int, int]]:
-    """(start, end) of the units of a text, offsets in code points."""
-    out, start = [], 0
-    for m in _BREAKS[kind].finditer(text or ""):
-        out.append((start, m.start()))
-        start = m.end()
-    return [*out, (start, len(text or ""))] if text else []
-
-
-def _digests(docs: DataFrame, kind: str, min_words: int) -> DataFrame:
+           ("end", pa.int32()), ("words", pa.int32()), ("gap", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
+#: Units with what ends them; together they are the whole text.
+_UNITS = {"line": re.compile(r"[^\n]*\n?"), "sentence": re.compile(r"[^.!?\n]*[.!?]*\n?"),
+          "paragraph": re.compile(r"(?s:.+?)(?:\n[ \t\r]*\n\s*|\Z)")}
+
+
+def units(text: str | None, kind: str, unit_words: int) -> list[tuple[int, int, list[str], int]]:
+    """(start, end, words, words of the shorter units since the one before) of the units with
+    enough words; offsets in code points, without white space around."""
+    out, gap = [], 0
+    for m in _UNITS[kind].finditer(text or ""):
+        words = m[0].lower().split()
+        if len(words) < max(1, unit_words):
+            gap += len(words)
+            continue
+        start = m.end() - len(m[0].lstrip())
+        out.append((start, start + len(m[0].strip()), words, gap))
+        gap = 0
+    return out
+
+
+def _digests(docs: DataFrame, kind: str, unit_words: int) -> DataFrame:
     def split(batches):
         for batch in batches:
             keys, numbers, texts = (batch.column(i).to_pylist() for i in (0, 1, 2))
             rows = []
             for key, row, text in zip(keys, numbers, texts):
-                for i, (a, b) in enumerate(units(text, kind)):
-                    words = text[a:b].lower().split()
-                    if len(words) >= max(1, min_words):
-                        whole = " ".join(words).encode("utf-8", "surrogatepass")
-                        rows.append((key, row, i, a, b,
-                                     *struct.unpack("qq", blake2b(whole, digest_size=16).digest())))
+                for i, (start, end, words, gap) in enumerate(units(text, kind, unit_words)):
+                    whole = " ".join(words).encode("utf-8", "surrogatepass")
+                    rows.append((key, row, i, start, end, len(words), gap,
+                                 *struct.unpack("qq", blake2b(whole, digest_size=16).digest())))
             yield to_batch(rows, DIGESTS)
 
-    return docs.mapInArrow(split, "id long, row long, unit int, start int, end int, h1 long, h2 long")
+    return docs.mapInArrow(split, "id long, row long, unit int, start int, end int, words int, gap int, "
+                                  "h1 long, h2 long")
 
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 kind: str = "line", min_words: int = MIN_WORDS,
-                 row_col: str | None = None) -> DataFrame:
-    """One row per removed unit: id, ``row``, ``unit`` (its number in the text), ``start``,
-    ``end``, ``keep_id``, ``keep_unit`` (the occurrence that stays) and ``copies``.
+                 kind: str = "sentence", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS,
+                 gap_words: int = GAP_WORDS, row_col: str | None = None) -> DataFrame:
+    """One row per removed passage: id, ``row``, ``unit`` (number of its first unit), ``units``,
+    ``start``, ``end``, ``words``, ``keep_id`` (smallest id that keeps a unit of it) and
+    ``copies`` (of its most frequent unit).
 
     ``row_col`` names a unique row number; without it one is assigned.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     docs = df.select(F.col(id_col).cast("long").alias("id"), row.alias("row"),
                      F.col(text_col).alias("text"))
-    found = stage(_digests(docs, kind, min_words), "units")
+    found = stage(_digests(docs, kind, unit_words), "units")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "unit")
     # staged, so that the join has a plain shuffle on both sides, whose skew can be split
     first = stage(found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))
                        .filter("copies > 1"), "repeated")
-    return (found.join(first, ["h1", "h2"])
-                 .filter((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit")))
-                 .select(F.col("id").alias(id_col), "row", "unit", "start", "end",
-                         F.col("first.id").alias("keep_id"), F.col("first.unit").alias("keep_unit"),
-                         "copies"))
+    later = (found.join(first, ["h1", "h2"])
+                  .filter((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit"))))
+    text = Window.partitionBy("row").orderBy("unit")
+    breaks = (F.col("unit") - F.lag("unit", 1).over(text) > 1) | (F.col("gap") > gap_words)
+    passage = F.sum(F.coalesce(breaks, F.lit(False)).cast("int")).over(text)
+    return (later.withColumn("passage", passage)
+                 .groupBy("row", "passage")
+                 .agg(F.min("id").alias("id"), F.min("unit").alias("unit"), F.count("*").cast("int").alias("units"),
+                      F.min("start").alias("start"), F.max("end").alias("end"),
+                      F.sum("words").cast("int").alias("words"), F.min("first.id").alias("keep_id"),
+                      F.max("copies").alias("copies"))
+                 .filter(F.col("words") >= min_words)
+                 .select(F.col("id").alias(id_col), "row", "unit", "units", "start", "end", "words",
+                         "keep_id", "copies"))
 
 
 @F.pandas_udf(T.StringType())
@@ -96,19 +116,20 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         kept, at = [], 0
         for start, end in sorted((c["start"], c["end"]) for c in cuts):
             kept.append(t[at:start])
-            at = min(len(t), end + 1)  # with the line break behind it
+            whole_line = (start == 0 or t[start - 1] == "\n") and t[end:end + 1] == "\n"
+            at = end + whole_line
         return "".join([*kept, t[at:]])
     return pd.Series([one(t, c) for t, c in zip(text, spans)], dtype=object)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """``df`` with repeated units cut out of the text, the columns as given."""
+                   kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+    """``df`` with repeated passages cut out of the text, the columns as given."""
     rows = stage(df.select(whole_row(df).alias("_row"),
                            F.monotonically_increasing_id().alias("_n")), "line-dedup")
     spans = (find_repeats(rows.select("_n", F.col(f"_row.`{id_col}`").alias("_id"),
                                       F.col(f"_row.`{text_col}`").alias("_text")),
-                          "_id", "_text", kind, min_words, "_n")
+                          "_id", "_text", kind, min_words, row_col="_n")
              .groupBy(F.col("row").alias("_n"))
              .agg(F.collect_list(F.struct("start", "end")).alias("_cuts")))
     text = _cut(F.col(f"_row.`{text_col}`"), F.col("_cuts")).alias(text_col)

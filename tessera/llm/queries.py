@@ -71,8 +71,7 @@ def op6_quality_rules(spark, sf_dir):
 
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.find_repeats(docs).select("doc_id", "unit", "start", "end", "keep_id",
-                                                "keep_unit", "copies")
+    return line_dedup.find_repeats(docs).drop("row")
 
 
 def op8_license_scan(spark, sf_dir):
@@ -145,25 +144,41 @@ SELECT page_id, host, path,
 FROM parsed LEFT JOIN best ON host || path || query = target"""
 
 
-#: Python's str.lower and DuckDB's lower differ for no letter of the tables; units are \n-split.
+#: Units are sentences, a line cut behind every run of .!? (the pattern covers the whole text).
 LINE_SQL = f"""
 WITH split AS (
-  SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '')),
+  SELECT doc_id, list_filter(regexp_extract_all(text, '[^.!?\\n]*[.!?]*\\n?'), lambda x: x <> '') AS l
+  FROM documents WHERE text <> ''),
+pieces AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS piece FROM split),
+placed AS (
+  SELECT doc_id, i, trim(regexp_replace(lower(piece), '\\s+', ' ', 'g')) AS norm,
+         coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           + length(regexp_extract(piece, '^\\s*')) AS start,
+         length(regexp_replace(regexp_replace(piece, '^\\s+', ''), '\\s+$', '')) AS size,
+         len(regexp_extract_all(piece, '\\S+')) AS words
+  FROM pieces),
 units AS (
-  SELECT doc_id, i - 1 AS unit, l[i] AS line,
-         coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 1)), 0) AS start,
-         trim(regexp_replace(lower(l[i]), '\\s+', ' ', 'g')) AS norm
-  FROM split),
+  SELECT doc_id, start, size, words, norm,
+         row_number() OVER w - 1 AS unit,
+         seen - words - coalesce(lag(seen) OVER w, 0) AS gap
+  FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS seen FROM placed)
+  WHERE words >= {line_dedup.UNIT_WORDS}
+  WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
 ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(unit) OVER w AS keep_unit,
-         row_number() OVER w AS place, count(*) OVER (PARTITION BY norm) AS copies
-  FROM units WHERE norm <> '' AND len(string_split(norm, ' ')) >= {line_dedup.MIN_WORDS}
-  WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit))
-SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS start,
-       CAST(start + length(line) AS INTEGER) AS "end", keep_id,
-       CAST(keep_unit AS INTEGER) AS keep_unit, copies
-FROM ranked WHERE place > 1"""
+  SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place,
+         count(*) OVER (PARTITION BY norm) AS copies
+  FROM units WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit)),
+later AS (
+  SELECT *, CASE WHEN unit - lag(unit) OVER w > 1 OR gap > {line_dedup.GAP_WORDS} THEN 1 ELSE 0 END AS breaks
+  FROM ranked WHERE place > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY unit)),
+passages AS (
+  SELECT *, sum(breaks) OVER (PARTITION BY doc_id ORDER BY unit) AS passage FROM later)
+SELECT doc_id, CAST(min(unit) AS INTEGER) AS unit, CAST(count(*) AS INTEGER) AS units,
+       CAST(min(start) AS INTEGER) AS start, CAST(max(start + size) AS INTEGER) AS "end",
+       CAST(sum(words) AS INTEGER) AS words, min(keep_id) AS keep_id, max(copies) AS copies
+FROM passages GROUP BY doc_id, passage HAVING sum(words) >= {line_dedup.MIN_WORDS}"""
 
 
 SQL = {
