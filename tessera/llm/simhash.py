@@ -7,9 +7,10 @@ shingle of the whole sequence, no words make fingerprint zero.
 
 Links: one tree over all fingerprints would follow most of its edges, since
 unrelated fingerprints lie about 32 bits apart with little spread.  So the 64
-bits are cut into ``radius + 2`` blocks.  Two fingerprints at most ``radius``
-bits apart agree on at least two whole blocks, therefore every pair of blocks
-is a shard key and any link has both ends in at least one common shard, exactly.
+bits are cut into ``radius + 2`` blocks (more for very many fingerprints).  Two
+fingerprints at most ``radius`` bits apart agree on all but ``radius`` whole
+blocks, therefore every choice of so many blocks is a shard key, and any link
+has both ends in at least one common shard, exactly.
 Each shard gets a BK-tree: children are keyed by their integer distance to
 their parent, and a search follows only edges within ``radius`` of the
 distance of the query to the node.  Trees are sent to their queries by the
@@ -44,6 +45,8 @@ from tessera.llm.components import connected_components
 
 SEED = 42
 TREE_SIZE = 2048
+#: Unrelated fingerprints in a shard from which on one more block is used.
+FULL = 64
 
 
 def fingerprint(text: str | None, k: int) -> int:
@@ -120,22 +123,33 @@ class BKTree:
         return out
 
 
-def _block_masks(radius: int) -> list[int]:
-    """64-bit masks of every pair of the ``radius + 2`` blocks, as signed longs."""
-    n = radius + 2
-    cuts = [round(64 * i / n) for i in range(n + 1)]
-    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    masks = [x | y for x, y in combinations(blocks, 2)]
+def _block_masks(radius: int, blocks: int) -> list[int]:
+    """64-bit masks, as signed longs, of every choice of the blocks that must agree."""
+    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    parts = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+    masks = [sum(chosen) for chosen in combinations(parts, blocks - radius)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def hamming_links(prints: DataFrame, radius: int, tree_size: int = TREE_SIZE) -> DataFrame:
-    """Links (a, b) among the distinct fingerprints ``prints(fp)``.
+def _blocks_for(prints: int, radius: int) -> int:
+    """Fewest blocks (from radius + 2 on) whose keys tell unrelated fingerprints apart, about
+    ``FULL`` in a shard; any number finds every link."""
+    blocks = radius + 2
+    while prints >> (64 * (blocks - radius) // blocks) > FULL:
+        blocks += 1
+    return blocks
 
-    They connect exactly what all pairs at most ``radius`` bits apart connect.
+
+def hamming_links(prints: DataFrame, radius: int, tree_size: int = TREE_SIZE,
+                  blocks: int | None = None) -> DataFrame:
+    """Links (a, b) among the distinct fingerprints ``prints(fp)``, read twice.
+
+    They connect exactly what all pairs at most ``radius`` bits apart connect,
+    for any number of ``blocks`` above ``radius`` (default: by their count).
     """
+    blocks = blocks or _blocks_for(prints.count(), radius)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m)))
-                     for i, m in enumerate(_block_masks(radius))])
+                     for i, m in enumerate(_block_masks(radius, blocks))])
     keyed = prints.select("fp", F.explode(keys).alias("key"))
     shared = (keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
                    .select("key", F.ceil(F.col("n") / tree_size).cast("int").alias("subs")))

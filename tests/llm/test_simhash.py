@@ -61,8 +61,12 @@ def test_tree_joins_what_all_pairs_join(points, radius):
     assert groups(got) == groups(want)
 
 
-@pytest.mark.parametrize("tree_size", [3, 2048])
-def test_links_over_blocks_and_sub_shards(spark, tree_size):
+def test_more_blocks_for_more_fingerprints():
+    assert [simhash._blocks_for(n, 4) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [6, 6, 6, 8, 9]
+
+
+@pytest.mark.parametrize("tree_size, blocks", [(3, None), (2048, 5), (2048, 7)])
+def test_links_over_blocks_and_sub_shards(spark, tree_size, blocks):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 2**63, 12, dtype=np.uint64)
     points = set()
@@ -74,7 +78,7 @@ def test_links_over_blocks_and_sub_shards(spark, tree_size):
     points = sorted(points)
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    links = simhash.hamming_links(df, 4, tree_size)
+    links = simhash.hamming_links(df, 4, tree_size, blocks)
     roots = {r["node"]: r["root"] for r in connected_components(links).collect()}
     got = {p: roots.get(s, s) for p, s in zip(points, signed)}
     want = classes(points, 4)
