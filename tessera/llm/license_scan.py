@@ -75,7 +75,7 @@ TEMPLATES = [
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BREAK, -1), lambda w: w != "")
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BREAK, -1), "")
 
 
 def grams(word_array: Column, k: int) -> Column:
