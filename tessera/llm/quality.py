@@ -59,7 +59,7 @@ def metrics(text: Column) -> dict[str, Column]:
     has_repeats = F.size("_windows") > F.size(F.array_distinct("_windows"))
     return {
         "_t": F.coalesce(text, F.lit("")),
-        "_words": F.filter(F.split("_t", SPACE, -1), lambda w: w != ""),
+        "_words": F.array_remove(F.split("_t", SPACE, -1), ""),
         "n_words": F.size("_words").cast("long"),
         "_hashes": hashes,
         "_windows": windows,
