@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import if_small, stage
 
-SAMPLE = 8_000
+SAMPLE = 6_000
 VOCABULARY = 50_000
 MIN_ROWS = 20
 L1, L2, COUNTERFACTUAL = 1e-3, 1e-5, 1.0
 ROUNDS = 150
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7)
 
 #: Groups of interchangeable identity terms; a term is swapped for the next one of its set.
 IDENTITY = [
@@ -90,18 +90,19 @@ def swaps(words: set[str], identity=IDENTITY) -> list[set[str]]:
 
 
 class _Sparse(NamedTuple):
-    """Entries (row, column, value) of a matrix."""
+    """Entries (row, column, sign) of a matrix whose columns are scaled."""
 
     row: np.ndarray
     col: np.ndarray
-    value: np.ndarray
-    shape: tuple[int, int]
+    sign: np.ndarray | float
+    scale: np.ndarray
+    rows: int
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.col], self.shape[0])
+        return np.bincount(self.row, self.sign * (w * self.scale)[self.col], self.rows)
 
     def dot_t(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.value * v[self.row], self.shape[1])
+        return self.scale * np.bincount(self.col, self.sign * v[self.row], len(self.scale))
 
 
 def _changes(rows: list[np.ndarray], words: list[str], scale: np.ndarray, identity) -> _Sparse:
@@ -116,8 +117,7 @@ def _changes(rows: list[np.ndarray], words: list[str], scale: np.ndarray, identi
             entries += [(n, index[w], -1.0) for w in mentioned - other]
             n += 1
     table = np.array(entries, float).reshape(-1, 3)
-    col = table[:, 1].astype(np.int64)
-    return _Sparse(table[:, 0].astype(np.int64), col, table[:, 2] * scale[col], (n, len(words)))
+    return _Sparse(table[:, 0].astype(np.int64), table[:, 1].astype(np.int64), table[:, 2], scale, n)
 
 
 def fit(rows: list[np.ndarray], labels, words: list[str], identity=IDENTITY,
@@ -135,9 +135,9 @@ def fit(rows: list[np.ndarray], labels, words: list[str], identity=IDENTITY,
     toxic = np.bincount(col, y[row], len(words)) + 1
     other = np.bincount(col, 1 - y[row], len(words)) + 1
     scale = np.log(toxic / (y.sum() + 2)) - np.log(other / (n - y.sum() + 2))
-    x = _Sparse(row, col, scale[col], (n, len(words)))
+    x = _Sparse(row, col, 1.0, scale, n)
     swap = _changes(rows, words, scale, identity)
-    pull = 2 * weight / max(1, swap.shape[0])
+    pull = 2 * weight / max(1, swap.rows)
 
     def curve(v):
         return x.dot_t(x.dot(v)) / (4 * n) + pull * swap.dot_t(swap.dot(v)) + L2 * v
