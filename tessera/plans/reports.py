@@ -17,12 +17,15 @@ REPORT_STATES = 5
 REPORT_RISKS = 4
 
 
-def _docs(spark, sf_dir) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+def _docs(spark, sf_dir, partitions: int | None = None) -> DataFrame:
+    """Documents; ``partitions`` spreads a table of one row group over so many
+    tasks (a table of many row groups starts wide by itself)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.repartition(partitions) if partitions else docs
 
 
-def markdown_blocks(spark, sf_dir):
-    return RP.markdown_blocks(_docs(spark, sf_dir), "doc_id", "text")
+def markdown_blocks(spark, sf_dir, partitions: int | None = None):
+    return RP.markdown_blocks(_docs(spark, sf_dir, partitions), "doc_id", "text")
 
 
 def section_check(spark, sf_dir):
