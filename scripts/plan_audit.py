@@ -16,8 +16,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
-from tessera.session import BROADCAST_LIMIT_BYTES, SQL_SETTINGS, local_session  # noqa: E402
+from tessera.plans.registry import all_queries  # noqa: E402
+from tessera.session import BROADCAST_LIMIT_BYTES, local_session  # noqa: E402
 
 PY_NODES = ("MapInPandas", "FlatMapGroupsInPandas", "ArrowEvalPython", "BatchEvalPython",
             "PythonMapInArrow")
@@ -46,9 +46,9 @@ def _stats(plan: str) -> dict:
     }
 
 
-def _set_threshold(value: str) -> None:
+def _set_threshold(spark, value: str) -> None:
     for key in THRESHOLD_KEYS:
-        SQL_SETTINGS[key] = value
+        spark.conf.set(key, value)
 
 
 def main(argv):
@@ -56,14 +56,13 @@ def main(argv):
     out = argv[2] if len(argv) > 2 else "PLANS.md"
     spark = local_session(8, 16)
     rows = []
-    for name, fn in E.queries().items():
-        _set_threshold(str(BROADCAST_LIMIT_BYTES))
+    for name, fn in all_queries().items():
+        _set_threshold(spark, str(BROADCAST_LIMIT_BYTES))
         small = _stats(_final_plan(fn(spark, sf_dir)))
-        _set_threshold("-1")  # the registry re-applies SQL_SETTINGS on every call
+        _set_threshold(spark, "-1")
         large = _stats(_final_plan(fn(spark, sf_dir)))
         rows.append((name, small, large))
         print(name, small, large, flush=True)
-    _set_threshold(str(BROADCAST_LIMIT_BYTES))
     spark.stop()
     with open(out, "w") as f:
         f.write("# Plan audit\n\nGenerated by `scripts/plan_audit.py` on "

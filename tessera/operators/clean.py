@@ -25,7 +25,7 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
-    """A-09: drop columns with no value at all.
+    """A-09: drop columns with no value at all (NaN is none).
 
     Eager by nature (the schema depends on the data): one distributed
     aggregation counts the non-null cells of every column in a single pass;
@@ -33,7 +33,10 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     """
     if not df.columns:
         return df
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    values = [F.nullif(F.col(f"`{c}`"), F.lit(float("nan"))) if c in floats else F.col(f"`{c}`")
+              for c in df.columns]
+    counts = df.agg(*[F.count(v).alias(f"c{i}") for i, v in enumerate(values)]).first()
     keep = [c for i, c in enumerate(df.columns) if counts[f"c{i}"] > 0]
     return df.select(*[F.col(f"`{c}`") for c in keep])
 

@@ -50,7 +50,9 @@ def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a lost executor re-reads stored files instead of recomputing the join.
     """
     path = staging_path(spark, "order-facts")
-    facts = facts_with_state(spark, sf_dir)
+    facts = facts_with_state(spark, sf_dir).select(
+        "o_orderkey", "o_custkey", "order_date", "month", "state", "order_units", "is_delivered", "is_canceled",
+        "delivery_days", "is_late")
     facts.write.mode("overwrite").parquet(path)
     return spark.read.schema(facts.schema).parquet(path)  # known schema: no inference job
 
@@ -178,8 +180,8 @@ def growth(spark, sf_dir):
     return C.growth(sales_by_month(spark, sf_dir))
 
 
-def impact_ranking(spark, sf_dir):
-    f = stored_facts(spark, sf_dir)  # state and month cuts share one fact table
+def impact_ranking(spark, sf_dir, facts: DataFrame | None = None):
+    f = stored_facts(spark, sf_dir) if facts is None else facts  # state and month cuts share one fact table
     risk = C.value_at_risk(B.state_performance(f), "state", "revenue", "late_rate",
                            RISK_THRESHOLD).select(
         F.lit("late_delivery_risk").alias("kind"), F.col("state").alias("subject"),

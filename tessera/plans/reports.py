@@ -240,14 +240,15 @@ def _measure_keys(facts: DataFrame) -> DataFrame:
     return RP.grounding_keys(rows.select(F.explode(values).alias("v")), "v")
 
 
-def report_grounding(spark, sf_dir):
+def report_grounding(spark, sf_dir, facts: DataFrame | None = None):
     """D-03 on the generated report: every number must come from a measure.
-    The report and its accepted numbers are two reads of one stored fact."""
-    facts = P.stored_facts(spark, sf_dir)
+    The report and its accepted numbers are two reads of one stored fact,
+    ``facts`` if the caller has it already."""
+    facts = P.stored_facts(spark, sf_dir) if facts is None else facts
     return RP.number_grounding(_report_doc(facts), "doc_id", "text", _measure_keys(facts))
 
 
-def data_limits(spark, sf_dir):
+def data_limits(spark, sf_dir, facts: DataFrame | None = None):
     """D-04: cut totals that disagree with the general KPI, constant columns
     and blank keys, as one long table (check, subject, value, flag).
 
@@ -267,7 +268,8 @@ def data_limits(spark, sf_dir):
         args = ", ".join(f"'{c}', '{subj}', m{i}" for i, (c, subj, _) in enumerate(measures))
         return row.select(F.expr(f"stack({len(measures)}, {args})").alias("check", "subject", "value"))
 
-    facts = P.stored_facts(spark, sf_dir)  # every order cut aggregates the stored fact
+    if facts is None:
+        facts = P.stored_facts(spark, sf_dir)  # every order cut aggregates the stored fact
     sc = P.sales_by_category(spark, sf_dir)
     parts = [
         checks(B.kpi_general(facts), [("cut_total", "kpi", total("revenue")),

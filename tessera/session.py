@@ -77,6 +77,21 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_STAGED: list[str] = []
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
     """A new, unique folder under the shared folder for one staged write."""
-    return f"{shared_dir(spark)}/staging/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/staging/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
+def clear_staging(spark: SparkSession) -> int:
+    """Delete what this driver has staged; results that still read it must have
+    been written before.  Returns the number of folders deleted."""
+    deleted = 0
+    while _STAGED:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        deleted += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return deleted

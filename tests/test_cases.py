@@ -116,3 +116,24 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_nan_only_columns_are_empty(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, None)], "k int, x double")
+    assert clean.drop_empty_columns(df).columns == ["k"]
+
+
+def test_staged_folders_can_be_cleared(spark):
+    path = session.staging_path(spark, "clear-test")
+    spark.range(3).write.parquet(path)
+    assert S.exists(spark, path)
+    kept, session._STAGED[:] = session._STAGED[:-1], [path]
+    assert session.clear_staging(spark) == 1 and not S.exists(spark, path)
+    session._STAGED[:] = kept
+
+
+def test_a_stored_fact_can_be_passed(spark, sf_small):
+    from tessera.plans import driver, reports
+    facts = driver.stored_facts(spark, sf_small)
+    assert sorted(map(tuple, reports.data_limits(spark, sf_small, facts).collect())) == sorted(
+        map(tuple, reports.data_limits(spark, sf_small).collect()))
