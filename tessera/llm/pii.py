@@ -126,17 +126,24 @@ def _found(kind: str, text: Column) -> Column:
 
     def add(acc, x):
         start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        before = F.substring(x["gap"], -CONTEXT, CONTEXT)
-        one = F.struct(F.lit(kind).alias("kind_name"), start.alias("start"), end.alias("end"),
-                       _passes(kind, x["hit"], before).cast("int").alias("label"),
-                       *[c.cast("int").alias(n)
-                         for n, c in _features(kind, x["hit"], before, x["next"]).items()])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
-
+        return F.struct((start + F.length(x["hit"])).alias("at"),
+                        F.concat(acc["starts"], start.cast("string"), F.lit(" ")).alias("starts"))
+
+    def span(x):
+        hit, start = x["h"]["hit"], x["s"].cast("int")
+        before = F.substring(x["h"]["gap"], -CONTEXT, CONTEXT)
+        return F.struct(F.lit(kind).alias("kind_name"), start.alias("start"),
+                        (start + F.length(hit)).alias("end"),
+                        _passes(kind, hit, before).cast("int").alias("label"),
+                        *[c.cast("int").alias(n)
+                          for n, c in _features(kind, hit, before, x["h"]["next"]).items()])
+
+    # running offsets gathered as text: appending to an array copies it element by element
+    starts = F.aggregate(hits, F.struct(F.lit(0).alias("at"), F.lit("").alias("starts")), add)["starts"]
+    spans = F.transform(F.filter(F.arrays_zip(hits.alias("h"), F.split(starts, " ").alias("s")),
+                                 lambda x: x["h"].isNotNull()), span)
     fields = "".join(f", {n}:int" for n in FEATURES)
     empty = F.array().cast(f"array<struct<kind_name:string,start:int,end:int,label:int{fields}>>")
-    spans = F.aggregate(hits, F.struct(F.lit(0).alias("at"), empty.alias("out")), add)["out"]
     if kind == "email":
         wanted = text.contains("@")
     elif kind == "phone":
