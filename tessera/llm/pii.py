@@ -116,14 +116,18 @@ def _features(kind: str, match: Column, before: Column, after: Column) -> dict[s
     }
 
 
-def _found(kind: str, text: Column) -> Column:
-    """Array of (kind, start, end, label, features) of one pattern, in order."""
-    pattern = F.lit(PATTERNS[kind])
+def _hits(kind: str, text: Column) -> Column:
+    """Array of (gap before, hit, gap behind) of one pattern; null where a text can't have any."""
     pieces = F.split(text, PATTERNS[kind], -1)
-    hits = F.arrays_zip(pieces.alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
+    hits = F.arrays_zip(pieces.alias("gap"),
+                        F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("hit"),
                         F.slice(pieces, 2, F.greatest(F.lit(1), F.size(pieces))).alias("next"))
-    hits = F.filter(hits, lambda x: x["hit"].isNotNull())
+    wanted = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]"))
+    return F.when(wanted, F.filter(hits, lambda x: x["hit"].isNotNull()))
 
+
+def _found(kind: str, hits: Column) -> Column:
+    """Array of (kind, start, end, label, features) of the hits of one pattern, in order."""
     def add(acc, x):
         start = acc["at"] + F.length(x["gap"])
         return F.struct((start + F.length(x["hit"])).alias("at"),
@@ -144,18 +148,17 @@ def _found(kind: str, text: Column) -> Column:
                                  lambda x: x["h"].isNotNull()), span)
     fields = "".join(f", {n}:int" for n in FEATURES)
     empty = F.array().cast(f"array<struct<kind_name:string,start:int,end:int,label:int{fields}>>")
-    if kind == "email":
-        wanted = text.contains("@")
-    elif kind == "phone":
-        wanted = text.contains("+")
-    else:
-        wanted = text.rlike("[0-9]")
-    return F.when(wanted, spans).otherwise(empty)
+    return F.coalesce(spans, empty)
+
 
+def add_candidates(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with ``found``: all proposed spans of a text, by kind as listed, then start.
 
-def candidates(text: Column) -> Column:
-    """All proposed spans of a text, by kind as listed, then start."""
-    return F.concat(*[_found(kind, text) for kind in KINDS])
+    Hits are columns of their own, since each is read twice."""
+    hits = {f"_hits_{kind}": _hits(kind, text) for kind in KINDS}
+    return (df.withColumns(hits)
+              .withColumn("found", F.concat(*[_found(k, F.col(f"_hits_{k}")) for k in KINDS]))
+              .drop(*hits))
 
 
 # -- boosted trees on counts --------------------------------------------------
@@ -269,10 +272,10 @@ def detect(df: DataFrame, text_col: str = "text", carry: list[str] | None = None
     """
     carry = df.columns if carry is None else carry
     text = F.coalesce(F.col("_text"), F.lit(""))
-    rows = stage(df.select(whole_row(df.select(*[F.col(f"`{c}`") for c in carry])).alias("_row"),
-                           F.col(text_col).alias("_text"))
-                   .select("_row", F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("half"),
-                           candidates(text).alias("found")), "pii")
+    texts = df.select(whole_row(df.select(*[F.col(f"`{c}`") for c in carry])).alias("_row"),
+                      F.col(text_col).alias("_text"))
+    rows = stage(add_candidates(texts, text)
+                 .withColumn("half", F.pmod(F.xxhash64(text), F.lit(2)).cast("int")).drop("_text"), "pii")
     each = rows.select("half", F.inline("found"))
     counts = each.groupBy(*FEATURES, "label", "half").agg(F.count("*").alias("n")).collect()
     model = fit([tuple(r) for r in counts])
