@@ -11,10 +11,11 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as E  # noqa: E402
 from check_oracle import _rows  # noqa: E402
+from tessera.plans.registry import all_oracle_sql, all_queries  # noqa: E402
 from tessera.sources.tables import SCHEMAS, table_path  # noqa: E402
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = all_queries()
+SQL = all_oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -26,8 +27,9 @@ def con(sf_oracle):
     return c
 
 
-def test_every_query_has_an_oracle():
+def test_every_query_has_an_oracle_and_is_registered():
     assert set(QUERIES) - set(SQL) == set()
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
