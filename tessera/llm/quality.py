@@ -5,6 +5,13 @@ trusted outright: expectation-maximisation estimates, from the votes of all
 documents, how often a rule votes bad on good documents and on each defect, and
 the posterior probability of being good replaces the all-must-pass filter.
 
+Votes alone cannot tell a rule's false alarms from a defect that only this rule
+sees: both are texts with one bad vote.  What the rule measures can: the rates
+of good texts thin out towards the bad threshold, so at most as many good texts
+lie behind it as lie in the rule's middle, where it abstains.  The share in the
+middle bounds a rule's false alarms, and EM starts from it: a rule that fires
+on the tail of good texts is outvoted, one whose bad texts lie apart is not.
+
 Votes are few, so the corpus is one count per vote pattern (at most 3 to the
 power of the number of rules): one pre-aggregated pass over all documents.
 Estimation runs on these counts on the driver; the posterior is then a column
@@ -35,9 +42,10 @@ PRIOR_GOOD = 0.8
 ROUNDS = 30
 #: Pseudo-counts of the starting rates: they keep a rule that never fires from a zero.
 SMOOTHING = 1.0
-#: A rule votes bad on at most this share of good documents, on at least
-#: ``OWN_DEFECT`` of its own defect, and never with certainty.
-FALSE_ALARM, OWN_DEFECT, LEAST_RATE = 0.01, 0.8, 1e-4
+#: A rule votes bad on this share of good documents where nothing is known of its middle,
+#: on at least ``OWN_DEFECT`` of its own defect, never with certainty, and on good
+#: documents at most half of the time.
+FALSE_ALARM, OWN_DEFECT, LEAST_RATE, MOST_ALARMS = 0.01, 0.8, 1e-4, 0.5
 
 
 def metrics(text: Column) -> dict[str, Column]:
@@ -119,6 +127,31 @@ def votes() -> dict[str, Column]:
     return out
 
 
+def middles() -> Column:
+    """Bit j is set where rule j abstains because its rate lies between good and bad."""
+    flags = []
+    for r in RULES:
+        rate = F.try_divide(r.numerator, r.denominator)
+        flags.append((F.col(r.denominator) >= r.least) & (rate > r.good) & (rate < r.bad))
+    flags.append((F.col("n_words") >= LENGTH_BAD) & (F.col("n_words") < LENGTH_GOOD))
+    bits = [F.when(flag, 1 << j).otherwise(0) for j, flag in enumerate(flags)]
+    return sum(bits[1:], bits[0]).cast("int")
+
+
+def alarm_bounds(counts: dict[tuple[int, ...], int], middle: dict[tuple[int, ...], list[int]],
+                 n_rules: int) -> list[float]:
+    """Per rule: the share in its middle of the texts that no rule calls bad, which bounds its
+    false alarms; ``middle[p][j]`` texts of vote pattern p lie in the middle of rule j."""
+    clean = [p for p in counts if -1 not in p]
+    out = []
+    for j in range(n_rules):
+        between = sum(middle[p][j] for p in clean)
+        good = sum(counts[p] for p in clean if p[j] == 1)
+        share = (between + SMOOTHING * FALSE_ALARM) / (between + good + SMOOTHING)
+        out.append(min(MOST_ALARMS, max(LEAST_RATE, share)))
+    return out
+
+
 class LabelModel(NamedTuple):
     """Classes are good (first) and one defect per rule.
 
@@ -144,7 +177,8 @@ class LabelModel(NamedTuple):
         return [x / sum(odds) for x in odds]
 
 
-def fit_label_model(counts: dict[tuple[int, ...], int], n_rules: int) -> LabelModel:
+def fit_label_model(counts: dict[tuple[int, ...], int], n_rules: int,
+                    alarms: list[float] | None = None) -> LabelModel:
     """EM over vote patterns and their counts.
 
     Two classes would not do: defects exclude each other (shouting text has few
@@ -153,13 +187,16 @@ def fit_label_model(counts: dict[tuple[int, ...], int], n_rules: int) -> LabelMo
     per rule, a rule's bad votes are weighed against its false alarms on good
     documents.  Rules err independently given the class, an abstention says
     nothing, and the bounds keep each class tied to what it is named for.
+    ``alarms`` (see ``alarm_bounds``) bounds each rule's false alarms.
     """
+    alarms = [FALSE_ALARM] * n_rules if alarms is None else alarms
+
     def bounded(c: int, j: int, rate: float) -> float:
-        low, high = ((LEAST_RATE, FALSE_ALARM) if c == 0 else
+        low, high = ((LEAST_RATE, alarms[j]) if c == 0 else
                      (OWN_DEFECT, 1 - LEAST_RATE) if c == j + 1 else (LEAST_RATE, 1 - LEAST_RATE))
         return min(high, max(low, rate))
 
-    start = [[FALSE_ALARM if c == 0 else 0.95 if c == j + 1 else 0.05 for j in range(n_rules)]
+    start = [[alarms[j] if c == 0 else 0.95 if c == j + 1 else 0.05 for j in range(n_rules)]
              for c in range(n_rules + 1)]
     weights = [PRIOR_GOOD] + [(1 - PRIOR_GOOD) / n_rules] * n_rules
     model, total = LabelModel(weights, start), sum(counts.values())
@@ -200,8 +237,8 @@ def add_metrics(df: DataFrame, text_col: str) -> DataFrame:
     out = df.select(whole_row(df).alias("_row"), F.col(text_col).alias("_src"))
     for name, column in metrics(F.col("_src")).items():
         out = out.withColumn(name, column)
-    out = out.withColumns(votes())
-    return out.select("_row", *KEPT, *votes())
+    out = out.withColumns(votes()).withColumn("_middle", middles())
+    return out.select("_row", *KEPT, *votes(), "_middle")
 
 
 def judge(df: DataFrame, text_col: str = "text", carry: list[str] | None = None,
@@ -217,9 +254,11 @@ def judge(df: DataFrame, text_col: str = "text", carry: list[str] | None = None,
     names = list(votes())
     rows = stage(measured.withColumn("_row", F.struct(*[F.col(f"_row.`{c}`") for c in carry])),
                  "quality")
-    counts = {tuple(r[n] for n in names): r["n"]
-              for r in rows.groupBy(*names).agg(F.count("*").alias("n")).collect()}
-    model = fit_label_model(counts, len(names))
+    between = [F.count_if(F.col("_middle").bitwiseAND(F.lit(1 << j)) != 0) for j in range(len(names))]
+    patterns = rows.groupBy(*names).agg(F.count("*").alias("n"), F.array(*between).alias("middle")).collect()
+    counts = {tuple(r[n] for n in names): r["n"] for r in patterns}
+    middle = {tuple(r[n] for n in names): r["middle"] for r in patterns}
+    model = fit_label_model(counts, len(names), alarm_bounds(counts, middle, len(names)))
     own = [*KEPT, *names, "p_good", "base_failed", "kept"]
     kept = ~F.col("base_failed") & (F.col("p_good") >= threshold)
     return (rows.withColumn("p_good", posterior_column(model, names))

@@ -68,6 +68,26 @@ def test_keep_good_separates_junk(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(40))
 
 
+def test_false_alarms_in_the_tail_of_good_texts_are_outvoted(spark):
+    """7 % of good texts have a bad symbol rate, more come close to it; junk lies far from both."""
+    def text(i, symbols):
+        return " ".join(f"word{(i * 7 + k * k) % 97}" + "#" * (k < symbols) for k in range(100))
+    tail = [12 if i % 15 == 0 else 3 + i % 7 if i % 15 in (1, 2) else 0 for i in range(300)]
+    good = [text(i, n) for i, n in enumerate(tail)]
+    shouts = [text(i, 0).upper() for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(good + shouts)), "doc_id int, text string")
+    rows = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert sum(rows[i]["vote_symbols"] == -1 for i in range(300)) == 20
+    assert {i for i, r in rows.items() if r["kept"]} == set(range(300))
+
+
+def test_a_defect_apart_from_good_texts_is_not_a_false_alarm(spark):
+    prose = [" ".join(f"word{(i * 7 + k * k) % 97}" for k in range(100)) for i in range(300)]
+    junk = [" ".join(f"w{i}x{k}##" for k in range(100)) for i in range(25)]
+    df = spark.createDataFrame(list(enumerate(prose + junk)), "doc_id int, text string")
+    assert {r["doc_id"] for r in quality.keep_good(df).collect()} == set(range(300))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id int, text string")
     assert quality.judge(df).collect() == [] and quality.keep_good(df).collect() == []
