@@ -10,8 +10,11 @@ Neighbouring units of a text that are not first make one passage, and passages
 of at least ``min_words`` words are removed; their offsets in the original
 text come back.  The bound keeps headings and stock phrases, whose repetition
 says little, and cutting which would damage clean texts.  Units of fewer than
-``unit_words`` words repeat by chance: they are never hashed, and a passage goes
-on over at most ``gap_words`` words of them.
+``unit_words`` words repeat by chance: they are never hashed alone, and a passage
+goes on over at most ``gap_words`` words of them.  With ``short_words``, they are
+hashed together with their neighbours, in windows of at least so many words, and
+a repeated window is a repeat of all its units: long passages of short units are
+found, words that merely occur elsewhere are not.
 
 A very common line is one key with many rows: its first occurrence is found by
 an aggregation with partial results per task and staged, so the join that flags
@@ -37,6 +40,13 @@ from pyspark.sql import types as T
 from tessera.llm.common import stage, to_batch, whole_row
 
 MIN_WORDS, UNIT_WORDS, GAP_WORDS = 25, 4, 6
+#: Words of a window around a short unit.
+SHORT_WORDS = 8
+#: A window: its units (number, offsets, words, words and long units before it in the text).
+COVERED = ("unit", "start", "end", "words", "before", "longs")
+WINDOWS = [("id", pa.int64()), ("row", pa.int64()), ("unit", pa.int32()),
+           ("covers", pa.list_(pa.struct([(name, pa.int32()) for name in COVERED]))),
+           ("h1", pa.int64()), ("h2", pa.int64())]
 DIGESTS = [("id", pa.int64()), ("row", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()),
            ("end", pa.int32()), ("words", pa.int32()), ("gap", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
 #: Units with what ends them; together they are the whole text.
@@ -75,19 +85,67 @@ def _digests(docs: DataFrame, kind: str, unit_words: int) -> DataFrame:
                                   "h1 long, h2 long")
 
 
+def windows(text: str | None, kind: str, unit_words: int, short_words: int):
+    """(units, words) of each long unit by itself, and of each run of units that starts or ends
+    with a short one and has just enough words; units as in ``COVERED``."""
+    found = units(text, kind, 1)
+    covered, before, longs = [], 0, 0
+    for i, (start, end, words, _) in enumerate(found):
+        covered.append((i, start, end, len(words), before, longs))
+        before += len(words)
+        longs += len(words) >= unit_words
+    runs = set()
+    for i, (_, _, words, _) in enumerate(found):
+        if len(words) >= unit_words:
+            runs.add((i, i + 1))
+            continue
+        first, n = i, len(words)
+        while n < short_words and first:
+            first -= 1
+            n += len(found[first][2])
+        if n >= short_words:
+            runs.add((first, i + 1))
+        last, n = i + 1, len(words)
+        while n < short_words and last < len(found):
+            n += len(found[last][2])
+            last += 1
+        if n >= short_words:
+            runs.add((i, last))
+    for first, last in sorted(runs):
+        yield covered[first:last], [w for u in found[first:last] for w in u[2]]
+
+
+def _window_digests(docs: DataFrame, kind: str, unit_words: int, short_words: int) -> DataFrame:
+    def split(batches):
+        for batch in batches:
+            keys, numbers, texts = (batch.column(i).to_pylist() for i in (0, 1, 2))
+            rows = []
+            for key, row, text in zip(keys, numbers, texts):
+                for covers, words in windows(text, kind, unit_words, short_words):
+                    whole = " ".join(words).encode("utf-8", "surrogatepass")
+                    rows.append((key, row, covers[0][0], [dict(zip(COVERED, u)) for u in covers],
+                                 *struct.unpack("qq", blake2b(whole, digest_size=16).digest())))
+            yield to_batch(rows, WINDOWS)
+
+    one = ", ".join(f"{name}: int" for name in COVERED)
+    return docs.mapInArrow(split, f"id long, row long, unit int, covers array<struct<{one}>>, h1 long, h2 long")
+
+
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  kind: str = "sentence", min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS,
-                 gap_words: int = GAP_WORDS, row_col: str | None = None) -> DataFrame:
+                 gap_words: int = GAP_WORDS, row_col: str | None = None, short_words: int = 0) -> DataFrame:
     """One row per removed passage: id, ``row``, ``unit`` (number of its first unit), ``units``,
     ``start``, ``end``, ``words``, ``keep_id`` (smallest id that keeps a unit of it) and
     ``copies`` (of its most frequent unit).
 
-    ``row_col`` names a unique row number; without it one is assigned.
+    ``row_col`` names a unique row number; without it one is assigned.  ``short_words`` is the
+    size of the windows around short units, which are then numbered, too; 0 leaves them out.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     docs = df.select(F.col(id_col).cast("long").alias("id"), row.alias("row"),
                      F.col(text_col).alias("text"))
-    found = stage(_digests(docs, kind, unit_words), "units")
+    found = stage(_window_digests(docs, kind, unit_words, short_words) if short_words else
+                  _digests(docs, kind, unit_words), "units")
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "unit")
     # staged, so that the join has a plain shuffle on both sides, whose skew can be split
     first = stage(found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))
@@ -96,6 +154,12 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   .filter((F.col("row") != F.col("first.row")) | (F.col("unit") != F.col("first.unit"))))
     text = Window.partitionBy("row").orderBy("unit")
     breaks = (F.col("unit") - F.lag("unit", 1).over(text) > 1) | (F.col("gap") > gap_words)
+    if short_words:
+        later = (later.select("id", "row", F.inline("covers"), "first", "copies")
+                      .groupBy("row", *COVERED)
+                      .agg(F.min("id").alias("id"), F.min("first").alias("first"), F.max("copies").alias("copies")))
+        breaks = ((F.col("longs") > F.lag(F.col("longs") + (F.col("words") >= unit_words).cast("int"), 1).over(text)) |
+                  (F.col("before") - F.lag(F.col("before") + F.col("words"), 1).over(text) > gap_words))
     passage = F.sum(F.coalesce(breaks, F.lit(False)).cast("int")).over(text)
     return (later.withColumn("passage", passage)
                  .groupBy("row", "passage")
@@ -123,13 +187,14 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   kind: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+                   kind: str = "sentence", min_words: int = MIN_WORDS,
+                   short_words: int = SHORT_WORDS) -> DataFrame:
     """``df`` with repeated passages cut out of the text, the columns as given."""
     rows = stage(df.select(whole_row(df).alias("_row"),
                            F.monotonically_increasing_id().alias("_n")), "line-dedup")
     spans = (find_repeats(rows.select("_n", F.col(f"_row.`{id_col}`").alias("_id"),
                                       F.col(f"_row.`{text_col}`").alias("_text")),
-                          "_id", "_text", kind, min_words, row_col="_n")
+                          "_id", "_text", kind, min_words, row_col="_n", short_words=short_words)
              .groupBy(F.col("row").alias("_n"))
              .agg(F.collect_list(F.struct("start", "end")).alias("_cuts")))
     text = _cut(F.col(f"_row.`{text_col}`"), F.col("_cuts")).alias(text_col)

@@ -108,6 +108,22 @@ def test_a_hot_passage_and_long_texts(spark):
     assert got.where("doc_id = 9999").first()["units"] == 5000
 
 
+def test_long_passages_of_short_units(spark):
+    """Lists, words with a stop behind each and unspaced lines are cut; chance repeats are not."""
+    rng = random.Random(5)
+    listed = "\n".join(f"{a} {b}" for a, b in zip(rng.sample(WORDS, 40), rng.sample(WORDS, 40)))
+    stops = " ".join(f"{w}!!" for w in rng.sample(WORDS, 60))
+    unspaced = "\n".join("".join(rng.choices("天地玄黄宇宙洪荒日月盈昃", k=12)) for _ in range(40))
+    shuffled = " ".join(f"{w}!!" for w in rng.sample(WORDS, 60))
+    every = " ".join(f"{w}!!" for w in rng.sample(WORDS, 300))
+    own = [sentence(rng, 30) for _ in range(2)]
+    shared = "\n".join([listed, stops, unspaced])
+    rows = [(0, every), (1, f"{own[0]}\n{shared}"), (2, f"{own[1]}\n{shared}"), (3, shuffled)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in ld.remove_repeats(df).collect()}
+    assert got == {0: every, 1: rows[1][1], 2: f"{own[1]}\n", 3: shuffled}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ld.find_repeats(df).collect() == [] and ld.remove_repeats(df).collect() == []
