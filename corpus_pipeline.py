@@ -30,7 +30,9 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
-    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"),
+                                             short_words=decontaminate.SHORT_WORDS,
+                                             least_words=decontaminate.LEAST_WORDS)
 
 
 def personal_data(spark, docs, sf_dir):

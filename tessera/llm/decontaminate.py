@@ -9,7 +9,11 @@ words are compared: an overlap is verified where a window of ``WINDOW`` words
 agrees in at least ``SIMILARITY`` of them.  Neighbouring windows make one span.
 
 Items of fewer words than the window have to occur whole and unchanged (their
-mask is all 1s); items without a word never match.
+mask is all 1s); items without a word never match.  With ``short_words``, items
+from that many words on are compared over their own length in the same way: cut
+into one piece more than substitutions are allowed, one piece is unchanged, and
+its hash fixes the diagonal.  ``least_words`` leaves out items of a few common
+words before they remove texts.
 
 The benchmark is the stated query set: it is cut into blocks of a fixed number
 of words, each block is sent to every task as a table, and all texts are run
@@ -39,6 +43,8 @@ MASKS = ("11101011", "11001111")
 WINDOW = 13
 SIMILARITY = 0.8
 BLOCK_WORDS = 2_000_000
+#: As registered: from so many words on, short items may have substitutions, and items remove texts.
+SHORT_WORDS, LEAST_WORDS = 8, 4
 
 FOUND = [("id", pa.int64()), ("item", pa.int64())] + [
     (name, pa.int32()) for name in ("first_word", "end_word", "equal_words", "item_first_word",
@@ -62,18 +68,32 @@ class SeedIndex:
     """Words, masks and hashes of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]], masks=MASKS, window: int = WINDOW,
-                 similarity: float = SIMILARITY):
+                 similarity: float = SIMILARITY, short_words: int | None = None, least_words: int = 1):
         self.window, self.similarity = window, similarity
+        self.short_words = window if short_words is None else short_words
         words = [(item, words_of(text)) for item, text in items]
-        words = [(item, w) for item, w in words if w]
+        words = [(item, w) for item, w in words if len(w) >= max(1, least_words)]
         vocabulary = sorted({x for _, w in words for x in w})
         self.ids = {w: i for i, w in enumerate(vocabulary)}
         self.codes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 1) | 1
                                for w in vocabulary], np.uint64)
         self.items = [item for item, _ in words]
         self.texts = [np.array([self.ids[x] for x in w], np.int32) for _, w in words]
-        whole = sorted({len(t) for t in self.texts if len(t) < window})
+        whole = sorted({len(t) for t in self.texts if len(t) < min(window, self.short_words)})
         self.tables = []  # (places of the 1s, sorted hashes, entry of each)
+        pieces = {}  # words of a piece: the short items cut so
+        for k, t in enumerate(self.texts):
+            if self.short_words <= len(t) < window:
+                pieces.setdefault(len(t) // (len(t) - self._need(len(t)) + 1), []).append(k)
+        for size, cut in sorted(pieces.items()):
+            at, hashes, entries = list(range(size)), [], []
+            for k in cut:
+                places, h = self._hash(self.texts[k], at)
+                hashes.append(h[::size])
+                entries += [(k, p) for p in places[::size].tolist()]
+            h = np.concatenate(hashes)
+            order = np.argsort(h, kind="stable")
+            self.tables.append((at, h[order], np.array(entries, np.int64)[order]))
         for mask in [*masks, *["1" * n for n in whole]]:
             at = [i for i, c in enumerate(mask) if c == "1"]
             exact = len(at) == len(mask)
@@ -89,6 +109,10 @@ class SeedIndex:
                 order = np.argsort(h, kind="stable")
                 self.tables.append((at, h[order], np.array(entries, np.int64)[order]))
 
+    def _need(self, n: int) -> int:
+        """Equal words that verify a window of n words."""
+        return math.ceil(self.similarity * n - 1e-9)
+
     def _hash(self, ids: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Places whose words under the 1s are all known, and their hashes."""
         n = len(ids) - at[-1]
@@ -122,7 +146,7 @@ class SeedIndex:
         if b - a < size:
             return []
         equal = ids[a:b] == t[a - shift:b - shift]
-        need = math.ceil(self.similarity * size - 1e-9) if len(t) >= self.window else size
+        need = self._need(size) if len(t) >= min(self.window, self.short_words) else size
         total = np.concatenate([[0], np.cumsum(equal)])
         good = np.flatnonzero(total[size:] - total[:-size] >= need)
         spans = []
@@ -146,7 +170,7 @@ class SeedIndex:
         return [(*x, at[x[1]][0], at[x[2] - 1][1]) for x in found]
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, **index):
     """The benchmark as indexes of about ``block_words`` words each, by a hash of the item."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
                              ).filter("text is not null and id is not null").distinct()
@@ -154,12 +178,12 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
     n = max(1, math.ceil(words / block_words))
     for b in range(n):
         rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).collect()
-        yield SeedIndex(sorted((r["id"], r["text"]) for r in rows))
+        yield SeedIndex(sorted((r["id"], r["text"]) for r in rows), **index)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-                  block_words: int = BLOCK_WORDS) -> DataFrame:
+                  block_words: int = BLOCK_WORDS, short_words: int | None = None) -> DataFrame:
     """One row per text, item and verified span: id, item id, ``first_word``, ``end_word``,
     ``equal_words``, ``item_first_word``, ``item_words``, ``start``, ``end``, ``similarity``.
     """
@@ -167,7 +191,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
     out = None
-    for index in blocks(benchmark, item_col, item_text, block_words):
+    for index in blocks(benchmark, item_col, item_text, block_words, short_words=short_words):
         sent = context.broadcast(index)
 
         def search(batches, sent=sent):
@@ -185,10 +209,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                         item_col: str = "item_id", item_text: str = "text",
-                        block_words: int = BLOCK_WORDS) -> DataFrame:
+                        block_words: int = BLOCK_WORDS, short_words: int | None = None,
+                        least_words: int = 1) -> DataFrame:
     """``docs`` without the rows that hold a verified overlap, columns as given."""
     context = docs.sparkSession.sparkContext
-    for index in blocks(benchmark, item_col, item_text, block_words):
+    for index in blocks(benchmark, item_col, item_text, block_words, short_words=short_words,
+                        least_words=least_words):
         sent = context.broadcast(index)
 
         def clean(batches, sent=sent):

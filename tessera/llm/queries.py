@@ -52,7 +52,7 @@ def op3_pii(spark, sf_dir):
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.find_overlaps(
         table(spark, sf_dir, "documents").select("doc_id", "text"),
-        table(spark, sf_dir, "benchmark"))
+        table(spark, sf_dir, "benchmark"), short_words=decontaminate.SHORT_WORDS)
 
 
 def op5_url_filter(spark, sf_dir):

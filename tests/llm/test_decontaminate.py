@@ -68,6 +68,33 @@ def test_matches_brute_force(spark, corpus, block_words):
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(k for k, t in docs if not plain(t, items))
 
 
+@pytest.mark.parametrize("n", range(8, 13))
+def test_short_items_with_substitutions(n):
+    """All placings of the allowed substitutions are found, one more is not."""
+    item = WORDS[:n]
+    index = dc.SeedIndex([(1, " ".join(item))], short_words=dc.SHORT_WORDS)
+    allowed = n - math.ceil(0.8 * n)
+    for k in range(allowed + 2):
+        for gone in itertools.combinations(range(n), k):
+            text = ["before", *("other" if i in gone else w for i, w in enumerate(item)), "behind"]
+            hits = index.overlaps(" ".join(text))
+            assert [(h[0], h[3]) for h in hits] == ([(1, n - k)] if k <= allowed else []), gone
+
+
+def test_registered_options_for_short_items(spark, tmp_path):
+    import corpus_pipeline
+    from tessera.llm import queries
+    spark.createDataFrame([(1, " ".join(WORDS[:12])), (2, "of the")], "item_id long, text string"
+                          ).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, " ".join(["x", *WORDS[:5], "other", *WORDS[6:12], "y"])), (2, "one of the texts"),
+                                  (3, "neither")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op4_decontaminate(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["item_id"], r["equal_words"]) for r in found} == {(1, 1, 11), (2, 2, 2)}
+    clean = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in clean.collect()) == [2, 3]
+
+
 def test_lower_case_keeps_offsets():
     assert len(dc.lower_keep("İstanbul ẞ Ä")) == len("İstanbul ẞ Ä")
     index = dc.SeedIndex([(1, " ".join(WORDS[:20]))])
