@@ -20,11 +20,13 @@ control characters.
 
 Defined cases: null texts are like empty ones, without words, labels or spans,
 score 0; repeated rows each get the result of their text; an empty table gives
-no rows; extra columns are left out.
+no rows; extra columns are left out; templates and keys of fewer than k words
+and phrases without a word could never match and are refused.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,6 +89,10 @@ def grams(word_array: Column, k: int) -> Column:
 
 def template_grams(spark, templates: list[Template], k: int) -> DataFrame:
     """(template, label, n_grams, key_place, h, place), hashed as texts are."""
+    for t in templates:
+        for part in (t.text, *([t.key] if t.key else [])):
+            if sum(map(bool, re.split(BREAK, part.lower()))) < k:
+                raise ValueError(f"template {t.label}: fewer than {k} words in {part!r}")
     listed = spark.createDataFrame(
         [(i, *t) for i, t in enumerate(templates)],
         T.StructType([T.StructField("template", T.IntegerType()), T.StructField("label", T.StringType()),
@@ -132,10 +138,14 @@ def find_spans(texts: DataFrame, templates: list[Template], k: int = K) -> DataF
 def phrase_places(word_array: Column, text: Column, phrase: str) -> Column:
     """Starts of a phrase in the words; texts without its letters are passed over."""
     parts = phrase.split()
+    if not parts:
+        raise ValueError("a phrase without words")
 
     def here(i):
-        at = [F.get(word_array, i + j if j else i) == w for j, w in enumerate(parts)]
-        return F.coalesce(at[0] & at[1] & (at[2] if len(at) > 2 else F.lit(True)), F.lit(False))
+        same = F.get(word_array, i) == parts[0]
+        for j, w in enumerate(parts[1:], 1):
+            same = same & (F.get(word_array, i + j) == w)
+        return F.coalesce(same, F.lit(False))
 
     near = text.contains(parts[0])
     for w in parts[1:]:

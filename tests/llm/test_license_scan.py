@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from tessera.llm import license_scan as ls
 
 CASES = [
@@ -67,3 +69,16 @@ def test_main_path_runs_no_python(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id int, text string")
     plan = ls.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_phrases_of_any_length_and_short_templates(spark):
+    df = spark.createDataFrame([(1, "no warranty of any kind"), (2, "no warranty of any sort, no kind")],
+                               "doc_id long, text string")
+    phrases = [("no warranty of any kind", "five"), ("warranty", "one")]
+    got = {r["doc_id"]: r["places"] for r in ls.scan(df, phrases=phrases).collect()}
+    assert got == {1: {"five": [0], "one": [1]}, 2: {"five": [], "one": [1]}}
+    for short in (ls.Template("x", "MIT-License"), ls.Template("x", "under the MIT License", "mit")):
+        with pytest.raises(ValueError):
+            ls.scan(df, templates=[short])
+    with pytest.raises(ValueError):
+        ls.scan(df, phrases=[(" ", "none")])
