@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import (decontaminate, license_scan, line_dedup, packing, pii, quality, sharding,
-                         simhash, toxicity, url_filter)
+from tessera.llm import (conversations, decontaminate, jaccard, license_scan, line_dedup, packing, pii,
+                         quality, sharding, simhash, spelling, toxicity, url_filter)
 from tessera.llm.common import table
 
 SHARDS = 24
@@ -102,6 +102,21 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_jaccard(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def op12_conversations(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.survey(rows, conversations.repair(conversations.damage(rows)))
+
+
+def op13_spelling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.group_variants(spelling.count_words(docs))
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_shard": op2_shard,
@@ -113,6 +128,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_jaccard": op11_jaccard,
+    "op12_conversations": op12_conversations,
+    "op13_spelling": op13_spelling,
 }
 
 
