@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,3 +75,30 @@ def number_rows(df: DataFrame, order: list[Column], name: str, label: str) -> Da
     return (rows.withColumn("_part", F.shiftright("_mid", ROW_BITS))
                 .join(if_small(starts, 64 * parts), "_part")
                 .withColumn(name, at).drop("_part", "_start", "_mid"))
+
+
+#: Most bits of a key bitmap: 16 MB, the only thing of it that the driver and tasks hold.
+BITMAP_BITS = 27
+
+
+def key_bitmap(keys: DataFrame, rows: int) -> tuple[np.ndarray, int]:
+    """(bytes, b): a bitmap over the first b bits of the 64-bit numbers ``keys(key)``.
+
+    A number whose bit is not set is not among them.  Sixteen bits a key up to
+    a fixed size, so it thins out what a join would drop, and beyond that size
+    it only lets more through.
+    """
+    b = int(min(BITMAP_BITS, max(15, np.ceil(np.log2(16 * max(rows, 1))))))
+    at = F.shiftrightunsigned("key", 64 - b)
+    parts = (keys.groupBy(F.shiftright(at, 15).alias("bucket"))
+                 .agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).collect())
+    found = np.zeros(1 << (b - 3), np.uint8)
+    for part in parts:
+        found[part["bucket"] << 12:(part["bucket"] + 1) << 12] = np.frombuffer(part["bits"], np.uint8)
+    return found, b
+
+
+def in_bitmap(keys: np.ndarray, bitmap: np.ndarray, b: int) -> np.ndarray:
+    """Which of the unsigned ``keys`` may be among those of the bitmap."""
+    at = keys >> np.uint64(64 - b)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

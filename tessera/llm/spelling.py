@@ -12,9 +12,10 @@ Scale: texts are read once; tasks count words before the shuffle, in a table of
 at most ``HELD`` words each.  From there on the work grows with the vocabulary.
 Forms are 64-bit hashes; the alphabet grows with the seventh root of the number
 of words (the shortest have seven letters), which keeps the words of a form
-few at any size, and any alphabet finds every pair.  The reduced vocabulary is
-broadcast only below the size limit; beyond it both sides are shuffled.  A hash
-that two forms share only brings pairs that the verification drops.
+few at any size, and any alphabet finds every pair.  Most neighbours are no
+word's form: a bitmap of the reduced vocabulary, of at most 16 MB, drops nearly
+all of those before the join shuffles the rest.  A hash that two forms share
+only brings pairs that the verification drops.
 
 A word's form is its near word of largest count (ties: the first in code-point
 order), if that count is at least ``ratio`` times its own.  Counts grow by the
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import if_small, stage
+from tessera.llm.common import in_bitmap, key_bitmap, stage
 
 LEAST_LETTERS, LEAST_COUNT, RATIO = 7, 2, 10
 DAMAGE = 31
@@ -150,7 +151,11 @@ def _add_code(vocabulary: DataFrame, symbols: int) -> DataFrame:
 
 
 def _neighbours(forms: DataFrame, symbols: int) -> DataFrame:
-    """(code, near) of every form and each larger code in its one-edit neighbourhood."""
+    """(code, near) of every form and each larger code in its one-edit neighbourhood that may be a
+    form's, by a bitmap of the forms."""
+    known = forms.sparkSession.sparkContext.broadcast(
+        key_bitmap(forms.select(F.col("code").alias("key")), forms.count()))
+
     def generate(batches):
         for batch in batches:
             words = batch.column("word").to_pylist()
@@ -159,10 +164,10 @@ def _neighbours(forms: DataFrame, symbols: int) -> DataFrame:
                 own = reduced([words[i] for i in np.flatnonzero(letters == chunk)], symbols)
                 code = codes(own).view(np.int64)
                 for index, near in neighbourhoods(own, symbols):
-                    near = near.view(np.int64)
-                    larger = near > code[index]
-                    yield pa.RecordBatch.from_arrays([pa.array(code[index[larger]]), pa.array(near[larger])],
-                                                     names=["code", "near"])
+                    kept = in_bitmap(near, *known.value) & (near.view(np.int64) > code[index])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(code[index[kept]]), pa.array(near[kept].view(np.int64))],
+                        names=["code", "near"])
     return forms.select("word").mapInArrow(generate, "code long, near long")
 
 
@@ -172,9 +177,8 @@ def near_words(vocabulary: DataFrame, symbols: int | None = None) -> DataFrame:
     coded = stage(_add_code(vocabulary, symbols), "spelling-codes")
     # the words of one code have one reduced form (or, rarely, collide: those get all their forms)
     forms = stage(coded.groupBy("code").agg(F.min("word").alias("word")), "spelling-forms")
-    known = if_small(forms.select(F.col("code").alias("near")), 64 * forms.count())
-    pairs = _neighbours(forms, symbols).join(known, "near").distinct()
-    pairs = stage(pairs.select("code", "near"), "spelling-pairs")
+    known = forms.select(F.col("code").alias("near"))
+    pairs = stage(_neighbours(forms, symbols).join(known, "near").distinct(), "spelling-pairs")
     one = coded.select("code", F.col("word").alias("a"), F.col("n").alias("n_a"))
     two = coded.select(F.col("code").alias("near"), F.col("word").alias("b"), F.col("n").alias("n_b"))
     apart = pairs.join(one, "code").join(two, "near")

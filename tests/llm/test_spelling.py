@@ -118,3 +118,13 @@ def test_empty_table_and_long_text(spark):
     rows = [(9, "neverending " * 200_000 + "x" * 100_000 + " " + "x" * 100_000 + " neverendingg neverendingg")]
     got = spelling.group_variants(spelling.count_words(spark.createDataFrame(rows, SCHEMA)))
     assert {tuple(r) for r in got.collect()} == plain_variants(plain_counts(rows))
+
+
+def test_bitmap_has_every_key(spark):
+    from tessera.llm.common import in_bitmap, key_bitmap
+    rng = np.random.default_rng(2)
+    keys = rng.integers(-2**63, 2**63, 5000)
+    bitmap = key_bitmap(spark.createDataFrame([(int(k),) for k in keys], "key long"), len(keys))
+    assert in_bitmap(keys.view(np.uint64), *bitmap).all()
+    assert in_bitmap(rng.integers(0, 2**64, 100_000, dtype=np.uint64), *bitmap).mean() < 0.07
+    assert key_bitmap(spark.createDataFrame([], "key long"), 0)[0].sum() == 0
