@@ -95,10 +95,30 @@ def test_tree_loses_no_link():
                 assert both <= np.minimum(counts[i], counts[j]).sum()
                 if jaccard.linked(both, len(a), len(b), 80):
                     assert j in near
-
-
-@pytest.mark.parametrize("options", [{}, {"tree": 4, "often": 2}, {"rounds": 0}, {"often": 1, "frequent": 10},
-                                     {"tree_bytes": 2000, "similarity": 60, "k": 2}])
+                    assert jaccard.may_link(counts[i], len(a), counts[j], len(b), 80)
+        found = jaccard.with_partner(list(counts), np.array([len(s) for s in sets]), 80)
+        for i, a in enumerate(sets):
+            if any(j != i and jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b), 80)
+                   for j, b in enumerate(sets)):
+                assert found[i]
+
+
+def test_points_of_large_sets_are_finer():
+    rng = np.random.default_rng(4)
+    big = np.unique(rng.integers(0, 2**64, 30_000, dtype=np.uint64))
+    near, far = big[:28_000], np.unique(rng.integers(0, 2**64, 30_000, dtype=np.uint64))
+    for s in (big, near, far, big[:100]):
+        point = jaccard.group_counts(s, jaccard.point_bits(len(s)))
+        assert (jaccard.unpack(jaccard.pack(point), len(s)) == point).all()
+        assert (jaccard.folded(point, jaccard.GROUPS) == jaccard.group_counts(s)).all()
+    fine = [jaccard.group_counts(s, jaccard.point_bits(len(s))) for s in (big, near, far)]
+    assert jaccard.may_link(fine[0], len(big), fine[1], len(near), 80)
+    assert not jaccard.may_link(fine[0], len(big), fine[2], len(far), 80)
+    assert jaccard.may_link(jaccard.folded(fine[0], 256), len(big), jaccard.folded(fine[2], 256), len(far), 80)
+
+
+@pytest.mark.parametrize("options", [{}, {"tree": 4, "often": 2, "merged": 3}, {"rounds": 0}, {"often": 1, "frequent": 10},
+                                     {"tree_bytes": 4000, "similarity": 60, "k": 2, "rounds": 2}])
 def test_classes_match_all_pairs(spark, options):
     rows = corpus(len(options))
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
