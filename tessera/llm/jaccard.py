@@ -275,28 +275,31 @@ def _shared(rows: DataFrame) -> DataFrame:
     return (rows.select("set", "n", "keys").mapInArrow(keep, "key long, set binary, n long").distinct())
 
 
-def _texts(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The texts of ``sets(set, id)``, by one document each (more where ids repeat)."""
-    ids = sets.select(F.col("id").alias("_id")).distinct()
-    return docs.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-
-
 def _sets(docs: DataFrame, sets: DataFrame, k: int, what: str) -> DataFrame:
-    """``set``, ``n`` and ``what`` of ``sets(set, id)`` as bytes: "point" or "hashes"."""
+    """``set``, ``n`` and ``what`` of ``sets(set, id)`` as bytes: "point" or "hashes".
+
+    A bitmap of the ids picks the texts, so that none is shuffled; what it lets
+    through besides is dropped by the digest.
+    """
     point = what == "point"
+    wanted = sets.select(F.xxhash64("id").alias("key"))
+    known = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted, wanted.count()))
 
     def make(batches):
         shingles = Shingler(k)
         for batch in batches:
-            found = [shingles(t.as_py()) for t in batch.column("text")]
-            found = [f for f in found if len(f)]
+            ids = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            texts = batch.column("text").filter(pa.array(in_bitmap(ids, *known.value)))
+            found = [f for f in (shingles(t.as_py()) for t in texts) if len(f)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([hashlib.md5(f.tobytes()).digest() for f in found], pa.binary()),
                  pa.array([len(f) for f in found], pa.int64()),
-                 pa.array([pack(group_counts(f, point_bits(len(f)))) if point else f.tobytes() for f in found], pa.binary())],
+                 pa.array([pack(group_counts(f, point_bits(len(f)))) if point else f.tobytes()
+                           for f in found], pa.binary())],
                 names=["set", "n", "what"])
 
-    made = _texts(docs, sets).mapInArrow(make, "set binary, n long, what binary")
+    made = (docs.select(F.xxhash64("id").alias("key"), "text")
+                .mapInArrow(make, "set binary, n long, what binary"))
     return (made.join(sets.select("set"), "set", "left_semi")
                 .groupBy("set").agg(F.first("n").alias("n"), F.first("what").alias(what)))
 
