@@ -82,6 +82,18 @@ def scan_csv_roundtrip(spark, sf_dir):
     return S.read_csv(spark, path, docs.schema)
 
 
+def scan_csv_split(spark, sf_dir):
+    """A-03: documents in one CSV file, whose quoted cells hold line breaks, quotes and separators,
+    cut into records by many tasks; all cells are text."""
+    docs = read_table(spark, sf_dir, "documents")
+    quoted = [F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+              for c in docs.columns]
+    line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in quoted])
+    path = _stage_lines(docs.withColumn("line", line), "line", ",".join(docs.columns), "documents-lines")
+    rows, _ = S.scan_csv(spark, path)
+    return rows.withColumn("size", F.length("text"))
+
+
 def _stage_lines(df: DataFrame, line: str, header: str, label: str) -> str:
     """Text lines with a header line at the start of every part file."""
     path = staging_path(df.sparkSession, label)
@@ -342,6 +354,7 @@ QUERIES = {
     "catalog_resolve": catalog_resolve,
     "catalog_load": catalog_load,
     "scan_csv_roundtrip": scan_csv_roundtrip,
+    "scan_csv_split": scan_csv_split,
     "scan_csv_ragged": scan_csv_ragged,
     "scan_csv_types": scan_csv_types,
     "scan_workbook_dates": scan_workbook_dates,
@@ -381,6 +394,11 @@ SELECT 'nation' AS table_name, 'nation.csv' AS resolved_file, CAST(1 AS BIGINT)
 UNION ALL SELECT 'customer', 'clientes.csv', 1, count(*) FROM customer
 UNION ALL SELECT 'orders', 'orders.csv', 0, count(*) FROM orders"""
 
+SQL["scan_csv_split"] = """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars,
+       CAST(length(text) AS INTEGER) AS size
+FROM documents"""
+
 SQL["scan_csv_ragged"] = """
 SELECT CASE WHEN o_orderkey % 10 = 0 THEN CAST(o_orderkey AS VARCHAR) || ',a,b' ELSE CAST(o_orderkey AS VARCHAR) END AS id,
        CASE WHEN o_orderkey % 10 = 0 OR o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus || ',"x"' END AS status,

@@ -6,14 +6,16 @@ only for that level (one status per table or upload); what lies inside the
 folders is listed by the ``binaryFile`` source with its content pruned, so
 part files never pass through the driver.
 
-CSV files are read splittable unless a quoted line break is found in them (a
-test on the executors).  Types are inferred after missing-value tokens became
+CSV files are read splittable; where a quoted line break is found in them (a
+test on the executors) the records are cut by ``sources.quoted``, which reads a
+file by many tasks, too.  Types are inferred after missing-value tokens became
 null, from counts in one pass, and only numbers and booleans are inferred: a
 text such as "2016-09" stays text.
 """
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import SUPPORTED_EXTENSIONS, extension, null_token
+from tessera.sources.quoted import csv_records
 
 # ---- fixed values: the reference's upload limit and messages --------------
 WEB_UPLOAD_MB = 12  # of the interactive form; the library's default is no limit
@@ -154,6 +157,21 @@ def cell_count(record: Column, sep: str) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 
 
+def _text_schema(width: int) -> T.StructType:
+    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)]
+                        + [T.StructField(CORRUPT, T.StringType())])
+
+
+def _record_options(sep: str) -> dict[str, str]:
+    return {**CSV_OPTIONS, "sep": sep, "multiLine": "true", "columnNameOfCorruptRecord": CORRUPT}
+
+
+def _header_cells(records: DataFrame, sep: str) -> list[str]:
+    """Cells of the header record (every file has the same)."""
+    head = records.where("head").select("record").head()
+    return next(csv.reader([head.record.lstrip("\ufeff")], delimiter=sep), []) if head else []
+
+
 def scan_csv(spark: SparkSession, path: str, sep: str = ",",
              multiline: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """A-03: (rows, rejected) of a CSV file or folder of parts, all cells text.
@@ -161,19 +179,23 @@ def scan_csv(spark: SparkSession, path: str, sep: str = ",",
     Names come from the header row (kept for a file without rows).  A record
     with more cells than the header is rejected (``record``, ``cells``,
     reason ``ragged``), and so is one with bytes that are not UTF-8
-    (``encoding``); shorter records end in nulls.  ``multiline``: whether
-    cells may hold line breaks, which makes files unsplittable (default:
-    tested)."""
+(``encoding``); shorter records end in nulls.  ``multiline``: whether
+    cells may hold line breaks (default: tested)."""
     if multiline is None:
         multiline = has_quoted_breaks(spark, path)
-    reader = spark.read.options(**CSV_OPTIONS).option("sep", sep).option("multiLine", multiline)
-    first = reader.option("header", "false").csv(path).head()
-    names = header_names(list(first)) if first else []
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
-                          + [T.StructField(CORRUPT, T.StringType())])
-    raw = (reader.option("header", "true").option("enforceSchema", "true")
-           .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", "false")
-           .schema(schema).csv(path))
+    if multiline:
+        records = csv_records(spark, path, sep)
+        names = header_names(_header_cells(records, sep))
+        raw = (records.where("NOT head")
+               .select(F.from_csv("record", _text_schema(len(names)).simpleString()[len("struct<"):-1]
+                                  .replace(":", " "), _record_options(sep)).alias("r")).select("r.*"))
+    else:
+        reader = spark.read.options(**CSV_OPTIONS).option("sep", sep)
+        first = reader.option("header", "false").csv(path).head()
+        names = header_names(list(first)) if first else []
+        raw = (reader.option("header", "true").option("enforceSchema", "true")
+               .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", "false")
+               .schema(_text_schema(len(names))).csv(path))
     cells = [F.col(f"c{i}") for i in range(len(names))]
     n = F.when(F.col(CORRUPT).isNotNull(), cell_count(F.col(CORRUPT), sep))
     broken = F.lit(False)
@@ -238,8 +260,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         return infer_types(rows)
     if multiline is None:
         multiline = has_quoted_breaks(spark, path)
-    return (spark.read.options(**CSV_OPTIONS).option("sep", sep).option("multiLine", multiline)
-            .schema(schema).option("enforceSchema", "false").csv(path))
+    if not multiline:
+        return (spark.read.options(**CSV_OPTIONS).option("sep", sep)
+                .schema(schema).option("enforceSchema", "false").csv(path))
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    records = csv_records(spark, path, sep)
+    names = header_names(_header_cells(records, sep))
+    if names and names != fields.names:
+        raise ValueError(f"{path}: header {names} is not the declared one {fields.names}")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return (records.where("NOT head").select(F.from_csv("record", ddl, _record_options(sep)).alias("r"))
+            .select("r.*"))
 
 
 def load_catalog(spark: SparkSession, root: str, catalog: dict[str, tuple[str, ...]],
