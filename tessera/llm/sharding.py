@@ -5,7 +5,9 @@ shard ``j`` of size ``m_j``.  In a uniform shuffle these counts follow a
 multivariate hypergeometric law, so the matrix of counts is drawn first, one
 row per partition and without replacement from what the shards still lack.
 Its rows and columns add up exactly, hence shard sizes are exact by
-construction.  Then each partition permutes its rows and deals them out by its
+construction.  The law of every count is the exact one at any size: small
+populations by numpy, others by urn draws, inversion or ratio of uniforms on
+probabilities relative to the mode (``draw``).  Then each partition permutes its rows and deals them out by its
 row of the matrix, the rows are exchanged, and every shard is permuted again.
 
 Both permutations are sorts on a seeded hash of the row's id.  The second is a
@@ -21,6 +23,8 @@ replaced, others pass through.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +32,10 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import ROW_BITS, if_small, number_rows, stage, whole_row
 
-#: numpy's exact draw covers populations up to this size; the normal law takes
-#: over beyond it, where the two differ by less than rounding.
-EXACT_POPULATION = 999_999_999
+#: numpy's draw covers populations up to this size.
+NUMPY_POPULATION = 999_999_999
+#: Draws one by one up to this many picks; inversion up to this mode.
+URN_PICKS, SMALL_MODE = 1_000, 20
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
@@ -38,16 +43,60 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (j < rows % shards) for j in range(shards)]
 
 
-def _draw(rng: np.random.Generator, good: int, bad: int, picks: int) -> int:
-    low, high = max(0, picks - bad), min(good, picks)
-    if low == high:
-        return low
-    if good + bad <= EXACT_POPULATION:
+def _log_factorials(x: int, y: int) -> float:
+    """log(x!) - log(y!), without the cancellation of two large logarithms."""
+    if min(x, y) < 1_000:
+        return math.lgamma(x + 1) - math.lgamma(y + 1)
+    d = x - y
+    return ((x + 0.5) * math.log1p(d / y) + d * math.log(y) - d
+            + (1 / x - 1 / y) / 12 - (1 / x ** 3 - 1 / y ** 3) / 360)
+
+
+def draw(rng: np.random.Generator, good: int, bad: int, picks: int) -> int:
+    """Good ones among ``picks`` drawn without replacement: a hypergeometric number."""
+    if max(0, picks - bad) == min(good, picks):
+        return min(good, picks)
+    if good + bad <= NUMPY_POPULATION:
         return int(rng.hypergeometric(good, bad, picks))
+    return draw_large(rng, good, bad, picks)
+
+
+def draw_large(rng: np.random.Generator, good: int, bad: int, picks: int) -> int:
+    """The same for any population below 2**63, in whole numbers."""
     total = good + bad
+    if 2 * picks > total:  # those left behind
+        return good - draw_large(rng, good, bad, total - picks)
+    if good > bad:
+        return picks - draw_large(rng, bad, good, picks)
+    good, picks = sorted((good, picks), reverse=True)  # the law has them in either order
+    if picks <= URN_PICKS:
+        got = 0
+        for i in range(picks):
+            got += int(rng.integers(total - i)) < good - got
+        return got
+    bad = total - good
+    mode = (picks + 1) * (good + 1) // (total + 2)
+    if mode <= SMALL_MODE:
+        p = math.exp(_log_factorials(bad, bad - picks) - _log_factorials(total, total - picks))
+        u, k = rng.random(), 0
+        while u > p and k < picks:
+            u -= p
+            p *= (picks - k) * (good - k) / ((k + 1) * (bad - picks + k + 1))
+            k += 1
+        return k
     mean = picks * (good / total)
-    var = mean * (bad / total) * ((total - picks) / (total - 1))
-    return int(min(high, max(low, round(rng.normal(mean, var ** 0.5)))))
+    deviation = math.sqrt((total - picks) * mean * (bad / total) / (total - 1) + 0.5)
+    # hat of the ratio of uniforms for a discrete unimodal law
+    width = 2 * math.sqrt(2 / math.e) * deviation + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u) if u else -1
+        if 0 <= k <= picks:
+            ratio = -(_log_factorials(k, mode) + _log_factorials(good - k, good - mode)
+                      + _log_factorials(picks - k, picks - mode)
+                      + _log_factorials(bad - picks + k, bad - picks + mode))
+            if 2 * math.log(u) <= ratio:
+                return k
 
 
 def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list[list[int]]:
@@ -57,7 +106,7 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list
     for n in counts:
         pool, row = sum(left), []
         for j, room in enumerate(left):
-            got = _draw(rng, room, pool - room, n)
+            got = draw(rng, room, pool - room, n)
             pool -= room
             n -= got
             left[j] -= got

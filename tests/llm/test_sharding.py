@@ -24,6 +24,38 @@ def test_large_populations_stay_exact():
     assert [sum(r) for r in m] == counts and [sum(c) for c in zip(*m)] == sizes
 
 
+@pytest.mark.parametrize("good, bad, picks", [
+    (4 * 10**8, 96 * 10**8, 1), (4 * 10**8, 96 * 10**8, 5), (10**9, 3 * 10**9, 10**9), (10**6, 10**13, 10**6),
+    (5 * 10**6, 10**13, 10**7), (3 * 10**12, 10**12, 2 * 10**12), (10**13, 7, 10**12), (9 * 10**9, 10**9, 10**10 - 3)])
+def test_moments_of_large_draws(good, bad, picks):
+    rng, n = np.random.default_rng(3), 4_000
+    found = [sharding.draw(rng, good, bad, picks) for _ in range(n)]
+    total = good + bad
+    assert all(max(0, picks - bad) <= x <= min(good, picks) for x in found)
+    mean = picks * good // total + (picks * good % total) / total
+    var = picks * (good / total) * (bad / total) * ((total - picks) / (total - 1))
+    away = np.array([x - picks * good // total for x in found], float)
+    assert abs(away.mean() - (mean - picks * good // total)) < 5 * (var / n) ** 0.5 + 1e-9
+    fourth = 3 * var ** 2 + var  # of a nearly normal or Poisson law
+    assert abs(away.var() - var) < 5 * ((fourth - var ** 2 if var < 1 else 2 * var ** 2 + var) / n) ** 0.5 + 1e-9
+
+
+@pytest.mark.parametrize("good, bad, picks", [(4, 11, 5), (60, 40, 50), (3_000, 5_000, 2_500), (2_000, 90_000, 1_500)])
+def test_large_draws_have_the_exact_law(good, bad, picks):
+    """On small populations, where every probability can be counted."""
+    rng, n = np.random.default_rng(5), 20_000
+    found = collections.Counter(sharding.draw_large(rng, good, bad, picks) for _ in range(n))
+    from math import comb
+    whole = comb(good + bad, picks)
+    chi, cells = 0.0, 0
+    for k in range(max(0, picks - bad), min(good, picks) + 1):
+        expected = n * comb(good, k) * comb(bad, picks - k) / whole
+        if expected > 8:
+            chi += (found[k] - expected) ** 2 / expected
+            cells += 1
+    assert chi < cells + 5 * (2 * cells) ** 0.5
+
+
 @pytest.mark.parametrize("rows", [0, 3, 1000])
 def test_shards_are_exact_and_slots_gapless(spark, rows):
     df = spark.range(rows).withColumn("shard", F.lit("old")).withColumn("_rid", F.col("id") % 2)
