@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,22 @@ def if_small(df: DataFrame, size_bytes: int) -> DataFrame:
     return F.broadcast(df) if size_bytes <= BROADCAST_LIMIT_BYTES else df
 
 
+class Shipped:
+    """A broadcast object whose class executors need not have installed.
+
+    A plain broadcast stores classes of this package by name; here they travel
+    by value, and every task rebuilds the object when it first asks for it.
+    """
+
+    def __init__(self, spark, value):
+        self._sent, self._held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get(self):
+        if not self._held:
+            self._held.append(pickle.loads(self._sent.value))
+        return self._held[0]
+
+
 def to_batch(rows: list[tuple], columns: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     """An Arrow batch of Python rows; unlike pandas it keeps nulls beside whole numbers."""
     values = list(zip(*rows)) if rows else [()] * len(columns)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import to_batch
+from tessera.llm.common import Shipped, to_batch
 
 MASKS = ("11101011", "11001111")
 WINDOW = 13
@@ -189,16 +189,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     schema = ", ".join(f"{name} {'long' if kind == pa.int64() else 'int'}" for name, kind in FOUND)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    context = docs.sparkSession.sparkContext
     out = None
     for index in blocks(benchmark, item_col, item_text, block_words, short_words=short_words):
-        sent = context.broadcast(index)
+        sent = Shipped(docs.sparkSession, index)
 
         def search(batches, sent=sent):
             for batch in batches:
                 keys, texts = (batch.column(i).to_pylist() for i in (0, 1))
                 yield to_batch([(key, *x) for key, text in zip(keys, texts)
-                                for x in sent.value.overlaps(text)], FOUND)
+                                for x in sent.get().overlaps(text)], FOUND)
 
         part = rows.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
@@ -212,15 +211,14 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
                         block_words: int = BLOCK_WORDS, short_words: int | None = None,
                         least_words: int = 1) -> DataFrame:
     """``docs`` without the rows that hold a verified overlap, columns as given."""
-    context = docs.sparkSession.sparkContext
     for index in blocks(benchmark, item_col, item_text, block_words, short_words=short_words,
                         least_words=least_words):
-        sent = context.broadcast(index)
+        sent = Shipped(docs.sparkSession, index)
 
         def clean(batches, sent=sent):
             for batch in batches:
                 texts = batch.column(text_col).to_pylist()
-                yield batch.filter(pa.array([not sent.value.overlaps(t) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not sent.get().overlaps(t) for t in texts], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

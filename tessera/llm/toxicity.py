@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import if_small, stage
+from tessera.llm.common import Shipped, if_small, stage
 
 SAMPLE = 6_000
 VOCABULARY = 50_000
@@ -203,10 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 
 
 def add_score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = Shipped(df.sparkSession, model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(features(t, sent.value.terms)) for t in texts], dtype="float64")
+        model = sent.get()
+        return pd.Series([model.score(features(t, model.terms)) for t in texts], dtype="float64")
 
     return df.withColumn(name, score(F.col(text_col)))
