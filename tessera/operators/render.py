@@ -46,9 +46,17 @@ def sample_note(total: Column, n: int) -> Column:
                                       F.lit(str(n)), F.lit(end)))
 
 
-def row_line(cols: list[str], null_text: str = NULL_TEXT) -> Column:
-    """One rendered row: cells as text joined by " | ", missing as ``null_text``."""
+def escape_cell(text: Column) -> Column:
+    """A cell that cannot break its row: ``|`` behind a backslash, line breaks as ``<br>``."""
+    return F.regexp_replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")),
+                            r"\r\n|\r|\n", "<br>")
+
+
+def row_line(cols: list[str], null_text: str = NULL_TEXT, escape: bool = False) -> Column:
+    """One rendered row: cells as text joined by " | ", missing as ``null_text``;
+    ``escape`` keeps separators and line breaks inside a cell from looking like the row's."""
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(null_text)) for c in cols]
+    cells = [escape_cell(c) for c in cells] if escape else cells
     return F.concat(F.concat_ws(CELL_SEPARATOR, *cells), F.lit("\n"))
 
 
@@ -67,19 +75,22 @@ def _ordered_text(line: str, pos: str) -> Column:
 
 def context_blocks(df: DataFrame, group_cols: list[str], name: Column, order_cols: list[str],
                    n: int, render_cols: list[str] | None = None,
-                   null_text: str = NULL_TEXT) -> DataFrame:
+                   null_text: str = NULL_TEXT, totals: DataFrame | None = None,
+                   escape: bool = False) -> DataFrame:
     """A-21 per group: one text block per group of ``df``.
 
     Totals come from a partial+final count per group; the lines come from
     the first-N rows per group.  Both have one row per group, so they are
     stacked and folded by one aggregation, which keeps a null group like any
-    other.  ``df`` is read for each side: pass a stored frame if it is costly
-    to make.  A null name is rendered as ``null_text``.
+    other.  ``df`` is read for each side; ``totals`` (the group columns and
+    ``_total``) spares the count where it can be made from fewer columns.  A
+    null name is rendered as ``null_text``; ``escape`` as in ``row_line``.
     """
     cols = render_cols if render_cols is not None else df.columns
-    totals = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_total"))
+    if totals is None:
+        totals = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_total"))
     lines = (first_n_per_group(df, group_cols, order_cols, n, "_pos")
-             .select(*group_cols, "_pos", row_line(cols, null_text).alias("_line"))
+             .select(*group_cols, "_pos", row_line(cols, null_text, escape).alias("_line"))
              .groupBy(*group_cols).agg(_ordered_text("_line", "_pos").alias("_rows")))
     stacked = totals.withColumn("_rows", F.lit(None).cast("string")).unionByName(
         lines.withColumn("_total", F.lit(None).cast("bigint")))

@@ -45,3 +45,18 @@ def test_prompt_helpers(spark):
     user = R.fill_template("a {context} b", F.col("c"))
     row = df.select(user.alias("u"), R.full_prompt("SYS", user).alias("p")).first()
     assert row.u == "a CTX b" and row.p == "SYS\n\n---\n\na CTX b"
+
+
+def test_escaped_cells_stay_in_their_row(spark):
+    df = spark.createDataFrame([(1, "a|b\nc\r\nd\\"), (2, None)], "k int, v string").withColumn("g", F.lit("x"))
+    plain, safe = (R.context_blocks(df, ["g"], F.col("g"), ["k"], 5, ["k", "v"], escape=e).first().context
+                   for e in (False, True))
+    assert plain.endswith("1 | a|b\nc\r\nd\\\n2 | None\n")
+    assert safe.endswith("1 | a\\|b<br>c<br>d\\\\\n2 | None\n")
+
+
+def test_given_totals_are_taken(spark):
+    df = spark.range(50).select(F.lit("x").alias("g"), F.col("id").alias("k"))
+    totals = spark.createDataFrame([("x", 77)], "g string, _total bigint")
+    row = R.context_blocks(df, ["g"], F.col("g"), ["k"], 2, ["k"], totals=totals).first()
+    assert row.rows == 77 and row.context.endswith("0\n1\n")
