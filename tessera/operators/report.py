@@ -106,6 +106,39 @@ def section_check(docs: DataFrame, id_col: str, text_col: str,
     )
 
 
+def misplaced_sections(docs: DataFrame, id_col: str, text_col: str,
+                       required: tuple[str, ...] = CLI_SECTIONS) -> DataFrame:
+    """D-01: the fewest required headings that would have to move (``misplaced``,
+    in the order of the text) for the rest to stand in the required order.
+
+    What may stay is a longest increasing subsequence of the headings' places in
+    ``required``; of equally long ones the one that starts earliest, heading by
+    heading.  A repeated heading is misplaced from its second use on; headings
+    that are not required don't count; a null text has none.  In-row: per place
+    the best subsequence that ends there is carried along the headings, so the
+    work is headings times required ones, in a map-only plan."""
+    req = F.array(*[F.lit(x) for x in required])
+    none = F.array(*[F.array().cast("array<int>")] * len(required))
+
+    def rank(path):
+        return F.struct((-F.size(path)).alias("n"), path.alias("path"))
+
+    def step(best, h):
+        shorter = F.filter(F.slice(best, 1, h["place"] - 1), lambda path: F.size(path) > 0)
+        start = F.coalesce(F.array_min(F.transform(shorter, rank))["path"], F.array().cast("array<int>"))
+        path = F.concat(start, F.array(h["at"]))
+        return F.transform(best, lambda old, i: F.when(
+            (i + 1 == h["place"]) & (rank(path) < rank(old)), path).otherwise(old))
+
+    named = F.transform(headings(F.col(text_col)), lambda x, i: F.struct(
+        i.alias("at"), F.array_position(req, x).cast("int").alias("place"), x.alias("heading")))
+    return (docs.select(id_col, F.filter(named, lambda h: h["place"] > 0).alias("_found"))
+            .withColumn("_stay", F.array_min(F.transform(F.aggregate("_found", none, step), rank))["path"])
+            .select(id_col, F.coalesce(F.transform(
+                F.filter("_found", lambda h: ~F.array_contains("_stay", h["at"])), lambda h: h["heading"]),
+                F.array().cast("array<string>")).alias("misplaced")))
+
+
 def completeness_check(docs: DataFrame, id_col: str, text_col: str,
                        word_range: tuple[int, int] = WEB_WORD_RANGE) -> DataFrame:
     """D-02: size and completeness per document: words, headings, items,

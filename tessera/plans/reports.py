@@ -32,6 +32,22 @@ def section_check(spark, sf_dir):
     return RP.section_check(_docs(spark, sf_dir), "doc_id", "text")
 
 
+def misplaced_sections(spark, sf_dir):
+    """D-01 on one text per order: its sections in an order that follows from
+    the order's key, some left out, some twice."""
+    k = F.col("o_orderkey")
+    sections = []
+    for j, name in enumerate(RP.CLI_SECTIONS):
+        part = F.struct(((k * (2 * j + 3) + 5 * j) % 11).alias("key"), F.lit(j).alias("j"), F.lit(name).alias("name"))
+        sections += [F.when((k + j) % 9 != 0, part),
+                     F.when((k + 3 * j) % 31 == 0, F.struct(F.lit(20).cast("bigint").alias("key"), part["j"].alias("j"),
+                                                            part["name"].alias("name")))]
+    ordered = F.array_sort(F.filter(F.array(*sections), lambda s: s.isNotNull()))
+    text = F.array_join(F.transform(ordered, lambda s: F.concat(F.lit("## "), s["name"], F.lit("\n\nText.\n"))), "\n")
+    docs = read_table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    return RP.misplaced_sections(docs, "o_orderkey", "text")
+
+
 def completeness_check(spark, sf_dir):
     return RP.completeness_check(_docs(spark, sf_dir), "doc_id", "text")
 
@@ -299,6 +315,7 @@ def data_limits(spark, sf_dir, facts: DataFrame | None = None):
 QUERIES = {
     "markdown_blocks": markdown_blocks,
     "section_check": section_check,
+    "misplaced_sections": misplaced_sections,
     "completeness_check": completeness_check,
     "number_grounding": number_grounding,
     "grounding_scaled": grounding_scaled,
@@ -463,6 +480,33 @@ SQL["markdown_blocks"] = f"WITH {DOCS}, {BLOCKS} SELECT * FROM blocks"
 
 SQL["section_check"] = f"WITH {DOCS}, {BLOCKS}, {SECTIONS}"
 
+_NAMES = ", ".join(f"({j}, '{name}')" for j, name in enumerate(RP.CLI_SECTIONS))
+
+# all increasing subsequences are listed; the longest one that starts earliest may stay
+SQL["misplaced_sections"] = f"""
+WITH RECURSIVE names(j, name) AS (VALUES {_NAMES}),
+placed AS (
+  SELECT o_orderkey, j, name, (o_orderkey * (2 * j + 3) + 5 * j) % 11 AS key FROM orders, names
+  WHERE (o_orderkey + j) % 9 <> 0
+  UNION ALL
+  SELECT o_orderkey, j, name, 20 AS key FROM orders, names WHERE (o_orderkey + 3 * j) % 31 = 0),
+found AS (
+  SELECT o_orderkey, j, name, row_number() OVER (PARTITION BY o_orderkey ORDER BY key, j) - 1 AS place FROM placed),
+paths AS (
+  SELECT o_orderkey, j, place, [place] AS path FROM found
+  UNION ALL
+  SELECT f.o_orderkey, f.j, f.place, list_append(p.path, f.place) AS path
+  FROM paths p JOIN found f ON f.o_orderkey = p.o_orderkey AND f.place > p.place AND f.j > p.j),
+stay AS (
+  SELECT o_orderkey, path FROM paths
+  QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY len(path) DESC, path) = 1),
+moved AS (
+  SELECT f.o_orderkey, list(f.name ORDER BY f.place) AS misplaced
+  FROM found f JOIN stay s ON f.o_orderkey = s.o_orderkey AND NOT list_contains(s.path, f.place)
+  GROUP BY f.o_orderkey)
+SELECT o.o_orderkey, coalesce(m.misplaced, CAST([] AS VARCHAR[])) AS misplaced
+FROM orders o LEFT JOIN moved m ON o.o_orderkey = m.o_orderkey"""
+
 SQL["completeness_check"] = rf"""WITH {DOCS}, {BLOCKS},
 counts AS (SELECT doc_id, count(CASE WHEN kind = 'heading' THEN 1 END) AS headings,
                   count(CASE WHEN kind = 'item' THEN 1 END) AS items,

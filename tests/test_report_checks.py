@@ -26,3 +26,21 @@ def test_item_ranges_web_structure(spark):
     got = {r.section: r.within_range for r in rows.collect()}
     assert got == {"Indicadores-Chave": False, "Achados Principais": False,
                    "Riscos Identificados": False, "Próximos Passos": True}
+
+
+def test_misplaced_sections_are_the_fewest(spark):
+    import itertools
+
+    from tessera.operators import report as RP
+
+    names = ("A", "B", "C", "D")
+    cases = [c for n in range(5) for c in itertools.product("ABCDx", repeat=n)]
+    df = spark.createDataFrame([(i, "\n".join(f"## {h}" for h in c)) for i, c in enumerate(cases)] + [(-1, None)],
+                               "i int, text string")
+    got = {r.i: r.misplaced for r in RP.misplaced_sections(df, "i", "text", names).collect()}
+    assert got[-1] == []
+    for i, case in enumerate(cases):
+        own = [(at, h) for at, h in enumerate(case) if h in names]
+        best = min((s for n in range(len(own) + 1) for s in itertools.combinations(own, n)
+                    if all(a[1] < b[1] for a, b in zip(s, s[1:]))), key=lambda s: (-len(s), [at for at, _ in s]))
+        assert got[i] == [h for at, h in own if (at, h) not in best], case
