@@ -253,6 +253,60 @@ def kpi_cuts(facts_with_state: DataFrame, categories: DataFrame | None = None,
     return cuts.withColumn("ticket", _ticket())
 
 
+# ---- exact distinct counts that roll up -------------------------------------
+
+POSITION_BITS = 15  # keys of one bitmap, as ``bitmap_construct_agg`` has them
+
+
+def key_states(df: DataFrame, groups: list[str], key: str) -> DataFrame:
+    """Mergeable states of the distinct whole-number ``key`` per group: one
+    bitmap of 32,768 keys per group and ``bucket``, built map-side.  Null keys
+    have none; negative keys have buckets of their own."""
+    k = F.col(key).cast("bigint")
+    at = k.bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
+    return (df.where(k.isNotNull()).groupBy(*groups, F.shiftright(k, POSITION_BITS).alias("bucket"))
+            .agg(F.bitmap_construct_agg(at).alias("bits")))
+
+
+def distinct_counts(states: DataFrame, cuts: list[str], name: str) -> DataFrame:
+    """Exact distinct counts in total and per column of ``cuts``, all from the
+    states: bitmaps are united, never the rows counted again.  Rows ``cut`` (the
+    column's name or ``total``), ``cut_key`` (text) and ``name``."""
+    sets = [["bucket"], *[["bucket", c] for c in cuts]]
+    which = F.lit("total")
+    key = F.lit(None).cast("string")
+    for c in cuts:
+        here = F.col(f"_g_{c}") == 0
+        which, key = F.when(here, F.lit(c)).otherwise(which), F.when(here, F.col(c).cast("string")).otherwise(key)
+    united = states.groupingSets(sets, "bucket", *cuts).agg(
+        F.bitmap_or_agg("bits").alias("bits"), *[F.grouping(c).alias(f"_g_{c}") for c in cuts])
+    return (united.select(which.alias("cut"), key.alias("cut_key"), F.bitmap_count("bits").alias("n"))
+            .groupBy("cut", "cut_key").agg(F.sum("n").cast("bigint").alias(name)))
+
+
+def customer_cuts(facts_with_state: DataFrame, categories: DataFrame) -> DataFrame:
+    """B-16: distinct customers and cancellation rate for the total, each month,
+    state and category.  ``categories`` has one row per order and category.
+
+    Month, state and total come from one set of states per (month, state).
+    Counts and rates have one row per cut each: they are stacked and folded by
+    one aggregation, so a null month, state or category stays a cut."""
+    customers = distinct_counts(key_states(facts_with_state, ["month", "state"], "o_custkey"),
+                                ["month", "state"], "customers")
+    by_category = distinct_counts(key_states(categories, ["category"], "o_custkey"), ["category"], "customers")
+    gid = F.grouping_id("month", "state")
+    rate = [F.count(F.lit(1)).alias("orders"), F.round(F.avg(F.col("is_canceled").cast("int")), 6).alias("cancel_rate")]
+    rates = (facts_with_state.groupingSets([[], ["month"], ["state"]], "month", "state").agg(*rate, gid.alias("g"))
+             .select(F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "month").otherwise("state").alias("cut"),
+                     F.coalesce("month", "state").alias("cut_key"), "orders", "cancel_rate"))
+    rates = rates.unionByName(categories.groupBy("category").agg(*rate).select(
+        F.lit("category").alias("cut"), F.col("category").alias("cut_key"), "orders", "cancel_rate"))
+    counted = customers.unionByName(by_category.where("cut = 'category'"))
+    return (rates.unionByName(counted, allowMissingColumns=True).groupBy("cut", "cut_key")
+            .agg(F.max("orders").alias("orders"), F.coalesce(F.max("customers"), F.lit(0).cast("bigint")).alias("customers"),
+                 F.max("cancel_rate").alias("cancel_rate")))
+
+
 def category_orders(facts: DataFrame, lineitem: DataFrame, part: DataFrame,
                     category: str = "p_type", roles: Roles = DEFAULT) -> DataFrame:
     """One row per order and category held by it: the order's flags and days,

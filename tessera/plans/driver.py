@@ -88,6 +88,17 @@ def kpi_cuts(spark, sf_dir):
     return B.kpi_cuts(f, by_category)
 
 
+def customer_cuts(spark, sf_dir):
+    """B-16: distinct customers and cancellation rate per cut, from bitmaps that roll up."""
+    f = stored_facts(spark, sf_dir)
+    items = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    parts = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("category"))
+    held = (items.join(parts, items["l_partkey"] == parts["p_partkey"], "left")
+            .select("l_orderkey", "category").distinct())
+    orders = f.select("o_orderkey", "o_custkey", "is_canceled")
+    return B.customer_cuts(f, held.join(orders, held["l_orderkey"] == orders["o_orderkey"]))
+
+
 FINE = Roles(price_decimals=2, discount_decimals=3)
 
 
@@ -204,6 +215,7 @@ QUERIES = {
     "satisfaction_many_reviews": satisfaction_many_reviews,
     "revenue_fine_discounts": revenue_fine_discounts,
     "kpi_cuts": kpi_cuts,
+    "customer_cuts": customer_cuts,
     "share_of_total": share_of_total,
     "top_k_concentration": top_k_concentration,
     "benchmark_ratio": benchmark_ratio,

@@ -147,6 +147,19 @@ cuts AS (
   UNION ALL SELECT 'category', category, {KPI_COLS} FROM cat_facts GROUP BY category)
 SELECT *, {TICKET} FROM cuts"""
 
+SQL["customer_cuts"] = f"""WITH {FACTS},
+held AS (SELECT DISTINCT l.l_orderkey, p.p_type AS category
+         FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey),
+keyed AS (
+  SELECT 'total' AS cut, CAST(NULL AS VARCHAR) AS cut_key, o_custkey, is_canceled FROM fs
+  UNION ALL SELECT 'month', month, o_custkey, is_canceled FROM fs
+  UNION ALL SELECT 'state', state, o_custkey, is_canceled FROM fs
+  UNION ALL SELECT 'category', h.category, f.o_custkey, f.is_canceled
+  FROM held h JOIN fs f ON h.l_orderkey = f.o_orderkey)
+SELECT cut, cut_key, count(*) AS orders, count(DISTINCT o_custkey) AS customers,
+       round(avg(CAST(is_canceled AS INTEGER)), 6) AS cancel_rate
+FROM keyed GROUP BY cut, cut_key"""
+
 SQL["share_of_total"] = f"""WITH {STATE_PERF}
 SELECT *, round(revenue / {EXACT_TOTAL}, 6) AS revenue_share FROM sp"""
 
