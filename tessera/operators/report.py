@@ -258,6 +258,78 @@ def number_grounding(docs: DataFrame, id_col: str, text_col: str, keys: DataFram
                     F.coalesce(F.col("grounded"), F.lit(False)).alias("grounded")))
 
 
+# ---- D-03 derived numbers of named groups ------------------------------------
+
+DERIVED = r"(\d+(?:[.,]\d+)*) ?(%|vezes|times)"
+SENTENCE_BREAK = r"(?<=[.!?])\s+|\n+"
+
+
+def _words(text: Column) -> Column:
+    """Lower-cased words, each between single spaces."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def _is_cut(value: Column, above: Column, below: Column) -> Column:
+    """Whether ``value`` is above / below, rounded or truncated to 0, 1 or 2
+    decimals, in whole numbers."""
+    hit = F.lit(False)
+    for places in (0, 1, 2):
+        n = above * F.lit(10 ** places).cast("decimal(38,0)")
+        cut = F.floor(F.try_divide(n, below)).cast("decimal(38,0)")
+        cut = F.when(cut * below > n, cut - 1).when((cut + 1) * below <= n, cut + 1).otherwise(cut)
+        near = F.when((n - cut * below) * 2 >= below, cut + 1).otherwise(cut)
+        v = value * 10 ** places
+        hit = hit | (v == cut) | (v == near)
+    return F.coalesce(hit, F.lit(False))
+
+
+def derived_grounding(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame,
+                      name_col: str, units_col: str) -> DataFrame:
+    """D-03 for numbers derived from groups that their sentence names.
+
+    ``groups`` has one row per group: its name and a whole-number amount.  A
+    percentage must be the named groups' share of the total, a number of times
+    ("vezes", "times") the ratio of the first named group to one of the others;
+    rounded or truncated to 0, 1 or 2 decimals.  Names are found through an
+    index of their first words, joined to the words of the sentences, and then
+    compared whole; only groups of the sentence enter its sums and ratios, so a
+    wrong list of groups is not grounded.  A sentence without a name grounds
+    nothing; a group without a name is never named but counts in the total.
+
+    Output: one row per number, with its sentence, place, kind (share, ratio)
+    and the number of groups named."""
+    text = F.col(text_col)
+    sentences = (docs.select(id_col, F.posexplode(F.split(text, SENTENCE_BREAK)).alias("sentence", "_s"))
+                 .where(F.col("_s").rlike(DERIVED)))
+    numbers, kinds = (F.regexp_extract_all("_s", F.lit(DERIVED), F.lit(g)) for g in (1, 2))
+    found = (sentences.select(id_col, "sentence", F.posexplode(
+        F.arrays_zip(numbers.alias("number_text"), kinds.alias("unit"))).alias("pos", "m"))
+        .select(id_col, "sentence", "pos", "m.number_text",
+                F.when(F.col("m.unit") == "%", "share").otherwise("ratio").alias("kind")))
+
+    units = F.col(units_col).cast("decimal(20,0)")
+    amounts = groups.groupBy(F.col(name_col).alias("_name")).agg(F.sum(units).alias("_units"))
+    # over () on one row per group
+    names = (amounts.withColumn("_total", F.sum("_units").over(Window.partitionBy()))
+             .withColumn("_key", _words(F.col("_name"))).where(F.length("_key") > 2)
+             .withColumn("_first", F.split(F.trim("_key"), " ")[0]))
+    words = sentences.select(id_col, "sentence", _words(F.col("_s")).alias("_w"))
+    index = words.select(id_col, "sentence", "_w", F.explode(F.array_distinct(F.split(F.trim("_w"), " "))).alias("_first"))
+    named = index.join(names, "_first").where(F.contains("_w", F.col("_key")))
+    per_sentence = named.groupBy(F.col(id_col).alias("_id"), F.col("sentence").alias("_sent")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_units").alias("_sum"), F.max("_total").alias("_total"),
+        F.array_sort(F.collect_list(F.struct(F.expr("locate(_key, _w)").alias("at"), F.col("_units").alias("u")))).alias("_u"))
+    value = normalize_number(F.col("number_text"))
+    joined = found.join(per_sentence, (F.col(id_col) == F.col("_id")) & (F.col("sentence") == F.col("_sent")), "left")
+    share = _is_cut(F.col("_value"), F.col("_sum") * 100, F.col("_total"))
+    ratio = F.exists(F.slice("_u", 2, 1 << 20), lambda o: _is_cut(F.col("_value"), F.col("_u")[0]["u"], o["u"]))
+    grounded = F.when(F.col("kind") == "share", share).otherwise(ratio)
+    return joined.withColumn("_value", value).select(
+        id_col, F.col("sentence").cast("bigint").alias("sentence"), F.col("pos").cast("bigint").alias("pos"),
+        "number_text", "kind", F.coalesce("_n", F.lit(0).cast("bigint")).alias("named"),
+        F.coalesce(grounded, F.lit(False)).alias("grounded"))
+
+
 # ---- C-10 report from findings ---------------------------------------------
 
 def money_text(x: Column) -> Column:

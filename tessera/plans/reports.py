@@ -63,6 +63,28 @@ def number_grounding(spark, sf_dir):
     return RP.number_grounding(_docs(spark, sf_dir), "doc_id", "text", _part_keys(spark, sf_dir))
 
 
+def grounding_derived(spark, sf_dir):
+    """D-03 on texts about groups: per state the share of it and the next two
+    (one decimal, truncated) and its ratio to the next one; the same share said
+    of another list of groups must not be grounded."""
+    money = (P.facts_with_state(spark, sf_dir).where("state IS NOT NULL").groupBy("state")
+             .agg(F.sum("order_units").cast("decimal(30,0)").alias("units")))
+    by_name = Window.partitionBy().orderBy("state")  # one row per state
+    all_ = F.sum("units").over(Window.partitionBy())
+    near = money.select("state", "units", all_.alias("total"), *[
+        c for i in (1, 2, 3) for c in (F.lead("state", i).over(by_name).alias(f"s{i}"),
+                                       F.lead("units", i).over(by_name).alias(f"u{i}"))]).where("s3 IS NOT NULL")
+    tenths = F.expr("(units + u1 + u2) * 1000 div total")
+    hundredths = F.expr("units * 100 div u1")
+    share = F.concat(F.floor(tenths / 10).cast("string"), F.lit(","), (tenths % 10).cast("string"))
+    times = F.concat(F.floor(hundredths / 100).cast("string"), F.lit(","), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+    docs = near.select("state", F.concat(
+        F.col("state"), F.lit(", "), F.col("s1"), F.lit(" and "), F.col("s2"), F.lit(" hold "), share,
+        F.lit("% of it. "), F.col("state"), F.lit(" has "), times, F.lit(" times "), F.col("s1"),
+        F.lit(".\n"), F.col("state"), F.lit(" and "), F.col("s3"), F.lit(" hold "), share, F.lit("%.")).alias("text"))
+    return RP.derived_grounding(docs, "state", "text", money, "state", "units")
+
+
 def grounding_scaled(spark, sf_dir):
     """D-03 on texts that scale and cut their numbers: per state "R$ x,xx mi"
     (truncated) and the late rate with one decimal (truncated), and a made-up
@@ -316,6 +338,7 @@ QUERIES = {
     "markdown_blocks": markdown_blocks,
     "section_check": section_check,
     "misplaced_sections": misplaced_sections,
+    "grounding_derived": grounding_derived,
     "completeness_check": completeness_check,
     "number_grounding": number_grounding,
     "grounding_scaled": grounding_scaled,
@@ -507,6 +530,31 @@ moved AS (
 SELECT o.o_orderkey, coalesce(m.misplaced, CAST([] AS VARCHAR[])) AS misplaced
 FROM orders o LEFT JOIN moved m ON o.o_orderkey = m.o_orderkey"""
 
+SQL["grounding_derived"] = f"""WITH {O.FACTS},
+money AS (SELECT state, CAST(sum(order_units) AS HUGEINT) AS units FROM fs WHERE state IS NOT NULL GROUP BY state),
+near AS (
+  SELECT state, units, CAST(sum(units) OVER () AS HUGEINT) AS total,
+         lead(units, 1) OVER w AS u1, lead(units, 2) OVER w AS u2, lead(units, 3) OVER w AS u3
+  FROM money WINDOW w AS (ORDER BY state)),
+said AS (
+  SELECT *, ((units + u1 + u2) * 1000) // total AS tenths, (units * 100) // u1 AS hundredths
+  FROM near WHERE u3 IS NOT NULL),
+texts AS (
+  SELECT *, CAST(tenths // 10 AS VARCHAR) || ',' || CAST(tenths % 10 AS VARCHAR) AS share,
+         CAST(hundredths // 100 AS VARCHAR) || ',' || lpad(CAST(hundredths % 100 AS VARCHAR), 2, '0') AS times
+  FROM said),
+wrong AS (  -- in hundredths: what the other two groups hold, cut and rounded to each place
+  SELECT state, list_contains([
+      ((units + u3) * 10000) // total, ((units + u3) * 20000 + total) // (2 * total),
+      (((units + u3) * 1000) // total) * 10, (((units + u3) * 2000 + total) // (2 * total)) * 10,
+      (((units + u3) * 100) // total) * 100, (((units + u3) * 200 + total) // (2 * total)) * 100],
+      tenths * 10) AS hit
+  FROM texts)
+SELECT state, CAST(0 AS BIGINT) AS sentence, CAST(0 AS BIGINT) AS pos, share AS number_text, 'share' AS kind,
+       CAST(3 AS BIGINT) AS named, true AS grounded FROM texts
+UNION ALL SELECT state, 1, 0, times, 'ratio', 2, true FROM texts
+UNION ALL SELECT t.state, 2, 0, t.share, 'share', 2, w.hit FROM texts t JOIN wrong w ON t.state = w.state"""
+
 SQL["completeness_check"] = rf"""WITH {DOCS}, {BLOCKS},
 counts AS (SELECT doc_id, count(CASE WHEN kind = 'heading' THEN 1 END) AS headings,
                   count(CASE WHEN kind = 'item' THEN 1 END) AS items,
