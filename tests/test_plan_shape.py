@@ -95,3 +95,14 @@ def test_top_k_filters_the_status_and_sums_per_part(no_broadcast, sf_small):
     assert re.search(r"HashAggregate\(keys=\[l_partkey#\d+L\], functions=\[partial_sum", plan)
     assert re.search(r"HashAggregate\(keys=\[category#\d+\], functions=\[partial_sum", plan)
     assert _scans(plan)["lineitem"] == 1
+
+
+def test_context_totals_read_one_column_of_the_orders(no_broadcast, sf_small):
+    plan = _final_plan(CX.orders_per_state(no_broadcast, sf_small))
+    assert "ReadSchema: struct<o_custkey:bigint>" in plan
+    assert re.search(r"HashAggregate\(keys=\[o_custkey#\d+L\], functions=\[partial_count", plan)
+
+
+def test_context_per_state_reads_wide_rows_below_a_limit_per_group(no_broadcast, sf_small):
+    plan = _final_plan(CX.context_per_state(no_broadcast, sf_small))
+    assert "WindowGroupLimit" in plan and _scans(plan)["orders"] == 2
