@@ -5,7 +5,9 @@ four base patterns (with the matches that fail their check), bare numbers with
 separators, and long mixes of letters and digits.  Each candidate has a few
 small features of its format and its context.  Boosted trees score candidates,
 a threshold per kind is calibrated for precision on a held-out half of the
-texts, and candidates above it are redacted, besides all base spans.
+texts, and candidates above it are redacted, besides all base spans.  Of these
+only spans that lie inside another are dropped: one that goes beyond a base
+span it overlaps stays beside it, and both are redacted as one.
 
 Labels are weak, as nothing here is annotated: a base match is positive if it
 passes its check (octets, Luhn, digit counts); a number or a mixed run is
@@ -282,21 +284,38 @@ def detect(df: DataFrame, text_col: str = "text", carry: list[str] | None = None
     is_base = lambda x: x["kind_name"].isin(BASE_KINDS) & (x["label"] == 1)
     place = lambda x: F.struct(x["kind_name"].alias("kind"), x["start"].alias("start"),
                                x["end"].alias("end"))
-    clear = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    earlier = lambda x: F.exists("_more", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]) & (
-        (b["end"] - b["start"] > x["end"] - x["start"]) |
-        ((b["end"] - b["start"] == x["end"] - x["start"]) & (b["kind"] < x["kind"]))))
+    chosen = F.transform(F.filter("found", lambda x: is_base(x) | selected(model, x)), lambda x: F.struct(
+        x["start"].alias("start"), (-x["end"]).alias("minus_end"), (~is_base(x)).alias("added"),
+        x["kind_name"].alias("kind")))
     found = (rows.withColumn("_base", F.transform(F.filter("found", is_base), place))
-                 .withColumn("_more", F.transform(F.filter(
-                     "found", lambda x: ~is_base(x) & selected(model, x) & clear(x)), place))
-                 # of overlapping ones the longest stays, then the first kind by name
-                 .withColumn("_more", F.filter("_more", lambda x: ~earlier(x))))
+                 .withColumn("_chosen", F.array_sort(chosen))
+                 .withColumn("_more", _added(F.col("_chosen"))))
     ordered = F.concat(*[F.array_sort(of_kind(F.concat("_base", "_more"), k)) for k in KINDS])
     kept = [c for c in carry if c not in ("base_spans", "spans")]
     return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept],
                         F.col("_base").alias("base_spans"), ordered.alias("spans"))
 
 
+def _added(spans: Column) -> Column:
+    """The model's spans that no other span holds: of spans by start, the longest
+    first, one lies inside another if an earlier one ends where it does or later.
+
+    A span that only overlaps others stays, so that nothing of it is left
+    readable; equal ones count once, base spans first, then by kind."""
+    def step(acc, x):
+        end = -x["minus_end"]
+        return F.struct(F.greatest(acc["end"], end).alias("end"),
+                        F.concat(acc["inside"], F.when(acc["end"] >= end, F.lit("1")).otherwise(F.lit("0")))
+                        .alias("inside"))
+
+    # one letter for each span: appending to an array copies it element by element
+    inside = F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit("").alias("inside")), step)["inside"]
+    left = F.filter(F.arrays_zip(spans.alias("span"), F.split(inside, "").alias("inside")),
+                    lambda x: x["span"]["added"] & (x["inside"] == "0"))
+    return F.transform(left, lambda x: F.struct(x["span"]["kind"].alias("kind"), x["span"]["start"].alias("start"),
+                                                (-x["span"]["minus_end"]).alias("end")))
+
+
 def of_kind(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda x: x["kind"] == kind)
 

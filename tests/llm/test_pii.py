@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tessera.llm import pii
 
 
@@ -85,6 +87,45 @@ def test_model_adds_secrets_by_format(spark):
     assert not any(got[i] for i in range(60, 120))
 
 
+def test_secret_around_a_card_is_redacted_whole(spark):
+    rng = random.Random(3)
+    key = lambda: hashlib.sha1(str(rng.random()).encode()).hexdigest()
+    rows = [f'token = "{key()}" {i}' for i in range(60)]
+    rows += ["token=abcdefghijkl4111111111111111mnopqr end", "card 4111111111111111 end"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id int, text string")
+    got = {r["doc_id"]: r["s"] for r in pii.detect(df, "text", ["doc_id"]).select(
+        "doc_id", pii.span_text("spans").alias("s")).collect()}
+    assert got[60] == "card:18:34,secret:6:40" and got[61] == "card:5:21"
+    out = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert out[60] == "token=[SECRET] end" and out[61] == "card [CARD] end"
+
+
+def test_added_spans_against_all_pairs(spark):
+    """Overlapping spans of all kinds: those inside another go, all others stay."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(200):
+        spans = [(s, -(s + rng.randint(1, 6)), rng.random() < 0.6, rng.choice(pii.KINDS))
+                 for s in (rng.randint(0, 20) for _ in range(rng.randint(0, 8)))]
+        rows.append((i, sorted(set(spans))))
+    df = spark.createDataFrame(rows, "i int, s array<struct<start:int,minus_end:int,added:boolean,kind:string>>")
+    got = {r["i"]: [tuple(x) for x in r["m"]] for r in df.select("i", pii._added(df["s"]).alias("m")).collect()}
+    for i, spans in rows:
+        want = [(k, s, -e) for n, (s, e, added, k) in enumerate(spans) if added and not any(
+            s2 <= s and -e2 >= -e and ((s2, e2) != (s, e) or m < n) for m, (s2, e2, _, _) in enumerate(spans) if m != n)]
+        assert got[i] == want, spans
+
+
+def test_many_spans_in_one_text(spark):
+    """4,000 keys and as many addresses in one text; a search of pairs would take 16 million steps for each kind."""
+    text = " ".join(f"token=abcdefgh{i:06d}klmnopqrst a{i}@b.org" for i in range(4000))
+    rows = [text] + [f"token=abcdefgh{i:06d}klmnopqrst {i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    found = pii.detect(df, "text", ["doc_id"]).where("doc_id = 0")
+    (row,) = found.select(F.size("base_spans").alias("b"), F.size(pii.of_kind(F.col("spans"), "secret")).alias("n")).collect()
+    assert row["b"] == 4000 and row["n"] == 4000
+
+
 def test_trees_find_the_planted_rule():
     rows = []
     rng = random.Random(2)
