@@ -214,20 +214,26 @@ def ingest_manifest(spark, sf_dir):
         "file_name", "table_name", "reason", "message", "accepted", "records")
 
 
+#: Columns of the wide upload.
+WIDE = 300
+
+
 def ingest_uploads(spark, sf_dir):
     """A-05 end to end, quarantine mode: an upload folder with orders and
-    customers as CSV, the customers again as workbooks (one per nation and
-    key block, one sheet per market segment), a text file and an empty one;
-    the result is the profile of every table read, and every rejected file
-    with its reason."""
+    customers as CSV, suppliers as a CSV of many columns, the customers again
+    as workbooks (one per nation and key block, one sheet per market segment
+    and one with a header only), a text file and an empty one; the result is
+    the profile of every table read, and every rejected file with its reason."""
     root = staging_path(spark, "upload-folder")
     stage_csv(read_table(spark, sf_dir, "orders"), f"{root}/pedidos.csv")
     customer = read_table(spark, sf_dir, "customer")
     stage_csv(customer, f"{root}/clientes.csv")
+    stage_csv(read_table(spark, sf_dir, "supplier").select(
+        "s_name", *[(F.col("s_suppkey") * i).alias(f"m{i}") for i in range(1, WIDE)]), f"{root}/largo.csv")
     name = F.concat(F.lit("clientes_"), F.col("c_nationkey").cast("string"), F.lit("_"),
                     F.floor(F.col("c_custkey") / WORKBOOK_CHUNK).cast("string"))
     W.write_workbooks(customer.withColumn("_file", name), "_file", "c_mktsegment", root,
-                      customer.columns).write.format("noop").mode("overwrite").save()
+                      customer.columns, header_only="Vazia").write.format("noop").mode("overwrite").save()
     read_table(spark, sf_dir, "benchmark").select("text").write.text(f"{root}/notes.txt")
     read_table(spark, sf_dir, "region").where("false").select("r_name").write.text(f"{root}/vazio.csv")
     _, profile, rejected = UP.load_uploads(spark, root, strict=False)
@@ -459,13 +465,16 @@ WITH books AS (
            || CAST(CAST(floor(c_custkey / {WORKBOOK_CHUNK}) AS BIGINT) AS VARCHAR) AS stem,
          c_mktsegment AS sheet, count(*) AS rows
   FROM customer GROUP BY ALL),
+sheets AS (SELECT stem, sheet, rows FROM books UNION ALL SELECT DISTINCT stem, 'Vazia', 0 FROM books),
 tables AS (
   SELECT 'pedidos' AS table_name, 'pedidos.csv' AS source_file, (SELECT count(*) FROM orders) AS rows,
          CAST(6 AS BIGINT) AS n_columns
   UNION ALL
   SELECT 'clientes', 'clientes.csv', (SELECT count(*) FROM customer), 5
   UNION ALL
-  SELECT {_SLUG.format(x="stem || '_' || sheet")}, stem || '.xlsx', rows, 5 FROM books),
+  SELECT 'largo', 'largo.csv', (SELECT count(*) FROM supplier), {WIDE}
+  UNION ALL
+  SELECT {_SLUG.format(x="stem || '_' || sheet")}, stem || '.xlsx', rows, 5 FROM sheets),
 files AS (
   SELECT source_file, CAST(row_number() OVER (ORDER BY source_file) - 1 AS INTEGER) AS position
   FROM (SELECT DISTINCT source_file FROM tables))

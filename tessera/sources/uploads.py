@@ -7,10 +7,16 @@ their profile (the upload step of the reference, as Spark work).
   returned with their reason.
 * CSV uploads and workbook sheets become the same long rows (source, header,
   cells), written once under the shared folder, sorted by table within each
-  file, so a table reads only the row groups that can hold it.  All CSV
-  uploads are read by one scan (two if some have quoted line breaks, which
-  makes those unsplittable), all workbooks by one parse (one task per
-  workbook): the number of jobs does not grow with the number of files.
+  file, so a table reads only the row groups that can hold it.  CSV
+  uploads of similar width (within a factor of two) are read by one scan, two
+  if some have quoted line breaks, which makes those unsplittable: a wide
+  upload pads no narrow one, and the scans grow with the logarithm of the
+  widest header.  All workbooks are read by one parse (one task per workbook):
+  the number of jobs does not grow with the number of files.
+* Header names are made once per table, in time that grows with the header as
+  a sort does, and are not repeated in the rows.  A sheet or CSV with a header
+  only is a table without rows that keeps its columns.
+* Upload positions come from sorted ranges of the names, not from one task.
 * Names, kept columns, types and row counts of all tables come from two
   aggregations over those rows: a stored catalog that is never collected.
 * Records with more cells than their header, and CSV files with bytes that are
@@ -30,11 +36,12 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import NULL_TOKENS, extension, safe_name, stem
 from tessera.operators.clean import DuplicateColumnError, resolve_name_collisions
+from tessera.operators.number import number_rows
 from tessera.operators.render import CLI_ROWS
 from tessera.session import staging_path
 from tessera.sources.files import (_SCHEME, CSV_OPTIONS, MSG_NO_FILES, REPEATED_SEPARATOR, UNNAMED_PREFIX,
@@ -60,17 +67,26 @@ def header_columns(header: Column, width: Column) -> Column:
     ``Unnamed: i``, a repeated name gets ``.1``, ``.2``, ...; names are
     stripped of white space."""
     idx = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
-    raw = F.transform(idx, lambda i: F.coalesce(
+    raw = F.transform(idx, lambda i: F.struct(F.coalesce(
         F.nullif(F.try_element_at(header, i + 1), F.lit("")),
-        F.concat(F.lit(UNNAMED_PREFIX), i.cast("string"))))
-
-    def earlier(x, i):
-        return F.size(F.filter(F.slice(raw, 1, i), lambda y: y == x))
-
-    named = F.transform(raw, lambda x, i: F.when(
-        earlier(x, i) > 0, F.concat(x, F.lit(REPEATED_SEPARATOR), earlier(x, i).cast("string")))
-        .otherwise(x))
-    return F.transform(named, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+        F.concat(F.lit(UNNAMED_PREFIX), i.cast("string"))).alias("name"), i.alias("pos")))
+    # sorted by name, a cell's number is how many equal ones stand right before it
+    by_name = F.array_sort(raw)
+
+    def count(acc, x):
+        n = F.when(x["name"] == acc["name"], acc["n"] + 1).otherwise(F.lit(0))
+        return F.struct(x["name"].alias("name"), n.alias("n"),
+                        F.concat(acc["all"], n.cast("string"), F.lit(" ")).alias("all"))
+
+    # gathered as text: appending to an array copies it element by element
+    start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("n"), F.lit("").alias("all"))
+    earlier = F.split(F.aggregate(by_name, start, count)["all"], " ")
+    numbered = F.filter(F.arrays_zip(by_name.alias("cell"), earlier.alias("n")), lambda x: x["cell"].isNotNull())
+    named = F.array_sort(F.transform(numbered, lambda x: F.struct(
+        x["cell"]["pos"].alias("pos"),
+        F.when(x["n"] != "0", F.concat(x["cell"]["name"], F.lit(REPEATED_SEPARATOR), x["n"]))
+        .otherwise(x["cell"]["name"]).alias("name"))))
+    return F.transform(named, lambda x: F.regexp_replace(x["name"], r"(?U)^\s+|\s+$", ""))
 
 
 def _value(x):
@@ -84,7 +100,8 @@ def _table_id() -> Column:
 
 def workbook_rows(spark: SparkSession, root: str, limit_mb: float | None) -> DataFrame:
     """Long rows of the first-level ``.xlsx`` files that pass the size rules (a
-    filter the ``binaryFile`` source applies before reading any content)."""
+    filter the ``binaryFile`` source applies before reading any content), with
+    one row per sheet that holds its header and no cells."""
     size_ok = F.col("length") > 0
     if limit_mb is not None:
         size_ok = size_ok & (F.col("length") <= F.lit(int(limit_mb * 1048576)))
@@ -93,7 +110,7 @@ def workbook_rows(spark: SparkSession, root: str, limit_mb: float | None) -> Dat
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(root)
              .where(size_ok & first_level))
-    return parse_workbooks(files).select(
+    return parse_workbooks(files, header_rows=True).select(
         entry_of(F.col("path"), root).alias("source_file"), "sheet", "sheet_no",
         F.col("row").cast("bigint").alias("row"), "header", "cells", F.lit(False).alias("ragged"))
 
@@ -124,15 +141,14 @@ def csv_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """Long rows of the CSV files described by ``files`` (see ``csv_files``)."""
+    """Long rows of the CSV files described by ``files`` (see ``csv_files``),
+    one scan per class of widths: a row is at most twice as wide as its file."""
     uploads = files.groupBy("source_file").agg(F.max("breaks").alias("breaks"),
                                                F.max(F.size("header")).alias("width")).collect()
-    headers = files.select("uri", "source_file", "header")
+    headers = files.select("uri", "source_file", F.size("header").alias("n"))
     out = None
-    for breaks in (False, True):
-        mine = [u for u in uploads if u.breaks == breaks]
-        if not mine:
-            continue
+    for breaks, bits in sorted({(u.breaks, u.width.bit_length()) for u in uploads}):
+        mine = [u for u in uploads if (u.breaks, u.width.bit_length()) == (breaks, bits)]
         width = max(u.width for u in mine) + 1  # one more shows records longer than the header
         cells = F.array(*[F.col(f"c{i}") for i in range(width)])
         raw = (spark.read.options(**CSV_OPTIONS).option("multiLine", breaks).option("enforceSchema", "true")
@@ -140,10 +156,10 @@ def csv_rows(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
                .csv([f"{root}/{u.source_file}" for u in mine])
                .select(cells.alias("all"), F.col("_metadata.file_path").alias("uri"),
                        F.monotonically_increasing_id().alias("row")))
-        n = F.size("header")
+        n = F.col("n")
         part = raw.join(headers, "uri").select(
             "source_file", F.lit(None).cast("string").alias("sheet"), F.lit(0).alias("sheet_no"), "row",
-            "header", F.slice("all", 1, n).alias("cells"),
+            F.lit(None).cast("array<string>").alias("header"), F.slice("all", 1, n).alias("cells"),
             F.exists(F.slice("all", n + 1, F.greatest(F.lit(1), F.lit(width) - n)),
                      lambda x: x.isNotNull()).alias("ragged"))
         out = part if out is None else out.unionByName(part)
@@ -157,8 +173,9 @@ def table_catalog(spark: SparkSession, long_rows: DataFrame, headers: DataFrame
     The catalog (one row per table: names, kept column positions, types, row
     count, rejected records) comes from two aggregations over the stored rows
     and is stored too; it stays distributed however many tables there are.
-    ``headers`` (source_file, header) adds CSV uploads without any row, and
-    ``positions`` gives each file its upload position.  Returns (rows, catalog)."""
+    ``headers`` (source_file, header) has the headers of the CSV uploads, those
+    of sheets are rows of their own, and ``positions`` gives each file its
+    upload position.  Returns (rows, catalog)."""
     staged = staging_path(spark, "upload-rows")
     # one folder, each file sorted by table: a table lookup is a pushed filter
     # that skips row groups by their min/max (no folder per table, which would
@@ -179,11 +196,12 @@ def table_catalog(spark: SparkSession, long_rows: DataFrame, headers: DataFrame
             F.array().cast("array<string>").alias("cells"), F.lit(False).alias("ragged"))
             .withColumn("table_id", _table_id()))
     tables = described.groupBy("table_id", "source_file", "sheet", "sheet_no").agg(
-        F.first("header").alias("header"),
+        F.coalesce(F.first("header", ignorenulls=True), F.array().cast("array<string>")).alias("header"),
         F.count(F.when(filled_row, 1)).alias("rows"),
         F.count(F.when(F.col("ragged"), 1)).alias("ragged_rows"),
-        F.greatest(F.max(F.size("cells")), F.max(F.when(F.col("sheet").isNull(), F.size("header")).otherwise(0)))
-        .alias("width"))
+        F.coalesce(F.greatest(F.max(F.size("cells")), F.max(F.size("header"))), F.lit(0)).alias("width"))
+    # below the joins, so that names are made once per table and not once per kept column
+    tables = tables.withColumn("names", header_columns(F.col("header"), F.col("width"))).drop("header")
     # positions holding a value somewhere in the table, with the narrowest
     # type of all their values (counts per (table, position), combined
     # map-side; then one array per table, bounded by its width)
@@ -193,11 +211,10 @@ def table_catalog(spark: SparkSession, long_rows: DataFrame, headers: DataFrame
     kind = narrowest(*[F.col(c) for c in ("n", "n_long", "n_double", "n_boolean")])
     filled = per_column.groupBy("table_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", kind.alias("type")))).alias("kept"))
-    names = header_columns(F.col("header"), F.col("width"))
-    # a CSV without rows keeps its columns; else columns without a value go
+    # a table without rows keeps its columns; else columns without a value go
     every = F.transform(F.sequence(F.lit(0), F.col("width") - 1),
                         lambda i: F.struct(i.alias("pos"), F.lit("string").alias("type")))
-    header_only = F.col("sheet").isNull() & (F.col("rows") == 0) & (F.col("width") > 0)
+    header_only = (F.col("rows") == 0) & (F.col("width") > 0)
     kept = F.coalesce(F.col("kept"), F.when(header_only, every),
                       F.array().cast("array<struct<pos:int,type:string>>"))
     keep = F.transform(kept, lambda c: c["pos"])
@@ -207,7 +224,7 @@ def table_catalog(spark: SparkSession, long_rows: DataFrame, headers: DataFrame
                .join(positions.select(F.col("file_name").alias("source_file"), "position"), "source_file")
                .select("table_id", "source_file", "sheet", "sheet_no", "position",
                        safe_name(name).alias("table_name"), "rows", "ragged_rows", keep.alias("positions"),
-                       F.transform(keep, lambda p: F.element_at(names, p + 1)).alias("columns"),
+                       F.transform(keep, lambda p: F.element_at("names", p + 1)).alias("columns"),
                        F.transform(kept, lambda c: c["type"]).alias("types")))
     path = staging_path(spark, "table-catalog")
     catalog.write.parquet(path)
@@ -290,9 +307,8 @@ def load_uploads(spark: SparkSession, root: str, limit_mb: float | None = None,
         message = first_rejection(checked, "file_name")
         if message:
             raise UploadError(message)
-    accepted = checked.where("accepted").select(
-        "file_name", "ext",
-        (F.row_number().over(Window.orderBy("file_name")) - 1).cast("int").alias("position"))
+    accepted = number_rows(checked.where("accepted").select("file_name", "ext"), [F.col("file_name")],
+                           "position", "upload-positions").withColumn("position", F.col("position").cast("int"))
     kinds = {r.ext for r in accepted.select("ext").distinct().collect()}
     if not kinds:
         raise UploadError(MSG_NO_FILES)

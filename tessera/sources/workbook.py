@@ -155,8 +155,11 @@ def read_workbooks(spark: SparkSession, root: str | list[str], limit_mb: float |
     return parse_workbooks(files)
 
 
-def parse_workbooks(files: DataFrame) -> DataFrame:
-    """Long rows of the workbooks in a ``binaryFile`` frame (path, content)."""
+def parse_workbooks(files: DataFrame, header_rows: bool = False) -> DataFrame:
+    """Long rows of the workbooks in a ``binaryFile`` frame (path, content).
+
+    With ``header_rows`` each sheet's header is a row of its own, without cells,
+    and the other rows don't repeat it; so a sheet with a header only is seen."""
     columns = ["path", "sheet", "sheet_no", "row", "header", "cells"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,8 +174,11 @@ def parse_workbooks(files: DataFrame) -> DataFrame:
                     order.setdefault(sheet, len(order))
                     if r == 1:
                         header[sheet] = [c if c is not None else "" for c in cells]
+                        if header_rows:
+                            out.append((path, sheet, order[sheet], r, header.pop(sheet), None))
                         continue
-                    out.append((path, sheet, order[sheet], r, header.get(sheet, []), cells))
+                    out.append((path, sheet, order[sheet], r,
+                                None if header_rows else header.get(sheet, []), cells))
                     if len(out) >= ROWS_PER_CHUNK:
                         yield pd.DataFrame(out, columns=columns)
                         out = []
@@ -292,12 +298,14 @@ def _write_bytes(uri: str, data: bytes) -> None:
 
 
 def write_workbooks(df: DataFrame, file_col: str, sheet_col: str, root: str,
-                    columns: list[str], late: str | None = None) -> DataFrame:
+                    columns: list[str], late: str | None = None,
+                    header_only: str | None = None) -> DataFrame:
     """Write one workbook per value of ``file_col`` (one sheet per value of
     ``sheet_col``) under ``root``; returns (file, rows) per workbook.  Each
     workbook is built by one task, so callers keep workbook keys small.
     Workbooks whose name contains ``late`` use the 1904 date system and leave
-    out cell references."""
+    out cell references; each gets a last sheet ``header_only`` without rows, if
+    that is given."""
     target = _qualified(df.sparkSession, root.rstrip("/"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -308,6 +316,8 @@ def write_workbooks(df: DataFrame, file_col: str, sheet_col: str, root: str,
                           else (v.item() if hasattr(v, "item") else v) for v in rec)
                     for rec in part[columns].itertuples(index=False)]
             sheets[str(sheet)] = (columns, rows)
+        if header_only is not None:
+            sheets[header_only] = (columns, [])
         odd = late is not None and late in name
         _write_bytes(f"{target}/{name}.xlsx", workbook_bytes(sheets, odd, not odd))
         return pd.DataFrame({"file": [name], "rows": [len(pdf)]})

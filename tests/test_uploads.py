@@ -125,6 +125,45 @@ def test_quoted_breaks_types_and_names_with_escapes(spark, tmp_path):
     assert sorted(r.t for r in data["texto"].collect()) == ['a\nb "c"', "d"]
 
 
+def test_wide_and_narrow_files_have_scans_of_their_own(spark, tmp_path):
+    """A row is at most twice as wide as its file, and names of a wide header are made once."""
+    wide = [f"c{i % 900}" for i in range(1000)]
+    _put(tmp_path, "wide.csv", ",".join(wide) + "\n" + ",".join(str(i) for i in range(1000)) + "\n")
+    _put(tmp_path, "a.csv", "x,y\n1,2\n")
+    _put(tmp_path, "b.csv", "x,y,z\n1,2,3\n")
+    files = UP.csv_files(spark, str(tmp_path), ["a.csv", "b.csv", "wide.csv"])
+    read = UP.csv_rows(spark, str(tmp_path), files)._jdf.queryExecution().analyzed().collectLeaves()
+    widths = [read.apply(i).output().size() for i in range(read.size())]
+    assert sorted(w for w in widths if w > 900) == [1000 + 2]  # one cell more, and the file's metadata
+    assert all(w <= 16 for w in widths if w <= 900)
+    data, profile, _ = UP.load_uploads(spark, str(tmp_path))
+    by = {r.table_name: r for r in profile.collect()}
+    assert by["wide"].columns == [f"c{i}" for i in range(900)] + [f"c{i}.1" for i in range(100)]
+    assert [by[t].position for t in ("a", "b", "wide")] == [0, 1, 2]
+    (row,) = data["wide"].select("`c7`", "`c7.1`", "`c99.1`").collect()
+    assert tuple(row) == (7, 907, 999)
+    assert [tuple(r) for r in data["b"].collect()] == [(1, 2, 3)]
+
+
+def test_sheets_with_a_header_only(spark, tmp_path):
+    _put(tmp_path, "v.xlsx", workbook_bytes({"A": (["x", "y"], [(1, "a")]), "B": (["p", "q"], [])}))
+    _put(tmp_path, "w.xlsx", workbook_bytes({"C": (["r"], [])}))
+    data, profile, _ = UP.load_uploads(spark, str(tmp_path))
+    assert {r.table_name: (r.rows, r.columns) for r in profile.collect()} == {
+        "v_A": (1, ["x", "y"]), "v_B": (0, ["p", "q"]), "w_C": (0, ["r"])}
+    assert data["v_B"].columns == ["p", "q"] and data["v_B"].count() == 0
+
+
+def test_positions_without_one_window_over_all(spark):
+    from tessera.operators.number import number_rows
+    names = [f"n{i * 7919 % 5000:05d}" for i in range(5000)]
+    df = spark.createDataFrame([(n,) for n in names], "name string").repartition(7)
+    out = number_rows(df, [F.col("name")], "position")
+    assert [(r.name, r.position) for r in out.orderBy("name").collect()] == [
+        (n, i) for i, n in enumerate(sorted(names))]
+    assert number_rows(df.where("false"), [F.col("name")], "position").count() == 0
+
+
 def test_jobs_do_not_grow_with_the_files(spark, tmp_path):
     def jobs(n):
         folder = tmp_path / f"n{n}"
