@@ -4,9 +4,12 @@ Every rolling word k-gram of a text is hashed and joined to the same hashes of
 the license templates.  A hit votes for a diagonal, its place in the text minus
 its place in the template; hits of one copy share a diagonal, or a neighbouring
 one where a few words were put in or left out.  Votes are aggregated by
-diagonal, neighbouring diagonals are merged, and a merged span is verified: it
-must hold enough different places of the template, and the template's key
-phrase if it has one.
+diagonal, and each diagonal is merged with those above it, up to a total drift
+of 40 % of the template's words.  A merged span is verified on its hits in
+order: the longest chain that rises in text and template must hold 60 % of the
+template's k-grams, its equal words must be 60 % of the longer of span and
+template, and it must hold the template's key phrase if there is one.  Of
+spans of a template that overlap, the one with the most equal words stays.
 
 Texts are grouped by content, so copies vote once for all of them together: a
 text's key is a 128-bit hash, and votes are sets of template places, which are
@@ -37,8 +40,9 @@ from tessera.llm.common import if_small, lower_ascii
 
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 K = 3
-#: Diagonals at most so far apart are one copy with words put in or left out.
+#: Neighbouring hits of one copy lie on diagonals at most so far apart.
 SLACK = 3
+#: Least share of the template's k-grams, and of the words in order; the rest may be drift.
 COVERAGE = 0.6
 
 
@@ -87,11 +91,15 @@ def grams(word_array: Column, k: int) -> Column:
         lambda i: F.xxhash64(F.slice(word_array, i, k))))
 
 
+def word_count(text: str) -> int:
+    return sum(map(bool, re.split(BREAK, text)))
+
+
 def template_grams(spark, templates: list[Template], k: int) -> DataFrame:
     """(template, label, n_grams, key_place, h, place), hashed as texts are."""
     for t in templates:
         for part in (t.text, *([t.key] if t.key else [])):
-            if sum(map(bool, re.split(BREAK, part.lower()))) < k:
+            if word_count(part) < k:
                 raise ValueError(f"template {t.label}: fewer than {k} words in {part!r}")
     listed = spark.createDataFrame(
         [(i, *t) for i, t in enumerate(templates)],
@@ -118,21 +126,62 @@ def find_spans(texts: DataFrame, templates: list[Template], k: int = K) -> DataF
     hits = (texts.select(*_text_key(F.col("text")), words(F.col("text")).alias("words"))
                  .select("k1", "k2", F.posexplode(grams(F.col("words"), k)).alias("at", "h"))
                  .join(if_small(known, size), "h"))
-    diagonals = (hits.withColumn("diagonal", F.col("at") - F.col("place"))
-                     .groupBy("k1", "k2", "template", "label", "n_grams", "key_place", "diagonal")
-                     .agg(F.collect_set("place").alias("places"), F.min("at").alias("low"),
-                          F.max("at").alias("high")))
+    diagonals = (hits.groupBy("k1", "k2", "template", "label", "n_grams", "key_place",
+                              (F.col("at") - F.col("place")).alias("diagonal"))
+                     .agg(F.collect_set("place").alias("places")))
+    drift = F.greatest(F.lit(1), F.floor((1 - COVERAGE) * (F.col("n_grams") + (k - 1))).cast("int"))
+    widest = max([1, *(int((1 - COVERAGE) * word_count(t.text)) for t in templates)])
     one = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     merged = (diagonals
-              .withColumn("apart", (F.col("diagonal") - F.lag("diagonal", 1).over(one) > SLACK).cast("int"))
-              .withColumn("span", F.sum(F.coalesce("apart", F.lit(0))).over(one))
-              .groupBy("k1", "k2", "template", "label", "n_grams", "key_place", "span")
-              .agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
-                   F.min("low").alias("first"), (F.max("high") + (k - 1)).alias("last")))
-    return (merged.withColumn("coverage", F.size("places") / F.col("n_grams"))
-                  .filter((F.col("coverage") >= COVERAGE) &
-                          (F.col("key_place").isNull() | F.array_contains("places", F.col("key_place"))))
-                  .select("k1", "k2", "label", "template", "first", "last", "coverage"))
+              .withColumn("near", F.collect_list(F.struct("diagonal", "places")).over(one.rangeBetween(0, widest)))
+              .withColumn("near", F.filter("near", lambda x: x["diagonal"] <= F.col("diagonal") + drift))
+              .filter(F.size(F.array_distinct(F.flatten("near.places"))) >= COVERAGE * F.col("n_grams")))
+    verified = (merged.withColumn("best", best_chain(F.col("near"), F.col("key_place"), k))
+                      .select("k1", "k2", "label", "template", "diagonal", "best.*", "n_grams",
+                              (F.col("best.grams") / F.col("n_grams")).alias("coverage"))
+                      .withColumn("longest", F.greatest(F.col("n_grams") + (k - 1), F.col("last") - F.col("first") + 1))
+                      .filter(F.col("keyed") & (F.col("coverage") >= COVERAGE) &
+                              (F.col("words") >= COVERAGE * F.col("longest")))
+                      .withColumn("rank", F.struct("words", (-F.col("first")).alias("f"), (-F.col("last")).alias("l"),
+                                                   (-F.col("diagonal")).alias("d"))))
+    # the same copy seen from several diagonals: the best of those that overlap stays
+    others = F.collect_list(F.struct("rank", "first", "last")).over(one.rangeBetween(-widest, widest))
+    beaten = F.exists("others", lambda x: (x["rank"] > F.col("rank")) & (x["first"] <= F.col("last")) &
+                      (x["last"] >= F.col("first")))
+    return (verified.withColumn("others", others).filter(~beaten)
+                    .select("k1", "k2", "label", "template", "first", "last", "coverage"))
+
+
+def best_chain(near: Column, key_place: Column, k: int) -> Column:
+    """The words of a span against the template's in their order: the longest chain of hits.
+
+    ``near`` holds diagonals with the template places hit on them.  Places in text and template
+    rise along a chain, and neighbours drift by at most ``SLACK``.  A struct of ``keyed`` (the key
+    phrase is in the chain, or there is none), ``words`` (equal words in order), ``first`` and
+    ``last`` word and ``grams`` of the chain.
+    """
+    hits = F.array_sort(F.flatten(F.transform(near, lambda n: F.transform(
+        n["places"], lambda p: F.struct((n["diagonal"] + p).alias("at"), p.alias("place"))))))
+    kind = "array<struct<keyed:boolean,words:int,back:int,grams:int,at:int,place:int>>"
+
+    def state(keyed, n_words, back, n_grams, x):
+        return F.struct(keyed.alias("keyed"), n_words.cast("int").alias("words"), back.cast("int").alias("back"),
+                        n_grams.cast("int").alias("grams"), x["at"].cast("int").alias("at"),
+                        x["place"].cast("int").alias("place"))
+
+    def extend(chains, x):
+        here = F.coalesce(x["place"] == key_place, key_place.isNull())
+        before = F.filter(chains, lambda c: (c["at"] < x["at"]) & (c["place"] < x["place"]) & (
+            F.abs((x["at"] - c["at"]) - (x["place"] - c["place"])) <= SLACK))
+        longer = F.transform(before, lambda c: state(
+            c["keyed"] | here, c["words"] + F.least(F.lit(k), x["at"] - c["at"], x["place"] - c["place"]),
+            c["back"], c["grams"] + 1, x))
+        alone = F.array(state(here, F.lit(k), -x["at"], F.lit(1), x))
+        return F.concat(chains, F.array(F.array_max(F.concat(longer, alone))))
+
+    best = F.array_max(F.aggregate(hits, F.array().cast(kind), extend))
+    return F.struct(best["keyed"].alias("keyed"), best["words"].alias("words"), (-best["back"]).alias("first"),
+                    (best["at"] + (k - 1)).alias("last"), best["grams"].alias("grams"))
 
 
 def phrase_places(word_array: Column, text: Column, phrase: str) -> Column:

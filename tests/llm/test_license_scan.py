@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -82,3 +83,60 @@ def test_phrases_of_any_length_and_short_templates(spark):
             ls.scan(df, templates=[short])
     with pytest.raises(ValueError):
         ls.scan(df, phrases=[(" ", "none")])
+
+
+def chains(text_words, template_words, k):
+    """Per lowest diagonal all rising chains of equal k-grams, written out one by one."""
+    hits = [(a, p) for a in range(len(text_words) - k + 1) for p in range(len(template_words) - k + 1)
+            if text_words[a:a + k] == template_words[p:p + k]]
+    drift = max(1, int((1 - ls.COVERAGE) * len(template_words)))
+    for low in sorted({a - p for a, p in hits}):
+        near = [h for h in hits if low <= h[0] - h[1] <= low + drift]
+        open_chains = [[h] for h in near]
+        while open_chains:
+            chain = open_chains.pop()
+            yield low, chain
+            (a, p) = chain[-1]
+            open_chains += [[*chain, (b, q)] for b, q in near
+                            if b > a and q > p and abs((b - a) - (q - p)) <= ls.SLACK]
+
+
+def plain_spans(text, template, k=ls.K):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    w, t, key = cut(text), cut(template.text), cut(template.key)
+    best = {}
+    for low, chain in chains(w, t, k):
+        n = k + sum(min(k, b - a, q - p) for (a, p), (b, q) in zip(chain, chain[1:]))
+        first, last = chain[0][0], chain[-1][0] + k - 1
+        keyed = not key or any(t[p:p + k] == key[:k] for _, p in chain)
+        found = (keyed, n, -first, len(chain), last)
+        best[low] = max(best.get(low, found), found)
+    good = [(n, first, -last, -low, grams / (len(t) - k + 1)) for low, (keyed, n, first, grams, last) in best.items()
+            if keyed and grams >= ls.COVERAGE * (len(t) - k + 1)
+            and n >= ls.COVERAGE * max(len(t), last + first + 1)]
+    return sorted((-f, -last, template.label, c) for n, f, last, low, c in good if not any(
+        other[:4] > (n, f, last, low) and -other[1] <= -last and -other[2] >= -f for other in good))
+
+
+def test_spans_against_alignments_written_out(spark):
+    rng = random.Random(5)
+    templates = [t for t in ls.TEMPLATES if len(t.text.split()) <= 9]
+    texts = ["released under the zzz under the mit the mit license",
+             "license mit the under released", "the mit license the mit under the released under the"]
+    for _ in range(150):
+        w = []
+        for t in rng.choices(templates, k=2):
+            part = re.sub(r"[^A-Za-z0-9]+", " ", t.text).split()
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(part))
+                part[i:i + rng.randrange(2)] = rng.choice([[], ["zzz"], part[:2], part[i:i + 3]])
+                part = part or ["zzz"]
+            w += part + ["and"] * rng.randrange(3)
+        texts.append(" ".join(w))
+    got = scan(spark, texts)
+    for i, text in enumerate(texts):
+        want = sorted(x for t in ls.TEMPLATES for x in plain_spans(text, t))
+        assert [tuple(s) for s in got[i]["spans"]] == want, text
+    first = [tuple(s) for s in got[0]["spans"]]
+    assert [s[:3] for s in first] == [(4, 9, "mit")] and first[0][3] < 1
+    assert not got[1]["spans"] and not got[2]["spans"]
