@@ -191,7 +191,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = stage(connected_components(hamming_links(prints.select("fp"), radius)), "roots")
     rooted = (prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                     .withColumn("root", F.coalesce("root", "fp")))
-    classes = rooted.groupBy("root").agg(F.min("id").alias("id"), F.min("first").alias("first"))
+    # staged, so that the join has a plain shuffle on both sides, whose skew can be split
+    classes = stage(rooted.groupBy("root").agg(F.min("id").alias("id"), F.min("first").alias("first")),
+                    "classes")
     by_print = rooted.select("fp", "root").join(classes, "root").select("fp", "id", "first._rid")
     kept = [c for c in carry if c not in ("fingerprint", "component_id", "row_id", "keep")]
     return (rows.join(by_print.withColumnRenamed("_rid", "_first"), "fp")
