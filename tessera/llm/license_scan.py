@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import if_small, lower_ascii
+from tessera.llm.common import if_small, lower_ascii, stage
 
 BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 K = 3
@@ -210,10 +210,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (sorted arrays, the latter with the templates'), ``spans`` and ``score`` (best coverage,
     1 for a base phrase, else 0)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    spans = (find_spans(rows.select("text"), templates)
-             .groupBy("k1", "k2")
-             .agg(F.sort_array(F.collect_list(F.struct("first", "last", "label", "coverage"))).alias("spans"),
-                  F.max("coverage").alias("best")))
+    # staged, so that the join of a much repeated text is a plain one, whose skew can be split
+    spans = stage(find_spans(rows.select("text"), templates)
+                  .groupBy("k1", "k2")
+                  .agg(F.sort_array(F.collect_list(F.struct("first", "last", "label", "coverage"))).alias("spans"),
+                       F.max("coverage").alias("best")), "license-spans")
     base = (rows.select("id", *_text_key(F.col("text")), lower_ascii(F.col("text")).alias("low"),
                         words(F.col("text")).alias("words"))
                 .select("id", "k1", "k2", F.size("words").cast("long").alias("n_words"),
