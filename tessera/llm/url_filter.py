@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import if_small, lower_ascii
+from tessera.llm.common import if_small, lower_ascii, stage
 
 TOKEN = "[a-z0-9]+"
 
@@ -123,10 +123,11 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id",
                                         query_of(F.col("url"))).alias("target")))
     index = index_rules(urls, rules)
     best = F.max(F.struct("priority", F.length("pattern").alias("size"), "pattern", "action"))
-    hits = (urls.select("url", "target", F.explode(_tokens(F.col("target"))).alias("token"))
-                .join(if_small(index, 64 * sum(len(r.pattern) for r in rules)), "token")
-                .filter(F.expr("target rlike regex"))
-                .groupBy("url").agg(best.alias("best")))
+    # staged, so that the join of a much repeated url is a plain one, whose skew can be split
+    hits = stage(urls.select("url", "target", F.explode(_tokens(F.col("target"))).alias("token"))
+                 .join(if_small(index, 64 * sum(len(r.pattern) for r in rules)), "token")
+                 .filter(F.expr("target rlike regex"))
+                 .groupBy("url").agg(best.alias("best")), "url-hits")
     return (parsed.join(hits, "url", "left")
                   .select(F.col("key").alias(id_col), "host", "path",
                           F.col("best.pattern").alias("pattern"),
