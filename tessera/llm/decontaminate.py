@@ -19,7 +19,8 @@ The benchmark is the stated query set: it is cut into blocks of a fixed number
 of words, each block is sent to every task as a table, and all texts are run
 against each block.  The texts are never shuffled.
 
-Words are runs of letters and digits, lower-cased; offsets are code points.
+Words are runs of letters and digits, lower-cased; offsets are code points.  Ids
+of texts and items keep their types.
 
 Defined cases: null and empty texts have no words and no overlap; null items
 never match; repeated rows are each searched; empty tables give no overlaps;
@@ -36,6 +37,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import Shipped, to_batch
 
@@ -46,7 +49,8 @@ BLOCK_WORDS = 2_000_000
 #: As registered: from so many words on, short items may have substitutions, and items remove texts.
 SHORT_WORDS, LEAST_WORDS = 8, 4
 
-FOUND = [("id", pa.int64()), ("item", pa.int64())] + [
+#: What is found of an overlap, behind the ids of text and item.
+FOUND = [
     (name, pa.int32()) for name in ("first_word", "end_word", "equal_words", "item_first_word",
                                     "item_words", "start", "end")]
 
@@ -67,7 +71,7 @@ def words_of(text: str | None) -> list[str]:
 class SeedIndex:
     """Words, masks and hashes of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], masks=MASKS, window: int = WINDOW,
+    def __init__(self, items: list[tuple[object, str]], masks=MASKS, window: int = WINDOW,
                  similarity: float = SIMILARITY, short_words: int | None = None, least_words: int = 1):
         self.window, self.similarity = window, similarity
         self.short_words = window if short_words is None else short_words
@@ -172,7 +176,7 @@ class SeedIndex:
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, **index):
     """The benchmark as indexes of about ``block_words`` words each, by a hash of the item."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")
                              ).filter("text is not null and id is not null").distinct()
     words = items.agg(F.sum(F.length("text") / 6)).first()[0] or 0
     n = max(1, math.ceil(words / block_words))
@@ -187,8 +191,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per text, item and verified span: id, item id, ``first_word``, ``end_word``,
     ``equal_words``, ``item_first_word``, ``item_words``, ``start``, ``end``, ``similarity``.
     """
-    schema = ", ".join(f"{name} {'long' if kind == pa.int64() else 'int'}" for name, kind in FOUND)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    item_type = benchmark.schema[item_col].dataType
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("item", item_type),
+                           *[T.StructField(name, T.IntegerType()) for name, _ in FOUND]])
+    item_kind = to_arrow_type(item_type)
     out = None
     for index in blocks(benchmark, item_col, item_text, block_words, short_words=short_words):
         sent = Shipped(docs.sparkSession, index)
@@ -196,8 +203,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def search(batches, sent=sent):
             for batch in batches:
                 keys, texts = (batch.column(i).to_pylist() for i in (0, 1))
+                kinds = [("id", batch.column(0).type), ("item", item_kind), *FOUND]
                 yield to_batch([(key, *x) for key, text in zip(keys, texts)
-                                for x in sent.get().overlaps(text)], FOUND)
+                                for x in sent.get().overlaps(text)], kinds)
 
         part = rows.mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)

@@ -21,8 +21,8 @@ an aggregation with partial results per task and staged, so the join that flags
 the others is plain and adaptive execution can split it.
 
 Defined cases: null and empty texts have no units; repeated rows are separate
-rows, the later ones lose every long enough passage; an empty table gives no
-rows; extra columns are ignored (``remove_repeats`` returns them unchanged).
+rows, the later ones lose every long enough passage; ids keep their type and
+rank in its order; an empty table gives no rows; extra columns are ignored (``remove_repeats`` returns them unchanged).
 """
 
 from __future__ import annotations
@@ -44,10 +44,10 @@ MIN_WORDS, UNIT_WORDS, GAP_WORDS = 25, 4, 6
 SHORT_WORDS = 8
 #: A window: its units (number, offsets, words, words and long units before it in the text).
 COVERED = ("unit", "start", "end", "words", "before", "longs")
-WINDOWS = [("id", pa.int64()), ("row", pa.int64()), ("unit", pa.int32()),
+WINDOWS = [("row", pa.int64()), ("unit", pa.int32()),
            ("covers", pa.list_(pa.struct([(name, pa.int32()) for name in COVERED]))),
            ("h1", pa.int64()), ("h2", pa.int64())]
-DIGESTS = [("id", pa.int64()), ("row", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()),
+DIGESTS = [("row", pa.int64()), ("unit", pa.int32()), ("start", pa.int32()),
            ("end", pa.int32()), ("words", pa.int32()), ("gap", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
 #: Units with what ends them; together they are the whole text.
 _UNITS = {"line": re.compile(r"[^\n]*\n?"), "sentence": re.compile(r"[^.!?\n]*[.!?]*\n?"),
@@ -69,6 +69,10 @@ def units(text: str | None, kind: str, unit_words: int) -> list[tuple[int, int,
     return out
 
 
+def _id_type(docs: DataFrame) -> str:
+    return f"id {docs.schema['id'].dataType.simpleString()}"
+
+
 def _digests(docs: DataFrame, kind: str, unit_words: int) -> DataFrame:
     def split(batches):
         for batch in batches:
@@ -79,10 +83,10 @@ def _digests(docs: DataFrame, kind: str, unit_words: int) -> DataFrame:
                     whole = " ".join(words).encode("utf-8", "surrogatepass")
                     rows.append((key, row, i, start, end, len(words), gap,
                                  *struct.unpack("qq", blake2b(whole, digest_size=16).digest())))
-            yield to_batch(rows, DIGESTS)
+            yield to_batch(rows, [("id", batch.column(0).type), *DIGESTS])
 
-    return docs.mapInArrow(split, "id long, row long, unit int, start int, end int, words int, gap int, "
-                                  "h1 long, h2 long")
+    return docs.mapInArrow(split, f"{_id_type(docs)}, row long, unit int, start int, end int, words int, "
+                                  "gap int, h1 long, h2 long")
 
 
 def windows(text: str | None, kind: str, unit_words: int, short_words: int):
@@ -125,10 +129,10 @@ def _window_digests(docs: DataFrame, kind: str, unit_words: int, short_words: in
                     whole = " ".join(words).encode("utf-8", "surrogatepass")
                     rows.append((key, row, covers[0][0], [dict(zip(COVERED, u)) for u in covers],
                                  *struct.unpack("qq", blake2b(whole, digest_size=16).digest())))
-            yield to_batch(rows, WINDOWS)
+            yield to_batch(rows, [("id", batch.column(0).type), *WINDOWS])
 
     one = ", ".join(f"{name}: int" for name in COVERED)
-    return docs.mapInArrow(split, f"id long, row long, unit int, covers array<struct<{one}>>, h1 long, h2 long")
+    return docs.mapInArrow(split, f"{_id_type(docs)}, row long, unit int, covers array<struct<{one}>>, h1 long, h2 long")
 
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -142,7 +146,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size of the windows around short units, which are then numbered, too; 0 leaves them out.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    docs = df.select(F.col(id_col).cast("long").alias("id"), row.alias("row"),
+    docs = df.select(F.col(id_col).alias("id"), row.alias("row"),
                      F.col(text_col).alias("text"))
     found = stage(_window_digests(docs, kind, unit_words, short_words) if short_words else
                   _digests(docs, kind, unit_words), "units")

@@ -118,3 +118,13 @@ def test_very_long_text():
     text = "filler " * 200_000 + " ".join(WORDS[:20]) + " filler" * 10
     (hit,) = index.overlaps(text)
     assert hit[:4] == (1, 200_000, 200_020, 20)
+
+
+def test_ids_of_any_type(spark):
+    text = " ".join(WORDS[:30])
+    docs = spark.createDataFrame([("a", text), ("b", "nothing"), (None, text)], "doc_id string, text string")
+    bench = spark.createDataFrame([("x-1", text), ("x-2", " ".join(WORDS[50:70]))], "item_id string, text string")
+    found = dc.find_overlaps(docs, bench)
+    assert dict(found.dtypes)["doc_id"] == dict(found.dtypes)["item_id"] == "string"
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {("a", "x-1"), (None, "x-1")}
+    assert [r["doc_id"] for r in dc.remove_contaminated(docs, bench).collect()] == ["b"]

@@ -127,3 +127,14 @@ def test_long_passages_of_short_units(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ld.find_repeats(df).collect() == [] and ld.remove_repeats(df).collect() == []
+
+
+def test_ids_of_any_type(spark):
+    text = " ".join(WORDS[:40]) + "."
+    df = spark.createDataFrame([("b", text), ("a", text), ("c", "other words of one text.")],
+                               "doc_id string, text string")
+    for short_words in (0, ld.SHORT_WORDS):
+        (found,) = ld.find_repeats(df, short_words=short_words).collect()
+        assert (found["doc_id"], found["keep_id"], found["words"]) == ("b", "a", 40)
+    left = {r["doc_id"]: r["text"] for r in ld.remove_repeats(df).collect()}
+    assert left == {"a": text, "b": "", "c": "other words of one text."}
