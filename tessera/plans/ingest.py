@@ -261,12 +261,37 @@ def upload_stream(spark, sf_dir):
     return U.uploaded_tables(spark, f"{work}/sink")
 
 
+def upload_stream_rejected(spark, sf_dir):
+    """Rejected uploads of the streaming flow: an empty file, which the file source never emits,
+    and texts under an unsupported name, beside an accepted one."""
+    root, work = staging_path(spark, "drop"), staging_path(spark, "stream")
+    stage_csv(read_table(spark, sf_dir, "nation"), f"{root}/nation.csv")
+    read_table(spark, sf_dir, "documents").select(F.md5("text").alias("value")).na.drop().write.text(f"{root}/notes.txt")
+    filesystem, empty = S._filesystem(spark, f"{root}/empty.csv")
+    filesystem.createNewFile(empty)
+    U.run_upload_stream(spark, root, f"{work}/sink", f"{work}/checkpoint", max_files=8)
+    return U.rejected_uploads(spark, f"{work}/sink").select("file_name", "reason", "bytes")
+
+
 def manifest_dedupe(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select(
         "doc_id", "source", "n_chars", F.md5("text").alias("content_md5"), "lang")
     return S.dedupe_uploads(docs, ["source", "n_chars", "content_md5"], "doc_id", ["lang"])
 
 
+def upload_stream_latest(spark, sf_dir):
+    """``manifest_dedupe`` over micro-batches: the manifest arrives in eight files, latest rows first,
+    two a batch."""
+    keys = ["source", "n_chars", "content_md5"]
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "n_chars", F.md5("text").alias("content_md5"), "lang")
+    root, work = staging_path(spark, "manifest"), staging_path(spark, "stream")
+    docs.repartitionByRange(8, F.desc("doc_id")).write.parquet(root)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(root)
+    U.run_dedupe_stream(stream, keys, "doc_id", ["lang"], f"{work}/sink", f"{work}/checkpoint")
+    return U.deduped_uploads(spark, f"{work}/sink", keys)
+
+
 def _events_with_gaps(spark, sf_dir) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     blank = F.col("event_id") % 5 == 0
@@ -371,6 +396,8 @@ QUERIES = {
     "ingest_uploads": ingest_uploads,
     "manifest_dedupe": manifest_dedupe,
     "upload_stream": upload_stream,
+    "upload_stream_latest": upload_stream_latest,
+    "upload_stream_rejected": upload_stream_rejected,
     "ingest_validate": ingest_validate,
     "drop_empty_rows": drop_empty_rows,
     "drop_empty_columns": drop_empty_columns,
@@ -520,6 +547,13 @@ SELECT source, n_chars, md5(text) AS content_md5, min(doc_id) AS position, max(d
        count(*) AS copies, arg_max(lang, doc_id) AS lang
 FROM documents GROUP BY source, n_chars, md5(text)"""
 
+SQL["upload_stream_latest"] = SQL["manifest_dedupe"]
+
+SQL["upload_stream_rejected"] = """
+SELECT 'notes.txt' AS file_name, 'unsupported' AS reason, CAST(sum(strlen(md5(text)) + 1) AS BIGINT) AS bytes
+FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT 'empty.csv', 'empty', 0"""
+
 _EVENTS_GAPS = """
 eg AS (
   SELECT CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS user_id,

@@ -7,7 +7,14 @@ file is profiled in ``foreachBatch``: one distributed CSV read of the new
 files, row counts per upload.  Each micro-batch writes its own output folder
 named by the batch id (overwrite), so a re-run batch replaces its output and
 the sink stays exactly-once; progress lives in the checkpoint folder under
-the shared folder.
+the shared folder.  Rejected uploads are written beside it in the same way.
+
+The file source never emits a zero-length file, so each run also lists the
+first level of the drop folder and writes its empty uploads anew: an upload
+that is filled later leaves that list and arrives in the stream.
+
+Later copies of an upload win in the place of the first one (A-06) by a
+streaming aggregation, whose state is one row per key.
 """
 
 from __future__ import annotations
@@ -17,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import safe_name
-from tessera.sources.files import CSV_OPTIONS, decoded, has_quoted_breaks, validate
+from tessera.sources.files import (CSV_OPTIONS, decoded, dedupe_uploads, exists, first_level,
+                                   has_quoted_breaks, validate)
 
 BINARY_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -48,12 +56,23 @@ def upload_events(spark: SparkSession, root: str, max_files: int = 1000) -> Data
     return validate(named, name_col="file_name", size_col="length", limit_mb=None)
 
 
+def _rejected(sink: str) -> str:
+    return f"{sink.rstrip('/')}-rejected"
+
+
+def _empty(sink: str) -> str:
+    return f"{sink.rstrip('/')}-empty"
+
+
 def profile_batch(sink: str):
     """foreachBatch body: count the rows of the accepted CSV parts of one
     micro-batch, per upload, and write them to ``sink/batch=<id>``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        (batch.where(~F.col("accepted"))
+         .groupBy("file_name", "reason", "message").agg(F.sum("length").alias("bytes"))
+         .write.mode("overwrite").parquet(f"{_rejected(sink)}/batch={batch_id}"))
         accepted = batch.where(F.col("accepted") & (F.col("extension") == ".csv")).persist()
         # the file list of one micro-batch is metadata bounded by maxFilesPerTrigger
         paths = [r.path for r in accepted.select("path").collect()]
@@ -88,6 +107,45 @@ def run_upload_stream(spark: SparkSession, root: str, sink: str, checkpoint: str
              .option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
+    empty = first_level(spark, root).where("NOT folder AND length = 0")
+    (validate(empty.withColumnRenamed("entry", "file_name"))
+     .select("file_name", "reason", "message", F.col("length").alias("bytes"))
+     .write.mode("overwrite").parquet(_empty(sink)))
+
+
+def rejected_uploads(spark: SparkSession, sink: str) -> DataFrame:
+    """Rejected uploads with reason, message and bytes: those of all micro-batches and the
+    empty ones of the last run."""
+    schema = "file_name string, reason string, message string, bytes bigint"
+    # a run without any new file has no micro-batch
+    folders = [path for path in (_rejected(sink), _empty(sink)) if exists(spark, path)]
+    return (spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders)
+            .groupBy("file_name", "reason", "message").agg(F.sum("bytes").cast("bigint").alias("bytes")))
+
+
+def run_dedupe_stream(uploads: DataFrame, key_cols: list[str], order_col: str,
+                      payload_cols: list[str], sink: str, checkpoint: str) -> None:
+    """A-06 over micro-batches: a stream of uploads, every one present now.
+
+    The batch aggregation as a streaming one: first position, last position and
+    last payload are minima and maxima, so the order in which files arrive does
+    not matter.  Each micro-batch writes the rows that it changed to its own folder.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={batch_id}")
+
+    query = (dedupe_uploads(uploads, key_cols, order_col, payload_cols).writeStream
+             .outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def deduped_uploads(spark: SparkSession, sink: str, key_cols: list[str]) -> DataFrame:
+    """The present row of every key: the one of the last micro-batch that changed it."""
+    changed = spark.read.parquet(sink)
+    rest = [c for c in changed.columns if c not in (*key_cols, "batch")]
+    return (changed.groupBy(*key_cols).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+            .select(*key_cols, "_row.*"))
 
 
 def uploaded_tables(spark: SparkSession, sink: str) -> DataFrame:
